@@ -2,3 +2,5 @@
 
 from brinewave.plans import train_queries  # noqa: F401
 from brinewave.plans.registry import ENTRIES  # noqa: F401
+from brinewave.plans import event_queries  # noqa: F401,E402
+from brinewave.plans import source_queries  # noqa: F401,E402
