@@ -12,13 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brinewave.session import cut_lineage
+
 OCTAVE_PARTS = 16
 FINE_PARTS = 4096
-OFFSET = 20000  # keeps the magnitude bucket of every double above zero
+OFFSET = 20000  # keeps the magnitude bucket of every finite double above zero
+BEYOND = 40000  # bucket of the infinities
 
 
 def _coarse(x: Column) -> Column:
-    magnitude = F.floor(F.log2(F.abs(x)) * OCTAVE_PARTS).cast("int") + OFFSET
+    finite = F.floor(F.log2(F.abs(x)) * OCTAVE_PARTS) + OFFSET
+    magnitude = F.when(F.abs(x) == float("inf"), F.lit(BEYOND)).otherwise(finite.cast("int"))
     return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * magnitude)
 
 
@@ -26,7 +30,8 @@ def _fine(x: Column, bucket: Column) -> Column:
     # position inside the coarse bucket; only its order matters, not its exact edges
     low = F.pow(F.lit(2.0), (F.abs(bucket) - OFFSET) / F.lit(float(OCTAVE_PARTS)))
     part = (F.abs(x) / low - 1) / (2 ** (1 / OCTAVE_PARTS) - 1) * FINE_PARTS
-    return F.when(bucket == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * F.floor(part).cast("int"))
+    place = F.signum(x).cast("int") * F.floor(part).cast("int")
+    return F.when((bucket == 0) | (F.abs(bucket) >= BEYOND), F.lit(0)).otherwise(place)
 
 
 def _holding(counts: DataFrame, keys: list[str], level: str, ranks: DataFrame | None, parents: list[str]) -> DataFrame:
@@ -58,11 +63,12 @@ def select_ranks(df: DataFrame, keys: Sequence[str], x: str, ranks: dict[str, Co
         first.withColumn("n", F.sum("c").over(per_group))
         .select("*", F.inline(wanted))
     )
-    found = _holding(first, keys, "_b1", None, [])
+    # a few rows per group: cut here, so that each pass reads the input once
+    found = cut_lineage(_holding(first, keys, "_b1", None, []))
     narrowed = rows.join(found.select(*keys, "_b1").distinct(), [*keys, "_b1"])
     narrowed = narrowed.withColumn("_b2", _fine(F.col("_x"), F.col("_b1")))
     second = narrowed.groupBy(*keys, "_b1", "_b2").agg(F.count("*").alias("c"))
-    found = _holding(second, keys, "_b2", found, ["_b1"])
+    found = cut_lineage(_holding(second, keys, "_b2", found, ["_b1"]))
     last = narrowed.join(found.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"])
     third = last.groupBy(*keys, "_b1", "_b2", "_x").agg(F.count("*").alias("c"))
     found = _holding(third, keys, "_x", found, ["_b1", "_b2"])
@@ -78,4 +84,5 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], x: str, q: float, out: st
     place = (F.col("n") - 1) * F.lit(float(q))
     got = select_ranks(df, keys, x, {"_lo": F.floor(place), "_hi": F.ceil(place)})
     part = place - F.floor(place)
-    return got.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part).alias(out))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part
+    return got.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(out))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brinewave.operators.windows import cut_spans
+
+REC = "recording_id"
+
 # Colour (red, green, blue) and dot size of each detection type, in order.
 MARK_STYLES = [
     ((1, 0, 0), 63),
@@ -39,3 +43,22 @@ def animation_frames(dets: DataFrame, frame_len: int, lag: int = 0) -> DataFrame
     first = F.floor(at / frame_len)
     last = F.ceil((at + lag) / frame_len) - 1
     return dets.where(first <= last).withColumn("frame", F.explode(F.sequence(first, last)))
+
+
+def frame_audio(blocks: DataFrame, frames: DataFrame, fs: float, length: int, block_len: int) -> DataFrame:
+    """Sound for each video frame: `length` samples after its time, zeros outside the recording.
+
+    `blocks` hold one channel; `frames` need recording_id, frame (from 1), fps and
+    sync_s, the clock offset of the video.
+    """
+    at = (F.col("frame") - 1) / F.col("fps") - F.col("sync_s")
+    begin = F.rint(at * fs + 1).cast("bigint")
+    spans = frames.select(REC, F.col("frame").alias("det_id"), (begin + 1).alias("first_idx"), (begin + length).alias("last_idx"))
+    cut = cut_spans(blocks, spans, block_len).select(REC, "det_id", F.col("channels")[0].alias("c"))
+    joined = spans.join(cut, [REC, "det_id"], "left")
+    zero = F.lit(0.0)
+    before = F.least(F.coalesce(F.col("c.first_idx") - F.col("first_idx"), F.lit(length)), F.lit(length)).cast("int")
+    kept = F.coalesce("c.samples", F.array().cast("array<double>"))
+    after = F.lit(length) - before - F.size(kept)
+    padded = F.concat(F.array_repeat(zero, before), kept, F.array_repeat(zero, after))
+    return joined.select(REC, F.col("det_id").alias("frame"), padded.alias("samples"))

@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brinewave.operators.order_statistics import exact_quantile
 from brinewave.operators.tiles import TILE, tile_of
+from brinewave.session import cut_lineage
 
 REC = "recording_id"
 
 
-def segment_levels(segments: DataFrame, frames: DataFrame, frame_len: int, n_frames: Column) -> DataFrame:
+def segment_levels(
+    segments: DataFrame, frames: DataFrame, frame_len: int, n_frames: Column, first_at: int = 0
+) -> DataFrame:
     """Median frame statistic over the frames that cover each segment.
 
-    From the last frame that begins before start_idx (or the first frame) to the
-    first that begins after end_idx (or the last frame). Segments are spread over
-    frame numbers and joined by equality.
+    Frame k lies at sample k*frame_len + first_at. From the last frame before
+    start_idx (or the first frame) to the first after end_idx (or the last frame).
+    Segments are spread over frame numbers and joined by equality.
     """
-    first = F.greatest(F.ceil(F.col("start_idx") / frame_len) - 1, F.lit(0).cast("bigint"))
-    last = F.least(F.floor(F.col("end_idx") / frame_len) + 1, n_frames - 1)
+    begin, end = F.col("start_idx") - first_at, F.col("end_idx") - first_at
+    first = F.greatest(F.ceil(begin / frame_len) - 1, F.lit(0).cast("bigint"))
+    last = F.least(F.greatest(F.floor(end / frame_len) + 1, first), n_frames - 1)
     spread = segments.select(REC, "start_idx", F.explode(F.sequence(first, last)).alias("frame"))
-    return exact_quantile(spread.join(frames, [REC, "frame"]), [REC, "start_idx"], "stat", 0.5, "level")
+    covered = cut_lineage(spread.join(frames, [REC, "frame"]).select(REC, "start_idx", "stat"))
+    return exact_quantile(covered, [REC, "start_idx"], "stat", 0.5, "level")
 
 
 def rows_in_segments(rows: DataFrame, segments: DataFrame, end: str, tile: int) -> DataFrame:
