@@ -4,39 +4,46 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from brinewave.functions import kernels
 
 REC = "recording_id"
 HALVINGS = 100  # bisection steps on the unit circle: beyond double precision
+TINY = 1e-12  # direction components below this are zero, so that their sign does not turn an angle
 
 
-def _solve_planar(delays: np.ndarray, model: np.ndarray, on_circle: bool) -> tuple[np.ndarray, np.ndarray]:
+def _solve_planar(delays: np.ndarray, model: np.ndarray, on_circle: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least-squares (u, v) with u^2 + v^2 <= 1 (or = 1) of model @ (u, v) = delays, row-wise.
 
-    Inside the circle the normal equations give it; on the circle the multiplier
-    is bisected along the eigenvectors. Returns solutions and squared residuals.
+    Inside the circle the normal equations give it; on the circle the multiplier,
+    counted from the smaller eigenvalue, is bisected along the eigenvectors.
+    Returns solutions, squared residuals and which rows lie on the circle.
     """
-    normal = model.T @ model
-    values, vectors = np.linalg.eigh(normal)
+    values, vectors = np.linalg.eigh(model.T @ model)
+    gap = np.array([0.0, values[1] - values[0]])
     g = delays @ model @ vectors
     free = g / values
     solution = free.copy()
-    outside = np.ones(len(g), dtype=bool) if on_circle else (free**2).sum(axis=1) > 1
-    if outside.any():
-        h = g[outside]
-        low = np.full(len(h), 0.0 if not on_circle else -values[0])
-        high = np.sqrt((h**2).sum(axis=1)) + values[-1]
-        for _ in range(HALVINGS):
-            middle = (low + high) / 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                long = ((h / (values + middle[:, None])) ** 2).sum(axis=1) > 1
-            low, high = np.where(long, middle, low), np.where(long, high, middle)
-        edge = h / (values + high[:, None])
-        norm = np.sqrt((edge**2).sum(axis=1, keepdims=True))
-        solution[outside] = np.divide(edge, norm, out=np.tile([0.0, 1.0], (len(h), 1)), where=norm > 0)
+    rim = np.ones(len(g), dtype=bool) if on_circle else (free**2).sum(axis=1) > 1
+    if rim.any():
+        h = g[rim]
+        low = np.full(len(h), 0.0 if on_circle else values[0])
+        high = np.sqrt((h**2).sum(axis=1)) + values[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for _ in range(HALVINGS):
+                middle = (low + high) / 2
+                long = ((h / (middle[:, None] + gap)) ** 2).sum(axis=1) > 1
+                low, high = np.where(long, middle, low), np.where(long, high, middle)
+            edge = h / (high[:, None] + gap)
+        # nothing along the first eigenvector: that component only fills the circle
+        flat = h[:, 0] == 0
+        edge[flat, 0] = np.sqrt(np.maximum(1 - edge[flat, 1] ** 2, 0))
+        solution[rim] = edge / np.sqrt((edge**2).sum(axis=1, keepdims=True))
     solution = solution @ vectors.T
+    solution[np.abs(solution) < TINY] = 0.0
     residual = ((delays - solution @ model.T) ** 2).sum(axis=1)
-    return solution, residual
+    return solution, residual, rim
 
 
 def _delay_rows(lists: pa.Array) -> np.ndarray:
@@ -53,9 +60,9 @@ def _solver(geometry, fs: float, c: float, ref_channel: int, axis_order: str, on
     @F.arrow_udf("struct<az: double, el: double, residual: double>")
     def run(lists: pa.Array) -> pa.Array:
         d = _delay_rows(lists)[:, : len(rx)]
-        uv, residual = _solve_planar(d - d[:, [ref]], model, on_circle)
+        uv, residual, rim = _solve_planar(d - d[:, [ref]], model, on_circle)
         u, v = uv[:, 0], uv[:, 1]
-        rest = np.sqrt(np.maximum(1 - u * u - v * v, 0))
+        rest = np.where(rim, 0.0, np.sqrt(np.maximum(1 - u * u - v * v, 0)))
         if on_circle:  # azimuth only: u = sin, v = cos
             az, el = np.arctan2(u, v), np.zeros(len(u))
         elif axis_order == "xyz":  # x = sin az cos el, y = sin el, z = cos az cos el
@@ -119,14 +126,16 @@ def _grid_directions(tdoa: DataFrame, geometry, fs, c, ref_channel, step_deg: fl
 
 
 def beam_levels(windows: DataFrame, steering: np.ndarray, fs: float) -> DataFrame:
-    """Level (dB, peak to peak) of the delayed sum for each candidate direction, as an array.
+    """Level (dB, peak to peak) of the delayed sum for each candidate direction, as `levels`.
+
+    `direction` (from 1) and `level_db` are the loudest one, the first on ties.
 
     steering[channel, direction] holds delays in seconds; a channel is moved by
     -delay * fs samples, half to even, and padded with zeros.
     """
     shifts = np.rint(-np.asarray(steering) * fs).astype(int)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("struct<levels: array<double>, direction: bigint, level_db: double>")
     def run(samples: pa.Array) -> pa.Array:
         out = []
         for channels in samples:
@@ -140,17 +149,21 @@ def beam_levels(windows: DataFrame, steering: np.ndarray, fs: float) -> DataFram
                         total[s:] += x[j, : n - s] if s < n else 0
                     else:
                         total[: n + s] += x[j, -s:] if -s < n else 0
-                levels[k] = 20 * np.log10(total.max() - total.min())
+                with np.errstate(divide="ignore"):
+                    levels[k] = 20 * np.log10(total.max() - total.min())
             out.append(levels)
-        return pa.array(out, type=pa.list_(pa.float64()))
-
-    return windows.select(REC, "det_id", run(F.col("channels.samples")).alias("levels"))
-
-
-def best_beam(levels: DataFrame) -> DataFrame:
-    """Number (from 1) and level of the loudest direction, the first on ties."""
-    top = F.array_max("levels")
-    return levels.select(REC, "det_id", F.array_position("levels", top).alias("direction"), top.alias("level_db"))
+        # equal levels differ in their last bits by the order of summation: compare at nine decimals
+        best = [int(np.argmax(v.round(9))) for v in out]
+        return pa.StructArray.from_arrays(
+            [
+                kernels.lists_from(out),
+                pa.array([k + 1 for k in best], type=pa.int64()),
+                pa.array([float(v[k]) for v, k in zip(out, best)], type=pa.float64()),
+            ],
+            names=["levels", "direction", "level_db"],
+        )
+
+    return windows.select(REC, "det_id", run(F.col("channels.samples")).alias("b")).select(REC, "det_id", "b.*")
 
 
 def geometry_cost(pings: DataFrame, candidates: list[list[tuple[float, float, float]]], fs: float, c: float, ref_channel: int) -> DataFrame:

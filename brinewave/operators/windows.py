@@ -43,7 +43,8 @@ def cut_spans(blocks: DataFrame, spans: DataFrame, block_len: int) -> DataFrame:
             F.flatten(F.transform(F.filter("p", lambda s: s["channel"] == c), lambda s: s["piece"])).alias("samples"),
         ),
     )
-    cut = grouped.select(*keys, per_channel.alias("channels"))
+    # the filter keeps later Python functions out of the aggregation's own output
+    cut = grouped.where(F.size("p") > 0).select(*keys, per_channel.alias("channels"))
     full = F.col("last_idx") - F.col("first_idx") + 1
     return cut.withColumn("clipped", F.size(F.col("channels")[0]["samples"]) < full)
 

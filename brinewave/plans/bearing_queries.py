@@ -19,7 +19,7 @@ FS = 64.0
 # the detection of a recording is the maximum of its reference channel
 WIN = f"""{SMP},
  det AS (SELECT recording_id, arg_min(idx, (-x, idx)) AS idx FROM smp WHERE channel = {REF} GROUP BY recording_id),
- win AS (SELECT s.recording_id, s.channel, s.idx, s.x, d.idx AS at,
+ win AS (SELECT s.recording_id, s.channel, s.idx, s.x, d.idx AS det_idx,
          s.idx - greatest(d.idx + ({LO}), 1) AS pos FROM smp s JOIN det d USING (recording_id)
          WHERE s.idx BETWEEN d.idx + ({LO}) AND d.idx + {HI})"""
 
@@ -33,17 +33,17 @@ def cut(t):
     return windows.cut_windows(embedding_blocks(t), detections(t), LO, HI, BLOCK)
 
 
-@query("S-8", sql=f"WITH {WIN} SELECT recording_id, at AS det_id, channel, idx, x FROM win")
+@query("S-8", sql=f"WITH {WIN} SELECT recording_id, det_idx AS det_id, channel, idx, x FROM win")
 def window_samples(t):
     return windows.window_rows(cut(t))
 
 
-@query("S-9", sql=f"WITH {WIN} SELECT recording_id, at AS det_id, channel, max(abs(x)) AS top FROM win GROUP BY ALL")
+@query("S-9", sql=f"WITH {WIN} SELECT recording_id, det_idx AS det_id, channel, max(abs(x)) AS top FROM win GROUP BY ALL")
 def window_maxima(t):
     return windows.window_values(cut(t), windows.largest, "top")
 
 
-@query("S-9", sql=f"WITH {WIN} SELECT recording_id, at AS det_id, channel, round(sum(x * x), 6) AS energy FROM win GROUP BY ALL")
+@query("S-9", sql=f"WITH {WIN} SELECT recording_id, det_idx AS det_id, channel, round(sum(x * x), 6) AS energy FROM win GROUP BY ALL")
 def window_energies(t):
     def energy(frame):
         sums = [float(np.dot(s, s)) for s in frame["samples"]]
@@ -86,9 +86,9 @@ ENERGY_SQL = f"""{WIN}, {_ENERGY_REF}, r AS (SELECT w.* FROM win w JOIN ref ON w
  {_delay_sql('win', 'r')},
  del AS (SELECT recording_id, 'max_energy' AS method, channel, {_ZERO_REF} AS delay FROM dly JOIN ref USING (recording_id))"""
 PEAK_SQL = f"""{WIN}, {_PEAK_REF},
- r AS (SELECT w.recording_id, w.idx - greatest(w.at + ({tdoa.REF_LO}), min(w.idx) OVER (PARTITION BY w.recording_id)) AS pos, w.x
+ r AS (SELECT w.recording_id, w.idx - greatest(w.det_idx + ({tdoa.REF_LO}), min(w.idx) OVER (PARTITION BY w.recording_id)) AS pos, w.x
        FROM win w JOIN ref ON w.recording_id = ref.recording_id AND channel = ref.ref
-       WHERE w.idx BETWEEN w.at + ({tdoa.REF_LO}) AND w.at + {tdoa.REF_HI}), {_delay_sql('win', 'r')},
+       WHERE w.idx BETWEEN w.det_idx + ({tdoa.REF_LO}) AND w.det_idx + {tdoa.REF_HI}), {_delay_sql('win', 'r')},
  del AS (SELECT recording_id, 'max_peak' AS method, channel, delay FROM dly)"""
 MINMAX_SQL = f"""{WIN}, pl AS (SELECT recording_id, channel, arg_min(pos, (-x, pos)) + 1 AS hi, arg_min(pos, (x, pos)) + 1 AS lo,
    max(x) > min(x) AS up, abs(max(x)) > abs(min(x)) AS up_abs FROM win GROUP BY ALL),
@@ -112,9 +112,9 @@ def delays_max_peak(t):
     return method_delays(t, "max_peak")
 
 
-SEG = f"""{SMP}, pk AS (SELECT recording_id, channel, arg_min(idx, (-x, idx)) AS at FROM smp WHERE channel IN (1, {REF}) GROUP BY ALL),
- seg AS (SELECT recording_id, min(at) AS s, max(at) + 5 AS e FROM pk GROUP BY recording_id),
- win AS (SELECT s.recording_id, s.channel, s.idx, s.x, seg.s AS at, s.idx - seg.s AS pos FROM smp s JOIN seg USING (recording_id)
+SEG = f"""{SMP}, pk AS (SELECT recording_id, channel, arg_min(idx, (-x, idx)) AS peak_idx FROM smp WHERE channel IN (1, {REF}) GROUP BY ALL),
+ seg AS (SELECT recording_id, min(peak_idx) AS s, max(peak_idx) + 5 AS e FROM pk GROUP BY recording_id),
+ win AS (SELECT s.recording_id, s.channel, s.idx, s.x, seg.s AS det_idx, s.idx - seg.s AS pos FROM smp s JOIN seg USING (recording_id)
          WHERE s.idx BETWEEN seg.s AND seg.e)"""
 
 
@@ -202,33 +202,39 @@ def _direction_sql(source: str, cost: str) -> str:
     sign = -1.0 if cost == "azimuth_elevation" else 1.0
     model = sign * (rx[:, :2] - rx[REF - 1, :2]) * RATE / C
     values, vec = np.linalg.eigh(model.T @ model)
-    (a1, b1), (a2, b2), _ = model.tolist()
-    (v11, v12), (v21, v22) = vec.tolist()
-    m1, m2 = values.tolist()
+    text = np.vectorize(lambda v: f"({float(v)!r}::DOUBLE)")
+    (a1, b1), (a2, b2), _ = text(model).tolist()
+    (v11, v12), (v21, v22) = text(vec).tolist()
+    m1, m2 = text(values).tolist()
     circle = cost == "azimuth"
-    low = f"-({m1!r})" if circle else "0.0"
+    low = "0.0" if circle else m1
+    gap = f"({m2} - {m1})"
     inside = "false" if circle else "pow(f1, 2) + pow(f2, 2) <= 1"
+    rest = "CASE WHEN rim THEN 0 ELSE sqrt(greatest(1 - u * u - v * v, 0)) END"
     angles = {
-        "azimuth_elevation": ("atan2(u, sqrt(greatest(1 - u * u - v * v, 0)))", "asin(greatest(least(v, 1.0), -1.0))"),
+        "azimuth_elevation": (f"atan2(u, {rest})", "asin(greatest(least(v, 1.0), -1.0))"),
         "azimuth": ("atan2(u, v)", "0.0::DOUBLE"),
-        "plan": ("atan2(u, v)", "asin(sqrt(greatest(1 - u * u - v * v, 0)))"),
+        "plan": ("atan2(u, v)", f"asin({rest})"),
     }[cost]
     return f"""
  src AS (SELECT id, d1 - d3 AS e1, d2 - d3 AS e2 FROM {source}),
- rot AS (SELECT *, (e1 * {a1!r} + e2 * {a2!r}) * {v11!r} + (e1 * {b1!r} + e2 * {b2!r}) * {v21!r} AS g1,
-                   (e1 * {a1!r} + e2 * {a2!r}) * {v12!r} + (e1 * {b1!r} + e2 * {b2!r}) * {v22!r} AS g2 FROM src),
- fre AS (SELECT *, g1 / {m1!r} AS f1, g2 / {m2!r} AS f2 FROM rot),
- bis AS (SELECT id, g1, g2, {low}::DOUBLE AS lo, sqrt(g1 * g1 + g2 * g2) + {m2!r} AS hi, 0 AS step FROM fre WHERE NOT ({inside})
+ rot AS (SELECT *, (e1 * {a1} + e2 * {a2}) * {v11} + (e1 * {b1} + e2 * {b2}) * {v21} AS g1,
+                   (e1 * {a1} + e2 * {a2}) * {v12} + (e1 * {b1} + e2 * {b2}) * {v22} AS g2 FROM src),
+ fre AS (SELECT *, g1 / {m1} AS f1, g2 / {m2} AS f2 FROM rot),
+ bis AS (SELECT id, g1, g2, {low}::DOUBLE AS lo, sqrt(g1 * g1 + g2 * g2) + {m2} AS hi, 0 AS step FROM fre WHERE NOT ({inside})
    UNION ALL
    SELECT id, g1, g2, CASE WHEN far THEN mid ELSE lo END, CASE WHEN far THEN hi ELSE mid END, step + 1
-   FROM (SELECT *, (lo + hi) / 2 AS mid, pow(g1 / ({m1!r} + (lo + hi) / 2), 2) + pow(g2 / ({m2!r} + (lo + hi) / 2), 2) > 1 AS far FROM bis)
+   FROM (SELECT *, (lo + hi) / 2 AS mid, pow(g1 / ((lo + hi) / 2), 2) + pow(g2 / ((lo + hi) / 2 + {gap}), 2) > 1 AS far FROM bis)
    WHERE step < 100),
- edg AS (SELECT id, g1 / ({m1!r} + hi) AS q1, g2 / ({m2!r} + hi) AS q2 FROM bis WHERE step = 100),
- sol AS (SELECT f.id, e1, e2, coalesce(q1 / sqrt(q1 * q1 + q2 * q2), f1) AS s1, coalesce(q2 / sqrt(q1 * q1 + q2 * q2), f2) AS s2
+ edg AS (SELECT id, CASE WHEN g1 = 0 THEN sqrt(greatest(1 - pow(g2 / (hi + {gap}), 2), 0)) ELSE g1 / hi END AS q1, g2 / (hi + {gap}) AS q2
+         FROM bis WHERE step = 100),
+ sol AS (SELECT f.id, e1, e2, q1 IS NOT NULL AS rim,
+         coalesce(q1 / sqrt(q1 * q1 + q2 * q2), f1) AS s1, coalesce(q2 / sqrt(q1 * q1 + q2 * q2), f2) AS s2
          FROM fre f LEFT JOIN edg USING (id)),
- uv AS (SELECT id, e1, e2, s1 * {v11!r} + s2 * {v12!r} AS u, s1 * {v21!r} + s2 * {v22!r} AS v FROM sol),
+ uv0 AS (SELECT id, e1, e2, rim, s1 * {v11} + s2 * {v12} AS u, s1 * {v21} + s2 * {v22} AS v FROM sol),
+ uv AS (SELECT id, e1, e2, rim, CASE WHEN abs(u) < 1e-12 THEN 0 ELSE u END AS u, CASE WHEN abs(v) < 1e-12 THEN 0 ELSE v END AS v FROM uv0),
  dir AS (SELECT id, {angles[0]} AS az, {angles[1]} AS el,
-         pow(e1 - ({a1!r} * u + {b1!r} * v), 2) + pow(e2 - ({a2!r} * u + {b2!r} * v), 2) AS residual FROM uv)"""
+         pow(e1 - ({a1} * u + {b1} * v), 2) + pow(e2 - ({a2} * u + {b2} * v), 2) AS residual FROM uv)"""
 
 
 EVENT_DELAYS = """dl AS (SELECT event_id AS id, (event_id * 37) % 301 - 150 AS d1, (event_id * 91 + user_id) % 283 - 141 AS d2,
@@ -285,7 +291,7 @@ def detection_bearings(t):
 
 
 TIMED = f"""{SMP}, det AS (SELECT recording_id, arg_min(idx, (-x, idx)) AS idx FROM smp WHERE channel = {REF} GROUP BY recording_id),
- win AS (SELECT s.recording_id, s.channel, s.idx, s.x, d.idx AS at, s.idx - d.idx AS pos FROM smp s JOIN det d USING (recording_id)
+ win AS (SELECT s.recording_id, s.channel, s.idx, s.x, d.idx AS det_idx, s.idx - d.idx AS pos FROM smp s JOIN det d USING (recording_id)
          WHERE s.channel <= 3 AND s.idx BETWEEN d.idx AND d.idx + 16)"""
 
 
@@ -348,7 +354,7 @@ STEER = [[0.0, 2 / FS, -3 / FS, 5 / FS], [0.0, -1 / FS, 2 / FS, -4 / FS], [0.0,
 SELECT recording_id, arg_min(direction, (-level_db, direction))::BIGINT AS direction, max(level_db) AS level_db FROM lv GROUP BY recording_id""",
 )
 def best_beams(t):
-    best = directions.best_beam(directions.beam_levels(cut(t), np.array(STEER), FS))
+    best = directions.beam_levels(cut(t), np.array(STEER), FS)
     return best.select("recording_id", "direction", F.round("level_db", 6).alias("level_db"))
 
 
@@ -378,9 +384,9 @@ def geometry_costs(t):
 @query(
     "V-2",
     sql=f"""WITH {SMP}, fr AS (SELECT recording_id, unnest(range(1, 11)) AS frame FROM (SELECT DISTINCT recording_id FROM smp)),
- b AS (SELECT *, CAST(round_even(((frame - 1) / 8.0::DOUBLE - (recording_id % 5) / 10.0::DOUBLE) * {FS} + 1, 0) AS BIGINT) AS at FROM fr),
- p AS (SELECT recording_id, frame, at, unnest(range(1, 17)) AS pos FROM b)
-SELECT p.recording_id, frame, pos, coalesce(s.x, 0) AS x FROM p LEFT JOIN smp s ON s.recording_id = p.recording_id AND s.channel = {REF} AND s.idx = at + pos""",
+ b AS (SELECT *, CAST(round_even(((frame - 1) / 8.0::DOUBLE - (recording_id % 5) / 10.0::DOUBLE) * {FS} + 1, 0) AS BIGINT) AS begin_idx FROM fr),
+ p AS (SELECT recording_id, frame, begin_idx, unnest(range(1, 17)) AS pos FROM b)
+SELECT p.recording_id, frame, pos, coalesce(s.x, 0) AS x FROM p LEFT JOIN smp s ON s.recording_id = p.recording_id AND s.channel = {REF} AND s.idx = begin_idx + pos""",
 )
 def frame_audio(t):
     one = embedding_blocks(t).where(F.col("channel") == REF)
