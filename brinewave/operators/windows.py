@@ -30,21 +30,19 @@ def cut_spans(blocks: DataFrame, spans: DataFrame, block_len: int) -> DataFrame:
     `spans` needs recording_id, det_id, first_idx, last_idx. Spans are clipped at
     the ends of the recording; `clipped` says so.
     """
-    pieces = cut_pieces(blocks, spans, block_len)
     keys = list(spans.columns)
-    grouped = pieces.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("channel", "piece_idx", "piece"))).alias("p")
+    # one shuffle by span serves both groupings
+    pieces = cut_pieces(blocks, spans, block_len).repartition(*keys)
+    per_channel = pieces.groupBy(*keys, "channel").agg(
+        F.sort_array(F.collect_list(F.struct("piece_idx", "piece"))).alias("p")
     )
-    per_channel = F.transform(
-        F.array_sort(F.array_distinct(F.col("p.channel"))),
-        lambda c: F.struct(
-            c.alias("channel"),
-            F.filter("p", lambda s: s["channel"] == c)[0]["piece_idx"].alias("first_idx"),
-            F.flatten(F.transform(F.filter("p", lambda s: s["channel"] == c), lambda s: s["piece"])).alias("samples"),
-        ),
+    joined = per_channel.select(
+        *keys,
+        F.struct(
+            "channel", F.col("p")[0]["piece_idx"].alias("first_idx"), F.flatten("p.piece").alias("samples")
+        ).alias("c"),
     )
-    # the filter keeps later Python functions out of the aggregation's own output
-    cut = grouped.where(F.size("p") > 0).select(*keys, per_channel.alias("channels"))
+    cut = joined.groupBy(*keys).agg(F.sort_array(F.collect_list("c")).alias("channels"))
     full = F.col("last_idx") - F.col("first_idx") + 1
     return cut.withColumn("clipped", F.size(F.col("channels")[0]["samples"]) < full)
 
