@@ -9,9 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+
+BROADCAST_ROWS = 200_000  # rows of a few short columns, some tens of megabytes at most
 
 
 def with_group_values(df: DataFrame, keys: Sequence[str], how: str = "inner", **values: Column) -> DataFrame:
     reduced = df.groupBy(*keys).agg(*[v.alias(name) for name, v in values.items()])
     return df.join(reduced, list(keys), how)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose row count has been checked; larger ones are left to the join planner.
+
+    Counting is cheap where the lineage of df is short, as after a checkpoint.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

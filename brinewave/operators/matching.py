@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from brinewave.functions.columns import stem
-from brinewave.operators.tiles import number_rows
+from brinewave.operators.tiles import CORE, TILE, add_tiles, number_rows, tile_window
 
 
 def _base(postfix: str = ""):
@@ -38,3 +40,79 @@ def trigger_table(videos: DataFrame, audios: DataFrame, tile_s: int) -> DataFram
     v = v.select("folder", "n", F.col("path").alias("video"), F.col("trigger_s").alias("video_trigger_s"))
     a = a.select("folder", "n", F.col("path").alias("audio"), F.col("trigger_s").alias("audio_trigger_s"))
     return v.join(a, ["folder", "n"])
+
+
+# Largest difference of matching durations, shortest video that is matched, both in seconds, and
+# the mark of first parts of split sound files.
+TOLERANCE_S, SHORTEST_S = 3.0, 3.0
+FIRST_PART = "_1.mat"
+
+
+def match_recordings(videos: DataFrame, audios: DataFrame, tile: int) -> DataFrame:
+    """One-to-one pairs of videos and sound files of a folder: folder, video, audio.
+
+    Both need folder, path, ord (place in the listing) and duration_s. Each video in
+    listing order takes the first sound file left whose duration differs by less
+    than three seconds. Folders whose first sound file is a first part pair their
+    first parts with the videos by place.
+    """
+    split = audios.groupBy("folder").agg(F.min_by("path", "ord").contains(FIRST_PART).alias("_split"))
+    v = videos.join(split, "folder")
+    a = audios.join(split, "folder")
+    by_place = _by_place(v.where("_split"), a.where(F.col("_split") & F.col("path").contains(FIRST_PART)), tile)
+    return by_place.unionByName(_by_duration(v.where(~F.col("_split")), a.where(~F.col("_split"))))
+
+
+def _by_place(v: DataFrame, a: DataFrame, tile: int) -> DataFrame:
+    v = number_rows(v, ["folder"], "ord", ["path"], tile, "_n").select("folder", "_n", F.col("path").alias("video"))
+    a = number_rows(a, ["folder"], "ord", ["path"], tile, "_n").select("folder", "_n", F.col("path").alias("audio"))
+    return v.join(a, ["folder", "_n"]).select("folder", "video", "audio")
+
+
+DURATION_TILE_S = 600
+
+
+def _by_duration(v: DataFrame, a: DataFrame) -> DataFrame:
+    """Greedy choice inside runs of durations without a gap of the tolerance.
+
+    Files of different runs can never match, so a folder is split into its runs and
+    only a run is handled in one place: at most the files of one folder whose
+    durations follow each other closely.
+    """
+    usable = v.where(F.col("duration_s") >= SHORTEST_S).withColumn("_video", F.lit(True))
+    both = usable.unionByName(a.withColumn("_video", F.lit(False))).where(F.col("duration_s").isNotNull())
+    rows = add_tiles(both, "duration_s", DURATION_TILE_S, before=int(TOLERANCE_S))
+    order = tile_window(["folder"], "duration_s", "_video", "path")
+    new = F.when(F.col("duration_s") - F.lag("duration_s").over(order) < TOLERANCE_S, 0).otherwise(1)
+    rows = rows.withColumn("_new", new).where(CORE)
+    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # run 0 of a tile goes on from the tile before it
+    starts = rows.groupBy("folder", TILE).agg(F.max("_run").alias("_runs"))
+    along = Window.partitionBy("folder").orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("folder", TILE, F.coalesce(F.sum("_runs").over(along), F.lit(0)).alias("_before"))
+    runs = rows.join(starts, ["folder", TILE]).withColumn("_group", F.col("_before") + F.col("_run"))
+    sides = runs.groupBy("folder", "_group").agg(F.max("_video").alias("_any"), F.min("_video").alias("_all"))
+    mixed = runs.join(sides.where(F.col("_any") & ~F.col("_all")).select("folder", "_group"), ["folder", "_group"])
+    columns = mixed.select("folder", "_group", "path", "ord", "duration_s", "_video")
+    folder_type = columns.schema["folder"].dataType.simpleString()
+    return columns.groupBy("folder", "_group").applyInPandas(_greedy, f"folder {folder_type}, video string, audio string")
+
+
+def _greedy(files: pd.DataFrame) -> pd.DataFrame:
+    v = files[files["_video"]].sort_values(["ord", "path"])
+    a = files[~files["_video"]].sort_values(["duration_s", "ord", "path"])
+    durations = a["duration_s"].to_numpy()
+    place = np.empty(len(a))
+    place[a.reset_index(drop=True).sort_values(["ord", "path"]).index] = np.arange(len(a))
+    paths, pairs = a["path"].to_numpy(), []
+    for path, duration in zip(v["path"], v["duration_s"]):
+        lo = np.searchsorted(durations, duration - TOLERANCE_S, side="right")
+        hi = np.searchsorted(durations, duration + TOLERANCE_S, side="left")
+        near = place[lo:hi]
+        # the searches are on sums; the rule is on the difference
+        near = np.where(np.abs(duration - durations[lo:hi]) < TOLERANCE_S, near, np.inf)
+        if len(near) and np.isfinite(near.min()):
+            best = lo + int(near.argmin())
+            pairs.append((files["folder"].iloc[0], path, paths[best]))
+            place[best] = np.inf
+    return pd.DataFrame(pairs, columns=["folder", "video", "audio"])

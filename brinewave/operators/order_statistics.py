@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brinewave.functions import kernels
+from brinewave.operators.groups import small_side
 from brinewave.session import cut_lineage
 
 OCTAVE_PARTS = 16
@@ -46,32 +50,19 @@ def _holding(counts: DataFrame, keys: list[str], level: str, ranks: DataFrame |
     )
 
 
-def select_ranks(df: DataFrame, keys: Sequence[str], x: str, ranks: dict[str, Column]) -> DataFrame:
-    """The values at the given 0-based ranks, one column per entry of `ranks`.
+def _select(keys: list[str], ranks: dict[str, Column], first: DataFrame, second, third) -> DataFrame:
+    """Narrow down to the values at the ranks.
 
-    A rank is an expression over `n`, the number of rows of the group. One row
-    per group with `n`, and for each entry `name` the value and `name_rank`,
-    its rank among rows equal to it (rows before it with the same value).
+    `first` counts rows per (keys, _b1); `second(found)` counts per (keys, _b1, _b2) in the
+    buckets found; `third(found)` per (keys, _b1, _b2, _x). Counts are in column `c`.
     """
-    keys = list(keys)
-    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
-    rows = rows.withColumn("_b1", _coarse(F.col("_x")))
-    first = rows.groupBy(*keys, "_b1").agg(F.count("*").alias("c"))
-    per_group = Window.partitionBy(*keys)
     wanted = F.array(*[F.struct(F.lit(k).alias("which"), v.cast("bigint").alias("rank")) for k, v in ranks.items()])
-    first = (
-        first.withColumn("n", F.sum("c").over(per_group))
-        .select("*", F.inline(wanted))
-    )
+    total = F.sum("c").over(Window.partitionBy(*keys))
+    counted = first.withColumn("n", total).select("*", F.inline(wanted))
     # a few rows per group: cut here, so that each pass reads the input once
-    found = cut_lineage(_holding(first, keys, "_b1", None, []))
-    narrowed = rows.join(found.select(*keys, "_b1").distinct(), [*keys, "_b1"])
-    narrowed = narrowed.withColumn("_b2", _fine(F.col("_x"), F.col("_b1")))
-    second = narrowed.groupBy(*keys, "_b1", "_b2").agg(F.count("*").alias("c"))
-    found = cut_lineage(_holding(second, keys, "_b2", found, ["_b1"]))
-    last = narrowed.join(found.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"])
-    third = last.groupBy(*keys, "_b1", "_b2", "_x").agg(F.count("*").alias("c"))
-    found = _holding(third, keys, "_x", found, ["_b1", "_b2"])
+    found = cut_lineage(_holding(counted, keys, "_b1", None, []))
+    found = cut_lineage(_holding(second(found), keys, "_b2", found, ["_b1"]))
+    found = _holding(third(found), keys, "_x", found, ["_b1", "_b2"])
     picks = []
     for name in ranks:
         picks.append(F.max(F.when(F.col("which") == name, F.col("_x"))).alias(name))
@@ -79,10 +70,109 @@ def select_ranks(df: DataFrame, keys: Sequence[str], x: str, ranks: dict[str, Co
     return found.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], x: str, q: float, out: str) -> DataFrame:
-    """Quantile with linear interpolation between the two nearest ranks."""
+def select_ranks(df: DataFrame, keys: Sequence[str], x: str, ranks: dict[str, Column]) -> DataFrame:
+    """The values at the given 0-based ranks, one column per entry of `ranks`.
+
+    A rank is an expression over `n`, the number of rows of the group. One row per
+    group with `n`, and for each entry `name` the value and `name_rank`,
+    its rank among rows equal to it (rows before it with the same value).
+
+    The input is read three times: cut its lineage first where it is costly.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    rows = rows.withColumn("_b1", _coarse(F.col("_x"))).withColumn("_b2", _fine(F.col("_x"), F.col("_b1")))
+
+    def count(found: DataFrame, *by: str) -> DataFrame:
+        level = [c for c in ("_b1", "_b2") if c in found.columns]
+        held = small_side(found.select(*keys, *level).distinct())
+        return rows.join(held, [*keys, *level]).groupBy(*keys, *by).agg(F.count("*").alias("c"))
+
+    return _select(
+        keys,
+        ranks,
+        rows.groupBy(*keys, "_b1").agg(F.count("*").alias("c")),
+        lambda found: count(found, "_b1", "_b2"),
+        lambda found: count(found, "_b1", "_b2", "_x"),
+    )
+
+
+def select_ranks_in_blocks(blocks: DataFrame, keys: Sequence[str], column: str, ranks: dict[str, Column]) -> DataFrame:
+    """The same over the elements of an array column, counted inside each block.
+
+    Only bucket counts leave a block, never its samples; the blocks are not shuffled.
+    """
+    keys = list(keys)
+    rows = blocks.select(*keys, F.col(column).alias("_a"))
+
+    def count(listed: Column, df: DataFrame, *by: str) -> DataFrame:
+        return df.select(*keys, F.inline(listed)).groupBy(*keys, *by).agg(F.sum("c").alias("c"))
+
+    def narrowed(found: DataFrame) -> DataFrame:
+        level = [c for c in ("_b1", "_b2") if c in found.columns]
+        held = found.groupBy(*keys).agg(F.collect_set(F.struct(*level)).alias("_held"))
+        return rows.join(small_side(held), keys)
+
+    def second(found):
+        return count(bucket_counts(2)("_a", F.col("_held._b1"), F.array().cast("array<int>")), narrowed(found), "_b1", "_b2")
+
+    def third(found):
+        return count(bucket_counts(3)("_a", F.col("_held._b1"), F.col("_held._b2")), narrowed(found), "_b1", "_b2", "_x")
+
+    none = F.array().cast("array<int>")
+    return _select(keys, ranks, count(bucket_counts(1)("_a", none, none), rows, "_b1"), second, third)
+
+
+def bucket_counts(level: int):
+    """Counts of one block by bucket at level 1, 2 or 3 (single values), in the buckets held."""
+    names = ["_b1", "_b2", "_x", "c"]
+
+    @kernels.arrow_function("array<struct<_b1: int, _b2: int, _x: double, c: bigint>>")
+    def run(arrays: pa.Array, held_1: pa.Array, held_2: pa.Array) -> pa.Array:
+        offsets, columns = [0], ([], [], [], [])
+        for x, h1, h2 in zip(kernels.rows_of(arrays), held_1.to_pylist(), held_2.to_pylist()):
+            size = np.abs(x)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                magnitude = np.where(np.isinf(size), BEYOND, np.floor(np.log2(size) * OCTAVE_PARTS) + OFFSET)
+                b1 = np.where(x == 0, 0, np.sign(x) * magnitude).astype(np.int64)
+                part = (size / 2.0 ** ((np.abs(b1) - OFFSET) / OCTAVE_PARTS) - 1) / (2 ** (1 / OCTAVE_PARTS) - 1)
+                fine = np.sign(x) * np.floor(part * FINE_PARTS)
+            b2 = np.where((b1 == 0) | (np.abs(b1) >= BEYOND), 0, fine).astype(np.int64)
+            if level > 1:
+                keep = np.isin(b1, h1) if level == 2 else np.isin(b1 * 2 * BEYOND + b2, [p * 2 * BEYOND + q for p, q in zip(h1, h2)])
+                x, b1, b2 = x[keep], b1[keep], b2[keep]
+            by = np.stack([b1, b2 if level > 1 else 0 * b1, x if level > 2 else 0 * b1], axis=1).astype(float)
+            unique, counts = np.unique(by, axis=0, return_counts=True)
+            for column, values in zip(columns, (*unique.T, counts)):
+                column.append(values)
+            offsets.append(offsets[-1] + len(counts))
+        flat = [np.concatenate(c) if c else np.zeros(0) for c in columns]
+        types = [pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+        items = pa.StructArray.from_arrays(
+            [pa.array(v.astype(t.to_pandas_dtype()), type=t) for v, t in zip(flat, types)], names=names
+        )
+        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items)
+
+    return run
+
+
+def interpolated(got: DataFrame, keys: list[str], q: float, out: str) -> DataFrame:
     place = (F.col("n") - 1) * F.lit(float(q))
-    got = select_ranks(df, keys, x, {"_lo": F.floor(place), "_hi": F.ceil(place)})
     part = place - F.floor(place)
     between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part
     return got.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(out))
+
+
+def _quantile_ranks(q: float) -> dict[str, Column]:
+    place = (F.col("n") - 1) * F.lit(float(q))
+    return {"_lo": F.floor(place), "_hi": F.ceil(place)}
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], x: str, q: float, out: str) -> DataFrame:
+    """Quantile with linear interpolation between the two nearest ranks."""
+    return interpolated(select_ranks(df, keys, x, _quantile_ranks(q)), list(keys), q, out)
+
+
+def block_quantile(blocks: DataFrame, keys: Sequence[str], column: str, q: float, out: str) -> DataFrame:
+    """The same over the elements of an array column."""
+    return interpolated(select_ranks_in_blocks(blocks, keys, column, _quantile_ranks(q)), list(keys), q, out)

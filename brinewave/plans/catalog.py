@@ -7,3 +7,4 @@ from brinewave.plans import source_queries  # noqa: F401,E402
 from brinewave.plans import sample_queries  # noqa: F401,E402
 from brinewave.plans import spectrum_queries  # noqa: F401,E402
 from brinewave.plans import bearing_queries  # noqa: F401,E402
+from brinewave.plans import signal_queries  # noqa: F401,E402

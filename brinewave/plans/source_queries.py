@@ -322,3 +322,27 @@ SELECT folder, n, v.trig AS video_trigger_s, a.trig AS audio_trigger_s FROM v JO
 def trigger_table(t):
     v1, _, au = triggers(t)
     return matching.trigger_table(v1, au, 86400 * 365).select("folder", "n", "video_trigger_s", "audio_trigger_s")
+
+
+@query(
+    "Y-5",
+    sql="""WITH RECURSIVE f AS (SELECT o_custkey % 100 AS folder, o_orderkey AS k, '/r/' || o_orderkey AS path, o_totalprice / 1000 AS dur FROM orders),
+ v AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY k) AS n FROM f WHERE k % 2 = 0 AND dur >= 3),
+ a AS (SELECT * FROM f WHERE k % 2 = 1),
+ near AS (SELECT v.folder, v.n, list(a.k ORDER BY a.k) AS ks FROM v JOIN a ON a.folder = v.folder AND abs(v.dur - a.dur) < 3 GROUP BY ALL),
+ g AS (SELECT folder, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS pick FROM (SELECT DISTINCT folder FROM v)
+   UNION ALL
+   SELECT folder, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick
+   FROM (SELECT g.folder, v.n, g.used, list_filter(near.ks, lambda x: NOT list_contains(g.used, x))[1] AS pick
+         FROM g JOIN v ON v.folder = g.folder AND v.n = g.n + 1 LEFT JOIN near ON near.folder = v.folder AND near.n = v.n))
+SELECT g.folder, v.path AS video, '/r/' || g.pick AS audio FROM g JOIN v ON v.folder = g.folder AND v.n = g.n WHERE g.pick IS NOT NULL""",
+)
+def matched_recordings(t):
+    key = F.col("o_orderkey")
+    files = t.orders.select(
+        (F.col("o_custkey") % 100).alias("folder"),
+        F.concat(F.lit("/r/"), key).alias("path"),
+        key.alias("ord"),
+        (F.col("o_totalprice") / 1000).alias("duration_s"),
+    )
+    return matching.match_recordings(files.where("ord % 2 = 0"), files.where("ord % 2 = 1"), 4096)
