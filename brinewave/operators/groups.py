@@ -19,9 +19,10 @@ def with_group_values(df: DataFrame, keys: Sequence[str], how: str = "inner", **
     return df.join(reduced, list(keys), how)
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Broadcast a side whose row count has been checked; larger ones are left to the join planner.
 
-    Counting is cheap where the lineage of df is short, as after a checkpoint.
+    The rows of `source` (default df) are counted: a table of which df is a
+    projection and whose lineage is short, as after a checkpoint.
     """
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (source or df).count() <= BROADCAST_ROWS else df

@@ -85,7 +85,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], x: str, ranks: dict[str, Co
 
     def count(found: DataFrame, *by: str) -> DataFrame:
         level = [c for c in ("_b1", "_b2") if c in found.columns]
-        held = small_side(found.select(*keys, *level).distinct())
+        held = small_side(found.select(*keys, *level).distinct(), found)
         return rows.join(held, [*keys, *level]).groupBy(*keys, *by).agg(F.count("*").alias("c"))
 
     return _select(
@@ -111,7 +111,7 @@ def select_ranks_in_blocks(blocks: DataFrame, keys: Sequence[str], column: str,
     def narrowed(found: DataFrame) -> DataFrame:
         level = [c for c in ("_b1", "_b2") if c in found.columns]
         held = found.groupBy(*keys).agg(F.collect_set(F.struct(*level)).alias("_held"))
-        return rows.join(small_side(held), keys)
+        return rows.join(small_side(held, found), keys)
 
     def second(found):
         return count(bucket_counts(2)("_a", F.col("_held._b1"), F.array().cast("array<int>")), narrowed(found), "_b1", "_b2")
