@@ -59,7 +59,7 @@ def live_trains(dets: DataFrame, min_len: int, interval: int, fs: float, delay:
         for batch in batches:
             idx += batch["idx"].tolist()
             peak += batch["peak"].tolist()
-            at += (batch["ts"].astype("int64") // _per_ms(batch["ts"])).tolist()
+            at += batch["at"].tolist()
         order = np.argsort(np.array(idx, dtype=np.int64), kind="stable")
         idx, peak, at = ([v[i] for i in order] for v in (idx, peak, at))
         places = np.array(idx, dtype=np.int64)
@@ -85,13 +85,10 @@ def live_trains(dets: DataFrame, min_len: int, interval: int, fs: float, delay:
             state.setTimeoutTimestamp(max(at[known] + interval_ms + 1, watermark + 1))
         yield pd.DataFrame(out, columns=["recording_id", "start_idx", "end_idx", "last_member_idx", "n_dets", "level"])
 
-    late = dets.withWatermark("ts", delay).select(F.col("recording_id").cast("string").alias("recording_id"), "idx", "peak", "ts")
+    late = dets.withWatermark("ts", delay).select(
+        F.col("recording_id").cast("string").alias("recording_id"), "idx", "peak", "ts", F.unix_millis("ts").alias("at")
+    )
     return late.groupBy("recording_id").applyInPandasWithState(
         step, TRAIN, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
-
-def _per_ms(ts: pd.Series) -> int:
-    """Ticks of the column's time unit in a millisecond."""
-    unit = np.datetime_data(ts.dt.tz_localize(None).dtype if ts.dt.tz is not None else ts.dtype)[0]
-    return {"ms": 1, "us": 1000, "ns": 1_000_000}[unit]
