@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brinewave.functions import kernels
+from brinewave.operators.groups import per_group
 from brinewave.operators.tiles import TILE, add_tiles
 
 REC = "recording_id"
@@ -133,7 +134,7 @@ def channel_stats(blocks: DataFrame, *keys: str) -> DataFrame:
 
 def normalized(blocks: DataFrame) -> DataFrame:
     """Samples divided by the largest magnitude of their channel."""
-    top = channel_stats(blocks).select(*KEYS, "max_abs")
+    top = per_group(channel_stats(blocks).select(*KEYS, "max_abs"))
     joined = blocks.join(top, KEYS)
     return joined.withColumn("samples", F.transform("samples", lambda v: v / F.col("max_abs"))).drop("max_abs")
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brinewave.session import cut_lineage
+
 BROADCAST_ROWS = 200_000  # rows of a few short columns, some tens of megabytes at most
 
 
@@ -19,6 +21,15 @@ def with_group_values(df: DataFrame, keys: Sequence[str], how: str = "inner", **
     return df.join(reduced, list(keys), how)
 
 
+def per_group(reduced: DataFrame) -> DataFrame:
+    """A reduced table (a row or so per group) ready to join to blocks or samples.
+
+    It is written once, and broadcast when it is small, so that the large side is
+    neither read twice for it nor shuffled to meet it.
+    """
+    return small_side(cut_lineage(reduced))
+
+
 def small_side(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Broadcast a side whose row count has been checked; larger ones are left to the join planner.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brinewave.operators.groups import per_group
 from brinewave.operators.order_statistics import select_ranks
 
 REC = "recording_id"
@@ -102,7 +103,7 @@ def to_volts(counts: Column, step: Column, bias: Column) -> Column:
 
 def round_trip_errors(samples: DataFrame, correction: DataFrame, tolerance: float = ERROR_TOLERANCE) -> DataFrame:
     """Extremes of the error after quantizing and restoring, and whether they pass."""
-    rows = samples.join(correction, KEYS)
+    rows = samples.join(per_group(correction), KEYS)
     step, bias = F.col("step"), F.col("bias")
     error = to_volts(to_counts(F.col("x"), step, bias), step, bias) - F.col("x")
     out = rows.groupBy(*KEYS).agg(F.min(error).alias("min_error"), F.max(error).alias("max_error"))
@@ -112,9 +113,7 @@ def round_trip_errors(samples: DataFrame, correction: DataFrame, tolerance: floa
 
 def scale_logic_channels(samples: DataFrame, logic: list[int]) -> DataFrame:
     """Logic channels divided by their maximum (0 stays 0), the others as they are."""
-    tops = (
-        samples.where(F.col("channel").isin(logic)).groupBy(*KEYS).agg(F.max("x").alias("_top"))
-    )
+    tops = per_group(samples.where(F.col("channel").isin(logic)).groupBy(*KEYS).agg(F.max("x").alias("_top")))
     rows = samples.join(tops, KEYS, "left")
     scaled = F.when(F.col("_top").isNull() | (F.col("_top") == 0), F.col("x")).otherwise(F.col("x") / F.col("_top"))
     return rows.select(*KEYS, *[c for c in samples.columns if c not in (*KEYS, "x")], scaled.alias("x"))

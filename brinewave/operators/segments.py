@@ -9,6 +9,7 @@ from brinewave.operators.tiles import TILE, tile_of
 from brinewave.session import cut_lineage
 
 REC = "recording_id"
+FRAME_TILE = 1024  # frames per tile when frames meet segments
 
 
 def segment_levels(
@@ -18,13 +19,14 @@ def segment_levels(
 
     Frame k lies at sample k*frame_len + first_at. From the last frame before
     start_idx (or the first frame) to the first after end_idx (or the last frame).
-    Segments are spread over frame numbers and joined by equality.
+    Segments are spread over tiles of frames and joined by tile.
     """
     begin, end = F.col("start_idx") - first_at, F.col("end_idx") - first_at
     first = F.greatest(F.ceil(begin / frame_len) - 1, F.lit(0).cast("bigint"))
     last = F.least(F.greatest(F.floor(end / frame_len) + 1, first), n_frames - 1)
-    spread = segments.select(REC, "start_idx", F.explode(F.sequence(first, last)).alias("frame"))
-    covered = cut_lineage(spread.join(frames, [REC, "frame"]).select(REC, "start_idx", "stat"))
+    spans = segments.select(REC, F.col("start_idx").alias("_segment"), first.alias("start_idx"), last.alias("end_idx"))
+    inside = rows_in_segments(frames.withColumnRenamed("frame", "idx"), spans, "end_idx", FRAME_TILE)
+    covered = cut_lineage(inside.select(REC, F.col("_segment").alias("start_idx"), "stat"))
     return exact_quantile(covered, [REC, "start_idx"], "stat", 0.5, "level")
 
 

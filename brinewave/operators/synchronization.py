@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brinewave.operators.groups import per_group
+
 REC = "recording_id"
 KEYS = [REC, "channel"]
 
@@ -36,7 +38,7 @@ def triggers(blocks: DataFrame, fs: float, share: float = SHARE, peak_s: float =
     Three passes that each reduce blocks to one row per channel; a block takes part
     in the later ones only where it can matter.
     """
-    top = blocks.groupBy(*KEYS).agg(F.max(F.array_max("samples")).alias("_top"))
+    top = per_group(blocks.groupBy(*KEYS).agg(F.max(F.array_max("samples")).alias("_top")))
     level = F.col("_top") * share
     loud = blocks.join(top, KEYS)
     first = loud.groupBy(*KEYS).agg(
@@ -45,6 +47,7 @@ def triggers(blocks: DataFrame, fs: float, share: float = SHARE, peak_s: float =
     found = first.where(F.col("_first").isNotNull())
     if not peak_s:
         return found.select(*KEYS, F.col("_first").alias("idx"))
+    found = per_group(found)
     span = int(round(fs * peak_s))
     last = F.col("start_idx") + F.size("samples") - 1
     near = blocks.join(found, KEYS).where(

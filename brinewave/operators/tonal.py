@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brinewave.functions import kernels
+from brinewave.operators.groups import per_group
 from brinewave.operators.order_statistics import exact_quantile, select_ranks
+from brinewave.operators.spectra import band_bins, frame_spectra, select_band
 from brinewave.operators.tiles import number_rows
 from brinewave.session import cut_lineage
-from brinewave.operators.spectra import band_bins, frame_spectra, select_band
 
 REC = "recording_id"
 TIE_TILE = 100_000  # frames per tile when equally quiet frames are numbered
@@ -78,7 +79,7 @@ def quiet_frames(levels: DataFrame, percent: float, min_one: bool = False) -> Da
     wanted = F.rint(F.col("n") * percent)
     count = F.when(wanted >= 1, wanted).otherwise(F.lit(1) if min_one else F.col("n"))
     cut = select_ranks(rows, [REC], "_sum", {"_cut": count - 1})
-    rows = rows.join(cut.select(REC, "_cut", "_cut_rank"), REC)
+    rows = rows.join(per_group(cut.select(REC, "_cut", "_cut_rank")), REC)
     tied = number_rows(rows.where(F.col("_sum") == F.col("_cut")), [REC], "frame", [], TIE_TILE, "_n")
     kept_ties = tied.where(F.col("_n") <= F.col("_cut_rank") + 1).select(*levels.columns)
     return rows.where(F.col("_sum") < F.col("_cut")).select(*levels.columns).unionByName(kept_ties)
@@ -125,7 +126,7 @@ def tonal_frames(blocks: DataFrame, s: TonalSettings, stat=np.max) -> DataFrame:
         floor = noise_floor(quiet_frames(levels, s.percent_quiet, s.min_one))
     else:
         floor = levels.select(REC).distinct().withColumn("floor", F.array_repeat(F.lit(0.0), s.bins[1] - s.bins[0] + 1))
-    rows = levels.join(floor, REC).select(
+    rows = levels.join(per_group(floor), REC).select(
         REC, "frame", frame_features(F.col("mag"), F.col("floor"), F.col("ref"), s, stat).alias("f")
     )
     width = s.fs / s.nfft

@@ -41,13 +41,15 @@ def click_trains(
     same = F.lag("is_member").over(order) == F.col("is_member")
     rows = rows.withColumn("_break", F.when(same, 0).otherwise(1)).withColumn("_next", F.lead("idx").over(order))
     rows = rows.withColumn("_run", F.sum("_break").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # only the last row of a tile has no next one; plain values keep this a hash aggregation
+    end = F.when(F.count("_next") == F.count("*"), F.max("_next"))
     runs = rows.groupBy(REC, TILE, "_run").agg(
-        F.first("is_member").alias("is_member"),
+        F.max("is_member").alias("is_member"),
         F.min("idx").alias("start_idx"),
         F.max("idx").alias("last_member_idx"),
         F.count("*").alias("n_dets"),
         F.max("peak").alias("level"),
-        F.max_by("_next", F.struct("idx", "det_id")).alias("end_idx"),
+        end.alias("end_idx"),
     )
     opens = F.col("_run") == 1
     closes = F.col("end_idx").isNull()
@@ -71,7 +73,7 @@ def click_trains(
             F.max("last_member_idx").alias("last_member_idx"),
             F.sum("n_dets").alias("n_dets"),
             F.max("level").alias("level"),
-            F.max_by("_end", F.struct(TILE, "_run")).alias("end_idx"),
+            F.when(F.count("_end") == F.count("*"), F.max("_end")).alias("end_idx"),
         )
         .select(*out)
     )

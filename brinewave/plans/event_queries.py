@@ -15,6 +15,7 @@ from brinewave.plans.train_queries import INTERVAL, MEMBERS_SQL, MIN_LEN, TILE,
 from brinewave.sinks import jobs, labels
 
 FPS = 30000 / 1001
+N_FRAMES = 77_682_318  # of a video as long as the recordings, 30 days
 FOV_X, FOV_Y, WIDTH, HEIGHT = 54, 34, 3840, 2160
 
 # angles of a detection from its number, within +-3.14 and +-0.78 rad
@@ -172,11 +173,11 @@ KINDS = ["click", "view", "purchase", "signup", "error"]
   (1, 1, 0, 0, 63), (2, 1, 1, 0, 58), (3, 0, 1, 0, 53), (4, 1, 0, 1, 48), (5, 1, 1, 1, 33))
 SELECT recording_id, frame, det_id, s.method_no, red, green, blue, dot_size, round(px, 4) AS px
 FROM px JOIN styles s ON s.method_no = list_position(['click', 'view', 'purchase', 'signup', 'error'], kind)
-WHERE frame BETWEEN 1 AND 50000000""",
+WHERE frame BETWEEN 1 AND 77682318""",
 )
 def frame_marks(t):
     marks = pixels(t).withColumn("method_no", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int"))
-    return overlay.frame_marks(marks, 50_000_000).select(
+    return overlay.frame_marks(marks, N_FRAMES).select(
         "recording_id", "frame", "det_id", "method_no", "red", "green", "blue", "dot_size", F.round("px", 4).alias("px")
     )
 

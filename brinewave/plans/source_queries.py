@@ -268,7 +268,7 @@ def device_presets(t):
 
 # two cameras and one sound file per order: each has a trigger time
 TRIGGERS = """v1 AS (SELECT o_custkey AS folder, o_orderkey, '/v1/' || o_orderkey || '_topview.mkv' AS path, o_totalprice / 1000 AS trig FROM orders),
- v2 AS (SELECT o_orderkey, '/v2/' || o_orderkey || '_uw1.mkv' AS path, o_totalprice / 2000 AS trig FROM orders WHERE o_orderkey % 3 <> 0),
+ v2 AS (SELECT o_orderkey, '/v2/' || o_orderkey || '_uw1.mkv' AS path, o_totalprice / 2000 AS trig FROM orders),
  au AS (SELECT o_custkey AS folder, o_orderkey, '/au/' || o_orderkey || '.ogg' AS path, o_orderkey / 100.0::DOUBLE AS trig FROM orders)"""
 
 
@@ -280,7 +280,7 @@ def triggers(t):
         (F.col("o_totalprice") / 1000).alias("trigger_s"),
         F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("start_s"),
     )
-    v2 = t.orders.where("o_orderkey % 3 <> 0").select(
+    v2 = t.orders.select(
         F.concat(F.lit("/v2/"), key, F.lit("_uw1.mkv")).alias("path"), (F.col("o_totalprice") / 2000).alias("trigger_s")
     )
     au = t.orders.select(

@@ -64,12 +64,16 @@ def append_counts(counts: DataFrame, path: str, keys: list[str]) -> None:
     counts.write.mode("append").option("header", True).csv(path)
 
 
-def write_results(results: DataFrame, path: str, run_id: str, **parameters) -> None:
-    """Parquet by run and recording; the run's parameters are columns."""
+def write_results(results: DataFrame, path: str, run_id: str, by: str = REC, **parameters) -> None:
+    """Parquet by run and `by`; the run's parameters are columns.
+
+    With very many recordings give a column that groups them, so that folders and
+    files keep a sensible number and size.
+    """
     out = results.withColumn("run_id", F.lit(run_id))
     for name, value in parameters.items():
         out = out.withColumn(name, F.lit(value))
-    out.write.mode("append").partitionBy("run_id", REC).parquet(path)
+    out.write.mode("append").partitionBy("run_id", by).parquet(path)
 
 
 def write_extrema(stats: DataFrame, path: str) -> None:
