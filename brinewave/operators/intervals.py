@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brinewave.functions.histograms import interval_mode
-from brinewave.operators.tiles import CORE, TILE, add_tiles, tile_window
+from brinewave.operators.tiles import TILE, add_tiles, tile_window
 
 REC = "recording_id"
 SLOT = "slot"
@@ -98,12 +98,19 @@ def best_slot(modes: DataFrame, slot_len: int, fs: int) -> DataFrame:
 
 
 def raw_interval_mode(dets: DataFrame, bin_width: int, limit: int, tile: int) -> DataFrame:
-    """Commonest difference of consecutive clicks below `limit` over the whole recording."""
-    seen = add_tiles(dets, "idx", tile, before=limit)
+    """Commonest difference of consecutive clicks below `limit` over the whole recording.
+
+    Steps inside a tile and steps from one tile to the next are counted apart.
+    """
     order = tile_window([REC], "idx", "det_id")
-    steps = seen.withColumn("step", F.col("idx") - F.lag("idx").over(order)).where(CORE)
+    tiled = add_tiles(dets, "idx", tile)
+    inside = tiled.select(REC, (F.col("idx") - F.lag("idx").over(order)).alias("step"))
+    along = Window.partitionBy(REC).orderBy(TILE)
+    ends = tiled.groupBy(REC, TILE).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    across = ends.select(REC, (F.col("lo") - F.lag("hi").over(along)).alias("step"))
     bins = (
-        steps.where(F.col("step") < limit)
+        inside.unionByName(across)
+        .where(F.col("step") < limit)
         .groupBy(REC, F.floor(F.col("step") / bin_width).alias("bin"))
         .agg(F.count("*").alias("c"))
     )

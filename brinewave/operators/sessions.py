@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brinewave.functions.density import state_settings
-from brinewave.operators.tiles import CORE, TILE, add_tiles, tile_window
+from brinewave.operators.tiles import TILE, add_tiles, tile_window
+from brinewave.session import cut_lineage
 
 REC = "recording_id"
 
 
 def gap_sessions(dets: DataFrame, gap: int, tile: int) -> DataFrame:
-    """Sessions split where two consecutive rows are more than `gap` samples apart."""
+    """Sessions split where two consecutive rows are more than `gap` samples apart.
+
+    Runs are found inside tiles; only the first and last run of a tile can go on in
+    another, so at most two rows per tile are ordered per recording.
+    """
     order = tile_window([REC], "idx", "det_id")
-    seen = add_tiles(dets, "idx", tile, before=gap)
+    rows = add_tiles(dets, "idx", tile)
     step = F.col("idx") - F.lag("idx").over(order)
-    rows = seen.withColumn("_new", F.when(step <= gap, 0).otherwise(1)).where(CORE)
+    rows = rows.withColumn("_new", F.when(step <= gap, 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # run 0 goes on from an earlier tile
     runs = rows.groupBy(REC, TILE, "_run").agg(
         F.min("idx").alias("start_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n_dets")
     )
     last_of_tile = F.col("_run") == F.max("_run").over(Window.partitionBy(REC, TILE))
-    runs = runs.withColumn("_last", last_of_tile)
+    runs = cut_lineage(runs.withColumn("_last", last_of_tile))  # read twice below
     out = [REC, "start_idx", "last_idx", "n_dets"]
-    inner = runs.where((F.col("_run") > 0) & ~F.col("_last")).select(*out)
+    inner = runs.where((F.col("_run") > 1) & ~F.col("_last")).select(*out)
     along = Window.partitionBy(REC).orderBy(TILE, "_run")
-    edge = runs.where((F.col("_run") == 0) | F.col("_last"))
-    edge = edge.withColumn(
-        "_session",
-        F.sum(F.when(F.col("_run") == 0, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)),
-    )
+    edge = runs.where((F.col("_run") == 1) | F.col("_last"))
+    # between the first and the last run of a tile there is always a gap
+    goes_on = (F.col("_run") == 1) & (F.col("start_idx") - F.lag("last_idx").over(along) <= gap)
+    edge = edge.withColumn("_fresh", F.when(goes_on, 0).otherwise(1))
+    edge = edge.withColumn("_session", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     joined = edge.groupBy(REC, "_session").agg(
         F.min("start_idx").alias("start_idx"),
         F.max("last_idx").alias("last_idx"),

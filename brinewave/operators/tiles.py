@@ -1,15 +1,14 @@
 """Time tiles: ordered work on a recording without one task per recording.
 
 A recording may hold a third of all rows, so nothing here sorts a whole
-recording in one place. Rows are keyed by (recording, tile of time) and rows
-near a tile edge are also sent to the neighbour that needs to see them, so any
-operator with a bounded look-around runs per tile after a single shuffle. What
-has no bound (running totals, the next value however far away) is carried by a
-summary of one row per tile, ordered per recording: that table has at most
-duration / width rows per recording, however many rows a tile holds.
-
-Rows per tile are bounded by width / (least spacing of rows); detections are at
-least `dist` samples apart and samples exactly one.
+recording in one place. Rows are keyed by (recording, tile of time) and ordered
+inside tiles. What crosses tiles is carried by a summary of a few values per
+tile (counts, sums, first and last rows), ordered per recording: that table has
+at most duration / width rows per recording, however many rows a tile holds.
+`fitting_width` makes tiles as narrow as the densest recording asks for.
+
+Where an operator looks a fixed time ahead and behind, `add_tiles` can also send
+the rows near a tile edge to the neighbour that needs to see them.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TILE = "tile"
 CORE = "in_core"
+TILE_ROWS = 500_000  # rows of a tile that one task sorts with ease
 
 
 def tile_of(t: Column, width: int) -> Column:
@@ -39,6 +39,21 @@ def add_tiles(df: DataFrame, t: str, width: int, before: int = 0, after: int = 0
     return df.withColumn(TILE, F.explode(seen_by)).withColumn(CORE, F.col(TILE) == home)
 
 
+def fitting_width(df: DataFrame, keys: Sequence[str], t: str, widest: int, rows: int = TILE_ROWS) -> int:
+    """A tile width under which no tile has many more than `rows` rows.
+
+    Counts rows per tile (combined before the shuffle) and narrows the width while
+    the fullest tile has more than twice as many; a width of 1 ends it.
+    """
+    width = int(widest)
+    while True:
+        counted = df.groupBy(*keys, tile_of(F.col(t), width)).agg(F.count("*").alias("c"))
+        most = counted.agg(F.max("c")).first()[0] or 0
+        if most <= 2 * rows or width == 1:
+            return width
+        width = max(1, width * rows // most)
+
+
 def tile_window(keys: Sequence[str], *order) -> Window:
     return Window.partitionBy(*keys, TILE).orderBy(*order)
 

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from brinewave.functions import columns as fc, geo
-from brinewave.operators import attitude, overlay, positions, segments, trains
+from brinewave.operators import attitude, overlay, positions, segments
 from brinewave.operators.groups import with_group_values
 from brinewave.plans.registry import query
-from brinewave.plans.standins import DAY, DET, HOUR, RECORDING_LENGTH, detections
-from brinewave.plans.train_queries import INTERVAL, MEMBERS_SQL, MIN_LEN, TILE, click_trains
+from brinewave.plans.standins import DET, HOUR, detections, tile
+from brinewave.plans.train_queries import MEMBERS_SQL, click_trains
 from brinewave.sinks import jobs, labels
 
 FPS = 30000 / 1001
@@ -39,7 +39,8 @@ SELECT recording_id, n, concat(printf('%.6f', (idx - 1) / 1000000.0::DOUBLE), ch
        printf('%.6f', (idx - 1) / 1000000.0::DOUBLE), chr(9), 'c', n) AS line FROM n""",
 )
 def point_labels(t):
-    return labels.point_labels(detections(t), 1e6, TILE, "c")
+    dets = detections(t)
+    return labels.point_labels(dets, 1e6, tile(dets), "c")
 
 
 @query(
@@ -50,7 +51,7 @@ SELECT recording_id, n, concat(printf('%.6f', start_idx / 1000000.0::DOUBLE), ch
        printf('%.6f', end_idx / 1000000.0::DOUBLE), chr(9), n) AS line FROM n""",
 )
 def interval_labels(t):
-    return labels.interval_labels(click_trains(t), 1e6, TILE)
+    return labels.interval_labels(click_trains(t), 1e6, tile(detections(t)))
 
 
 @query(
@@ -148,7 +149,7 @@ FROM hit""",
 def attitude_compensation(t):
     rows = angles(t)
     log = rows.where("kind = 'view'").withColumnRenamed("peak", "yaw")
-    found = attitude.next_log_value(rows.where("kind = 'click'"), log, "yaw", TILE)
+    found = attitude.next_log_value(rows.where("kind = 'click'"), log, "yaw", tile(rows))
     bearing = fc.wrap_bearing(F.col("az") - F.radians("yaw"))
     return found.select("recording_id", "det_id", "log_idx", "yaw", F.round(bearing, 6).alias("bearing"))
 
@@ -190,7 +191,7 @@ def frame_marks(t):
 SELECT recording_id, det_id, start_idx, round(sin(az) * 1000, 4) AS east, round(cos(az) * 1000, 4) AS north FROM hit""",
 )
 def train_bearing_lines(t):
-    joined = segments.rows_in_segments(angles(t), click_trains(t), "last_member_idx", TILE)
+    joined = segments.rows_in_segments(angles(t), click_trains(t), "last_member_idx", tile(detections(t)))
     east, north = fc.bearing_offset(F.col("az"), 1000.0)
     return joined.select(
         "recording_id", "det_id", "start_idx", F.round(east, 4).alias("east"), F.round(north, 4).alias("north")

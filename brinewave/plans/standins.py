@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from brinewave.operators.tiles import fitting_width
 from brinewave.plans.registry import Tables
 
 SECOND = 1_000_000
@@ -30,6 +31,11 @@ def detections(t: Tables) -> DataFrame:
     )
 
 
+def tile(dets: DataFrame, widest: int = RECORDING_LENGTH) -> int:
+    """Tile width for detections: the whole recording unless some of them are too dense for that."""
+    return fitting_width(dets, ["recording_id"], "idx", widest)
+
+
 DET = """det AS (
   SELECT user_id AS recording_id, event_id AS det_id, event_type AS kind,
          epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') + 1 AS idx, value AS peak

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from brinewave.operators import intervals, segments, sessions, trains
 from brinewave.plans.registry import query
-from brinewave.plans.standins import DAY, DET, RECORDING_LENGTH, detections
+from brinewave.plans.standins import DAY, DET, RECORDING_LENGTH, detections, tile
 
 MIN_LEN = 3
 INTERVAL = DAY
-TILE = 5 * DAY
 
 MEMBERS_SQL = f"""
 WITH {DET},
@@ -36,7 +35,8 @@ WITH {DET},
 
 @query("D-6", sql=MEMBERS_SQL + "SELECT recording_id, det_id, idx, is_member FROM marked")
 def train_membership(t):
-    out = trains.train_members(detections(t), MIN_LEN, INTERVAL, TILE)
+    dets = detections(t)
+    out = trains.train_members(dets, MIN_LEN, INTERVAL, tile(dets))
     return out.select("recording_id", "det_id", "idx", "is_member")
 
 
@@ -45,7 +45,8 @@ def train_membership(t):
     sql=MEMBERS_SQL + "SELECT recording_id, start_idx, end_idx, last_member_idx, n_dets, level FROM trains",
 )
 def click_trains(t):
-    return trains.click_trains(detections(t), MIN_LEN, INTERVAL, TILE, RECORDING_LENGTH)
+    dets = detections(t)
+    return trains.click_trains(dets, MIN_LEN, INTERVAL, tile(dets), RECORDING_LENGTH)
 
 
 @query(
@@ -145,7 +146,8 @@ def best_interval_slot(t):
          FROM best LEFT JOIN raw USING (recording_id)""",
 )
 def interval_table(t):
-    return intervals.interval_table(second_detections(t), SLOT, 1, BIN, LIMIT, RAW_BIN, RAW_LIMIT, 10 * SLOT)
+    dets = second_detections(t)
+    return intervals.interval_table(dets, SLOT, 1, BIN, LIMIT, RAW_BIN, RAW_LIMIT, tile(dets, 30 * SLOT))
 
 
 GAP = 12 * 3600 * 1_000_000
@@ -164,7 +166,8 @@ SESSIONS_SQL = f"""
     sql=f"WITH {DET}, tonal AS (SELECT * FROM det), {SESSIONS_SQL} SELECT recording_id, start_idx, last_idx, n_dets FROM sessions",
 )
 def gap_sessions(t):
-    return sessions.gap_sessions(detections(t), GAP, TILE)
+    dets = detections(t)
+    return sessions.gap_sessions(dets, GAP, tile(dets))
 
 
 # hour samples for the density: a kernel of 24 hours over the 720 hours of a recording
@@ -250,12 +253,13 @@ FROM parts GROUP BY recording_id""",
 )
 def detector_counts(t):
     dets = detections(t)
+    width = tile(dets)
     clicks, tonals = dets.where("kind = 'click'"), dets.where("kind = 'view'")
     return segments.counts_table(
         clicks,
-        trains.click_trains(clicks, MIN_LEN, INTERVAL, TILE, RECORDING_LENGTH),
+        trains.click_trains(clicks, MIN_LEN, INTERVAL, width, RECORDING_LENGTH),
         tonals,
-        sessions.gap_sessions(tonals, GAP, TILE),
+        sessions.gap_sessions(tonals, GAP, width),
         dets.where("kind = 'error'"),
     )
 
