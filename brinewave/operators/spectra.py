@@ -85,21 +85,48 @@ def select_band(spectra: DataFrame, column: str, first: int, last: int) -> DataF
     return spectra.withColumn(column, F.slice(column, first + 1, last - first + 1))
 
 
-def max_spectrum(spectra: DataFrame) -> DataFrame:
-    """Largest magnitude over time per bin of an amplitude spectrum."""
-    rows = spectra.select(*KEYS, F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
-    size = F.sqrt(F.col("z.re") * F.col("z.re") + F.col("z.im") * F.col("z.im"))
-    return rows.groupBy(*KEYS, "bin").agg(F.max(size).alias("amplitude"))
+def _per_bin(blocks: DataFrame, nfft: int, hop: int, reduce, result: str, *, taper=None) -> DataFrame:
+    """`reduce` on the one-sided transforms of a block's frames: one value per bin and block.
+
+    Frames are reduced where they are made; a block sends nfft / 2 + 1 numbers on.
+    """
+    right_col = F.col("right_halo") if "right_halo" in blocks.columns else F.array().cast("array<double>")
+
+    @F.arrow_udf("struct<n: bigint, v: array<double>>")
+    def run(mid: pa.Array, right: pa.Array, start: pa.Array) -> pa.Array:
+        counts, values = [], []
+        for x, more, s in zip(kernels.rows_of(mid), kernels.rows_of(right), start.to_pylist()):
+            _, y = _frames(x, more, s, nfft, hop)
+            n = (len(y) - nfft) // hop + 1 if len(y) >= nfft else 0
+            counts.append(n)
+            if n:
+                cut = np.lib.stride_tricks.sliding_window_view(y, nfft)[::hop]
+                values.append(reduce(np.fft.rfft(cut if taper is None else cut * taper, axis=1)))
+            else:
+                values.append(np.zeros(0))
+        return pa.StructArray.from_arrays([pa.array(counts, type=pa.int64()), kernels.lists_from(values)], names=["n", "v"])
+
+    reduced = blocks.select(*KEYS, run(F.col("samples"), right_col, F.col("start_idx")).alias("r"))
+    return reduced.select(*KEYS, F.col("r.n").alias("n"), F.posexplode("r.v").alias("bin", result))
+
+
+def max_spectrum(blocks: DataFrame, nfft: int) -> DataFrame:
+    """Largest normalized magnitude over time per channel and bin."""
+    rows = _per_bin(blocks, nfft, nfft, lambda z: np.abs(z).max(axis=0) / nfft * 2, "top")
+    return rows.groupBy(*KEYS, "bin").agg(F.max("top").alias("amplitude"))
 
 
 def averaged_density(blocks: DataFrame, fs: float, nfft: int = PSD_NFFT) -> DataFrame:
     """Power density in dB averaged over half-overlapped Hamming frames, per channel and bin.
 
-    Blocks need a right halo of nfft - 1. Each block's frames are summed before the shuffle.
+    Blocks need a right halo of nfft - 1.
     """
-    frames = frame_spectra(blocks, nfft, fs, hop=nfft - nfft // 2, window="hamming")
-    rows = frames.select(*KEYS, F.posexplode("power").alias("bin", "p"))
-    mean = rows.groupBy(*KEYS, "bin").agg(F.avg("p").alias("p"))
+    taper = np.hamming(nfft)
+    weight = np.full(nfft // 2 + 1, 2.0) / (fs * np.sum(taper * taper))
+    weight[[0, -1] if nfft % 2 == 0 else [0]] /= 2
+    hop = nfft - nfft // 2
+    rows = _per_bin(blocks, nfft, hop, lambda z: (np.abs(z) ** 2).sum(axis=0) * weight, "p", taper=taper)
+    mean = rows.groupBy(*KEYS, "bin").agg((F.sum("p") / F.sum("n")).alias("p"))
     return mean.select(
         *KEYS, "bin", bin_frequency(F.col("bin"), fs, nfft).alias("freq"), (F.lit(10.0) * F.log10("p")).alias("level_db")
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brinewave.operators.groups import per_group
+
 REC = "recording_id"
 
 
@@ -11,11 +13,13 @@ def cut_pieces(blocks: DataFrame, spans: DataFrame, block_len: int) -> DataFrame
     """The pieces of each block that fall into a span [first_idx, last_idx].
 
     A span goes to the blocks it touches and is joined by block number, so the
-    join is by equality; only the slice leaves it, never the block.
+    join is by equality; only the slice leaves it, never the block. Spans are few
+    against samples: they are written once, and sent to the blocks when they are
+    small enough, so that the blocks stay where they are.
     """
     first_block = F.floor((F.greatest(F.col("first_idx"), F.lit(1)) - 1) / block_len)
     last_block = F.floor((F.greatest(F.col("last_idx"), F.lit(1)) - 1) / block_len)
-    spread = spans.withColumn("block_id", F.explode(F.sequence(first_block, last_block)))
+    spread = per_group(spans.withColumn("block_id", F.explode(F.sequence(first_block, last_block))))
     joined = blocks.select(REC, "channel", "block_id", "start_idx", "samples").join(spread, [REC, "block_id"])
     begin = F.greatest(F.col("first_idx"), F.col("start_idx"))
     end = F.least(F.col("last_idx"), F.col("start_idx") + F.size("samples") - 1)

@@ -57,7 +57,7 @@ def short_time_spectrum(t):
     sql=f"WITH {DFT} SELECT recording_id, channel, bin, round(max(sqrt(re * re + im * im)) / {NFFT} * 2, 7) AS amplitude FROM ft GROUP BY ALL",
 )
 def max_spectrum(t):
-    out = spectra.max_spectrum(spectra.frame_spectra(embedding_blocks(t), NFFT, FS, amplitude=True))
+    out = spectra.max_spectrum(embedding_blocks(t), NFFT)
     return out.select("recording_id", "channel", F.col("bin").cast("bigint").alias("bin"), F.round("amplitude", 7).alias("amplitude"))
 
 

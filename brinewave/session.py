@@ -12,6 +12,10 @@ CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a block row is about a megabyte: bound Arrow batches by size, not by rows
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 def newest_file(files: DataFrame, keys: list[str]) -> DataFrame:
     """The file with the last name per folder (names sort by time)."""
-    rest = [c for c in files.columns if c not in keys]
-    return files.groupBy(*keys).agg(F.max_by(F.struct(*rest), "path").alias("f")).select(*keys, "f.*")
+    newest = files.groupBy(*keys).agg(F.max("path").alias("path"))
+    return files.join(newest, [*keys, "path"])
 
 
 def _explode_from(blocks: DataFrame, first, n: int) -> DataFrame:
