@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brinewave.functions import columns as fc
-from brinewave.operators import blocks, directions, overlay, tdoa, windows
+from brinewave.operators import blocks, directions, overlay, tdoa, tonal, windows
 from brinewave.plans.registry import query
 from brinewave.plans.standins import SMP, embedding_blocks
 from brinewave.sources.devices import geometry
@@ -154,10 +154,27 @@ def delays_envelope(t):
     return method_delays(t, "envelope")
 
 
-@query("L-6")
+# low-pass of the envelope: padded to the next 5-smooth length at 64 kHz
+_SMOOTH = [v for v in range(1, 65) if v in {2**a * 3**b * 5**c for a in range(7) for b in range(4) for c in range(3)}]
+_LP = f"1 / (1 + pow(tan(pi() * k / size) / {math.tan(math.pi * 10_000 / 64_000)!r}, 8))"
+LOW = f"""sz AS (SELECT recording_id, n, (SELECT min(v) FROM (SELECT unnest({_SMOOTH}) AS v) WHERE v >= 2 * n) AS size FROM len),
+ kk AS (SELECT recording_id, size, unnest(range(0, size // 2 + 1)) AS k FROM sz),
+ lf AS (SELECT e.recording_id, e.channel, k, size, sum(x * cos({_TAU} * k * pos / size)) AS re, -sum(x * sin({_TAU} * k * pos / size)) AS im
+        FROM env e JOIN kk USING (recording_id) GROUP BY ALL),
+ lg AS (SELECT *, CASE WHEN 2 * k = size THEN 0 WHEN k = 0 THEN 1 ELSE 2 * ({_LP}) END AS h FROM lf),
+ low AS (SELECT g.recording_id, g.channel, p.pos, sum(h * (re * cos({_TAU} * k * p.pos / size) - im * sin({_TAU} * k * p.pos / size))) / size AS x
+         FROM lg g JOIN (SELECT DISTINCT recording_id, pos FROM win) p USING (recording_id) GROUP BY g.recording_id, g.channel, p.pos, size)"""
+
+
+@query(
+    "L-6",
+    sql=f"""WITH {WIN}, {ENV}, {LOW}, r AS (SELECT * FROM low WHERE channel = {REF}), {_delay_sql('low', 'r')}
+SELECT recording_id, 'envelope_filtered' AS method, channel, CASE WHEN channel = {REF} THEN 0 ELSE delay END AS delay FROM dly""",
+)
 def delays_envelope_filtered(t):
     found = tdoa.delays(cut(t), ["envelope_filtered"], REF, 64_000.0)
-    return tdoa.per_channel(found)
+    rows = tdoa.per_channel(found)
+    return rows.select("recording_id", "method", F.col("channel").cast("bigint").alias("channel"), F.col("delay").cast("bigint").alias("delay"))
 
 
 @query(
@@ -186,7 +203,27 @@ def delays_trigger(t):
     return method_delays(t, "trigger")
 
 
-@query("L-11")
+# one Haar level at both shifts: samples in pairs, differences shrunk by the universal threshold
+HAAR = f"""len AS (SELECT recording_id, max(pos) + 1 AS n FROM win GROUP BY recording_id),
+ sh AS (SELECT w.recording_id, w.channel, s.s, (w.pos - s.s + len.n) % len.n AS q, w.x, len.n
+        FROM win w JOIN len USING (recording_id) CROSS JOIN (VALUES (0), (1)) s(s)),
+ pr AS (SELECT recording_id, channel, s, n, q // 2 AS pair, max(x) FILTER (q % 2 = 0) AS a, max(x) FILTER (q % 2 = 1) AS b
+        FROM sh GROUP BY ALL),
+ df AS (SELECT *, (a + b) / sqrt(2) AS mean, (a - b) / sqrt(2) AS diff FROM pr WHERE b IS NOT NULL),
+ lm AS (SELECT recording_id, channel, s, median(abs(diff)) / 0.6745 * sqrt(2 * ln(max(n))) AS lim FROM df GROUP BY ALL),
+ sf AS (SELECT d.*, sign(diff) * greatest(abs(diff) - lim, 0) AS soft FROM df d JOIN lm USING (recording_id, channel, s)),
+ bk AS (SELECT h.recording_id, h.channel, (h.q + h.s) % h.n AS pos,
+        CASE WHEN sf.pair IS NULL THEN h.x WHEN h.q % 2 = 0 THEN (mean + soft) / sqrt(2) ELSE (mean - soft) / sqrt(2) END AS x
+        FROM sh h LEFT JOIN sf ON sf.recording_id = h.recording_id AND sf.channel = h.channel AND sf.s = h.s AND sf.pair = h.q // 2),
+ dn AS (SELECT recording_id, channel, pos, sum(x) / 2 AS x FROM bk GROUP BY ALL)"""
+
+
+@query(
+    "L-11",
+    sql=f"""WITH {WIN}, {HAAR}, m AS (SELECT recording_id, channel, max(x) AS top FROM dn GROUP BY ALL)
+SELECT recording_id, 'trigger_denoised' AS method, channel, coalesce(min(pos) FILTER (abs(x) > top * 0.75), -1) + 1 AS delay
+FROM dn JOIN m USING (recording_id, channel) GROUP BY recording_id, channel""",
+)
 def delays_trigger_denoised(t):
     return method_delays(t, "trigger_denoised")
 
@@ -402,9 +439,47 @@ def frame_audio(t):
     )
 
 
-@query("S-14")
+CHIRP = np.sin(2 * np.pi * np.cumsum(np.linspace(0.05, 0.3, 12)))
+
+
+@query(
+    "S-14",
+    sql=f"""WITH {SMP}, ref AS (SELECT unnest({CHIRP.tolist()!r}::DOUBLE[]) AS r, unnest(range(0, 12)) AS j),
+ mf AS (SELECT s.recording_id, s.channel, s.idx - j AS idx, abs(sum(s.x * r)) / {float(np.std(CHIRP) * 12)!r} AS m
+        FROM smp s CROSS JOIN ref WHERE s.idx - j >= 1 GROUP BY ALL),
+ pk AS (SELECT *, lag(m) OVER w AS before, lead(m) OVER w AS after FROM mf WINDOW w AS (PARTITION BY recording_id, channel ORDER BY idx)),
+ top AS (SELECT recording_id, channel, idx, m, max(m) OVER (PARTITION BY recording_id, channel) AS best FROM pk WHERE before < m AND after <= m)
+SELECT recording_id, channel, idx, round(m, 7) AS strength FROM top WHERE m >= best * 0.2
+QUALIFY row_number() OVER (PARTITION BY recording_id, channel ORDER BY m DESC, idx) <= 3""",
+)
 def arrivals(t):
-    chirp = np.sin(2 * np.pi * np.cumsum(np.linspace(0.05, 0.3, 12)))
     empty = F.array().cast("array<double>")
     whole = embedding_blocks(t).withColumns({"left_halo": empty, "right_halo": empty})
-    return tdoa.arrivals(whole, chirp, 3, prominence=0.2)
+    return tdoa.arrivals(whole, CHIRP, 3, prominence=0.2).withColumn("strength", F.round("strength", 7))
+
+
+TONAL_HITS = f"""{SMP}, bins AS (SELECT unnest(range(1, 7)) AS bin),
+ ft AS (SELECT recording_id, (idx - 1) // 16 AS frame, bin, sum(x * cos({_TAU} * bin * ((idx - 1) % 16) / 16)) AS re,
+        sum(x * sin({_TAU} * bin * ((idx - 1) % 16) / 16)) AS im FROM smp CROSS JOIN bins WHERE channel = {REF} GROUP BY ALL),
+ st AS (SELECT recording_id, frame, max(10 * log10((re * re + im * im) / ({FS} * 16) * 2)) AS stat FROM ft GROUP BY ALL),
+ det AS (SELECT recording_id * 10 + frame AS recording_id, recording_id AS rec, frame, frame * 16 + 8 AS idx FROM st WHERE stat > -30
+         QUALIFY frame < max(frame) OVER (PARTITION BY rec)),
+ win AS (SELECT d.recording_id, s.channel, s.idx, s.x, d.idx AS det_idx, s.idx - d.idx AS pos FROM smp s JOIN det d ON d.rec = s.recording_id
+         WHERE s.channel <= 3 AND s.idx BETWEEN d.idx AND d.idx + 16)"""
+
+
+@query(
+    "D-14",
+    sql=f"""WITH RECURSIVE {TONAL_HITS}, r AS (SELECT * FROM win WHERE channel = {REF}), {_delay_sql('win', 'r')},
+ del AS (SELECT recording_id, 'raw' AS method, channel, CASE WHEN channel = {REF} THEN 0 ELSE delay END AS delay FROM dly),
+ {_PIVOT.format(method='raw')}, {_direction_sql('dl', 'azimuth_elevation')}
+SELECT id // 10 AS recording_id, id % 10 AS det_id, round(az, 6) AS az, round(el, 6) AS el FROM dir""",
+)
+def tonal_bearings(t):
+    """Simple tonal hits, each with the direction of the quarter second after it."""
+    b = embedding_blocks(t).where("channel <= 3")
+    settings = tonal.TonalSettings(fs=FS, nfft=16, low=8.0, high=28.0, ref_channel=REF, threshold=-30.0)
+    hits = tonal.tonal_detections(tonal.simple_tonal_frames(b, settings), FS)
+    found = tdoa.timed_delays(b, hits, 0.25, BLOCK, REF, FS)
+    out = directions.directions(found, RX, RATE, C, REF)
+    return out.select("recording_id", "det_id", F.round("az", 6).alias("az"), F.round("el", 6).alias("el"))

@@ -306,9 +306,29 @@ def node_distance(t):
     return node_offsets(t).select("node_id", F.round("d", 3).alias("distance"))
 
 
-@query("G-1")
+def _centroid_sql():
+    px, py, pz = _ecef_sql("lat", "lon", "alt")
+    ox, oy, oz = _ecef_sql("olat", "olon", "oalt")
+    b = _A * (1 - geo.FLAT)
+    ep2 = (_A * _A - b * b) / (b * b)
+    return f"""WITH {NODES},
+ f AS (SELECT site, arg_min(lat, node_id) AS olat, arg_min(lon, node_id) AS olon, arg_min(alt, node_id) AS oalt FROM nodes GROUP BY site),
+ d AS (SELECT site, olat, olon, oalt, radians(olat) AS phi, radians(olon) AS lam, {px} - {ox} AS dx, {py} - {oy} AS dy, {pz} - {oz} AS dz FROM nodes JOIN f USING (site)),
+ m AS (SELECT site, olat, olon, oalt, phi, lam, avg(-sin(lam) * dx + cos(lam) * dy) AS e,
+   avg(-sin(phi) * cos(lam) * dx - sin(phi) * sin(lam) * dy + cos(phi) * dz) AS n,
+   avg(cos(phi) * cos(lam) * dx + cos(phi) * sin(lam) * dy + sin(phi) * dz) AS u FROM d GROUP BY ALL),
+ c AS (SELECT site, {ox} - sin(lam) * e - sin(phi) * cos(lam) * n + cos(phi) * cos(lam) * u AS x,
+   {oy} + cos(lam) * e - sin(phi) * sin(lam) * n + cos(phi) * sin(lam) * u AS y, {oz} + cos(phi) * n + sin(phi) * u AS z FROM m),
+ t AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {_A}, sqrt(x * x + y * y) * {b!r}) AS theta FROM c),
+ g AS (SELECT *, atan2(z + {ep2!r} * {b!r} * pow(sin(theta), 3), p - {_E2!r} * {_A} * pow(cos(theta), 3)) AS la FROM t)
+SELECT site, round(degrees(la), 9) AS lat, round(degrees(atan2(y, x)), 9) AS lon,
+  round(p / cos(la) - {_A} / sqrt(1 - {_E2!r} * pow(sin(la), 2)), 4) AS alt FROM g"""
+
+
+@query("G-1", sql=_centroid_sql())
 def site_centroids(t):
-    return positions.centroid(nodes(t), ["site"])
+    out = positions.centroid(nodes(t), ["site"])
+    return out.select("site", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("alt", 4).alias("alt"))
 
 
 @query(

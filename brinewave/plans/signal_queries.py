@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brinewave.operators import blocks, filters, impulses, order_statistics, trains
 from brinewave.plans.registry import query
 from brinewave.plans.sample_queries import BLOCK, long_blocks
-from brinewave.plans.standins import LONG, embedding_blocks
+from brinewave.plans.standins import LONG, SMP, embedding_blocks
+from brinewave.session import cut_lineage
 from brinewave.sources import pcm
 
 FS = 1000.0
@@ -55,7 +56,7 @@ def impulse_detections(t):
 
 @query("D-4", "D-7")
 def impulse_trains(t):
-    found = impulse_detections(t)
+    found = cut_lineage(impulse_detections(t))
     return trains.click_trains(found, 3, 600, BLOCK * 4, F.lit(10**12).cast("bigint"))
 
 
@@ -84,3 +85,110 @@ def decoded_range(t):
     cut = pcm.decode_frames(pcm.byte_range(raw, "content", 2, 100, 100), "content", 2)
     rows = cut.select("doc_id", "channel", F.posexplode("samples").alias("_p", "x"))
     return rows.select("doc_id", "channel", (F.col("_p") + 101).cast("bigint").alias("idx"), "x")
+
+
+# The same operators on embeddings, where the transforms can be written out: 64 samples at 64 Hz, padded to 128.
+RATE, N, SIZE = 64.0, 64, 128
+TAU = repr(2 * np.pi)
+
+
+def _gain_sql(band, stops=(), order: int = 4) -> str:
+    """Squared magnitude of the filters at frequency f, as SQL text."""
+
+    def one(low, high, stop=False):
+        w = f"tan(pi() * f / {RATE})"
+        w1, w2 = (float(np.tan(np.pi * v / RATE)) for v in (low, min(high, RATE / 2)))
+        if low <= 0:
+            ratio, at_zero, at_top = f"{w} / {w2!r}", "1", "0"
+        elif np.isinf(high):
+            ratio, at_zero, at_top = f"{w1!r} / {w}", "0", "1"
+        else:
+            ratio, at_zero, at_top = f"({w} * {w} - {w1 * w2!r}) / ({w2 - w1!r} * {w})", "0", "0"
+            if stop:
+                ratio, at_zero, at_top = f"({w2 - w1!r} * {w}) / ({w} * {w} - {w1 * w2!r})", "1", "1"
+        return f"CASE WHEN f = 0 THEN {at_zero} WHEN f = {RATE / 2} THEN {at_top} ELSE 1 / (1 + pow(abs({ratio}), {2 * order})) END"
+
+    parts = [one(*band)] if band[0] > 0 or not np.isinf(band[1]) else []
+    return " * ".join(f"({p})" for p in parts + [one(*s, stop=True) for s in stops]) or "1"
+
+
+def _stage(name: str, source: str, gain: str, envelope: bool = False) -> str:
+    """A filter stage: `name`(recording_id, channel, idx, x) of `source` with the same columns."""
+    ks = f"(SELECT unnest(range(0, {SIZE // 2} + 1)) AS k)"
+    wave = f"{TAU} * k * (p.idx - 1) / {SIZE}"
+    real = f"sum(h * (re * cos({wave}) - im * sin({wave}))) / {SIZE}"
+    imag = f"sum(h * (re * sin({wave}) + im * cos({wave}))) / {SIZE}"
+    value = f"sqrt(pow({real}, 2) + pow({imag}, 2))" if envelope else real
+    return f"""{name}_ft AS (SELECT recording_id, channel, k, k * {RATE / SIZE} AS f,
+   sum(x * cos({TAU} * k * (idx - 1) / {SIZE})) AS re, -sum(x * sin({TAU} * k * (idx - 1) / {SIZE})) AS im FROM {source} CROSS JOIN {ks} GROUP BY ALL),
+ {name}_g AS (SELECT recording_id, channel, k, re, im, ({gain}) * CASE WHEN k IN (0, {SIZE // 2}) THEN 1 ELSE 2 END AS h FROM {name}_ft),
+ {name} AS (SELECT recording_id, channel, p.idx, {value} AS x FROM {name}_g CROSS JOIN (SELECT unnest(range(1, {N} + 1)) AS idx) p
+            GROUP BY recording_id, channel, p.idx)"""
+
+
+def whole_blocks(t):
+    empty = F.array().cast("array<double>")
+    return embedding_blocks(t).withColumns({"left_halo": empty, "right_halo": empty})
+
+
+OUT = "SELECT recording_id, channel, idx, round(x, 7) + 0.0 AS x"
+
+
+def rounded_7(df):
+    return blocks.to_samples(df).withColumn("x", F.round("x", 7) + 0.0)
+
+
+@query("F-1", sql=f"WITH {SMP}, {_stage('y', 'smp', _gain_sql((5.0, 15.0)))} {OUT} FROM y")
+def channel_band_pass(t):
+    return rounded_7(filters.filter_blocks(whole_blocks(t), RATE, (5.0, 15.0)))
+
+
+@query("F-1", sql=f"WITH {SMP}, {_stage('y', 'smp', _gain_sql((0.0, 9.0)))} {OUT} FROM y")
+def channel_low_pass(t):
+    return rounded_7(filters.filter_blocks(whole_blocks(t), RATE, (0.0, 9.0)))
+
+
+@query("F-2", sql=f"WITH {SMP}, {_stage('y', 'smp', _gain_sql((4.0, np.inf), [(9.0, 11.0), (18.0, 23.0)]))} {OUT} FROM y")
+def channel_band_stop(t):
+    return rounded_7(filters.filter_blocks(whole_blocks(t), RATE, (4.0, np.inf), [(9.0, 11.0), (18.0, 23.0)]))
+
+
+@query("F-3", sql=f"WITH {SMP}, {_stage('y', 'smp', _gain_sql((5.0, 15.0)), True)} {OUT} FROM y")
+def channel_envelope(t):
+    return rounded_7(filters.filter_blocks(whole_blocks(t), RATE, (5.0, 15.0), envelope=True))
+
+
+@query("F-4", sql=f"WITH {SMP}, {_stage('e', 'smp', '1', True)}, {_stage('y', 'e', _gain_sql((0.0, 6.0)))} {OUT} FROM y")
+def channel_smooth_envelope(t):
+    return rounded_7(filters.envelope_lowpassed(whole_blocks(t), RATE, 6.0))
+
+
+IMPULSES = f"""ref AS (SELECT * FROM smp WHERE channel = 3), {_stage('e', 'ref', _gain_sql((5.0, 15.0)), True)},
+ th AS (SELECT recording_id, quantile_cont(x, 0.75) * 1.1 AS threshold FROM e GROUP BY recording_id),
+ tops AS (SELECT *, max(x) OVER w AS m, count(*) OVER w AS c, max(x) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prev
+   FROM e WINDOW w AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ hits AS (SELECT recording_id, idx, x AS peak, threshold FROM tops JOIN th USING (recording_id)
+          WHERE c = 7 AND x = m AND prev < x AND x > threshold)"""
+
+
+def impulses_of(t):
+    return impulses.detect_impulses(whole_blocks(t), RATE, (5.0, 15.0), ref_channel=3, dist=3, ratio=1.1)
+
+
+@query(
+    "D-4",
+    sql=f"""WITH {SMP}, {IMPULSES} SELECT recording_id, 'impulse' AS kind, idx AS det_id, idx, (idx - 1) / {RATE}::DOUBLE AS t_s,
+            round(peak, 7) AS peak, round(threshold, 7) AS threshold FROM hits""",
+)
+def channel_impulses(t):
+    return impulses_of(t).withColumns({c: F.round(c, 7) for c in ("peak", "threshold")})
+
+
+@query(
+    "D-4", "D-6",
+    sql=f"""WITH {SMP}, {IMPULSES},
+ flagged AS (SELECT *, coalesce(lead(idx, 2) OVER (PARTITION BY recording_id ORDER BY idx) - idx < 20, false) AS starts FROM hits)
+SELECT recording_id, idx, bool_or(starts) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS is_member FROM flagged""",
+)
+def channel_impulse_members(t):
+    return trains.train_members(impulses_of(t), 2, 20, 8).select("recording_id", "idx", "is_member")
