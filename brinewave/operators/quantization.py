@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brinewave.operators.groups import per_group
 from brinewave.operators.order_statistics import select_ranks
+from brinewave.session import cut_lineage
 
 REC = "recording_id"
 KEYS = [REC, "channel"]
@@ -58,7 +59,7 @@ def corrections(values: DataFrame, tile: float = 1024 * DEFAULT_STEP, int_limit:
     fit. Channels on one side of zero take the smallest gap and the value in the
     middle of the ordered list.
     """
-    v = values.select(*KEYS, "x").distinct()
+    v = cut_lineage(values.select(*KEYS, "x").distinct())  # few against the samples, read often below
     span = v.groupBy(*KEYS).agg(
         F.count("*").alias("n_values"),
         F.min("x").alias("lo"),

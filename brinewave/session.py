@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,9 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read that: it survives the loss of executors.
+
+    Parquet rather than an RDD checkpoint: later steps read only the columns they
+    need, and the planner knows the table's size.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/brinewave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
