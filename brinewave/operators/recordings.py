@@ -14,6 +14,7 @@ from brinewave.session import cut_lineage
 from brinewave.sources import devices
 
 REC = "recording_id"
+DENSITY_TILE = 2**20  # samples whose detection density one task holds at a time
 NOISE_FRAMES = 10  # fixed value: a noise frame is ten spectrum frames long
 
 
@@ -78,8 +79,7 @@ def detect_all(blocks: DataFrame, fs: float, n_samples: int, device: dict, tile_
     )
     frames = cut_lineage(tonal.tonal_frames(array, settings))
     tonals = tonal.tonal_detections(frames, fs)
-    kernel_len = sessions.NFFT * sessions.FRAMES
-    spans = sessions.density_segments(tonals, n_samples, max(tile, 2 * kernel_len))
+    spans = sessions.density_segments(tonals, n_samples, DENSITY_TILE)
     if np.isinf(noise_threshold):
         noise = tonals.where("false").select(REC, F.lit(0).cast("bigint").alias("frame"), F.lit(0.0).alias("energy"))
     else:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brinewave.operators.order_statistics import exact_quantile
-from brinewave.operators.tiles import TILE, tile_of
+from brinewave.operators.tiles import TILE, add_tiles, tile_of, tile_window
 from brinewave.session import cut_lineage
 
 REC = "recording_id"
-FRAME_TILE = 1024  # frames per tile when frames meet segments
+FRAME_TILE = 32  # frames per tile when frames meet segments: few of the pairs that meet are dropped
 
 
 def segment_levels(
@@ -24,26 +24,42 @@ def segment_levels(
     begin, end = F.col("start_idx") - first_at, F.col("end_idx") - first_at
     first = F.greatest(F.ceil(begin / frame_len) - 1, F.lit(0).cast("bigint"))
     last = F.least(F.greatest(F.floor(end / frame_len) + 1, first), n_frames - 1)
-    spans = segments.select(REC, F.col("start_idx").alias("_segment"), first.alias("start_idx"), last.alias("end_idx"))
-    inside = rows_in_segments(frames.withColumnRenamed("frame", "idx"), spans, "end_idx", FRAME_TILE)
-    covered = cut_lineage(inside.select(REC, F.col("_segment").alias("start_idx"), "stat"))
+    # neighbouring segments may share frames, so they meet by narrow tiles of frames
+    spans = segments.select(REC, "start_idx", first.alias("_first"), last.alias("_last"))
+    spans = spans.withColumn(
+        TILE, F.explode(F.sequence(tile_of(F.col("_first"), FRAME_TILE), tile_of(F.col("_last"), FRAME_TILE)))
+    )
+    inside = (
+        frames.withColumn(TILE, tile_of(F.col("frame"), FRAME_TILE))
+        .join(spans, [REC, TILE])
+        .where(F.col("frame").between(F.col("_first"), F.col("_last")))
+    )
+    covered = cut_lineage(inside.select(REC, "start_idx", "stat"))
     return exact_quantile(covered, [REC, "start_idx"], "stat", 0.5, "level")
 
 
 def rows_in_segments(rows: DataFrame, segments: DataFrame, end: str, tile: int) -> DataFrame:
     """Rows whose idx lies within [start_idx, end], with the segment's columns.
 
-    Segments are spread over the tiles they touch, then joined on (recording, tile).
+    Segments of a recording must not overlap: a row can only lie in the last one
+    that began, which a running window finds within a tile and the tile summary
+    hands on to later tiles. No row meets more than one segment.
     """
-    spread = segments.withColumn(
-        TILE, F.explode(F.sequence(tile_of(F.col("start_idx"), tile), tile_of(F.col(end), tile)))
-    )
-    return (
-        rows.withColumn(TILE, tile_of(F.col("idx"), tile))
-        .join(spread, [REC, TILE])
-        .where(F.col("idx").between(F.col("start_idx"), F.col(end)))
-        .drop(TILE)
+    columns = ["start_idx", *[c for c in segments.columns if c not in (REC, "start_idx")]]
+    begun = F.struct(*columns)
+    starts = segments.select(REC, F.col("start_idx").alias("idx"), F.lit(False).alias("_is_row"), begun.alias("_segment"))
+    both = add_tiles(rows.withColumn("_is_row", F.lit(True)).unionByName(starts, allowMissingColumns=True), "idx", tile)
+    upto = tile_window([REC], "idx", "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_near", F.last("_segment", ignorenulls=True).over(upto)).where("_is_row")
+    earlier = Window.partitionBy(REC).orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        both.groupBy(REC, TILE)
+        .agg(F.max("_segment").alias("_last"))
+        .select(REC, TILE, F.last("_last", ignorenulls=True).over(earlier).alias("_far"))
     )
+    found = met.join(carry, [REC, TILE]).withColumn("_hit", F.coalesce("_near", "_far"))
+    inside = found.where(F.col("idx") <= F.col("_hit").getField(end))
+    return inside.select(*rows.columns, *[F.col("_hit").getField(c).alias(c) for c in columns])
 
 
 def counts_table(impulses: DataFrame, trains: DataFrame, tonals: DataFrame, tonal_segments: DataFrame, noise: DataFrame) -> DataFrame:

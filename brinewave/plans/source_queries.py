@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brinewave.functions import columns as fc
 from brinewave.operators import matching
+from brinewave.operators.tiles import fitting_width
 from brinewave.plans.registry import query
 from brinewave.plans.standins import SMP, embedding_blocks, embedding_samples
 from brinewave.sources import attitude, devices, tables, tails
@@ -130,7 +131,7 @@ def joined_parts(t):
         F.col("turn").alias("part"),
         F.length("text").cast("bigint").alias("n_samples"),
     )
-    return tables.join_parts(parts, 4)
+    return tables.join_parts(parts, fitting_width(parts, ["recording_id"], "part", 1_000_000))
 
 
 EXTENSIONS = ["mkv", "MP4", "avi", "mp4", "wav", "mat", "flac", "mp3", "txt"]
@@ -321,7 +322,8 @@ SELECT folder, n, v.trig AS video_trigger_s, a.trig AS audio_trigger_s FROM v JO
 )
 def trigger_table(t):
     v1, _, au = triggers(t)
-    return matching.trigger_table(v1, au, 86400 * 365).select("folder", "n", "video_trigger_s", "audio_trigger_s")
+    width = fitting_width(v1, ["folder"], "start_s", 86400 * 3650)
+    return matching.trigger_table(v1, au, width).select("folder", "n", "video_trigger_s", "audio_trigger_s")
 
 
 @query(

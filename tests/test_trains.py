@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinewave.functions.density import density_at, gaussian_kernel
-from brinewave.operators import attitude, intervals, sessions, tiles, trains
+from brinewave.operators import attitude, intervals, segments, sessions, tiles, trains
 
 SCHEMA = "recording_id long, det_id long, idx long, peak double"
 
@@ -145,3 +145,26 @@ def test_next_log_value_far_away(spark):
     log = spark.createDataFrame([(1, 950, 1.5), (1, 9000, 2.5), (2, 6, 9.0)], "recording_id long, idx long, yaw double")
     got = attitude.next_log_value(dets, log, "yaw", 100).select("det_id", "yaw", "log_idx")
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1.5, 950), (2, 1.5, 950), (3, None, None), (4, None, None)]
+
+
+@pytest.mark.parametrize("tile", [60, 3000])
+def test_rows_in_segments(spark, tile):
+    rows = clicks(12)
+    df = spark.createDataFrame(rows, SCHEMA)
+    spans = trains.click_trains(df, 3, 120, 1000, 99_999)
+    got = segments.rows_in_segments(df, spans, "last_member_idx", tile)
+    want = [
+        (r[0], r[1], s.start_idx)
+        for s in spans.collect()
+        for r in rows
+        if r[0] == s.recording_id and s.start_idx <= r[2] <= s.last_member_idx
+    ]
+    assert sorted(tuple(r) for r in got.select("recording_id", "det_id", "start_idx").collect()) == sorted(want)
+
+
+def test_width_follows_the_densest_recording(spark):
+    df = spark.range(40_000).select((F.col("id") % 4 == 0).cast("int").alias("recording_id"), F.col("id").alias("idx"))
+    width = tiles.fitting_width(df, ["recording_id"], "idx", 10**6, rows=1000)
+    counted = df.groupBy("recording_id", tiles.tile_of(F.col("idx"), width)).count()
+    assert counted.agg(F.max("count")).first()[0] <= 2000 and width >= 500
+    assert tiles.fitting_width(df, ["recording_id"], "idx", 10**6) == 10**6
