@@ -229,7 +229,7 @@ def delays_trigger_denoised(t):
 
 
 # directions: sensors of the four-sided preset, 500 kHz
-RX = geometry("calf_hk")
+RX = geometry("triangle_40cm")
 RATE, C = 500_000.0, 1540.0
 
 

@@ -240,14 +240,14 @@ def merged_results(t):
 @query(
     "SRC-17",
     sql="""WITH d(device, ref_channel, impulsive_lo, impulsive_hi, ratio, dist, train_min, train_interval, n_rx, x1) AS (VALUES
-  ('hk_clicker', 3, 1000.0, NULL, 12.0, 15000, 2, 8.0, 3, 0.4 / sqrt(3) * cos(radians(150))),
-  ('calf_hk', 3, 5000.0, 180000.0, 9.0, 200, 5, 0.1, 3, 0.4 / sqrt(3) * cos(radians(150))),
-  ('aspod2', 3, 5000.0, 24000.0, 4.0, 800, 5, 0.1, 3, 0.14722 / sqrt(3) * cos(radians(-30))),
-  ('rwsnus', 3, 1000.0, NULL, 4.0, 800, 5, 0.1, 3, 0.4 / sqrt(3) * cos(radians(150))),
-  ('LS1', 1, 5000.0, NULL, 4.0, 800, 5, 0.1, 1, 0.0))
+  ('clicker', 3, 1000.0, NULL, 12.0, 15000, 2, 8.0, 3, 0.4 / sqrt(3) * cos(radians(150))),
+  ('triangle_40cm', 3, 5000.0, 180000.0, 9.0, 200, 5, 0.1, 3, 0.4 / sqrt(3) * cos(radians(150))),
+  ('triangle_15cm', 3, 5000.0, 24000.0, 4.0, 800, 5, 0.1, 3, 0.14722 / sqrt(3) * cos(radians(-30))),
+  ('triangle_dash_names', 3, 1000.0, NULL, 4.0, 800, 5, 0.1, 3, 0.4 / sqrt(3) * cos(radians(150))),
+  ('single_sensor', 1, 5000.0, NULL, 4.0, 800, 5, 0.1, 1, 0.0))
 SELECT c_custkey, d.device, ref_channel, impulsive_lo::DOUBLE AS impulsive_lo, impulsive_hi::DOUBLE AS impulsive_hi,
   ratio::DOUBLE AS ratio, dist, train_min, train_interval::DOUBLE AS train_interval, n_rx, round(x1::DOUBLE, 9) AS x1
-FROM customer JOIN d ON d.device = ['hk_clicker', 'calf_hk', 'aspod2', 'rwsnus', 'LS1'][c_custkey % 5 + 1]""",
+FROM customer JOIN d ON d.device = ['clicker', 'triangle_40cm', 'triangle_15cm', 'triangle_dash_names', 'single_sensor'][c_custkey % 5 + 1]""",
 )
 def device_presets(t):
     names = F.array(*map(F.lit, devices.PRESETS))

@@ -39,11 +39,11 @@ DEFAULTS = dict(
 )
 # What each preset changes.
 PRESETS = dict(
-    hk_clicker=dict(ratio=12.0, dist=15000, train_min=2, train_interval=8.0),
-    calf_hk=dict(
+    clicker=dict(ratio=12.0, dist=15000, train_min=2, train_interval=8.0),
+    triangle_40cm=dict(
         impulsive_lo=5000.0, impulsive_hi=180000.0, ratio=9.0, dist=200, win_lo=-130, win_hi=130, name_layout="dots"
     ),
-    aspod2=dict(
+    triangle_15cm=dict(
         impulsive_lo=5000.0,
         impulsive_hi=24000.0,
         threshold_impulsive=0.005 * 32767,
@@ -53,8 +53,8 @@ PRESETS = dict(
         side=0.14722,
         sensors=[-30.0, 90.0, -150.0],
     ),
-    rwsnus=dict(name_layout="dash_dots"),
-    LS1=dict(
+    triangle_dash_names=dict(name_layout="dash_dots"),
+    single_sensor=dict(
         ref_channel=1,
         impulsive_lo=5000.0,
         tonal_lo=900.0,

@@ -112,7 +112,7 @@ def clicks3(seed=0, n=60_000, fs=500_000.0, az=0.4, el=-0.2, at=None):
     """Three channels of decaying clicks from one direction, with noise."""
     rng = np.random.default_rng(seed)
     at = at if at is not None else np.arange(5000, n - 5000, 2500)
-    rx = np.array(devices.geometry("calf_hk"))
+    rx = np.array(devices.geometry("triangle_40cm"))
     toward = np.array([np.sin(az) * np.cos(el), np.sin(el), np.cos(az) * np.cos(el)])
     late = -(toward @ rx.T) / devices.SPEED_OF_SOUND * fs
     late -= late[2]
@@ -144,7 +144,7 @@ def test_bearings_of_clicks(spark):
     b = block_rows(spark, signals, block_len, 4000)
     dets = spark.createDataFrame([(1, int(p), int(p) + 1) for p in at], "recording_id long, det_id long, idx long")
     found = recordings.localize(
-        filters.filter_blocks(b, fs, (5000, 180_000)), dets, fs, block_len, "calf_hk", ["max_energy", "max_peak", "raw"], 25.0
+        filters.filter_blocks(b, fs, (5000, 180_000)), dets, fs, block_len, "triangle_40cm", ["max_energy", "max_peak", "raw"], 25.0
     )
     rows = found.collect()
     assert len(rows) == 3 * len(at)
@@ -154,7 +154,7 @@ def test_bearings_of_clicks(spark):
 
 def test_directions_are_the_best_of_a_fine_grid(spark):
     rng = np.random.default_rng(6)
-    rx = devices.geometry("calf_hk")
+    rx = devices.geometry("triangle_40cm")
     fs, c = 500_000.0, 1540.0
     delays = rng.integers(-160, 160, (60, 3)).tolist()
     df = spark.createDataFrame([(i, d) for i, d in enumerate(delays)], "det_id long, delays array<int>")
@@ -255,7 +255,7 @@ def test_whole_job(spark):
     at = np.concatenate([50_000 + 2500 * np.arange(12), 300_000 + 2500 * np.arange(9)])
     signals, _ = clicks3(n=n, at=at)
     b = block_rows(spark, signals, 100_000, 4000)
-    device = {**devices.preset("calf_hk"), "percent_quiet": 0.2}
+    device = {**devices.preset("triangle_40cm"), "percent_quiet": 0.2}
     done = recordings.detect_all(b, fs, n, device, tile_s=0.2)
     row = done.counts.collect()[0]
     assert row.num_impulse == 21 and row.num_impulsetrain == 1 and row.num_impulseINtrain == 21

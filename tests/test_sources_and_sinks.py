@@ -213,7 +213,7 @@ def test_failures_are_isolated(spark):
 
 def test_presets(spark):
     rows = {r.device: r for r in devices.devices(spark).collect()}
-    assert len(rows) == 5 and rows["LS1"].ref_channel == 1 and len(rows["calf_hk"].rx) == 3
-    r = rows["aspod2"].rx
+    assert len(rows) == 5 and rows["single_sensor"].ref_channel == 1 and len(rows["triangle_40cm"].rx) == 3
+    r = rows["triangle_15cm"].rx
     side = np.hypot(r[0].x - r[1].x, r[0].y - r[1].y)
     assert side == pytest.approx(0.14722)
