@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import mixing
+from brinewave.llm import mixing, stable_projections, va_file, vector_blocks
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,25 @@ def query(sql: str | None = None):
 @query()
 def op1_mixing(t: Tables) -> DataFrame:
     return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    sql="""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+               FROM embeddings),
+         s AS (SELECT a.vec_id AS query_id, b.vec_id,
+                      CAST(list_sum(list_transform(list_zip(a.w, b.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+               FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """
+)
+def op4_va_file(t: Tables) -> DataFrame:
+    vectors = vector_blocks.vectors_of(t.embeddings, "vec_id", "embedding")
+    return va_file.search(vectors, F.col("id") % 50 == 0, 5)
+
+
+@query()
+def op10_stable_projections(t: Tables) -> DataFrame:
+    vectors = vector_blocks.vectors_of(t.embeddings, "vec_id", "embedding", nonzero=True)
+    return stable_projections.search(vectors, F.col("id") % 20 == 0, 20)
