@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import mixing, stable_projections, va_file, vector_blocks
+from brinewave.llm import mixing, simhash, stable_projections, va_file, vector_blocks
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def op4_va_file(t: Tables) -> DataFrame:
 def op10_stable_projections(t: Tables) -> DataFrame:
     vectors = vector_blocks.vectors_of(t.embeddings, "vec_id", "embedding", nonzero=True)
     return stable_projections.search(vectors, F.col("id") % 20 == 0, 20)
+
+
+@query()
+def op7_simhash(t: Tables) -> DataFrame:
+    found = simhash.near_duplicates(t.documents)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
