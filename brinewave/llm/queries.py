@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import mixing, simhash, stable_projections, va_file, vector_blocks
+from brinewave.llm import bpe, mixing, simhash, stable_projections, va_file, vector_blocks, wavelet
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,19 @@ def op10_stable_projections(t: Tables) -> DataFrame:
 def op7_simhash(t: Tables) -> DataFrame:
     found = simhash.near_duplicates(t.documents)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op2_bpe(t: Tables) -> DataFrame:
+    coded = bpe.decode(bpe.encode(t.documents.select("doc_id", "text")))
+    return coded.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op9_wavelet(t: Tables) -> DataFrame:
+    return wavelet.write_and_read(t.documents).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
