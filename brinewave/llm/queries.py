@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import bpe, mixing, simhash, stable_projections, va_file, vector_blocks, wavelet
+from brinewave.llm import bpe, mixing, sanitising, simhash, stable_projections, toxicity, va_file, vector_blocks, wavelet
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,23 @@ def op2_bpe(t: Tables) -> DataFrame:
 @query()
 def op9_wavelet(t: Tables) -> DataFrame:
     return wavelet.write_and_read(t.documents).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op6_toxicity(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text")
+    z = toxicity.train(docs, t.labels)
+    rows = toxicity.scored(docs, z).select("doc_id", toxicity.held_out().alias("held_out"), "score")
+    return rows.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def _kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@query()
+def op8_sanitising(t: Tables) -> DataFrame:
+    found = sanitising.find(t.documents, keep=["doc_id"])
+    base = F.filter("_spans", lambda s: s["kind"] != "term")
+    counts = [F.size(F.filter("_spans", _kind(k))).cast("long").alias(f"n_{k}") for k in sanitising.KINDS]
+    return found.select("doc_id", *counts, F.sha2(sanitising.described(base), 256).alias("base_sha256"), sanitising.described(F.col("_spans")).alias("spans"))
