@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import bpe, mixing, sanitising, simhash, stable_projections, toxicity, va_file, vector_blocks, wavelet
+from brinewave.llm import bpe, mixing, sanitising, simhash, stable_projections, suffixes, toxicity, va_file, vector_blocks, wavelet
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,13 @@ def op8_sanitising(t: Tables) -> DataFrame:
     base = F.filter("_spans", lambda s: s["kind"] != "term")
     counts = [F.size(F.filter("_spans", _kind(k))).cast("long").alias(f"n_{k}") for k in sanitising.KINDS]
     return found.select("doc_id", *counts, F.sha2(sanitising.described(base), 256).alias("base_sha256"), sanitising.described(F.col("_spans")).alias("spans"))
+
+
+@query()
+def op3_suffixes(t: Tables) -> DataFrame:
+    found = suffixes.repeated(t.documents)
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select(
+        F.col("key").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
