@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import bpe, mixing, sanitising, simhash, stable_projections, suffixes, toxicity, va_file, vector_blocks, wavelet
+from brinewave.llm import bpe, mixing, pitman_yor, sanitising, simhash, stable_projections, suffixes, toxicity, va_file, vector_blocks, wavelet
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op3_suffixes(t: Tables) -> DataFrame:
         F.col("key").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op5_pitman_yor(t: Tables) -> DataFrame:
+    return pitman_yor.score(t.documents)
