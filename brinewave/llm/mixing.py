@@ -11,7 +11,7 @@ a (source, shard) stay small, whatever share of the rows one source holds.
 
 Nulls: a null text has no words; null sources form one source, last in order; null ids are
 ordinary values. Repeated rows are mixed one by one. An empty table gives an empty table.
-Columns of the input named like the added ones raise.
+A column of the input that is named like an added one gives way to it; whole rows are carried beside the work.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brinewave.llm.apportionment import filled_targets, sainte_lague
+from brinewave.llm.rows import field, named, packed, unpacked, with_length
 from brinewave.session import cut_lineage
 
 # Fixed value: a word is a maximal run without these white-space characters.
@@ -26,7 +27,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 BLOCK = 16
 ADDED = ("size", "source_size", "target", "taken")
-PLACE = ("mix_shard", "mix_start", "mix_blocks", "mix_rounds", "mix_rest", "mix_first")
 
 
 def word_count(text: Column) -> Column:
@@ -41,30 +41,19 @@ def chosen_before(x: Column) -> Column:
     return count(j) * b + (count(j + 1) - count(j)) * (x - j * b)
 
 
-def mix(
-    docs: DataFrame, seed: int = 7, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = (1, 2, 3),
-    text: str = "text", source: str = "source", key: str = "doc_id", keep: list[str] | None = None,
-) -> DataFrame:
-    """`keep` columns plus size, source_size, target, taken and the place of each document in its shard.
-
-    Sources in code-point order (null last) weigh `weights`, repeating. No document is taken
-    more than `most` times.
-    """
-    keep = [key] if keep is None else keep
-    if clash := {*ADDED, *PLACE} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are added by the mix")
-    spark = docs.sparkSession
+def placed(docs: DataFrame, seed: int, block: int, most: int, weights: tuple[int, ...], text: str, source: str, key: str, keep: list[str]) -> DataFrame:
+    """`_row` (the kept columns), the added columns, and where the document's words lie among its shard's blocks."""
+    row = packed(keep)
     # an escaped key keeps null apart from any source text
-    name = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
-    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("_row")
+    name = F.when(named(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), named(source)))
     sized = cut_lineage(
-        docs.select(row, name.alias("_source"), F.col(key).alias("_key"), word_count(F.col(text)).alias("size"))
+        docs.select(row, name.alias("_source"), named(key).alias("_key"), word_count(named(text)).alias("size"))
     )
     n_shards = max(1, int(sized.count() ** 0.5))
     order = F.xxhash64(F.lit(seed), F.col("_key").cast("string"))
-    placed = sized.withColumn("_order", order).withColumn("mix_shard", F.pmod("_order", F.lit(n_shards)))
+    dealt = sized.withColumn("_order", order).withColumn("mix_shard", F.pmod("_order", F.lit(n_shards)))
 
-    shards = cut_lineage(placed.groupBy("_source", "mix_shard").agg(F.sum("size").alias("_words")))
+    shards = cut_lineage(dealt.groupBy("_source", "mix_shard").agg(F.sum("size").alias("_words")))
     sources = shards.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     turn = F.pmod(F.row_number().over(Window.orderBy(F.col("_source") == "n", "_source")) - 1, F.lit(len(weights)))
     weighted = sources.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
@@ -85,32 +74,45 @@ def mix(
         .withColumn("mix_first", first)
         .drop("_words", "_blocks", "_quota")
     )
-    joined = placed.join(plan, ["_source", "mix_shard"])
+    joined = dealt.join(plan, ["_source", "mix_shard"])
     line = Window.partitionBy("_source", "mix_shard").orderBy("_order", "_key", "size")
     start = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     begun = joined.withColumn("mix_start", start).withColumn("_b", F.lit(block).cast("long"))
     extra = chosen_before(F.col("mix_start") + F.col("size")) - chosen_before(F.col("mix_start"))
     taken = (F.col("mix_rounds") * F.col("size") + extra).cast("long")
-    columns = [F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(keep)]
-    return begun.select(*columns, "size", "source_size", "target", taken.alias("taken"), *PLACE)
+    return begun.withColumn("taken", taken)
+
+
+def mix(
+    docs: DataFrame, seed: int = 7, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = (1, 2, 3),
+    text: str = "text", source: str = "source", key: str = "doc_id", keep: list[str] | None = None,
+) -> DataFrame:
+    """`keep` columns (the key unless given) plus size, source_size, target and taken.
+
+    Sources in code-point order (null last) weigh `weights`, repeating. No document is taken
+    more than `most` times.
+    """
+    keep = [c for c in ([key] if keep is None else keep) if c not in ADDED]
+    return placed(docs, seed, block, most, weights, text, source, key, keep).select(*unpacked(keep), *ADDED)
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7, block: int = BLOCK, most: int = MOST, **names: str) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, seed: int = 7, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = (1, 2, 3),
+    text: str = "text", source: str = "source", key: str = "doc_id",
+) -> DataFrame:
     """The documents of the mix, with the columns of `docs`: whole rounds are whole copies of a text, the
     extra blocks a last row with just their words (white space before a word goes with it).
 
     n_chars, where it is there, is the length of the new text.
     """
-    text = names.get("text", "text")
-    mixed = mix(docs, seed, block, most, keep=docs.columns, **names).withColumn("_b", F.lit(block).cast("long"))
+    names = docs.columns
+    mixed = placed(docs, seed, block, most, weights, text, source, key, names)
     extra = F.col("taken") - F.col("mix_rounds") * F.col("size")
     copies = F.col("mix_rounds") + (extra > 0).cast("long")
     rows = mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    body = field(names, text)
+    words = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     inside = lambda w, i: chosen_before(F.col("mix_start") + i + 1) > chosen_before(F.col("mix_start") + i)
-    part = F.array_join(F.filter(words, inside), "")
     whole = (F.col("_copy") <= F.col("mix_rounds")) | (extra == F.col("size"))
-    out = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(part))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    new = F.when(whole, body).otherwise(F.array_join(F.filter(words, inside), ""))
+    return rows.select(*unpacked(names, **with_length(names, new, text, docs)))

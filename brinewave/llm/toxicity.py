@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brinewave.llm.rows import named, packed, unpacked
+
 BUCKETS = 1 << 18
 WIDTH = 16
 GRAMS = (3, 4, 5, 6)
@@ -155,21 +157,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, longest: in
 
 
 def scored(docs: DataFrame, z: np.ndarray | None, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with `score` for every whole text, kept beside the text."""
+    """docs with `score` for every whole text; it takes the place of a column of that name."""
+    names = [c for c in docs.columns if c != score]
+    return _scored(docs, z, text, names).select(*unpacked(names), F.col("_score").alias(score))
+
+
+def _scored(docs: DataFrame, z: np.ndarray | None, text: str, names: list[str]) -> DataFrame:
+    """_row (the named columns) and _score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                i = part.schema.get_field_index("_text")
-                yield part.set_column(i, score, pa.array(scores(part.column(i).to_pylist(), z)))
+                found = pa.array(scores(part.column("_text").to_pylist(), z))
+                yield pa.RecordBatch.from_arrays([part.column("_row"), found], ["_row", "_score"])
 
-    both = docs.withColumn("_text", F.col(text))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{score}` double"])
-    return both.mapInArrow(run, schema)
+    both = docs.select(packed(names), named(text).alias("_text"))
+    return both.mapInArrow(run, f"_row {both.schema['_row'].dataType.simpleString()}, _score double")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **names: str) -> DataFrame:
     """The documents that score below the threshold, with the columns of docs."""
-    kept = scored(docs, train(docs, labels, **names), score="_score")
-    return kept.where(F.col("_score") < threshold).drop("_score")
+    z = train(docs, labels, **names)
+    kept = _scored(docs, z, names.get("text", "text"), docs.columns).where(F.col("_score") < threshold)
+    return kept.select(*unpacked(docs.columns))
