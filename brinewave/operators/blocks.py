@@ -39,8 +39,20 @@ def from_samples(samples: DataFrame, block_len: int, halo: int = 0) -> DataFrame
     ).where(F.size("samples") > 0)
 
 
+def needs_halo(blocks: DataFrame, n: int, why: str) -> DataFrame:
+    """The same blocks; a job over them fails where an inner edge has less than n samples of halo.
+
+    Halos are cut alike on both sides, so the left one tells: it is short only
+    where the recording begins.
+    """
+    have, want = F.size("left_halo"), F.least(F.lit(n).cast("bigint"), F.col("start_idx") - 1)
+    said = F.concat(F.lit(f"{why} needs a halo of {n} samples; a block has "), have.cast("string"))
+    short = F.raise_error(said).cast("array<double>")
+    return blocks.withColumn("left_halo", F.when(have < want, short).otherwise(F.col("left_halo")))
+
+
 def with_halos(blocks: DataFrame, halo: int) -> DataFrame:
-    """Add up to `halo` samples of the neighbouring blocks (halo at most one block)."""
+    """Add `halo` samples of the neighbouring blocks; blocks that are shorter than it (but the last) fail the job."""
     size = F.size("samples")
     cut = F.least(F.lit(halo), size)
     none = F.lit(None).cast("array<double>")
@@ -75,6 +87,7 @@ def with_halos(blocks: DataFrame, halo: int) -> DataFrame:
             F.coalesce("l", empty).alias("left_halo"),
             F.coalesce("r", empty).alias("right_halo"),
         )
+        .transform(needs_halo, halo, "a halo over more than one block")
     )
 
 
@@ -149,12 +162,19 @@ def ambient_levels(files: DataFrame) -> DataFrame:
     return levels.join(first, "channel").select("path", "channel", "deviation", (F.col("deviation") / F.col("_first")).alias("ratio"))
 
 
-def add_signals(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sum of two signals over the shorter length; both are blocks on the same grid."""
-    other = b.select("channel", "block_id", F.col("samples").alias("_b"))
+def add_signals(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Sum of two signals over the shorter length; both are blocks on the same grid.
+
+    Recordings meet by their own id, or as `pairs` (recording_id, other_id) says; the result has
+    the ids of a.
+    """
+    other = b.select(REC, "channel", "block_id", F.col("samples").alias("_b"))
+    if pairs is not None:
+        partner = pairs.select(REC, "other_id")
+        other = other.withColumnRenamed(REC, "other_id").join(partner, "other_id").drop("other_id")
     n = F.least(F.size("samples"), F.size("_b"))
     total = F.zip_with(F.slice("samples", F.lit(1), n), F.slice("_b", F.lit(1), n), lambda x, y: x + y)
-    return a.join(other, ["channel", "block_id"]).withColumn("samples", total).drop("_b")
+    return a.join(other, [REC, "channel", "block_id"]).withColumn("samples", total).drop("_b")
 
 
 def _padded(left: pa.Array, mid: pa.Array, right: pa.Array):
@@ -217,7 +237,8 @@ def peaks_in_blocks(blocks: DataFrame, dist: int) -> DataFrame:
             out.append([{"at": int(i - before), "peak": float(x[i])} for i in at])
         return pa.array(out, type=pa.list_(pa.struct([("at", pa.int64()), ("peak", pa.float64())])))
 
-    found = blocks.select(*KEYS, "start_idx", F.inline(run("left_halo", "samples", "right_halo")))
+    held = needs_halo(blocks, dist, "a peak search")
+    found = held.select(*KEYS, "start_idx", F.inline(run("left_halo", "samples", "right_halo")))
     return found.select(*KEYS, (F.col("start_idx") + F.col("at")).alias("idx"), "peak")
 
 

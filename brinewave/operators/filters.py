@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brinewave.functions import kernels
-from brinewave.operators.blocks import _padded
+from brinewave.operators.blocks import _padded, needs_halo
 
 ORDER = 4  # fixed value: filter order
 ENVELOPE_LIMIT = 10_000.0  # fixed value: low-pass of the smoothed envelope, Hz
@@ -44,7 +44,8 @@ def filter_blocks(
             parts[2].append(y[before + n : before + n + keep_halo])
         return pa.StructArray.from_arrays([kernels.lists_from(p) for p in parts], names=["l", "m", "r"])
 
-    done = blocks.withColumn("_f", run("left_halo", "samples", "right_halo"))
+    held = needs_halo(blocks, keep_halo, "a filter that keeps its halo") if keep_halo else blocks
+    done = held.withColumn("_f", run("left_halo", "samples", "right_halo"))
     return done.withColumns(
         {"left_halo": F.col("_f.l"), "samples": F.col("_f.m"), "right_halo": F.col("_f.r")}
     ).drop("_f")
@@ -67,13 +68,14 @@ def envelope_lowpassed(blocks: DataFrame, fs: float, limit: float = ENVELOPE_LIM
 def decimated(blocks: DataFrame, fs: float, factor: int) -> DataFrame:
     """Every factor-th sample after a low-pass, as blocks of the slower rate.
 
-    Block lengths need to be whole multiples of the factor.
+    The grid is that of the recording (samples 1, 1 + factor, ...), whatever the block length.
     """
     low = filter_blocks(blocks, fs, (0, 0.4 * fs / factor))
 
     @F.arrow_udf("array<double>")
-    def pick(mid: pa.Array) -> pa.Array:
-        return kernels.lists_from([x[::factor] for x in kernels.rows_of(mid)])
+    def pick(mid: pa.Array, start: pa.Array) -> pa.Array:
+        return kernels.lists_from([x[(1 - s) % factor :: factor] for x, s in zip(kernels.rows_of(mid), start.to_pylist())])
 
-    start = F.floor((F.col("start_idx") - 1) / factor) + 1
-    return low.select("recording_id", "channel", "block_id", start.alias("start_idx"), pick("samples").alias("samples"))
+    start = F.ceil((F.col("start_idx") - 1) / factor) + 1
+    thin = low.select("recording_id", "channel", "block_id", start.alias("start_idx"), pick("samples", "start_idx").alias("samples"))
+    return thin.where(F.size("samples") > 0)

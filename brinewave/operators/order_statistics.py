@@ -22,12 +22,14 @@ OCTAVE_PARTS = 16
 FINE_PARTS = 4096
 OFFSET = 20000  # keeps the magnitude bucket of every finite double above zero
 BEYOND = 40000  # bucket of the infinities
+NO_NUMBER = 50000  # bucket of NaN, after everything else
 
 
 def _coarse(x: Column) -> Column:
     finite = F.floor(F.log2(F.abs(x)) * OCTAVE_PARTS) + OFFSET
     magnitude = F.when(F.abs(x) == float("inf"), F.lit(BEYOND)).otherwise(finite.cast("int"))
-    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * magnitude)
+    known = F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * magnitude)
+    return F.when(F.isnan(x), F.lit(NO_NUMBER)).otherwise(known)
 
 
 def _fine(x: Column, bucket: Column) -> Column:
@@ -134,12 +136,12 @@ def bucket_counts(level: int):
             size = np.abs(x)
             with np.errstate(divide="ignore", invalid="ignore"):
                 magnitude = np.where(np.isinf(size), BEYOND, np.floor(np.log2(size) * OCTAVE_PARTS) + OFFSET)
-                b1 = np.where(x == 0, 0, np.sign(x) * magnitude).astype(np.int64)
+                b1 = np.where(np.isnan(x), NO_NUMBER, np.where(x == 0, 0, np.sign(x) * magnitude)).astype(np.int64)
                 part = (size / 2.0 ** ((np.abs(b1) - OFFSET) / OCTAVE_PARTS) - 1) / (2 ** (1 / OCTAVE_PARTS) - 1)
                 fine = np.sign(x) * np.floor(part * FINE_PARTS)
             b2 = np.where((b1 == 0) | (np.abs(b1) >= BEYOND), 0, fine).astype(np.int64)
             if level > 1:
-                keep = np.isin(b1, h1) if level == 2 else np.isin(b1 * 2 * BEYOND + b2, [p * 2 * BEYOND + q for p, q in zip(h1, h2)])
+                keep = np.isin(b1, h1) if level == 2 else np.isin(b1 * 2 * NO_NUMBER + b2, [p * 2 * NO_NUMBER + q for p, q in zip(h1, h2)])
                 x, b1, b2 = x[keep], b1[keep], b2[keep]
             by = np.stack([b1, b2 if level > 1 else 0 * b1, x if level > 2 else 0 * b1], axis=1).astype(float)
             unique, counts = np.unique(by, axis=0, return_counts=True)

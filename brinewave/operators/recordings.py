@@ -84,7 +84,7 @@ def detect_all(blocks: DataFrame, fs: float, n_samples: int, device: dict, tile_
         noise = tonals.where("false").select(REC, F.lit(0).cast("bigint").alias("frame"), F.lit(0.0).alias("energy"))
     else:
         noise = noise_hits(blocks, fs, ref, device["nfft_s"], noise_threshold)
-    counts = segments.counts_table(found, runs, tonals, spans, noise)
+    counts = segments.counts_table(found, runs, tonals, spans, noise, blocks.select(REC).distinct())
     if np.isinf(noise_threshold):
         counts = counts.withColumn("num_noise", F.lit(-1).cast("bigint"))
     return Detections(found, runs, members, frames, tonals, spans, noise, counts)

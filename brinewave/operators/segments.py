@@ -62,8 +62,10 @@ def rows_in_segments(rows: DataFrame, segments: DataFrame, end: str, tile: int)
     return inside.select(*rows.columns, *[F.col("_hit").getField(c).alias(c) for c in columns])
 
 
-def counts_table(impulses: DataFrame, trains: DataFrame, tonals: DataFrame, tonal_segments: DataFrame, noise: DataFrame) -> DataFrame:
-    """One row per recording with the number of each kind of result."""
+def counts_table(
+    impulses: DataFrame, trains: DataFrame, tonals: DataFrame, tonal_segments: DataFrame, noise: DataFrame, recordings: DataFrame | None = None
+) -> DataFrame:
+    """One row per recording with the number of each kind of result; zeros for those of `recordings` without any."""
     one = F.lit(1).cast("bigint")
     zero = F.lit(0).cast("bigint")
 
@@ -78,5 +80,7 @@ def counts_table(impulses: DataFrame, trains: DataFrame, tonals: DataFrame, tona
         .unionByName(part(tonal_segments, num_tonalsegment=one))
         .unionByName(part(noise, num_noise=one))
     )
+    if recordings is not None:
+        together = together.unionByName(part(recordings))
     names = [c for c in together.columns if c != REC]
     return together.groupBy(REC).agg(*[F.sum(n).cast("bigint").alias(n) for n in names])

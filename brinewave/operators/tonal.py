@@ -58,10 +58,10 @@ def largest_per_bin(channels: pa.Array) -> pa.Array:
 def frame_levels(blocks: DataFrame, s: TonalSettings) -> DataFrame:
     """Per frame: `mag`, the largest level over channels per bin, and `ref`, the reference channel's.
 
-    Levels are decibels, or amplitudes for the amplitude variant.
+    Levels are decibels (minus infinity for no power at all), or amplitudes for the amplitude variant.
     """
     spectra = select_band(frame_spectra(blocks, s.nfft, s.fs), "power", *s.bins)
-    level = (lambda p: F.lit(10.0) * F.log10(p)) if s.variant == "level" else F.sqrt
+    level = (lambda p: F.when(p > 0, F.lit(10.0) * F.log10(p)).otherwise(float("-inf"))) if s.variant == "level" else F.sqrt
     rows = spectra.select(REC, "channel", "frame", F.transform("power", level).alias("v"))
     grouped = rows.groupBy(REC, "frame").agg(  # one short array per channel
         F.collect_list("v").alias("all"), F.max(F.when(F.col("channel") == s.ref_channel, F.col("v"))).alias("ref")
@@ -104,14 +104,17 @@ def frame_features(mag: Column, floor: Column, ref: Column, s: TonalSettings, st
     def run(mags: pa.Array, floors: pa.Array, refs: pa.Array) -> pa.Array:
         stats, bins, near = [], [], []
         for m, f, r in zip(kernels.rows_of(mags), kernels.rows_of(floors), kernels.rows_of(refs)):
-            over = m - f
+            with np.errstate(invalid="ignore"):
+                over = np.where(np.isneginf(m), m, m - f)  # silence is not over any floor
             if amplitude:
                 with np.errstate(divide="ignore"):
                     over = 20 * np.log10(np.maximum(over, 0))
                     r = 20 * np.log10(r)
             stats.append(float(stat(over)))
             bins.append(int(np.argmax(over)))
-            near.append(int(np.sum(r.max() - r < s.freq_width_db)))
+            with np.errstate(invalid="ignore"):
+                below = np.nan_to_num(r.max() - r, nan=0.0, posinf=np.inf)  # all silent: all alike
+            near.append(int(np.sum(below < s.freq_width_db)))
         return pa.StructArray.from_arrays([pa.array(stats), pa.array(bins), pa.array(near)], names=["stat", "peak_bin", "near_peak"])
 
     return run(mag, floor, ref)

@@ -199,7 +199,8 @@ def added_signals(t):
         (F.col("c_custkey") + 1).alias("idx"),
         F.col("c_acctbal").alias("x"),
     )
-    total = blocks.add_signals(blocks.from_samples(a, BLOCK), blocks.from_samples(b, BLOCK))
+    pairs = a.select("recording_id").distinct().withColumn("other_id", F.lit(0).cast("bigint"))
+    total = blocks.add_signals(blocks.from_samples(a, BLOCK), blocks.from_samples(b, BLOCK), pairs)
     return blocks.to_samples(total).select("idx", "x")
 
 

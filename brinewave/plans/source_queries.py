@@ -28,12 +28,13 @@ def newest_file_tail(t):
         F.col("embedding").cast("array<double>").alias("samples"),
     )
     newest = tails.newest_file(files, ["label"])
-    return tails.tail_samples(newest, 24).select("label", "path", "idx", "x")
+    whole = newest.withColumn("start_idx", F.lit(1).cast("bigint"))
+    return tails.tail_samples(whole, 24, ["label", "path"]).select("label", "path", "idx", "x")
 
 
 @query("SRC-3", sql=f"WITH {SMP} SELECT recording_id, channel, idx, x FROM smp WHERE idx > 24 AND idx <= 48")
 def aligned_window(t):
-    return tails.aligned_tail(embedding_blocks(t), 24).select("recording_id", "channel", "idx", "x")
+    return tails.aligned_tail(embedding_blocks(t), 24, ["recording_id", "channel"]).select("recording_id", "channel", "idx", "x")
 
 
 @query(
@@ -244,14 +245,15 @@ def merged_results(t):
   ('triangle_40cm', 3, 5000.0, 180000.0, 9.0, 200, 5, 0.1, 3, 0.4 / sqrt(3) * cos(radians(150))),
   ('triangle_15cm', 3, 5000.0, 24000.0, 4.0, 800, 5, 0.1, 3, 0.14722 / sqrt(3) * cos(radians(-30))),
   ('triangle_dash_names', 3, 1000.0, NULL, 4.0, 800, 5, 0.1, 3, 0.4 / sqrt(3) * cos(radians(150))),
-  ('single_sensor', 1, 5000.0, NULL, 4.0, 800, 5, 0.1, 1, 0.0))
+  ('single_sensor', 1, 5000.0, NULL, 4.0, 800, 5, 0.1, 1, 0.0),
+  ('triangle_50cm', 3, 1000.0, NULL, 4.0, 800, 7, 1.0, 3, 0.5 / sqrt(3) * cos(radians(90))))
 SELECT c_custkey, d.device, ref_channel, impulsive_lo::DOUBLE AS impulsive_lo, impulsive_hi::DOUBLE AS impulsive_hi,
   ratio::DOUBLE AS ratio, dist, train_min, train_interval::DOUBLE AS train_interval, n_rx, round(x1::DOUBLE, 9) AS x1
-FROM customer JOIN d ON d.device = ['clicker', 'triangle_40cm', 'triangle_15cm', 'triangle_dash_names', 'single_sensor'][c_custkey % 5 + 1]""",
+FROM customer JOIN d ON d.device = ['clicker', 'triangle_40cm', 'triangle_15cm', 'triangle_dash_names', 'single_sensor', 'triangle_50cm'][c_custkey % 6 + 1]""",
 )
 def device_presets(t):
     names = F.array(*map(F.lit, devices.PRESETS))
-    rows = t.customer.select("c_custkey", F.element_at(names, (F.col("c_custkey") % 5 + 1).cast("int")).alias("device"))
+    rows = t.customer.select("c_custkey", F.element_at(names, (F.col("c_custkey") % 6 + 1).cast("int")).alias("device"))
     return devices.with_device(rows).select(
         "c_custkey",
         "device",

@@ -1,4 +1,4 @@
-"""Device presets as a five-row dimension table."""
+"""Device presets as a six-row dimension table."""
 
 from __future__ import annotations
 
@@ -65,6 +65,9 @@ PRESETS = dict(
         side=0.0,
         sensors=[0.0],
     ),
+    triangle_50cm=dict(
+        threshold_impulsive=0.01, threshold_tonal=-20.0, train_min=7, train_interval=1.0, side=0.5, sensors=[90.0, -30.0, 210.0]
+    ),
 )
 
 SCHEMA = (
@@ -98,4 +101,4 @@ def devices(spark) -> DataFrame:
 
 def with_device(df: DataFrame) -> DataFrame:
     """Add the preset's columns to rows that name their device."""
-    return df.join(F.broadcast(devices(df.sparkSession)), "device")  # five fixed rows
+    return df.join(F.broadcast(devices(df.sparkSession)), "device")  # six fixed rows

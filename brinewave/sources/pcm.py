@@ -13,6 +13,7 @@ when spark.sql.python.filterPushdown.enabled is true.
 
 from __future__ import annotations
 
+import functools
 import posixpath
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -98,6 +99,7 @@ class Ranges(InputPartition):
     """Blocks first .. end - 1 of one file; frames from `begin` on, up to `limit`, are the recording."""
 
     path: str
+    name: str
     begin: int
     limit: int
     first: int
@@ -105,24 +107,38 @@ class Ranges(InputPartition):
     channels: tuple[int, ...]
 
 
+@functools.lru_cache(maxsize=1024)
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def list_pcm(path: str, suffix: str = ".bin") -> list[tuple[str, int]]:
     """Visible files below a folder (or the one file), by name, with their sizes."""
-    system, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    system, inner = opened(path)
+    # files keep the scheme and host of the folder, so that any executor opens them where they are
+    root = path.rstrip("/")[: -len(inner.rstrip("/"))] if "://" in path and path.rstrip("/").endswith(inner.rstrip("/")) else ""
     info = system.get_file_info(inner)
     if info.type == pafs.FileType.File:
         found = [info]
     else:
         found = system.get_file_info(pafs.FileSelector(inner, recursive=True))
     visible = [
-        (f.path, f.size)
+        (root + f.path, f.size)
         for f in found
         if f.type == pafs.FileType.File and f.path.endswith(suffix) and not posixpath.basename(f.path).startswith(".")
     ]
     return sorted(visible)
 
 
+def recording_name(path: str, folder: str) -> str:
+    """A file's path below the folder, without its ending; the plain name if the folder is the file itself."""
+    inside = posixpath.relpath(opened(path)[1], opened(folder)[1])
+    return posixpath.splitext(posixpath.basename(path) if inside == "." else inside)[0]
+
+
 def _read_frames(path: str, layout: Layout, first: int, end: int) -> np.ndarray:
-    system, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    system, inner = opened(path)
     with system.open_input_file(inner) as f:
         raw = f.read_at((end - first) * layout.frame_bytes, first * layout.frame_bytes)
     return np.frombuffer(raw, dtype=layout.dtype).reshape(-1, layout.channels)
@@ -136,7 +152,6 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def read_blocks(part: Ranges, layout: Layout) -> Iterator[pa.RecordBatch]:
     """One batch per block: a row for each wanted channel."""
     n, halo = layout.block_len, layout.halo
-    name = posixpath.splitext(posixpath.basename(part.path))[0]
     for block in range(part.first, part.end):
         lo = part.begin + block * n
         hi = min(lo + n, part.limit)
@@ -149,7 +164,7 @@ def read_blocks(part: Ranges, layout: Layout) -> Iterator[pa.RecordBatch]:
         k = len(wanted)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([name] * k),
+                pa.array([part.name] * k),
                 pa.array([part.path] * k),
                 pa.array(wanted, type=pa.int32()),
                 pa.array([block] * k, type=pa.int64()),
@@ -193,8 +208,8 @@ class PcmReader(DataSourceReader):
             end = blocks if self.high is None else min(blocks, (self.high - 1) // n + 1)
             for k in range(first, end, self.layout.task_blocks):
                 stop = min(k + self.layout.task_blocks, end)
-                out.append(Ranges(path=path, begin=begin, limit=limit, first=k, end=stop, channels=self.channels))
-        return out or [Ranges(path="", begin=0, limit=0, first=0, end=0, channels=())]
+                out.append(Ranges(path=path, name=recording_name(path, self.path), begin=begin, limit=limit, first=k, end=stop, channels=self.channels))
+        return out or [Ranges(path="", name="", begin=0, limit=0, first=0, end=0, channels=())]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return read_blocks(partition, self.layout)
@@ -238,7 +253,7 @@ class PcmStreamReader(DataSourceStreamReader):
             # a file still growing is read only as far as the offset says, so that a repeat reads the same
             limit = last * n + self.layout.halo if newest else frames
             if last > first:
-                out.append(Ranges(path=path, begin=0, limit=limit, first=first, end=last, channels=channels))
+                out.append(Ranges(path=path, name=recording_name(path, self.path), begin=0, limit=limit, first=first, end=last, channels=channels))
         return out
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:

@@ -11,26 +11,28 @@ def newest_file(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.join(newest, [*keys, "path"])
 
 
-def _explode_from(blocks: DataFrame, first, n: int) -> DataFrame:
-    """`n` samples from 1-based position `first` on."""
-    kept = [c for c in blocks.columns if c != "samples"]
-    part = F.slice("samples", first.cast("int"), n)
-    rows = blocks.select(*kept, first.alias("_first"), F.posexplode(part).alias("_p", "x"))
-    return rows.select(*kept, (F.col("_first") + F.col("_p")).cast("bigint").alias("idx"), "x")
+def _lengths(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks with `_n`, the length of their recording and channel: one small row for each comes back."""
+    last = F.col("start_idx") + F.size("samples") - 1
+    return blocks.join(blocks.groupBy(*keys).agg(F.max(last).alias("_n")), keys)
 
 
-def tail_samples(recordings: DataFrame, n: int) -> DataFrame:
-    """The last n samples of each row's `samples` (all of them if there are fewer)."""
-    return _explode_from(recordings, F.greatest(F.size("samples") - n + 1, F.lit(1)), n)
+def _window(blocks: DataFrame, first, n: int) -> DataFrame:
+    """Samples first .. first + n - 1 of each recording, one row each; other blocks are dropped before."""
+    end = F.col("start_idx") + F.size("samples")
+    low, high = F.greatest(first, F.col("start_idx")), F.least(first + n, end)
+    kept = [c for c in blocks.columns if c not in ("samples", "start_idx", "left_halo", "right_halo", "block_id", "_n")]
+    part = F.slice("samples", (low - F.col("start_idx") + 1).cast("int"), (high - low).cast("int"))
+    rows = blocks.where(low < high).select(*kept, low.alias("_first"), F.posexplode(part).alias("_p", "x"))
+    return rows.select(*kept, (F.col("_first") + F.col("_p")).cast("bigint").alias("idx"), "x")
 
 
-def aligned_tail(recordings: DataFrame, window: int) -> DataFrame:
-    """The last window that begins on a whole multiple of its length, one window before the end."""
-    start = F.size("samples") - window
-    return _explode_from(recordings, F.greatest(start - F.pmod(start, F.lit(window)), F.lit(0)) + 1, window)
+def tail_samples(blocks: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """The last n samples of each recording (all of them if there are fewer), over any number of blocks."""
+    return _window(_lengths(blocks, keys), F.greatest(F.col("_n") - n + 1, F.lit(1)), n)
 
 
-def tail_of_blocks(blocks: DataFrame, n_samples: str, n: int) -> DataFrame:
-    """The blocks that reach into the last n samples; the filter is on start_idx, so scans can prune."""
-    last = F.col("start_idx") + F.size("samples") - 1
-    return blocks.where(last > F.col(n_samples) - n)
+def aligned_tail(blocks: DataFrame, window: int, keys: list[str]) -> DataFrame:
+    """The last window that begins on a whole multiple of its length, one window before the end."""
+    start = F.col("_n") - window
+    return _window(_lengths(blocks, keys), F.greatest(start - F.pmod(start, F.lit(window)), F.lit(0)) + 1, window)

@@ -272,3 +272,60 @@ def test_convert_and_verify(spark):
     assert all(r.passed for r in errors.collect())
     back = stored.select((F.col("raw") * F.col("step") + F.col("bias")).alias("x")).agg(F.sum("x")).collect()[0][0]
     assert back == pytest.approx(sum(r[3] for r in rows))
+
+
+def test_short_halos_fail(spark, noise):
+    small = {k: v[:1000] for k, v in noise.items()}
+    blocks = block_rows(spark, small, 128, 40)
+    assert blk.peaks_in_blocks(blocks, 40).count() > 0
+    with pytest.raises(Exception, match="needs a halo of 41"):
+        blk.peaks_in_blocks(blocks, 41).count()
+    with pytest.raises(Exception, match="needs a halo of 200"):
+        blk.with_halos(blocks.drop("left_halo", "right_halo"), 200).collect()
+
+
+@pytest.mark.parametrize("block_len", [100, 128, 777])
+def test_thinned_grid_is_the_recording_s(spark, noise, block_len):
+    x = np.sin(np.arange(3000) / 400)
+    blocks = block_rows(spark, {(1, 1): x}, block_len, 3000)
+    thin = filters.decimated(blocks, 1000.0, 7)
+    got = sorted((r.start_idx + i, v) for r in thin.collect() for i, v in enumerate(r.samples))
+    assert [i for i, _ in got] == list(range(1, len(x[::7]) + 1))
+    assert np.abs(np.array([v for _, v in got]) - x[::7])[40:-40].max() < 0.02
+
+
+def test_added_signals_keep_recordings_apart(spark):
+    one = block_rows(spark, {(1, 1): np.ones(8), (2, 1): np.full(8, 2.0)}, 4, 0)
+    got = {(r.recording_id, r.block_id): r.samples for r in blk.add_signals(one, one).collect()}
+    assert got == {(rec, b): [2.0 * rec] * 4 for rec in (1, 2) for b in (0, 1)}
+    pairs = spark.createDataFrame([(1, 2), (2, 1)], "recording_id long, other_id long")
+    assert {tuple(r.samples) for r in blk.add_signals(one, one, pairs).collect()} == {(3.0,) * 4}
+
+
+def test_silent_frames(spark):
+    from brinewave.operators import tonal
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=6400)
+    x[1600:3200] = 0
+    x[4800:5600] += 20 * np.sin(2 * np.pi * 125 * np.arange(800) / 1000)
+    blocks = block_rows(spark, {(1, 1): x, (2, 1): np.zeros(6400)}, 640, 200)
+    s = tonal.TonalSettings(fs=1000.0, nfft=100, low=50.0, high=400.0, ref_channel=1, threshold=None, percent_quiet=0.5, freq_width_db=3.0, freq_maxbandwidth=1000.0)
+    rows = tonal.tonal_frames(blocks, s).collect()
+    assert len(rows) == 128
+    assert not [r for r in rows if r.recording_id == 2 and r.is_det]
+    assert [r.frame for r in rows if r.recording_id == 1 and r.is_det and 48 <= r.frame < 56]
+
+
+def test_ranks_with_nan_and_infinities(spark):
+    from brinewave.operators import order_statistics as order
+
+    values = [float("nan"), float("-inf"), 3.0, -2.0, float("inf"), 0.0, float("nan"), 1e300]
+    rows = spark.createDataFrame([(1, v) for v in values], "g int, x double")
+    ranked = sorted(values, key=lambda v: (v != v, v))
+    wanted = {f"r{i}": F.lit(i) for i in range(len(values))}
+    for got in (
+        order.select_ranks(rows, ["g"], "x", wanted).first(),
+        order.select_ranks_in_blocks(rows.groupBy("g").agg(F.collect_list("x").alias("x")), ["g"], "x", wanted).first(),
+    ):
+        assert [str(got[f"r{i}"]) for i in range(len(values))] == [str(v) for v in ranked]

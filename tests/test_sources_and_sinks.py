@@ -213,7 +213,38 @@ def test_failures_are_isolated(spark):
 
 def test_presets(spark):
     rows = {r.device: r for r in devices.devices(spark).collect()}
-    assert len(rows) == 5 and rows["single_sensor"].ref_channel == 1 and len(rows["triangle_40cm"].rx) == 3
+    assert len(rows) == 6 and rows["single_sensor"].ref_channel == 1 and len(rows["triangle_40cm"].rx) == 3
     r = rows["triangle_15cm"].rx
     side = np.hypot(r[0].x - r[1].x, r[0].y - r[1].y)
     assert side == pytest.approx(0.14722)
+
+
+def test_pcm_by_uri_and_equal_names(spark, tmp_path):
+    for folder, value in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        np.full((300, 2), value, "<i2").tofile(tmp_path / folder / "same.bin")
+    for root in (str(tmp_path), tmp_path.as_uri()):
+        rows = pcm.read_pcm(spark, root, channels=2, fs=1000, block_len=128).where("channel = 1").collect()
+        found = {r.recording_id: set() for r in rows}
+        for r in rows:
+            found[r.recording_id] |= set(r.samples)
+            assert r.path.startswith(root)
+        assert found == {"a/same": {1.0}, "b/same": {2.0}}
+    alone = pcm.read_pcm(spark, (tmp_path / "a" / "same.bin").as_uri(), channels=2, fs=1000).collect()
+    assert {r.recording_id for r in alone} == {"same"}
+
+
+def test_tails_over_many_blocks(spark):
+    from brinewave.sources import tails
+
+    lengths = {1: 1000, 2: 61}
+    rows = [
+        (rec, 1, at // 64, at + 1, [float(i) for i in range(at, min(at + 64, n))]) for rec, n in lengths.items() for at in range(0, n, 64)
+    ]
+    blocks = spark.createDataFrame(rows, "recording_id long, channel int, block_id long, start_idx long, samples array<double>")
+    keys = ["recording_id", "channel"]
+    for n in (24, 100):
+        got = {rec: sorted((r.idx, r.x) for r in tails.tail_samples(blocks, n, keys).collect() if r.recording_id == rec) for rec in lengths}
+        assert got == {rec: [(i + 1, float(i)) for i in range(max(0, m - n), m)] for rec, m in lengths.items()}
+    got = {rec: sorted(r.idx for r in tails.aligned_tail(blocks, 24, keys).collect() if r.recording_id == rec) for rec in lengths}
+    assert got == {rec: list(range((m - 24) // 24 * 24 + 1, (m - 24) // 24 * 24 + 25)) for rec, m in lengths.items()}
