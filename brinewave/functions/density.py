@@ -26,17 +26,17 @@ def density_at(places: np.ndarray, first: int, last: int, kernel: np.ndarray) ->
 
 
 def state_settings(
-    places: Column, tile_no: Column, tile: int, last_idx: int, kernel_len: int, sigma: float, above: float, below: float
+    places: Column, tile_no: Column, tile: int, last_idx: Column, kernel_len: int, sigma: float, above: float, below: float
 ) -> Column:
-    """array<struct<pos, opens>>: where the state of a tile is set, open and close in turn."""
+    """array<struct<pos, opens>>: where the state of a tile is set, open and close in turn; last_idx is the row's own."""
     kernel = gaussian_kernel(kernel_len, sigma)
     item = pa.struct([("pos", pa.int64()), ("opens", pa.bool_())])
 
     @F.arrow_udf("array<struct<pos: bigint, opens: boolean>>")
-    def settings(lists: pa.Array, tiles: pa.Array) -> pa.Array:
+    def settings(lists: pa.Array, tiles: pa.Array, ends: pa.Array) -> pa.Array:
         out = []
-        for clicks, k in zip(lists, tiles.to_pylist()):
-            first, last = max(k * tile, 1), min((k + 1) * tile - 1, last_idx)
+        for clicks, k, end in zip(lists, tiles.to_pylist(), ends.to_pylist()):
+            first, last = max(k * tile, 1), min((k + 1) * tile - 1, end)
             if first > last:
                 out.append([])
                 continue
@@ -47,4 +47,4 @@ def state_settings(
             out.append([{"pos": int(first + i), "opens": bool(state[i] > 0)} for i in kept])
         return pa.array(out, type=pa.list_(item))
 
-    return settings(places, tile_no)
+    return settings(places, tile_no, last_idx)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brinewave.session import cut_lineage
 
-BROADCAST_ROWS = 200_000  # rows of a few short columns, some tens of megabytes at most
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20  # of the rows as text
 
 
 def with_group_values(df: DataFrame, keys: Sequence[str], how: str = "inner", **values: Column) -> DataFrame:
@@ -31,9 +32,21 @@ def per_group(reduced: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Broadcast a side whose row count has been checked; larger ones are left to the join planner.
+    """Broadcast a side whose rows and bytes have been checked; larger ones are left to the join planner.
 
     The rows of `source` (default df) are counted: a table of which df is a
     projection and whose lineage is short, as after a checkpoint.
     """
-    return F.broadcast(df) if (source or df).count() <= BROADCAST_ROWS else df
+    table = source or df
+    if table.count() > BROADCAST_ROWS:
+        return df
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def with_lengths(df: DataFrame, n_samples: DataFrame | Column | int, name: str) -> DataFrame:
+    """df with its recording's length: one number, a column of df, or a table (recording_id, n_samples)."""
+    if isinstance(n_samples, DataFrame):
+        lengths = n_samples.select("recording_id", F.col("n_samples").cast("bigint").alias(name))
+        return df.join(lengths, "recording_id", "left")
+    return df.withColumn(name, n_samples if isinstance(n_samples, Column) else F.lit(n_samples).cast("bigint"))

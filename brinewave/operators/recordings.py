@@ -47,12 +47,16 @@ def noise_hits(blocks: DataFrame, fs: float, ref_channel: int, nfft_s: float, th
     return blk.noise_frames(frames, threshold)
 
 
-def detect_all(blocks: DataFrame, fs: float, n_samples: int, device: dict, tile_s: float = 60.0, noise_threshold: float = np.inf) -> Detections:
+def detect_all(blocks: DataFrame, fs: float, n_samples: DataFrame | int | None, device: dict, tile_s: float = 60.0, noise_threshold: float = np.inf) -> Detections:
     """Impulses, trains, tonal frames and segments, noise, and one counts row per recording.
 
-    All recordings of a call have the same rate and length limit (n_samples closes
-    what stays open). Detections are written once and read by everything after.
+    All recordings of a call have the same rate. n_samples closes what stays open: one number, a table
+    (recording_id, n_samples), or the lengths that the blocks have. Detections are written once and read by
+    everything after.
     """
+    if n_samples is None:
+        last = F.col("start_idx") + F.size("samples") - 1
+        n_samples = cut_lineage(blocks.groupBy(REC).agg(F.max(last).alias("n_samples")))
     tile = int(tile_s * fs)
     ref = device["ref_channel"]
     array = blocks.where(F.col("channel") <= len(device["sensors"]))

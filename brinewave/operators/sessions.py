@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brinewave.functions.density import state_settings
+from brinewave.operators.groups import with_lengths
 from brinewave.operators.tiles import TILE, add_tiles, tile_window
 from brinewave.session import cut_lineage
 
@@ -51,7 +52,7 @@ OPEN_ABOVE, CLOSE_BELOW = 0.01, 0.00001
 
 def density_segments(
     dets: DataFrame,
-    n_samples: int,
+    n_samples: DataFrame | int,
     tile: int,
     kernel_len: int = NFFT * FRAMES,
     sigma: float = SIGMA,
@@ -61,7 +62,8 @@ def density_segments(
     """Segments of the smoothed detection density.
 
     A segment opens at the first sample whose density is above `open_above` and
-    ends at the next one below `close_below`, or at n_samples when it stays open.
+    ends at the next one below `close_below`, or at n_samples (one for all, or a table
+    recording_id, n_samples) when it stays open.
     Density is defined on 1 .. n_samples - kernel_len. Each tile evaluates it from
     the detections within half a kernel and reports where the state is set; only
     its first and last settings meet other tiles.
@@ -69,19 +71,20 @@ def density_segments(
     half = kernel_len // 2 + 1
     seen = add_tiles(dets.select(REC, "idx"), "idx", tile, before=half, after=half)
     lists = seen.groupBy(REC, TILE).agg(F.sort_array(F.collect_set("idx")).alias("places"))
+    lists = with_lengths(lists, n_samples, "_length")
     settings = lists.select(
         REC,
         TILE,
         F.posexplode(
             state_settings(
-                F.col("places"), F.col(TILE), tile, n_samples - kernel_len, kernel_len, sigma, open_above, close_below
+                F.col("places"), F.col(TILE), tile, F.col("_length") - kernel_len, kernel_len, sigma, open_above, close_below
             )
         ).alias("seq", "s"),
     ).select(REC, TILE, "seq", "s.pos", "s.opens")
     return _paired_settings(settings, n_samples)
 
 
-def _paired_settings(settings: DataFrame, n_samples: int) -> DataFrame:
+def _paired_settings(settings: DataFrame, n_samples: DataFrame | int) -> DataFrame:
     """Open and close points (alternating within a tile) to segments."""
     inside = Window.partitionBy(REC, TILE).orderBy("seq")
     rows = settings.withColumn("_close", F.lead("pos").over(inside)).withColumn(
@@ -98,7 +101,6 @@ def _paired_settings(settings: DataFrame, n_samples: int) -> DataFrame:
         F.col("_prev").isNull() | (F.col("_prev") != F.col("opens"))
     )
     edge = edge.withColumn("_end", F.lead("pos").over(along)).where("opens")
-    joined = edge.select(
-        REC, F.col("pos").alias("start_idx"), F.coalesce("_end", F.lit(n_samples).cast("bigint")).alias("end_idx")
-    )
+    closed = with_lengths(edge, n_samples, "_length")
+    joined = closed.select(REC, F.col("pos").alias("start_idx"), F.coalesce("_end", "_length").alias("end_idx"))
     return inner.unionByName(joined)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brinewave.operators.groups import with_lengths
 from brinewave.operators.tiles import CORE, TILE, add_tiles, tile_window
 from brinewave.session import cut_lineage
 
@@ -77,12 +78,13 @@ def click_trains(
     min_len: int,
     interval: int,
     tile: int,
-    n_samples: Column | int,
+    n_samples: DataFrame | Column | int,
 ) -> DataFrame:
     """One row per train: start_idx, end_idx, last_member_idx, n_dets, level.
 
     end_idx is the first click after the train that is no member, or the length
-    of the recording where none follows. level is the highest peak.
+    of the recording where none follows (one for all, or a table recording_id, n_samples).
+    level is the highest peak.
     """
     order = tile_window([REC], "idx", "det_id")
     rows = train_members(dets, min_len, interval, tile)
@@ -126,8 +128,8 @@ def click_trains(
         )
         .select(*out)
     )
-    length = n_samples if isinstance(n_samples, Column) else F.lit(n_samples).cast("bigint")
-    return inner.unionByName(joined).withColumn("end_idx", F.coalesce("end_idx", length))
+    closed = with_lengths(inner.unionByName(joined), n_samples, "_length")
+    return closed.withColumn("end_idx", F.coalesce("end_idx", "_length")).drop("_length")
 
 
 def train_counts(trains: DataFrame) -> DataFrame:

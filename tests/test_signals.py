@@ -264,6 +264,23 @@ def test_whole_job(spark):
     assert len(spans) == 1 and spans[0][1] == n
 
 
+def test_lengths_of_their_own(spark):
+    from brinewave.operators import sessions, trains
+
+    clicks = [(rec, i, at, 1.0) for rec in (1, 2) for i, at in enumerate(range(100, 600, 50))]
+    dets = spark.createDataFrame(clicks, "recording_id long, det_id long, idx long, peak double")
+    lengths = spark.createDataFrame([(1, 700), (2, 5000)], "recording_id long, n_samples long")
+    assert {r.recording_id: r.end_idx for r in trains.click_trains(dets, 3, 300, 256, lengths).collect()} == {1: 700, 2: 5000}
+    for rec, n in ((1, 700), (2, 5000)):
+        both = {
+            (r.start_idx, r.end_idx)
+            for r in sessions.density_segments(dets, lengths, 256, 200, 0.3).collect()
+            if r.recording_id == rec
+        }
+        one = dets.where(f"recording_id = {rec}")
+        assert both == {(r.start_idx, r.end_idx) for r in sessions.density_segments(one, n, 256, 200, 0.3).collect()} and both
+
+
 def test_convert_and_verify(spark):
     rng = np.random.default_rng(7)
     counts = rng.integers(-2000, 2000, 4000)
