@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
+from brinewave.llm.rows import named, packed, unpacked
 from brinewave.session import cut_lineage
 
 CHUNK = 1 << 15
@@ -30,7 +31,9 @@ OVERLAP = 1 << 10
 #: No alternative of the pattern looks more than this many characters beyond a piece.
 LOOK = 3
 #: Encoded pieces that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Documents in one batch of results.
+ROWS = 200
 
 
 def default_ranks() -> str:
@@ -122,20 +125,22 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def replaced(df: DataFrame, column: str, new: str, kind: str, make) -> DataFrame:
-    """df with `column` replaced by `new`, make(values) of it, batch by batch within Arrow."""
+def replaced(df: DataFrame, column: str, new: list[str], make) -> DataFrame:
+    """df with `column` replaced by the binary columns `new`, which make()(value) gives as a tuple."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 i = part.schema.get_field_index(column)
-                yield part.set_column(i, new, pa.array([f(x.as_py()) for x in part.column(i)], kind))
+                found = list(zip(*(f(x.as_py()) for x in part.column(i))))
+                kept = [c for c in part.schema.names if c != column]
+                columns = [part.column(c) for c in kept] + [pa.array(x, pa.binary()) for x in found]
+                yield pa.RecordBatch.from_arrays(columns, kept + new)
 
-    spark_kind = {"binary": "binary"}[str(kind)]
-    schema = ", ".join(f"`{new}` {spark_kind}" if f.name == column else f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, schema)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != column]
+    return df.mapInArrow(run, ", ".join(kept + [f"`{c}` binary" for c in new]))
 
 
 def boundaries(text: str, split, start: int, last: bool) -> np.ndarray:
@@ -167,16 +172,25 @@ def chunk_ranges(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> D
 
 
 def encode(
-    docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str | None = None,
+    docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str | None = None, raw: str | None = None,
     pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP,
 ) -> DataFrame:
-    """docs with `ids` (packed little-endian unsigned 32-bit) for `text`."""
+    """docs with `ids` (packed little-endian unsigned 32-bit) for `text`; with `raw`, also the bytes that decoding them gives."""
     path = ranks or default_ranks()
-    rest = [c for c in docs.columns if c != text]
-    plain = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest") if rest else F.lit(None).cast("int").alias("rest"),
-                        F.coalesce(F.col(text), F.lit("")).alias("text"))
-    code = lambda: encoder(path, pattern).encode
-    short = replaced(plain.where(F.length("text") <= chunk), "text", "ids", pa.binary(), code)
+    rest = [c for c in docs.columns if c not in (text, ids, raw)]
+    new = ["ids", "raw"] if raw else ["ids"]
+
+    def code():
+        own = encoder(path, pattern)
+
+        def one(x: str | dict) -> tuple[bytes, ...]:
+            found = own.encode(x) if isinstance(x, str) else own.encode(x["text"], x["size"])
+            return (found, own.decode(found)) if raw else (found,)
+
+        return one
+
+    plain = docs.select(packed(rest), F.coalesce(named(text), F.lit("")).alias("text"))
+    short = replaced(plain.where(F.length("text") <= chunk), "text", new, code)
 
     long = cut_lineage(plain.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
     count = F.ceil(F.length("text") / chunk).cast("long")
@@ -189,16 +203,18 @@ def encode(
     piece = F.expr("substring(part, cast(sync - begin + 1 as int))").alias("text")
     stitched = ranges.join(lost, "row", "left_anti").select("row", "k", piece, (F.col("stop") - F.col("sync")).alias("size"))
     whole = long.join(lost, "row", "left_semi").select("row", F.lit(0).cast("long").alias("k"), "text", F.lit(None).cast("long").alias("size"))
-    ranged = stitched.unionByName(whole).select("row", "k", F.struct("text", "size").alias("text"))
-    coded = replaced(ranged, "text", "ids", pa.binary(), lambda: lambda x: encoder(path, pattern).encode(x["text"], x["size"]))
-    lists = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    joined = replaced(lists.select("row", F.col("parts.ids").alias("parts")), "parts", "ids", pa.binary(), lambda: b"".join)
-    everything = short.unionByName(long.drop("text").join(joined, "row").select("rest", "ids"))
-    return everything.select(*[F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(rest)], F.col("ids").alias(ids))
+    coded = replaced(stitched.unionByName(whole).select("row", "k", F.struct("text", "size").alias("text")), "text", new, code)
+    lists = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", *new))).alias("parts"))
+    columns = F.struct(*[F.col("parts")[c].alias(c) for c in new]).alias("parts")
+    joined = replaced(lists.select("row", columns), "parts", new, lambda: lambda x: tuple(b"".join(x[c]) for c in new))
+    everything = short.unionByName(long.drop("text").join(joined, "row").select("_row", *new))
+    return everything.select(*unpacked(rest), *[F.col(c).alias(n) for c, n in zip(new, [ids, raw])])
 
 
 def decode(encoded: DataFrame, ids: str = "ids", raw: str = "decoded", ranks: str | None = None) -> DataFrame:
-    """encoded with `raw`, the concatenated bytes of its tokens, beside the ids."""
+    """encoded with `raw`, the concatenated bytes of its tokens, instead of the ids."""
     path = ranks or default_ranks()
-    both = encoded.withColumn(raw, F.col(ids))
-    return replaced(both, raw, raw, pa.binary(), lambda: encoder(path, public_tokenizers.PATTERN).decode)
+    rest = [c for c in encoded.columns if c not in (ids, raw)]
+    rows = encoded.select(packed(rest), named(ids).alias("ids"))
+    back = replaced(rows, "ids", ["raw"], lambda: lambda x: (encoder(path, public_tokenizers.PATTERN).decode(x or b""),))
+    return back.select(*unpacked(rest), F.col("raw").alias(raw))

@@ -58,7 +58,7 @@ def op7_simhash(t: Tables) -> DataFrame:
 
 @query()
 def op2_bpe(t: Tables) -> DataFrame:
-    coded = bpe.decode(bpe.encode(t.documents.select("doc_id", "text")))
+    coded = bpe.encode(t.documents.select("doc_id", "text"), raw="decoded")
     return coded.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
