@@ -27,6 +27,20 @@ def _frames(x: np.ndarray, right: np.ndarray, start: int, nfft: int, hop: int):
     return first, np.concatenate([x, right])[skip : skip + (count - 1) * hop + nfft] if count else x[:0]
 
 
+def checked_start(blocks: DataFrame, nfft: int, hop: int) -> Column:
+    """start_idx; a job fails where the last frame of the block before needs more samples of this block than a halo has.
+
+    Halos are cut alike on both sides, so the left one tells what the block before had.
+    """
+    halo = F.size("left_halo") if "left_halo" in blocks.columns else F.lit(0)
+    right = F.size("right_halo") if "right_halo" in blocks.columns else F.lit(0)
+    before = F.col("start_idx") - 1
+    need = F.floor((before - 1) / hop) * hop + nfft - before
+    lost = (before > 0) & (need > halo) & (need <= F.size("samples") + right)
+    said = F.concat(F.lit("frames over the edge of a block need a halo of "), need.cast("string"), F.lit(" samples"))
+    return F.when(lost, F.raise_error(said).cast("bigint")).otherwise(F.col("start_idx"))
+
+
 def frame_spectra(
     blocks: DataFrame, nfft: int, fs: float, hop: int | None = None, window: str | None = None, amplitude: bool = False
 ) -> DataFrame:
@@ -57,7 +71,7 @@ def frame_spectra(
                 out.append([{"frame": first + i, "power": r} for i, r in enumerate(p)])
         return pa.array(out, type=row_type)
 
-    return blocks.select(*KEYS, F.inline(run(F.col("samples"), right_col, F.col("start_idx"))))
+    return blocks.select(*KEYS, F.inline(run(F.col("samples"), right_col, checked_start(blocks, nfft, hop))))
 
 
 def bin_frequency(bin_no: Column, fs: float, nfft: int) -> Column:
@@ -106,7 +120,7 @@ def _per_bin(blocks: DataFrame, nfft: int, hop: int, reduce, result: str, *, tap
                 values.append(np.zeros(0))
         return pa.StructArray.from_arrays([pa.array(counts, type=pa.int64()), kernels.lists_from(values)], names=["n", "v"])
 
-    reduced = blocks.select(*KEYS, run(F.col("samples"), right_col, F.col("start_idx")).alias("r"))
+    reduced = blocks.select(*KEYS, run(F.col("samples"), right_col, checked_start(blocks, nfft, hop)).alias("r"))
     return reduced.select(*KEYS, F.col("r.n").alias("n"), F.posexplode("r.v").alias("bin", result))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
@@ -47,6 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def job_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared folder; end_job deletes it."""
+    return f"{shared_dir(spark)}/brinewave/{spark.sparkContext.applicationId}"
+
+
+def end_job(spark: SparkSession) -> None:
+    """Delete the tables that this application has written on the way; frames that read them are of no use after it."""
+    system, path = fs.FileSystem.from_uri(folder) if "://" in (folder := job_dir(spark)) else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read that: it survives the loss of executors.
 
@@ -54,6 +67,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     need, and the planner knows the table's size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brinewave/{uuid.uuid4().hex}"
+    path = f"{job_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

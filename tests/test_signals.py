@@ -301,6 +301,14 @@ def test_short_halos_fail(spark, noise):
         blk.with_halos(blocks.drop("left_halo", "right_halo"), 200).collect()
 
 
+def test_frames_over_edges(spark, noise):
+    small = {(1, 1): noise[(1, 1)][:1030]}
+    assert spectra.frame_spectra(block_rows(spark, small, 100, 0), 50, 1000.0).count() == 20
+    assert len(spectra.frame_spectra(block_rows(spark, small, 128, 49), 50, 1000.0).collect()) == 20
+    with pytest.raises(Exception, match="need a halo"):
+        spectra.frame_spectra(block_rows(spark, small, 128, 10), 50, 1000.0).collect()
+
+
 @pytest.mark.parametrize("block_len", [100, 128, 777])
 def test_thinned_grid_is_the_recording_s(spark, noise, block_len):
     x = np.sin(np.arange(3000) / 400)

@@ -234,6 +234,16 @@ def test_pcm_by_uri_and_equal_names(spark, tmp_path):
     assert {r.recording_id for r in alone} == {"same"}
 
 
+def test_tables_end_with_the_job(spark):
+    from brinewave import session
+
+    kept = session.cut_lineage(spark.range(10))
+    assert kept.count() == 10 and os.path.isdir(session.job_dir(spark))
+    session.end_job(spark)
+    assert not os.path.exists(session.job_dir(spark))
+    session.end_job(spark)
+
+
 def test_tails_over_many_blocks(spark):
     from brinewave.sources import tails
 
