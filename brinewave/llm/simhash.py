@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from brinewave.llm.components import components, local_roots
+from brinewave.llm.rows import named, packed, unpacked
 from brinewave.session import cut_lineage
 
 SEED = 42
@@ -76,7 +77,7 @@ def band_choices(n: int, radius: int) -> list[int]:
     With b bands every choice of b - radius of them; the fewest bands whose choices
     hold enough bits for n nodes to meet 32 others by chance at most.
     """
-    for bands in range(radius + 1, radius + 5):
+    for bands in range(radius + 2, radius + 5):
         edges = [round(i * 64 / bands) for i in range(bands + 1)]
         parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
         masks = [sum(c) for c in itertools.combinations(parts, bands - radius)]
@@ -171,7 +172,7 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
 
 def classes(docs: DataFrame, key: str, text: str, width: int, radius: int) -> DataFrame:
     """_key, _same (a hash of the text), fp, root (smallest fingerprint reachable) and component_id for every row."""
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_same"), F.col(text).alias("text"))
+    rows = docs.select(named(key).alias("_key"), F.xxhash64(named(text)).alias("_same"), named(text).alias("text"))
     rows = cut_lineage(fingerprints(rows, width))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("_key").alias("_least")))
     roots = components(cut_lineage(links(nodes, radius)))
@@ -192,7 +193,9 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     first = found.groupBy("root").agg(F.min(order).alias("_c"))
     same = found.join(first, "root").where(F.col("_key").eqNullSafe(F.col("_c.k")) & (F.col("_same") == F.col("_c.s")))
     chosen = cut_lineage(same.groupBy("_key", "_same").agg(F.count(F.lit(1)).alias("_n")))
-    on = docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_same"))
+    names = docs.columns
+    rows = docs.select(packed(names), named(key).alias("_k"), F.xxhash64(named(text)).alias("_s"))
+    on = F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_same"))
     one, more = chosen.where("_n = 1"), chosen.where("_n > 1")
-    repeated = docs.join(more, on, "left_semi").withColumn("_same", F.xxhash64(text)).dropDuplicates([key, "_same"])
-    return docs.join(one, on, "left_semi").unionByName(repeated.drop("_same"))
+    repeated = rows.join(more, on, "left_semi").dropDuplicates(["_k", "_s"])
+    return rows.join(one, on, "left_semi").unionByName(repeated).select(*unpacked(names))
