@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from brinewave.session import shared_dir
+from brinewave.session import job_dir
 
 SENT = "part int, batch long, keys binary, counts binary"
 LONG, BIN = pa.int64(), pa.binary()
@@ -32,7 +32,7 @@ def staged(batches: DataFrame, buckets: int) -> DataFrame:
     """Batches written as a table bucketed by `batch` in the shared folder."""
     spark = batches.sparkSession
     name = f"stage_{uuid.uuid4().hex}"
-    write = batches.write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", f"{shared_dir(spark)}/brinewave/{name}")
+    write = batches.write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", f"{job_dir(spark)}/{name}")
     write.saveAsTable(name)
     return spark.table(name)
 
