@@ -247,7 +247,7 @@ def test_seating_counts():
         tables.sweep(rate)
         assert (tables.h >= 0).all() and (tables.t[c > 0] >= 1).all() and (tables.t <= c).all()
         small = tables.h[:, :-1] @ np.arange(1, pitman_yor.SIZES)
-        assert (small[:5] <= c[:5]).all()
+        assert (small[:3] <= tables.c[:3]).all() and tables.t[1] == 1
 
 
 def test_toxicity(spark, docs, empty, labels):
