@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +26,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from brinewave.session import shared_dir
+from brinewave.session import cut_lineage, job_dir
 
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 1 << 22
-REMEMBERED = 500_000
+#: Stretches that a worker remembers, some 200 bytes each.
+REMEMBERED = 800_000
+# white space other than the space, in Unicode (and what Python counts to it)
+BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
+MARKS = ".,;:!?"
+LETTERS_UNTIL = "\u2000"
 ROWS = "shard long, keys array<long>, lengths array<long>, tokens long, file binary"
 
 
@@ -151,32 +156,67 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.levels = max(2, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = "<u2" if self.levels <= 16 else "<u4"
-        self.close, self.split = re.compile(r"\s | \s").search, re.compile(r"(?<=\S) (?=\S)").split
+        self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        parts = self.split(text) if self.close(text) else text.split(" ")
-        first, rest = self._ids(parts[:1]), parts[1:]
+        parts = self.split(text) if spaces_touch(text) else text.split(" ")
+        first, rest = self._ids(parts[0]) if parts[0] else b"", parts[1:]
         try:
             return first + b"".join(map(self.known.__getitem__, rest))
         except KeyError:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = list(set(rest).difference(self.known))
-            found = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(new, found))
+            self._learn(set(rest).difference(self.known))
             return first + b"".join(map(self.known.__getitem__, rest))
 
-    def _ids(self, texts: list[str]) -> bytes:
-        return b"".join(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in texts)
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new stretches. Letters and the marks after them are two pre-tokens, so marks are asked for on their own."""
+        marked: list[tuple[str, str]] = []
+        plain: set[str] = set()
+        for part in new:
+            core = part.rstrip(MARKS)
+            if core != part and core.isalpha() and max(core) < LETTERS_UNTIL:
+                marked.append((part, core))
+                if core not in self.known:
+                    plain.add(core)
+            else:
+                plain.add(part)
+        asked = list(plain)
+        found = self.tokenizer.encode_batch_fast([" " + p for p in asked], add_special_tokens=False)
+        code = "H" if self.levels <= 16 else "I"
+        self.known.update((p, array(code, e.ids).tobytes()) for p, e in zip(asked, found))
+        for part, core in marked:
+            tail = part[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._ids(tail)
+            self.known[part] = self.known[core] + self.tails[tail]
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+
+def spaces_touch(text: str) -> bool:
+    """True if a space has white space beside it."""
+    return "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in BLANKS)
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
+def tokens(path: str) -> Tokens:
+    """One for each worker process, which keeps what it remembers from task to task."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
 def _shards(path: str, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _TOKENS.get(path) or _TOKENS.setdefault(path, Tokens(path))
+        coder = tokens(path)
         last = np.array([end], coder.kind).tobytes()
         first, width = TaskContext.get().partitionId() << 32, np.dtype(coder.kind).itemsize
         keys: list[int | None] = []
@@ -241,13 +281,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     table = spark.read.schema(ROWS).parquet(folder)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = table.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
+    starts = cut_lineage(table.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before")))
     rows = table.mapInArrow(documents, "shard long, doc_id long, place long, n_tokens long, ids binary")
     return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
 def write_and_read(docs: DataFrame, **options) -> DataFrame:
     """Write to a new folder in the shared one and read that back."""
-    folder = f"{shared_dir(docs.sparkSession)}/brinewave/wavelet-{uuid.uuid4().hex}"
+    folder = f"{job_dir(docs.sparkSession)}/wavelet-{uuid.uuid4().hex}"
     write(docs, folder, **options)
     return read(docs.sparkSession, folder)
