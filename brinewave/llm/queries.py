@@ -87,9 +87,9 @@ def _kind(kind: str):
 @query()
 def op8_sanitising(t: Tables) -> DataFrame:
     found = sanitising.find(t.documents, keep=["doc_id"])
-    base = F.filter("_spans", lambda s: s["kind"] != "term")
-    counts = [F.size(F.filter("_spans", _kind(k))).cast("long").alias(f"n_{k}") for k in sanitising.KINDS]
-    return found.select("doc_id", *counts, F.sha2(sanitising.described(base), 256).alias("base_sha256"), sanitising.described(F.col("_spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    counts = [F.size(F.filter("spans", _kind(k))).cast("long").alias(f"n_{k}") for k in sanitising.KINDS]
+    return found.select("doc_id", *counts, F.sha2(sanitising.described(base), 256).alias("base_sha256"), sanitising.described(F.col("spans")).alias("spans"))
 
 
 @query()

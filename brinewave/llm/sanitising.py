@@ -6,19 +6,21 @@ written so that they never try a place twice (possessive, with the start of a ru
 changes no match.
 
 The rest is information-theoretic: a protected value e (an e-mail address, ...) has the
-information content log(D/n(e)) over D distinct texts; a term t near its mentions
+information content log(D/n(e)) over D documents; a term t near its mentions
 discloses log(n(t,e) D / (n(t) n(e))) of it. Where that is at least `share` of the content,
-with `support` distinct texts as evidence, every occurrence of t in texts that mention e is a
-span of kind `term`. Counts are over all texts, equal texts counting once.
+with `support` different texts as evidence, every occurrence of t in texts that mention e is a
+span of kind `term`. Counts are over all documents; each term is counted in every text that
+has it, before anything is known of the values, so the work grows with the texts alone.
 
 A null text counts as empty. Repeated rows get equal spans. Empty tables give no rows. Columns
-of the input may have any name but `_same`, `_spans` and `_terms`.
+of the input may have any name: whole rows are carried beside the work.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brinewave.llm.rows import field, named, packed, unpacked, with_length
 from brinewave.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -91,55 +93,56 @@ def base_spans(text: Column) -> Column:
 
 
 def with_base(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, _same (a digest of the text), _spans and _terms: the words near each span. Written once."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, body.alias("_body")).withColumn("_spans", base_spans(F.col("_body")))
+    """_row (the kept columns), _same (a digest of the text), _spans and _terms: the words near each span. Written once."""
+    body = F.coalesce(named(text), F.lit(""))
+    rows = docs.select(packed(keep), body.alias("_body")).withColumn("_spans", base_spans(F.col("_body")))
     left = lambda s: F.substring("_body", F.greatest(F.lit(1), s["start"] - NEAR + 1), F.least(s["start"], F.lit(NEAR)))
     right = lambda s: F.substring("_body", s["end"] + 1, F.lit(NEAR))
     cut_left = lambda s: F.when(s["start"] > NEAR, F.regexp_replace(left(s), r"\A\p{L}+", "")).otherwise(left(s))
     cut_right = lambda s: F.when(s["end"] + NEAR < F.length("_body"), F.regexp_replace(right(s), r"\p{L}+\z", "")).otherwise(right(s))
     words = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", cut_left(s), cut_right(s))), F.lit(TERM), F.lit(0)))
     near = F.transform("_spans", lambda s: F.struct(s["value"].alias("value"), words(s).alias("terms")))
-    return cut_lineage(rows.select(*keep, F.md5("_body").alias("_same"), "_spans", near.alias("_terms")))
+    return cut_lineage(rows.select("_row", F.md5("_body").alias("_same"), "_spans", near.alias("_terms")))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, support: int, share: float) -> DataFrame:
     """_same, terms: the terms to protect in each text that mentions what they disclose."""
-    told = base.where(F.size("_terms") > 0).select("_same", "_terms").distinct()
-    mentions = told.select("_same", F.explode("_terms").alias("m")).select("_same", "m.value", "m.terms")
-    values = mentions.select("_same", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_e"))
-    values = values.where(F.col("n_e") >= support)
-    pairs = mentions.join(values, "value").select("_same", "value", "n_e", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("value", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    pairs = cut_lineage(pairs.where(F.col("n_te") >= support))
-    terms = cut_lineage(pairs.select("term").distinct())
-
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))
-    texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_same"), F.explode(words).alias("term"))
-    held = texts.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = base.select("_same").distinct().agg(F.count(F.lit(1)).alias("d"))
-    d = F.col("d").cast("double")
+    told = base.where(F.size("_terms") > 0).groupBy("_same", "_terms").agg(F.count(F.lit(1)).alias("copies"))
+    mentions = cut_lineage(told.select("_same", "copies", F.explode("_terms").alias("m")).select("_same", "copies", "m.value", "m.terms"))
+    once = mentions.select("_same", "copies", "value").distinct()
+    values = once.groupBy("value").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    near = mentions.join(values.select("value", "n_e"), "value").select("_same", "copies", "value", "n_e", F.explode("terms").alias("term")).distinct()
+    pairs = near.groupBy("value", "n_e", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+    pairs = cut_lineage(pairs.where(F.col("texts") >= support).drop("texts"))
+
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(named(text), F.lit(""))), F.lit(TERM), F.lit(0)))
+    held = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    d = F.lit(float(base.count()))
     content = F.log(d / F.col("n_e"))
     told_by = F.log(F.col("n_te") * d / (F.col("n_t") * F.col("n_e")))
-    counted = pairs.join(held, "term").withColumn("d", F.lit(total.first()[0]))
-    flagged = counted.where((content > 0) & (told_by >= share * content)).select("value", "term")
-    found = mentions.select("_same", "value").distinct().join(flagged, "value")
+    flagged = pairs.join(held, "term").where((content > 0) & (told_by >= share * content)).select("value", "term")
+    found = once.select("_same", "value").join(flagged, "value")
     return found.groupBy("_same").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def find(
-    docs: DataFrame, text: str = "text", keep: list[str] | None = None, support: int = SUPPORT, share: float = SHARE
-) -> DataFrame:
-    """keep (all columns unless given) and _spans: kind, start, end (code points, exclusive) and value of every span."""
-    keep = docs.columns if keep is None else keep
+def spanned(docs: DataFrame, text: str, keep: list[str], support: int, share: float) -> DataFrame:
+    """_row (the kept columns) and _spans."""
     base = with_base(docs, text, keep)
     terms = cut_lineage(disclosing_terms(docs, base, text, support, share))
-    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_body")).withColumn("_same", F.md5("_body"))
+    bodies = docs.select(F.coalesce(named(text), F.lit("")).alias("_body")).withColumn("_same", F.md5("_body"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     hits = bodies.join(terms, "_same").select("_same", marked_spans(F.col("_body"), pattern, "term").alias("_more"))
     more = cut_lineage(hits.dropDuplicates(["_same"]))
     both = base.join(more, "_same", "left")
-    return both.select(*keep, F.concat("_spans", F.coalesce("_more", F.array().cast(SPAN))).alias("_spans"))
+    return both.select("_row", F.concat("_spans", F.coalesce("_more", F.array().cast(SPAN))).alias("_spans"))
+
+
+def find(
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, support: int = SUPPORT, share: float = SHARE, spans: str = "spans"
+) -> DataFrame:
+    """keep (all columns unless given) and `spans`: kind, start, end (code points, exclusive) and value of every span."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != spans]
+    return spanned(docs, text, keep, support, share).select(*unpacked(keep), F.col("_spans").alias(spans))
 
 
 def described(spans: Column) -> Column:
@@ -147,19 +150,18 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitised(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def sanitised(docs: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """docs with every span of `text` generalised to its kind in brackets; spans that overlap become one."""
-    found = find(docs, text, **options)
+    names = docs.columns
+    found = spanned(docs, text, names, support, share)
+    body = field(names, text)
     line = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        fresh = F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    ended = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    new = F.when(F.size("_spans") > 0, F.aggregate(line, start, step, ended)).otherwise(F.col(text))
-    out = found.withColumn(text, new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    ended = lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body)))
+    new = F.when(F.size("_spans") > 0, F.aggregate(line, start, step, ended)).otherwise(body)
+    return found.select(*unpacked(names, **with_length(names, new, text, docs)))
