@@ -28,11 +28,11 @@ BACK_ARROW = pa.schema([("batch", LONG), ("part", pa.int32()), ("totals", BIN)])
 PART_BYTES = 16 << 20
 
 
-def staged(batches: DataFrame, buckets: int) -> DataFrame:
-    """Batches written as a table bucketed by `batch` in the shared folder."""
+def staged(batches: DataFrame, buckets: int, by: str = "batch") -> DataFrame:
+    """Batches written as a table bucketed by `by` in the shared folder."""
     spark = batches.sparkSession
     name = f"stage_{uuid.uuid4().hex}"
-    write = batches.write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", f"{job_dir(spark)}/{name}")
+    write = batches.write.bucketBy(buckets, by).option("compression", "zstd").option("path", f"{job_dir(spark)}/{name}")
     write.saveAsTable(name)
     return spark.table(name)
 

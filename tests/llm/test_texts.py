@@ -217,6 +217,19 @@ def test_scores(docs, empty, monkeypatch):
     assert pitman_yor.score(empty).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    """Hot words are split over parts, their parents are not."""
+    rng = np.random.default_rng(3)
+    word = (rng.random(60_000) ** 3 * 400).astype(int)
+    follows = np.where(rng.random(len(word)) < 0.5, np.roll(word, 1) * 7 % 400, word)
+    table = spark.createDataFrame([(i, " ".join(f"w{x}" for x in follows[i::300])) for i in range(300)], "doc_id long, text string")
+    found = []
+    for parts in (1, 40):
+        monkeypatch.setattr(pitman_yor.ex, "sizes", lambda spark, size, parts=parts: (parts, 8))
+        found.append({r.held_out: r.perplexity for r in pitman_yor.perplexity(pitman_yor.score(table)).collect()})
+    assert found[1][False] == pytest.approx(found[0][False], rel=0.01) and found[1][True] == pytest.approx(found[0][True], rel=0.01)
+
+
 def test_probabilities_sum_to_one():
     """Over all known words and the unknown one, in every context that occurs."""
     rng = random.Random(5)
