@@ -263,6 +263,40 @@ def test_seating_counts():
         assert (small[:3] <= tables.c[:3]).all() and tables.t[1] == 1
 
 
+def test_a_sweep_seats_whole_dishes():
+    """A sweep gives the distribution over all ways to seat a dish's customers."""
+
+    def ways(n: int) -> list[list[int]]:
+        if n == 1:
+            return [[1]]
+        return [x for w in ways(n - 1) for x in [w + [1], *([*w[:i], w[i] + 1, *w[i + 1 :]] for i in range(len(w)))]]
+
+    near, grow, parent, d, n = 2.0, 0.75, 0.2, 0.75, 200_000
+    want = np.zeros(8)
+    for w in ways(7):
+        want[len(w)] += np.prod([near + grow * k for k in range(len(w))]) * parent ** len(w) * np.prod([j - d for size in w for j in range(1, size)])
+    rng = np.random.default_rng(2)
+    t = pitman_yor.reseated(np.full(n, 7.0), np.full(n, near), grow, np.full(n, parent), d, rng)
+    assert np.bincount(t.astype(int), minlength=8) / n == pytest.approx(want / want.sum(), abs=0.005)
+
+
+@pytest.mark.parametrize("discount", [pitman_yor.DISCOUNT, pitman_yor.PARENT_DISCOUNT])
+def test_sweeps_of_large_dishes(discount, monkeypatch):
+    """The approximation against the exact distribution, for few tables and for many."""
+    rng, n = np.random.default_rng(2), 4000
+    for near, parent in ((9.0, 0.1), (400.0, 0.05), (3000.0, 0.1), (20_000.0, 0.2)):
+        drawn = []
+        for exact in (1024, 500):
+            monkeypatch.setattr(pitman_yor, "EXACT", exact)
+            monkeypatch.setattr(pitman_yor, "_STIRLING", {})
+            drawn.append(pitman_yor.reseated(np.full(n, 1000.0), np.full(n, near), discount, np.full(n, parent), discount, rng))
+        assert drawn[1].mean() == pytest.approx(drawn[0].mean(), rel=0.02, abs=0.1), (near, parent)
+        assert drawn[1].std() == pytest.approx(drawn[0].std(), rel=0.1, abs=0.1), (near, parent)
+    c = np.array([0.0, 1, 2, 70, 1024, 1025, 10**6])
+    t = pitman_yor.reseated(c, np.full(7, 9.0), discount, np.full(7, 0.1), discount, rng)
+    assert (t[:2] == c[:2]).all() and (t[2:] >= 1).all() and (t <= c).all()
+
+
 def test_toxicity(spark, docs, empty, labels):
     rng = random.Random(6)
     rows = []
