@@ -1,4 +1,7 @@
-"""Removal of byte strings that occur again, by bucket-pointer refinement of suffixes.
+"""Removal of byte strings that occur again, by counts of hashed window names.
+
+The idea of buckets that are refined is from bucket-pointer refinement, but nothing is sorted across documents and no
+bucket's number comes from another's update: names are hashes of contents, all made within a batch (see README).
 
 A bucket of suffixes is named by what they share: the name at depth 2d is made of the names at
 depth d here and d later, so every level reuses the one before (25, 50, 100, `LENGTH` = 200
