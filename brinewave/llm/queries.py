@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import bpe, mixing, pitman_yor, sanitising, simhash, stable_projections, suffixes, toxicity, va_file, vector_blocks, wavelet
+from brinewave.llm import bpe, frames, mixing, pitman_yor, sanitising, simhash, stable_projections, suffixes, toxicity, va_file, vector_blocks, wavelet
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,25 @@ def op3_suffixes(t: Tables) -> DataFrame:
 @query()
 def op5_pitman_yor(t: Tables) -> DataFrame:
     return pitman_yor.score(t.documents)
+
+
+@query(
+    sql="""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+         g AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                      CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+         c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                           WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+         s AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS z FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m
+                            ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM s
+    """
+)
+def op11_frames(t: Tables) -> DataFrame:
+    made = frames.fill_in_middle(frames.store(t.documents.select("doc_id", "text")))
+    digests = [frames.digest("filled").alias("output_sha256"), frames.restored_digest("filled", "form").alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
