@@ -246,9 +246,10 @@ def _group(key: Column, i: int) -> Column:
 
 
 def fill_in_middle(stored: DataFrame, key: str = "doc_id", plain_from: int = 90, spm_below: int = 20, frame: int = FRAME) -> DataFrame:
-    """Stored documents with form, prefix_chars, middle_chars (null if plain) and `filled`, the output's frames, written.
+    """Stored documents with form, prefix_chars, middle_chars (null if plain) and `filled`, the output's frames.
 
-    Cuts and forms follow from the key's hash alone, so that reruns agree.
+    Cuts and forms follow from the key's hash alone, so that reruns agree. Nothing is written here: the frames of
+    the store are read and rearranged as the output is asked for.
     """
     h = [_group(named(key), i) for i in range(4)]
     cuts = [h[i] % (F.col("n") + 1) for i in (0, 1)]
@@ -260,11 +261,10 @@ def fill_in_middle(stored: DataFrame, key: str = "doc_id", plain_from: int = 90,
     ready = stored.select(*others, "n", "stored", cut)
     moved = F.col("_cut.form") != "plain"
     made = _rearranged(frame)(F.col("stored"), F.col("_cut.form"), F.col("_cut.first"), F.col("_cut.second"))
-    done = ready.select(
+    return ready.select(
         *[named(c) for c in ready.columns if c not in ("stored", "_cut")],
         F.col("_cut.form").alias("form"),
         F.when(moved, F.col("_cut.first")).alias("prefix_chars"),
         F.when(moved, F.col("_cut.second") - F.col("_cut.first")).alias("middle_chars"),
         made.alias("filled"),
     )
-    return cut_lineage(done)
