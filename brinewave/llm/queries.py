@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewave.llm import bpe, frames, mixing, pitman_yor, sanitising, simhash, stable_projections, suffixes, toxicity, va_file, vector_blocks, wavelet
+from brinewave.llm import bpe, conversations, frames, mixing, pitman_yor, sanitising, simhash, stable_projections, suffixes, toxicity, va_file, vector_blocks, warc, wavelet
 from brinewave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,24 @@ def op11_frames(t: Tables) -> DataFrame:
     made = frames.fill_in_middle(frames.store(t.documents.select("doc_id", "text")))
     digests = [frames.digest("filled").alias("output_sha256"), frames.restored_digest("filled", "form").alias("restored_sha256")]
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query()
+def op12_hirschberg(t: Tables) -> DataFrame:
+    found = conversations.repair(conversations.damage(t.conversations)).conversations
+    return found.select(F.col("conv").alias("conv_id"), *conversations.COUNTS, "audit", F.col("digest").alias("repaired_sha256"))
+
+
+@query(
+    sql="""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+         b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                      CAST((CAST('0x' || substring(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS d,
+                      row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS k, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, payload_bytes, d AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN k > 1 THEN first END AS refers_to
+    FROM b
+    """
+)
+def op13_warc(t: Tables) -> DataFrame:
+    return warc.write_and_read(t.pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
