@@ -35,6 +35,13 @@ def lists_from(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.float64()))
 
 
+def structs_from(lengths: list[int], **columns: list[np.ndarray]) -> pa.Array:
+    """A column array<struct<...>>: one list per entry of `lengths`, its fields as flat numpy arrays."""
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    flat = [pa.array(np.concatenate(parts) if parts else np.zeros(0)) for parts in columns.values()]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(flat, names=list(columns)))
+
+
 def fast_length(n: int) -> int:
     """Smallest length of the form 2^a 3^b 5^c that is at least n."""
     best = 1 << max(n - 1, 0).bit_length()
@@ -48,6 +55,12 @@ def fast_length(n: int) -> int:
     return best
 
 
+def frame_length(seconds: float, fs: float) -> int:
+    """Samples of a spectrum frame: the smallest length of the form 2^a 3^b 5^c 7^d that lasts at least so long."""
+    n = int(np.ceil(seconds * fs - 1e-9))
+    return min(7**k * fast_length(-(-n // 7**k)) for k in range(max(n, 1).bit_length()))
+
+
 def sliding_max(x: np.ndarray, width: int) -> np.ndarray:
     """Maximum of x[i : i + width] for every full window, in linear time."""
     n = len(x) - width + 1
@@ -93,6 +106,33 @@ def butterworth_gain(freq: np.ndarray, fs: float, low: float, high: float, order
         return 1 / (1 + np.abs(ratio) ** (2 * order))
 
 
+def pole_radius(fs: float, low: float, high: float, order: int, stop: bool = False) -> float:
+    """Largest distance from zero of the poles of a digital Butterworth filter: how slowly it forgets."""
+    k = np.arange(order)
+    pole = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
+    w1, w2 = (np.tan(np.pi * min(max(f, 0.0), fs / 2 * (1 - 1e-12)) / fs) for f in (low, min(high, fs / 2)))
+    if low <= 0:
+        s = pole * w2
+    elif np.isinf(high) or high >= fs / 2:
+        s = w1 / pole
+    else:
+        half = (w2 - w1) / (2 * pole) if stop else pole * (w2 - w1) / 2
+        root = np.sqrt(half**2 - w1 * w2)
+        s = np.concatenate([half + root, half - root])
+    return float(np.abs((1 + s) / (1 - s)).max())
+
+
+SETTLED = 1e-6  # fixed value: the share of full scale that a filter may still ring with
+
+
+def settling_length(fs: float, band, stops=(), order: int = 4) -> int:
+    """Samples after which the slowest pole of a filter has decayed to SETTLED; 0 for an open band."""
+    low, high = band
+    radii = [pole_radius(fs, low, high, order)] if low > 0 or not np.isinf(high) else []
+    radii += [pole_radius(fs, s[0], s[1], order, stop=True) for s in stops]
+    return max((int(np.ceil(np.log(SETTLED) / np.log(r))) if 0 < r < 1 else 1 for r in radii), default=0)
+
+
 def band_gain(freq, fs, band, stops, order) -> np.ndarray:
     gain = np.ones(len(freq))
     low, high = band

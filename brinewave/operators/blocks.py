@@ -39,16 +39,18 @@ def from_samples(samples: DataFrame, block_len: int, halo: int = 0) -> DataFrame
     ).where(F.size("samples") > 0)
 
 
-def needs_halo(blocks: DataFrame, n: int, why: str) -> DataFrame:
+def needs_halo(blocks: DataFrame, n: int | Column, why: str) -> DataFrame:
     """The same blocks; a job over them fails where an inner edge has less than n samples of halo.
 
     Halos are cut alike on both sides, so the left one tells: it is short only
-    where the recording begins.
+    where the recording begins. Rows of all channels state theirs in `before`.
     """
-    have, want = F.size("left_halo"), F.least(F.lit(n).cast("bigint"), F.col("start_idx") - 1)
-    said = F.concat(F.lit(f"{why} needs a halo of {n} samples; a block has "), have.cast("string"))
-    short = F.raise_error(said).cast("array<double>")
-    return blocks.withColumn("left_halo", F.when(have < want, short).otherwise(F.col("left_halo")))
+    column, kind = ("before", "int") if "before" in blocks.columns else ("left_halo", "array<double>")
+    have = F.col("before") if column == "before" else F.size("left_halo")
+    need = (n if isinstance(n, Column) else F.lit(n)).cast("bigint")
+    want = F.least(need, F.col("start_idx") - 1)
+    said = F.concat(F.lit(f"{why} needs a halo of "), need.cast("string"), F.lit(" samples; a block has "), have.cast("string"))
+    return blocks.withColumn(column, F.when(have < want, F.raise_error(said).cast(kind)).otherwise(F.col(column)))
 
 
 def with_halos(blocks: DataFrame, halo: int) -> DataFrame:
@@ -91,6 +93,29 @@ def with_halos(blocks: DataFrame, halo: int) -> DataFrame:
     )
 
 
+def wide(blocks: DataFrame) -> DataFrame:
+    """Blocks with halos to rows that hold all channels (`schemas.WIDE_BLOCKS`); one shuffle, to be stored once.
+
+    The PCM source gives such rows without one.
+    """
+    entry = F.struct("channel", F.concat("left_halo", "samples", "right_halo").alias("samples"))
+    one = lambda c: F.first(c).cast("int")
+    return blocks.groupBy(REC, "block_id", "start_idx").agg(
+        one(F.size("left_halo")).alias("before"), one(F.size("samples")).alias("size"), F.sort_array(F.collect_list(entry)).alias("channels")
+    )
+
+
+def narrow(wide: DataFrame) -> DataFrame:
+    """Rows of all channels to one row per channel, without a shuffle."""
+    kept = [c for c in wide.columns if c not in ("channels", "before", "size")]
+    rows = wide.select(*kept, "before", "size", F.inline("channels"))
+    end = F.col("before") + F.col("size")
+    return rows.select(
+        *kept, "channel", F.slice("samples", F.col("before") + 1, F.col("size")).alias("samples"),
+        F.slice("samples", F.lit(1), F.col("before")).alias("left_halo"), F.slice("samples", end + 1, F.size("samples") - end).alias("right_halo"),
+    )
+
+
 def to_samples(blocks: DataFrame, column: str = "samples", first: str = "start_idx") -> DataFrame:
     """One row per sample; for sparse windows and small data."""
     kept = [c for c in blocks.columns if c not in (column, first, "samples", "left_halo", "right_halo", "block_id")]
@@ -234,8 +259,8 @@ def peaks_in_blocks(blocks: DataFrame, dist: int) -> DataFrame:
         for x, before, n in _padded(left, mid, right):
             at = kernels.local_peaks(x, dist)
             at = at[(at >= before) & (at < before + n)]
-            out.append([{"at": int(i - before), "peak": float(x[i])} for i in at])
-        return pa.array(out, type=pa.list_(pa.struct([("at", pa.int64()), ("peak", pa.float64())])))
+            out.append((at - before, x[at]))
+        return kernels.structs_from([len(at) for at, _ in out], at=[at for at, _ in out], peak=[x for _, x in out])
 
     held = needs_halo(blocks, dist, "a peak search")
     found = held.select(*KEYS, "start_idx", F.inline(run("left_halo", "samples", "right_halo")))
@@ -255,9 +280,9 @@ def frame_energy(blocks: DataFrame, frame_len: int, n_samples: DataFrame | None
             frame = (np.arange(len(x)) + s - 1) // frame_len
             cuts = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1))
             sums = np.add.reduceat(x * x, cuts)
-            counts = np.diff(np.append(cuts, len(x)))
-            out.append([{"frame": int(frame[c]), "n": int(k), "e": float(e)} for c, k, e in zip(cuts, counts, sums)])
-        return pa.array(out, type=pa.list_(pa.struct([("frame", pa.int64()), ("n", pa.int64()), ("e", pa.float64())])))
+            out.append((frame[cuts], np.diff(np.append(cuts, len(x))), sums))
+        frames, counts, energies = zip(*out) if out else ((), (), ())
+        return kernels.structs_from([len(f) for f in frames], frame=list(frames), n=list(counts), e=list(energies))
 
     rows = blocks.select(*KEYS, F.inline(parts("samples", "start_idx")))
     summed = rows.groupBy(*KEYS, "frame").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
@@ -267,7 +292,7 @@ def frame_energy(blocks: DataFrame, frame_len: int, n_samples: DataFrame | None
 def noise_frames(frames: DataFrame, threshold: float, drop_last: bool = True) -> DataFrame:
     """Frames whose energy is above the threshold; the last one of a recording is dropped as an option.
 
-    An infinite threshold turns the detector off: no rows (its count is -1, see noise_counts).
+    An infinite threshold turns the detector off: no rows (its count is then -1).
     """
     hits = frames.where(F.col("energy") > threshold)
     if not drop_last:
@@ -275,10 +300,3 @@ def noise_frames(frames: DataFrame, threshold: float, drop_last: bool = True) ->
     last = hits.groupBy(REC).agg(F.max("frame").alias("_last"))
     return hits.join(last, REC).where(F.col("frame") < F.col("_last")).drop("_last")
 
-
-def noise_counts(recordings: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
-    """Noise frames per recording, -1 where the detector is off."""
-    if np.isinf(threshold):
-        return recordings.select(REC, F.lit(-1).cast("bigint").alias("num_noise"))
-    counted = hits.groupBy(REC).agg(F.count("*").alias("num_noise"))
-    return recordings.select(REC).join(counted, REC, "left").withColumn("num_noise", F.coalesce("num_noise", F.lit(0).cast("bigint")))

@@ -1,9 +1,13 @@
 """Filters and envelopes on blocks with halos.
 
 A block is filtered together with its halos and the halos are dropped, so the
-result does not depend on how a recording is cut as long as the halo is longer
-than the filter's settling time. Bands that settle slowly (a few hertz at a high
-rate) do not fit any halo: those go through `slow_band`.
+result does not depend on how a recording is cut: a job fails where an inner edge has a
+halo shorter than the filter's settling length, which follows from its slowest pole
+(`kernels.settling_length`). Bands that settle slowly (a few hertz at a high rate) fit no
+halo of samples: those run on a thinned series (`recordings.noise_hits`).
+
+An envelope settles as its filter does if the band excludes 0 Hz; the envelope of a signal
+with a constant part has no such bound.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ def filter_blocks(
     """Zero-phase band filter, optionally the envelope of the result.
 
     With keep_halo the output keeps that many filtered samples on both sides, so
-    that a peak search can follow without another shuffle.
+    that a peak search can follow without another shuffle. Halos must cover it and the filter's settling length.
     """
+    held = settled(blocks, fs, band, stops, order, keep_halo)
 
     @F.arrow_udf("struct<l: array<double>, m: array<double>, r: array<double>>")
     def run(left: pa.Array, mid: pa.Array, right: pa.Array) -> pa.Array:
@@ -44,25 +49,31 @@ def filter_blocks(
             parts[2].append(y[before + n : before + n + keep_halo])
         return pa.StructArray.from_arrays([kernels.lists_from(p) for p in parts], names=["l", "m", "r"])
 
-    held = needs_halo(blocks, keep_halo, "a filter that keeps its halo") if keep_halo else blocks
     done = held.withColumn("_f", run("left_halo", "samples", "right_halo"))
     return done.withColumns(
         {"left_halo": F.col("_f.l"), "samples": F.col("_f.m"), "right_halo": F.col("_f.r")}
     ).drop("_f")
 
 
-def envelope_lowpassed(blocks: DataFrame, fs: float, limit: float = ENVELOPE_LIMIT) -> DataFrame:
-    """Envelope of the block and its halos, then low-passed."""
+def settled(blocks: DataFrame, fs: float, band, stops=(), order: int = ORDER, more: int = 0) -> DataFrame:
+    """The same blocks; a job fails where an inner edge has a halo shorter than the filter's settling length and `more`."""
+    need = kernels.settling_length(fs, band, stops, order) + more
+    return needs_halo(blocks, need, f"a filter that settles in {need - more} samples") if need else blocks
+
+
+def envelope_lowpassed(blocks: DataFrame, fs: float, limit: float = ENVELOPE_LIMIT, band: tuple[float, float] = (0, np.inf)) -> DataFrame:
+    """Envelope of the block (in a band) and its halos, then low-passed. Halos cover the settling of both."""
 
     @F.arrow_udf("array<double>")
     def run(left: pa.Array, mid: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, before, n in _padded(left, mid, right):
-            y = kernels.zero_phase(kernels.zero_phase(x, fs, (0, np.inf), envelope=True), fs, (0, limit))
+            y = kernels.zero_phase(kernels.zero_phase(x, fs, band, envelope=True), fs, (0, limit))
             out.append(y[before : before + n])
         return kernels.lists_from(out)
 
-    return blocks.withColumn("samples", run("left_halo", "samples", "right_halo"))
+    held = settled(blocks, fs, (0, limit), more=kernels.settling_length(fs, band))
+    return held.withColumn("samples", run("left_halo", "samples", "right_halo"))
 
 
 def decimated(blocks: DataFrame, fs: float, factor: int) -> DataFrame:

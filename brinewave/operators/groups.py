@@ -37,11 +37,14 @@ def small_side(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     The rows of `source` (default df) are counted: a table of which df is a
     projection and whose lineage is short, as after a checkpoint.
     """
-    table = source or df
-    if table.count() > BROADCAST_ROWS:
-        return df
-    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df if source is None else source) else df
+
+
+def is_small(table: DataFrame) -> bool:
+    """True if rows and bytes of a written table allow to send it to every task; one job."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, held = table.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES
 
 
 def with_lengths(df: DataFrame, n_samples: DataFrame | Column | int, name: str) -> DataFrame:

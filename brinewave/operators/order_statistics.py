@@ -1,14 +1,16 @@
 """Exact order statistics of very large groups.
 
 A built-in exact percentile keeps every value of a group in one buffer. Here a
-group is narrowed down by two counting passes over monotone buckets (octave
-fractions, then 4096 parts of the bucket found), each a map-side combined count,
-and only the distinct values of the last bucket are ordered.
+value is its 64-bit pattern, changed so that integers sort as the doubles do, and
+a group is narrowed down 16 bits at a time: each pass is a histogram of at most 65,536 buckets for a
+group, which partial counts merge into. As soon as the buckets that hold the
+ranks have few rows, or all 64 bits are known, their values themselves are counted.
+How wide the values spread, or how far they lie from zero, makes no difference.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,56 +20,67 @@ from brinewave.functions import kernels
 from brinewave.operators.groups import small_side
 from brinewave.session import cut_lineage
 
-OCTAVE_PARTS = 16
-FINE_PARTS = 4096
-OFFSET = 20000  # keeps the magnitude bucket of every finite double above zero
-BEYOND = 40000  # bucket of the infinities
-NO_NUMBER = 50000  # bucket of NaN, after everything else
+BITS = 16  # of a pattern that one pass decides
+LEVELS = 64 // BITS
+FEW = 1 << BITS  # rows of a bucket whose values are counted one by one
+LARGEST = (1 << 63) - 1
 
 
-def _coarse(x: Column) -> Column:
-    finite = F.floor(F.log2(F.abs(x)) * OCTAVE_PARTS) + OFFSET
-    magnitude = F.when(F.abs(x) == float("inf"), F.lit(BEYOND)).otherwise(finite.cast("int"))
-    known = F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * magnitude)
-    return F.when(F.isnan(x), F.lit(NO_NUMBER)).otherwise(known)
+def pattern(x: Column) -> Column:
+    """The bits of a double as a bigint that sorts like it; -0.0 is 0.0, NaN comes last."""
+    size = F.abs(x)
+    near = F.floor(F.log2(size))
+    # the logarithm may be off by one next to a power of two
+    power = near + F.when(size >= F.pow(F.lit(2.0), near + 1), 1).when(size < F.pow(F.lit(2.0), near), -1).otherwise(0)
+    exponent = F.greatest(power, F.lit(-1022)).cast("bigint")
+    fraction = (size / F.pow(F.lit(2.0), exponent - 52)).cast("bigint")  # exact: a division by a power of two
+    finite = F.shiftleft(exponent + 1022, 52) + fraction
+    bits = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(finite)
+    return F.when(F.isnan(x), F.lit(LARGEST)).when(x < 0, -bits - 1).otherwise(bits)
 
 
-def _fine(x: Column, bucket: Column) -> Column:
-    # position inside the coarse bucket; only its order matters, not its exact edges
-    low = F.pow(F.lit(2.0), (F.abs(bucket) - OFFSET) / F.lit(float(OCTAVE_PARTS)))
-    part = (F.abs(x) / low - 1) / (2 ** (1 / OCTAVE_PARTS) - 1) * FINE_PARTS
-    place = F.signum(x).cast("int") * F.floor(part).cast("int")
-    return F.when((bucket == 0) | (F.abs(bucket) >= BEYOND), F.lit(0)).otherwise(place)
+def patterns(x: np.ndarray) -> np.ndarray:
+    """The same of an array."""
+    bits = (np.asarray(x, dtype=np.float64) + 0.0).view(np.int64)
+    return np.where(np.isnan(x), np.int64(LARGEST), bits ^ ((bits >> 63) & np.int64(LARGEST)))
 
 
-def _holding(counts: DataFrame, keys: list[str], level: str, ranks: DataFrame | None, parents: list[str]) -> DataFrame:
-    """Buckets of `level` that hold one of the ranks, with the rank left inside them."""
-    upto = Window.partitionBy(*keys, *parents, "which").orderBy(level)
-    hit = counts.join(ranks, [*keys, *parents]) if ranks is not None else counts
+def _shift(level: int) -> int:
+    return 64 - BITS * level
+
+
+def _holding(counts: DataFrame, keys: list[str], level: str, ranks: DataFrame | None, parent: str) -> DataFrame:
+    """Buckets of `level` that hold one of the ranks, with their rows and the rank left inside them."""
+    within = [*keys, parent] if ranks is not None else keys
+    upto = Window.partitionBy(*within, "which").orderBy(level)
+    hit = counts.join(ranks.select(*within, "which", "n", "rank"), within) if ranks is not None else counts
     cum = F.sum("c").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         hit.withColumn("cum", cum)
         .where((F.col("rank") < F.col("cum")) & (F.col("rank") >= F.col("cum") - F.col("c")))
-        .select(*keys, *parents, level, "which", "n", (F.col("rank") - F.col("cum") + F.col("c")).alias("rank"))
+        .select(*keys, F.col(level).alias("_b"), "which", "n", "c", (F.col("rank") - F.col("cum") + F.col("c")).alias("rank"))
     )
 
 
-def _select(keys: list[str], ranks: dict[str, Column], first: DataFrame, second, third) -> DataFrame:
+def _select(keys: list[str], ranks: dict[str, Column], first: DataFrame, deeper: Callable[[DataFrame, int], DataFrame], values: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Narrow down to the values at the ranks.
 
-    `first` counts rows per (keys, _b1); `second(found)` counts per (keys, _b1, _b2) in the
-    buckets found; `third(found)` per (keys, _b1, _b2, _x). Counts are in column `c`.
+    `first` counts rows (`c`) per (keys, _b), the first 16 bits; `deeper(held, level)` counts per
+    (keys, _b, _next) in the buckets held after `level` passes; `values(held, level)` per (keys, _b, _x).
     """
     wanted = F.array(*[F.struct(F.lit(k).alias("which"), v.cast("bigint").alias("rank")) for k, v in ranks.items()])
     total = F.sum("c").over(Window.partitionBy(*keys))
     counted = first.withColumn("n", total).select("*", F.inline(wanted))
     # a few rows per group: cut here, so that each pass reads the input once
-    found = cut_lineage(_holding(counted, keys, "_b1", None, []))
-    found = cut_lineage(_holding(second(found), keys, "_b2", found, ["_b1"]))
-    found = _holding(third(found), keys, "_x", found, ["_b1", "_b2"])
+    found = cut_lineage(_holding(counted, keys, "_b", None, "_b"))
+    level = 1
+    while level < LEVELS and (found.agg(F.max("c")).first()[0] or 0) > FEW:
+        found = cut_lineage(_holding(deeper(found, level), keys, "_next", found, "_b"))
+        level += 1
+    found = _holding(values(found, level), keys, "_x", found, "_b")
     picks = []
     for name in ranks:
-        picks.append(F.max(F.when(F.col("which") == name, F.col("_x"))).alias(name))
+        picks.append(F.max(F.when(F.col("which") == name, F.col("_b"))).alias(name))
         picks.append(F.max(F.when(F.col("which") == name, F.col("rank"))).alias(name + "_rank"))
     return found.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
@@ -79,81 +92,93 @@ def select_ranks(df: DataFrame, keys: Sequence[str], x: str, ranks: dict[str, Co
     group with `n`, and for each entry `name` the value and `name_rank`,
     its rank among rows equal to it (rows before it with the same value).
 
-    The input is read three times: cut its lineage first where it is costly.
+    The input is read two to five times: cut its lineage first where it is costly.
     """
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
-    rows = rows.withColumn("_b1", _coarse(F.col("_x"))).withColumn("_b2", _fine(F.col("_x"), F.col("_b1")))
+    rows = rows.withColumn("_p", pattern(F.col("_x")))
 
-    def count(found: DataFrame, *by: str) -> DataFrame:
-        level = [c for c in ("_b1", "_b2") if c in found.columns]
-        held = small_side(found.select(*keys, *level).distinct(), found)
-        return rows.join(held, [*keys, *level]).groupBy(*keys, *by).agg(F.count("*").alias("c"))
+    def count(found: DataFrame, level: int, *by: Column) -> DataFrame:
+        held = small_side(found.select(*keys, "_b").distinct(), found)
+        inside = rows.withColumn("_b", F.shiftright("_p", _shift(level))).join(held, [*keys, "_b"])
+        return inside.groupBy(*keys, "_b", *by).agg(F.count("*").alias("c"))
 
+    first = rows.groupBy(*keys, F.shiftright("_p", _shift(1)).alias("_b")).agg(F.count("*").alias("c"))
     return _select(
-        keys,
-        ranks,
-        rows.groupBy(*keys, "_b1").agg(F.count("*").alias("c")),
-        lambda found: count(found, "_b1", "_b2"),
-        lambda found: count(found, "_b1", "_b2", "_x"),
+        keys, ranks, first,
+        lambda found, level: count(found, level, F.shiftright("_p", _shift(level + 1)).alias("_next")),
+        lambda found, level: count(found, level, F.col("_x")),
     )
 
 
-def select_ranks_in_blocks(blocks: DataFrame, keys: Sequence[str], column: str, ranks: dict[str, Column]) -> DataFrame:
+def select_ranks_in_blocks(
+    blocks: DataFrame, keys: Sequence[str], column: str, ranks: dict[str, Column], first: DataFrame | None = None
+) -> DataFrame:
     """The same over the elements of an array column, counted inside each block.
 
-    Only bucket counts leave a block, never its samples; the blocks are not shuffled.
+    Only bucket counts leave a block, never its samples; the blocks are not shuffled. `first` are counts by
+    the first 16 bits (keys, _b, c) that an earlier pass has made.
     """
     keys = list(keys)
     rows = blocks.select(*keys, F.col(column).alias("_a"))
 
-    def count(listed: Column, df: DataFrame, *by: str) -> DataFrame:
-        return df.select(*keys, F.inline(listed)).groupBy(*keys, *by).agg(F.sum("c").alias("c"))
+    def merged(listed: DataFrame, *by: str) -> DataFrame:
+        return listed.groupBy(*keys, *by).agg(F.sum("c").alias("c"))
 
     def narrowed(found: DataFrame) -> DataFrame:
-        level = [c for c in ("_b1", "_b2") if c in found.columns]
-        held = found.groupBy(*keys).agg(F.collect_set(F.struct(*level)).alias("_held"))
+        held = found.groupBy(*keys).agg(F.collect_set("_b").alias("_held"))
         return rows.join(small_side(held, found), keys)
 
-    def second(found):
-        return count(bucket_counts(2)("_a", F.col("_held._b1"), F.array().cast("array<int>")), narrowed(found), "_b1", "_b2")
+    def deeper(found: DataFrame, level: int) -> DataFrame:
+        return merged(narrowed(found).select(*keys, F.inline(bucket_counts(level)("_a", "_held"))), "_b", "_next")
+
+    def values(found: DataFrame, level: int) -> DataFrame:
+        return merged(narrowed(found).select(*keys, F.inline(value_counts(level)("_a", "_held"))), "_b", "_x")
+
+    if first is None:
+        first = rows.select(*keys, F.inline(first_counts("_a")))
+    return _select(keys, ranks, merged(first, "_b"), deeper, values)
+
+
+COUNTS = "array<struct<_b: bigint, c: bigint>>"
+
+
+def counted_by_pattern(arrays: list[np.ndarray]) -> pa.Array:
+    """Counts of each array's values by the first 16 bits of their patterns."""
+    found = [np.unique(patterns(x) >> _shift(1), return_counts=True) for x in arrays]
+    return kernels.structs_from([len(b) for b, _ in found], _b=[b for b, _ in found], c=[c for _, c in found])
 
-    def third(found):
-        return count(bucket_counts(3)("_a", F.col("_held._b1"), F.col("_held._b2")), narrowed(found), "_b1", "_b2", "_x")
 
-    none = F.array().cast("array<int>")
-    return _select(keys, ranks, count(bucket_counts(1)("_a", none, none), rows, "_b1"), second, third)
+@kernels.arrow_function(COUNTS)
+def first_counts(arrays: pa.Array) -> pa.Array:
+    return counted_by_pattern(list(kernels.rows_of(arrays)))
+
+
+def _held_values(arrays: pa.Array, held: pa.Array, level: int):
+    for x, buckets in zip(kernels.rows_of(arrays), held.to_pylist()):
+        p = patterns(x)
+        keep = np.isin(p >> _shift(level), buckets)
+        yield x[keep] + 0.0, p[keep]
 
 
 def bucket_counts(level: int):
-    """Counts of one block by bucket at level 1, 2 or 3 (single values), in the buckets held."""
-    names = ["_b1", "_b2", "_x", "c"]
-
-    @kernels.arrow_function("array<struct<_b1: int, _b2: int, _x: double, c: bigint>>")
-    def run(arrays: pa.Array, held_1: pa.Array, held_2: pa.Array) -> pa.Array:
-        offsets, columns = [0], ([], [], [], [])
-        for x, h1, h2 in zip(kernels.rows_of(arrays), held_1.to_pylist(), held_2.to_pylist()):
-            size = np.abs(x)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                magnitude = np.where(np.isinf(size), BEYOND, np.floor(np.log2(size) * OCTAVE_PARTS) + OFFSET)
-                b1 = np.where(np.isnan(x), NO_NUMBER, np.where(x == 0, 0, np.sign(x) * magnitude)).astype(np.int64)
-                part = (size / 2.0 ** ((np.abs(b1) - OFFSET) / OCTAVE_PARTS) - 1) / (2 ** (1 / OCTAVE_PARTS) - 1)
-                fine = np.sign(x) * np.floor(part * FINE_PARTS)
-            b2 = np.where((b1 == 0) | (np.abs(b1) >= BEYOND), 0, fine).astype(np.int64)
-            if level > 1:
-                keep = np.isin(b1, h1) if level == 2 else np.isin(b1 * 2 * NO_NUMBER + b2, [p * 2 * NO_NUMBER + q for p, q in zip(h1, h2)])
-                x, b1, b2 = x[keep], b1[keep], b2[keep]
-            by = np.stack([b1, b2 if level > 1 else 0 * b1, x if level > 2 else 0 * b1], axis=1).astype(float)
-            unique, counts = np.unique(by, axis=0, return_counts=True)
-            for column, values in zip(columns, (*unique.T, counts)):
-                column.append(values)
-            offsets.append(offsets[-1] + len(counts))
-        flat = [np.concatenate(c) if c else np.zeros(0) for c in columns]
-        types = [pa.int32(), pa.int32(), pa.float64(), pa.int64()]
-        items = pa.StructArray.from_arrays(
-            [pa.array(v.astype(t.to_pandas_dtype()), type=t) for v, t in zip(flat, types)], names=names
-        )
-        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items)
+    """Counts of one block by the next 16 bits, within the buckets held after `level` passes."""
+
+    @kernels.arrow_function("array<struct<_b: bigint, _next: bigint, c: bigint>>")
+    def run(arrays: pa.Array, held: pa.Array) -> pa.Array:
+        found = [np.unique(p >> _shift(level + 1), return_counts=True) for _, p in _held_values(arrays, held, level)]
+        return kernels.structs_from([len(b) for b, _ in found], _b=[b >> BITS for b, _ in found], _next=[b for b, _ in found], c=[c for _, c in found])
+
+    return run
+
+
+def value_counts(level: int):
+    """Counts of the single values in the buckets held."""
+
+    @kernels.arrow_function("array<struct<_b: bigint, _x: double, c: bigint>>")
+    def run(arrays: pa.Array, held: pa.Array) -> pa.Array:
+        found = [np.unique(x, return_counts=True) for x, _ in _held_values(arrays, held, level)]
+        return kernels.structs_from([len(v) for v, _ in found], _b=[patterns(v) >> _shift(level) for v, _ in found], _x=[v for v, _ in found], c=[c for _, c in found])
 
     return run
 
@@ -175,6 +200,6 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], x: str, q: float, out: st
     return interpolated(select_ranks(df, keys, x, _quantile_ranks(q)), list(keys), q, out)
 
 
-def block_quantile(blocks: DataFrame, keys: Sequence[str], column: str, q: float, out: str) -> DataFrame:
+def block_quantile(blocks: DataFrame, keys: Sequence[str], column: str, q: float, out: str, first: DataFrame | None = None) -> DataFrame:
     """The same over the elements of an array column."""
-    return interpolated(select_ranks_in_blocks(blocks, keys, column, _quantile_ranks(q)), list(keys), q, out)
+    return interpolated(select_ranks_in_blocks(blocks, keys, column, _quantile_ranks(q), first), list(keys), q, out)

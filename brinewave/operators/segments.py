@@ -13,14 +13,16 @@ FRAME_TILE = 32  # frames per tile when frames meet segments: few of the pairs t
 
 
 def segment_levels(
-    segments: DataFrame, frames: DataFrame, frame_len: int, n_frames: Column, first_at: int = 0
+    segments: DataFrame, frames: DataFrame, frame_len: int, n_frames: Column | DataFrame, first_at: int = 0
 ) -> DataFrame:
     """Median frame statistic over the frames that cover each segment.
 
     Frame k lies at sample k*frame_len + first_at. From the last frame before
     start_idx (or the first frame) to the first after end_idx (or the last frame).
-    Segments are spread over tiles of frames and joined by tile.
+    Segments are spread over tiles of frames and joined by tile. n_frames is a column, or a table (recording_id, n_frames).
     """
+    if isinstance(n_frames, DataFrame):
+        segments, n_frames = segments.join(n_frames.select(REC, F.col("n_frames").alias("_n")), REC), F.col("_n")
     begin, end = F.col("start_idx") - first_at, F.col("end_idx") - first_at
     first = F.greatest(F.ceil(begin / frame_len) - 1, F.lit(0).cast("bigint"))
     last = F.least(F.greatest(F.floor(end / frame_len) + 1, first), n_frames - 1)

@@ -27,16 +27,22 @@ def _frames(x: np.ndarray, right: np.ndarray, start: int, nfft: int, hop: int):
     return first, np.concatenate([x, right])[skip : skip + (count - 1) * hop + nfft] if count else x[:0]
 
 
-def checked_start(blocks: DataFrame, nfft: int, hop: int) -> Column:
+def checked_start(blocks: DataFrame, nfft: int | Column, hop: int | Column) -> Column:
     """start_idx; a job fails where the last frame of the block before needs more samples of this block than a halo has.
 
     Halos are cut alike on both sides, so the left one tells what the block before had.
     """
-    halo = F.size("left_halo") if "left_halo" in blocks.columns else F.lit(0)
-    right = F.size("right_halo") if "right_halo" in blocks.columns else F.lit(0)
+    if "channels" in blocks.columns:
+        halo = F.col("before")
+        right = F.size(F.col("channels")[0]["samples"]) - halo - F.col("size")
+        size = F.col("size")
+    else:
+        halo = F.size("left_halo") if "left_halo" in blocks.columns else F.lit(0)
+        right = F.size("right_halo") if "right_halo" in blocks.columns else F.lit(0)
+        size = F.size("samples")
     before = F.col("start_idx") - 1
     need = F.floor((before - 1) / hop) * hop + nfft - before
-    lost = (before > 0) & (need > halo) & (need <= F.size("samples") + right)
+    lost = (before > 0) & (need > halo) & (need <= size + right)
     said = F.concat(F.lit("frames over the edge of a block need a halo of "), need.cast("string"), F.lit(" samples"))
     return F.when(lost, F.raise_error(said).cast("bigint")).otherwise(F.col("start_idx"))
 
@@ -51,25 +57,28 @@ def frame_spectra(
     with_right = "right_halo" in blocks.columns
     right_col = F.col("right_halo") if with_right else F.array().cast("array<double>")
 
-    kind = "re: array<double>, im: array<double>" if amplitude else "power: array<double>"
-    fields = [("frame", pa.int64())] + [(n, pa.list_(pa.float64())) for n in (("re", "im") if amplitude else ("power",))]
-    row_type = pa.list_(pa.struct(fields))
+    names = ["re", "im"] if amplitude else ["power"]
 
-    @F.arrow_udf(f"array<struct<frame: bigint, {kind}>>")
+    @F.arrow_udf(f"array<struct<frame: bigint, {', '.join(f'{n}: array<double>' for n in names)}>>")
     def run(mid: pa.Array, right: pa.Array, start: pa.Array) -> pa.Array:
-        out = []
+        lengths, frames, spectra = [], [np.zeros(0, "i8")], [np.zeros((0, nfft // 2 + 1), complex if amplitude else float)]
         for x, more, s in zip(kernels.rows_of(mid), kernels.rows_of(right), start.to_pylist()):
             first, y = _frames(x, more, s, nfft, hop)
             if len(y) < nfft:
-                out.append([])
-            elif amplitude:
+                lengths.append(0)
+                continue
+            if amplitude:
                 cut = np.lib.stride_tricks.sliding_window_view(y, nfft)[::hop]
-                z = np.fft.rfft(cut if taper is None else cut * taper, axis=1) / nfft * 2
-                out.append([{"frame": first + i, "re": r.real, "im": r.imag} for i, r in enumerate(z)])
+                spectra.append(np.fft.rfft(cut if taper is None else cut * taper, axis=1) / nfft * 2)
             else:
-                p = kernels.frame_powers(y, nfft, hop, fs, taper)
-                out.append([{"frame": first + i, "power": r} for i, r in enumerate(p)])
-        return pa.array(out, type=row_type)
+                spectra.append(kernels.frame_powers(y, nfft, hop, fs, taper))
+            lengths.append(len(spectra[-1]))
+            frames.append(first + np.arange(lengths[-1]))
+        z = np.concatenate(spectra)
+        ends = pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in ((z.real, z.imag) if amplitude else (z,))]
+        items = pa.StructArray.from_arrays([pa.array(np.concatenate(frames)), *lists], names=["frame", *names])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), items)
 
     return blocks.select(*KEYS, F.inline(run(F.col("samples"), right_col, checked_start(blocks, nfft, hop))))
 

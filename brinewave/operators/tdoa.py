@@ -110,7 +110,7 @@ def delays(cut: DataFrame, methods: list[str], ref_channel: int, fs: float) -> D
         return pa.array(out, type=row_type)
 
     named = run(F.col("channels.samples"), F.col("channels")[0]["first_idx"], F.col("idx"))
-    kept = [c for c in cut.columns if c in (REC, "det_id", "idx", "clipped")]
+    kept = [c for c in cut.columns if c not in ("channels", "first_idx", "last_idx")]
     return cut.select(*kept, F.inline(named))
 
 
@@ -121,16 +121,46 @@ def detection_delays(
     return delays(windows.cut_windows(blocks, dets, lo, hi, block_len), methods, ref_channel, fs)
 
 
-def segment_delays(blocks: DataFrame, segments: DataFrame, block_len: int, ref_channel: int, fs: float) -> DataFrame:
-    """Delays over windows of any length: start_idx .. end_idx of each segment."""
-    spans = segments.select(
-        REC,
-        F.col("start_idx").alias("det_id"),
-        F.col("start_idx").alias("idx"),
-        F.col("start_idx").alias("first_idx"),
-        F.col("end_idx").alias("last_idx"),
-    )
-    return delays(windows.cut_spans(blocks, spans, block_len), ["raw"], ref_channel, fs).withColumn("method", F.lit("segment"))
+def segment_delays(
+    blocks: DataFrame, segments: DataFrame, block_len: int, ref_channel: int, max_lag: int, halo: int | None = None
+) -> DataFrame:
+    """Delays over segments start_idx .. end_idx of any length, of at most max_lag samples either way.
+
+    A block adds the products of its own reference samples to the correlation at each lag, and the
+    sums over a segment's blocks are its correlation: what moves is 2 * max_lag + 1 numbers for each block and
+    channel, and no row grows with the segment. Blocks hold all channels (`schemas.WIDE_BLOCKS`) with a halo of
+    at least max_lag, which is the most that the array allows: its largest distance / speed of sound * rate.
+    """
+    spans = segments.select(REC, F.col("start_idx").alias("first_idx"), F.col("end_idx").alias("last_idx"))
+    parts = windows.over_spans(blocks, spans, block_len, _partial_correlation(ref_channel, max_lag), "channel int, corr array<double>", max_lag if halo is None else halo)
+    lags = parts.select(REC, "first_idx", "last_idx", "channel", F.posexplode("corr").alias("_p", "_c"))
+    summed = lags.groupBy(REC, "first_idx", "last_idx", "channel", (F.col("_p") - max_lag).alias("lag")).agg(F.sum("_c").alias("c"))
+    # magnitudes at nine decimals; of equal ones the lag nearest to zero, then the larger one
+    rank = F.struct(F.round(F.abs("c"), 9), -F.abs("lag"), F.col("lag"))
+    best = summed.groupBy(REC, "first_idx", "last_idx", "channel").agg(F.max_by("lag", rank).alias("delay"))
+    delay = F.when(F.col("channel") == ref_channel, 0).otherwise(F.col("delay")).cast("int")
+    listed = best.groupBy(REC, "first_idx", "last_idx").agg(F.array_sort(F.collect_list(F.struct("channel", delay.alias("delay")))).alias("l"))
+    start = F.col("first_idx")
+    return listed.select(REC, start.alias("det_id"), start.alias("idx"), F.lit("segment").alias("method"), F.col("l.delay").alias("delays"))
+
+
+def _partial_correlation(ref_channel: int, max_lag: int):
+    """Per span and channel: sum over a block's own reference samples i of x[i + lag] * ref[i], both inside the span."""
+
+    def cut(channels: dict[int, np.ndarray], available: int, start: int, size: int, first: int, last: int) -> list[tuple]:
+        low, high = max(first, start), min(last, start + size - 1)
+        if high < low:
+            return []
+        ref = channels[ref_channel][low - available : high - available + 1]
+        out = []
+        for channel, x in sorted(channels.items()):
+            begin, end = max(first, low - max_lag, available), min(last, high + max_lag, available + len(x) - 1)
+            part = x[begin - available : end - available + 1]
+            padded = np.concatenate([np.zeros(begin - low + max_lag), part, np.zeros(high + max_lag - end)])
+            out.append((channel, kernels.correlate(padded, ref)[len(ref) - 1 : len(ref) + 2 * max_lag]))
+        return out
+
+    return cut
 
 
 def timed_delays(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brinewave.functions import kernels
 from brinewave.operators.groups import per_group
 from brinewave.operators.order_statistics import exact_quantile, select_ranks
-from brinewave.operators.spectra import band_bins, frame_spectra, select_band
+from brinewave.operators.spectra import _frames, band_bins, checked_start, frame_spectra, select_band
 from brinewave.operators.tiles import number_rows
 from brinewave.session import cut_lineage
 
@@ -55,18 +55,72 @@ def largest_per_bin(channels: pa.Array) -> pa.Array:
     return kernels.lists_from(out)
 
 
+def levels_of(power: np.ndarray, variant: str) -> np.ndarray:
+    """Decibels (minus infinity for no power at all), or amplitudes for the amplitude variant."""
+    with np.errstate(divide="ignore"):
+        return 10 * np.log10(power) if variant == "level" else np.sqrt(power)
+
+
+def near_peak(level: np.ndarray, s: TonalSettings) -> int:
+    """How many bins of the reference channel are close to its peak; all of them in silence."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = 20 * np.log10(level) if s.variant == "amplitude" else level
+        below = np.nan_to_num(r.max() - r, nan=0.0, posinf=np.inf)
+    return int(np.sum(below < s.freq_width_db))
+
+
 def frame_levels(blocks: DataFrame, s: TonalSettings) -> DataFrame:
-    """Per frame: `mag`, the largest level over channels per bin, and `ref`, the reference channel's.
+    """Per frame: `mag`, the largest level over channels per bin, and `near_peak`, the reference channel's count.
 
     Levels are decibels (minus infinity for no power at all), or amplitudes for the amplitude variant.
     """
+
+    @F.arrow_udf("bigint")
+    def near(refs: pa.Array) -> pa.Array:
+        return pa.array([near_peak(r, s) for r in kernels.rows_of(refs)], pa.int64())
+
     spectra = select_band(frame_spectra(blocks, s.nfft, s.fs), "power", *s.bins)
     level = (lambda p: F.when(p > 0, F.lit(10.0) * F.log10(p)).otherwise(float("-inf"))) if s.variant == "level" else F.sqrt
     rows = spectra.select(REC, "channel", "frame", F.transform("power", level).alias("v"))
     grouped = rows.groupBy(REC, "frame").agg(  # one short array per channel
         F.collect_list("v").alias("all"), F.max(F.when(F.col("channel") == s.ref_channel, F.col("v"))).alias("ref")
     )
-    return grouped.select(REC, "frame", largest_per_bin("all").alias("mag"), "ref")
+    return grouped.select(REC, "frame", largest_per_bin("all").alias("mag"), near("ref").alias("near_peak"))
+
+
+CLASS = "class"  # column of rows whose settings differ: a key of the settings
+
+
+def wide_frame_levels(wide: DataFrame, settings: dict[int, TonalSettings]) -> DataFrame:
+    """frame_levels of rows that hold all channels (`schemas.WIDE_BLOCKS`), each by the settings of its `class`.
+
+    A block's frames are made and reduced over its channels in one place: nothing is shuffled.
+    """
+
+    @F.arrow_udf("array<struct<frame: bigint, mag: array<double>, near_peak: bigint>>")
+    def run(kinds: pa.Array, starts: pa.Array, befores: pa.Array, sizes: pa.Array, rows: pa.Array) -> pa.Array:
+        lengths, frames, mags, nears = [], [], [], []
+        for kind, start, before, size, channels in zip(kinds.to_pylist(), starts.to_pylist(), befores.to_pylist(), sizes.to_pylist(), rows):
+            s = settings[kind]
+            low, high = s.bins
+            found = {}
+            for c in channels:
+                x = c["samples"].values.to_numpy(zero_copy_only=False)
+                first, y = _frames(x[before : before + size], x[before + size :], start, s.nfft, s.nfft)
+                found[c["channel"].as_py()] = levels_of(kernels.frame_powers(y, s.nfft, s.nfft, s.fs)[:, low : high + 1], s.variant)
+            ref = found[s.ref_channel]
+            lengths.append(len(ref))
+            if len(ref):
+                frames.append(first + np.arange(len(ref)))
+                mags += list(np.max(list(found.values()), axis=0))
+                nears.append(np.array([near_peak(r, s) for r in ref]))
+        flat = [pa.array(np.concatenate([np.zeros(0, "i8"), *frames])), kernels.lists_from(mags), pa.array(np.concatenate([np.zeros(0, "i8"), *nears]))]
+        items = pa.StructArray.from_arrays(flat, names=["frame", "mag", "near_peak"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), items)
+
+    nfft = F.coalesce(*[F.when(F.col(CLASS) == k, F.lit(s.nfft)) for k, s in settings.items()])
+    start = checked_start(wide, nfft, nfft)
+    return wide.select(REC, CLASS, F.inline(run(F.col(CLASS), start, F.col("before"), F.col("size"), F.col("channels"))))
 
 
 def quiet_frames(levels: DataFrame, percent: float, min_one: bool = False) -> DataFrame:
@@ -93,36 +147,36 @@ def noise_floor(frames: DataFrame, lowest: bool = False) -> DataFrame:
     return listed.select(REC, F.col("l.v").alias("floor"))
 
 
-FEATURES = "struct<stat: double, peak_bin: bigint, near_peak: bigint>"
+FEATURES = "struct<stat: double, peak_bin: bigint>"
 
 
-def frame_features(mag: Column, floor: Column, ref: Column, s: TonalSettings, stat=np.max) -> Column:
-    """Statistic and peak bin over the floor, and how many reference bins are close to the reference peak."""
+def frame_features(mag: Column, floor: Column, s: TonalSettings, stat=np.max) -> Column:
+    """Statistic and peak bin over the floor."""
     amplitude = s.variant == "amplitude"
 
     @F.arrow_udf(FEATURES)
-    def run(mags: pa.Array, floors: pa.Array, refs: pa.Array) -> pa.Array:
-        stats, bins, near = [], [], []
-        for m, f, r in zip(kernels.rows_of(mags), kernels.rows_of(floors), kernels.rows_of(refs)):
+    def run(mags: pa.Array, floors: pa.Array) -> pa.Array:
+        stats, bins = [], []
+        for m, f in zip(kernels.rows_of(mags), kernels.rows_of(floors)):
             with np.errstate(invalid="ignore"):
                 over = np.where(np.isneginf(m), m, m - f)  # silence is not over any floor
             if amplitude:
                 with np.errstate(divide="ignore"):
                     over = 20 * np.log10(np.maximum(over, 0))
-                    r = 20 * np.log10(r)
             stats.append(float(stat(over)))
             bins.append(int(np.argmax(over)))
-            with np.errstate(invalid="ignore"):
-                below = np.nan_to_num(r.max() - r, nan=0.0, posinf=np.inf)  # all silent: all alike
-            near.append(int(np.sum(below < s.freq_width_db)))
-        return pa.StructArray.from_arrays([pa.array(stats), pa.array(bins), pa.array(near)], names=["stat", "peak_bin", "near_peak"])
+        return pa.StructArray.from_arrays([pa.array(stats), pa.array(bins)], names=["stat", "peak_bin"])
 
-    return run(mag, floor, ref)
+    return run(mag, floor)
 
 
 def tonal_frames(blocks: DataFrame, s: TonalSettings, stat=np.max) -> DataFrame:
     """Every frame with its statistic, peak frequency, bandwidth gate and whether it is a detection."""
-    levels = cut_lineage(frame_levels(blocks, s))  # one row per frame, read several times below
+    return frames_of_levels(cut_lineage(frame_levels(blocks, s)), s, stat)
+
+
+def frames_of_levels(levels: DataFrame, s: TonalSettings, stat=np.max) -> DataFrame:
+    """The same from a written table of frame levels, which is read several times."""
     if s.variant == "amplitude":
         floor = noise_floor(levels, lowest=True)
     elif s.percent_quiet > 0:
@@ -130,7 +184,7 @@ def tonal_frames(blocks: DataFrame, s: TonalSettings, stat=np.max) -> DataFrame:
     else:
         floor = levels.select(REC).distinct().withColumn("floor", F.array_repeat(F.lit(0.0), s.bins[1] - s.bins[0] + 1))
     rows = levels.join(per_group(floor), REC).select(
-        REC, "frame", frame_features(F.col("mag"), F.col("floor"), F.col("ref"), s, stat).alias("f")
+        REC, "frame", "near_peak", frame_features(F.col("mag"), F.col("floor"), s, stat).alias("f")
     )
     width = s.fs / s.nfft
     rows = rows.select(
@@ -139,7 +193,7 @@ def tonal_frames(blocks: DataFrame, s: TonalSettings, stat=np.max) -> DataFrame:
         ((F.col("frame") * s.nfft + s.nfft / 2) / s.fs).alias("t_s"),
         F.col("f.stat").alias("stat_db"),
         ((F.col("f.peak_bin") + s.bins[0]) * width).alias("peak_freq"),
-        (F.col("f.near_peak") * s.bin_scale < s.freq_maxbandwidth).alias("is_narrow"),
+        (F.col("near_peak") * s.bin_scale < s.freq_maxbandwidth).alias("is_narrow"),
     )
     if s.threshold is None:
         rows = cut_lineage(rows)

@@ -129,7 +129,9 @@ def delays_segments(t):
     segments = stats.groupBy("recording_id").agg(
         F.min("max_idx").alias("start_idx"), (F.max("max_idx") + 5).alias("end_idx")
     )
-    rows = tdoa.per_channel(tdoa.segment_delays(b, segments, BLOCK, REF, FS))
+    empty = F.array().cast("array<double>")
+    whole = blocks.wide(b.withColumns({"left_halo": empty, "right_halo": empty}))
+    rows = tdoa.per_channel(tdoa.segment_delays(whole, segments, BLOCK, REF, BLOCK - 1))
     return rows.select("recording_id", "method", F.col("channel").cast("bigint").alias("channel"), F.col("delay").cast("bigint").alias("delay"))
 
 
@@ -231,16 +233,22 @@ def delays_trigger_denoised(t):
 # directions: sensors of the four-sided preset, 500 kHz
 RX = geometry("triangle_40cm")
 RATE, C = 500_000.0, 1540.0
+# the same with a fourth sensor ahead of them: every channel of a recording has its sensor
+RX4 = [*RX, (0.0, 0.31, 0.0)]
 
 
-def _direction_sql(source: str, cost: str) -> str:
-    """Directions of a table `source` with id, d1, d2, d3 by eigenvectors and bisection."""
-    rx = np.array(RX)
+def _direction_sql(source: str, cost: str, sensors=RX) -> str:
+    """Directions of a table `source` with id, d1, d2, ... (one per sensor) by eigenvectors and bisection."""
+    rx = np.array(sensors)
     sign = -1.0 if cost == "azimuth_elevation" else 1.0
     model = sign * (rx[:, :2] - rx[REF - 1, :2]) * RATE / C
     values, vec = np.linalg.eigh(model.T @ model)
     text = np.vectorize(lambda v: f"({float(v)!r}::DOUBLE)")
-    (a1, b1), (a2, b2), _ = text(model).tolist()
+    rows = {f"e{m}": ab for m, ab in enumerate(text(model).tolist(), 1) if m != REF}
+    errors = ", ".join(f"d{e[1:]} - d{REF} AS {e}" for e in rows)
+    along = [" + ".join(f"{e} * {ab[k]}" for e, ab in rows.items()) for k in (0, 1)]
+    missed = " + ".join(f"pow({e} - ({a} * u + {b} * v), 2)" for e, (a, b) in rows.items())
+    each = ", ".join(rows)
     (v11, v12), (v21, v22) = text(vec).tolist()
     m1, m2 = text(values).tolist()
     circle = cost == "azimuth"
@@ -254,9 +262,9 @@ def _direction_sql(source: str, cost: str) -> str:
         "plan": ("atan2(u, v)", f"asin({rest})"),
     }[cost]
     return f"""
- src AS (SELECT id, d1 - d3 AS e1, d2 - d3 AS e2 FROM {source}),
- rot AS (SELECT *, (e1 * {a1} + e2 * {a2}) * {v11} + (e1 * {b1} + e2 * {b2}) * {v21} AS g1,
-                   (e1 * {a1} + e2 * {a2}) * {v12} + (e1 * {b1} + e2 * {b2}) * {v22} AS g2 FROM src),
+ src AS (SELECT id, {errors} FROM {source}),
+ rot AS (SELECT *, ({along[0]}) * {v11} + ({along[1]}) * {v21} AS g1,
+                   ({along[0]}) * {v12} + ({along[1]}) * {v22} AS g2 FROM src),
  fre AS (SELECT *, g1 / {m1} AS f1, g2 / {m2} AS f2 FROM rot),
  bis AS (SELECT id, g1, g2, {low}::DOUBLE AS lo, sqrt(g1 * g1 + g2 * g2) + {m2} AS hi, 0 AS step FROM fre WHERE NOT ({inside})
    UNION ALL
@@ -265,13 +273,13 @@ def _direction_sql(source: str, cost: str) -> str:
    WHERE step < 100),
  edg AS (SELECT id, CASE WHEN g1 = 0 THEN sqrt(greatest(1 - pow(g2 / (hi + {gap}), 2), 0)) ELSE g1 / hi END AS q1, g2 / (hi + {gap}) AS q2
          FROM bis WHERE step = 100),
- sol AS (SELECT f.id, e1, e2, q1 IS NOT NULL AS rim,
+ sol AS (SELECT f.id, {each}, q1 IS NOT NULL AS rim,
          coalesce(q1 / sqrt(q1 * q1 + q2 * q2), f1) AS s1, coalesce(q2 / sqrt(q1 * q1 + q2 * q2), f2) AS s2
          FROM fre f LEFT JOIN edg USING (id)),
- uv0 AS (SELECT id, e1, e2, rim, s1 * {v11} + s2 * {v12} AS u, s1 * {v21} + s2 * {v22} AS v FROM sol),
- uv AS (SELECT id, e1, e2, rim, CASE WHEN abs(u) < 1e-12 THEN 0 ELSE u END AS u, CASE WHEN abs(v) < 1e-12 THEN 0 ELSE v END AS v FROM uv0),
+ uv0 AS (SELECT id, {each}, rim, s1 * {v11} + s2 * {v12} AS u, s1 * {v21} + s2 * {v22} AS v FROM sol),
+ uv AS (SELECT id, {each}, rim, CASE WHEN abs(u) < 1e-12 THEN 0 ELSE u END AS u, CASE WHEN abs(v) < 1e-12 THEN 0 ELSE v END AS v FROM uv0),
  dir AS (SELECT id, {angles[0]} AS az, {angles[1]} AS el,
-         pow(e1 - ({a1} * u + {b1} * v), 2) + pow(e2 - ({a2} * u + {b2} * v), 2) AS residual FROM uv)"""
+         {missed} AS residual FROM uv)"""
 
 
 EVENT_DELAYS = """dl AS (SELECT event_id AS id, (event_id * 37) % 301 - 150 AS d1, (event_id * 91 + user_id) % 283 - 141 AS d2,
@@ -312,37 +320,35 @@ def directions_plan(t):
 
 
 _PIVOT = """dl AS (SELECT recording_id AS id, max(delay) FILTER (channel = 1) AS d1, max(delay) FILTER (channel = 2) AS d2,
-   max(delay) FILTER (channel = 3) AS d3 FROM del WHERE method = '{method}' GROUP BY recording_id)"""
+   max(delay) FILTER (channel = 3) AS d3, max(delay) FILTER (channel = 4) AS d4 FROM del WHERE method = '{method}' GROUP BY recording_id)"""
 
 
 @query(
     "L-16", "D-5",
-    sql=f"""WITH RECURSIVE {MINMAX_SQL}, {_PIVOT.format(method='minmax')}, {_direction_sql('dl', 'azimuth_elevation')}
+    sql=f"""WITH RECURSIVE {MINMAX_SQL}, {_PIVOT.format(method='minmax')}, {_direction_sql('dl', 'azimuth_elevation', RX4)}
 SELECT id AS recording_id, round(az, 6) AS az, round(el, 6) AS el, round(residual, 4) AS residual FROM dir""",
 )
 def detection_bearings(t):
-    b = embedding_blocks(t).where("channel <= 3")
-    found = tdoa.detection_delays(b, detections(t), LO, HI, BLOCK, [tdoa.DEFAULT_METHOD], REF, RATE)
-    out = directions.directions(found, RX, RATE, C, REF)
+    found = tdoa.detection_delays(embedding_blocks(t), detections(t), LO, HI, BLOCK, [tdoa.DEFAULT_METHOD], REF, RATE)
+    out = directions.directions(found, RX4, RATE, C, REF)
     return out.select("recording_id", F.round("az", 6).alias("az"), F.round("el", 6).alias("el"), F.round("residual", 4).alias("residual"))
 
 
 TIMED = f"""{SMP}, det AS (SELECT recording_id, arg_min(idx, (-x, idx)) AS idx FROM smp WHERE channel = {REF} GROUP BY recording_id),
  win AS (SELECT s.recording_id, s.channel, s.idx, s.x, d.idx AS det_idx, s.idx - d.idx AS pos FROM smp s JOIN det d USING (recording_id)
-         WHERE s.channel <= 3 AND s.idx BETWEEN d.idx AND d.idx + 16)"""
+         WHERE s.idx BETWEEN d.idx AND d.idx + 16)"""
 
 
 @query(
     "L-9",
     sql=f"""WITH RECURSIVE {TIMED}, r AS (SELECT * FROM win WHERE channel = {REF}), {_delay_sql('win', 'r')},
  del AS (SELECT recording_id, 'raw' AS method, channel, CASE WHEN channel = {REF} THEN 0 ELSE delay END AS delay FROM dly),
- {_PIVOT.format(method='raw')}, {_direction_sql('dl', 'azimuth_elevation')}
+ {_PIVOT.format(method='raw')}, {_direction_sql('dl', 'azimuth_elevation', RX4)}
 SELECT id AS recording_id, round(az, 6) AS az, round(el, 6) AS el FROM dir""",
 )
 def timed_bearings(t):
-    b = embedding_blocks(t).where("channel <= 3")
-    found = tdoa.timed_delays(b, detections(t), 0.25, BLOCK, REF, FS)
-    out = directions.directions(found, RX, RATE, C, REF)
+    found = tdoa.timed_delays(embedding_blocks(t), detections(t), 0.25, BLOCK, REF, FS)
+    out = directions.directions(found, RX4, RATE, C, REF)
     return out.select("recording_id", F.round("az", 6).alias("az"), F.round("el", 6).alias("el"))
 
 
@@ -465,21 +471,21 @@ TONAL_HITS = f"""{SMP}, bins AS (SELECT unnest(range(1, 7)) AS bin),
  det AS (SELECT recording_id * 10 + frame AS recording_id, recording_id AS rec, frame, frame * 16 + 8 AS idx FROM st WHERE stat > -30
          QUALIFY frame < max(frame) OVER (PARTITION BY rec)),
  win AS (SELECT d.recording_id, s.channel, s.idx, s.x, d.idx AS det_idx, s.idx - d.idx AS pos FROM smp s JOIN det d ON d.rec = s.recording_id
-         WHERE s.channel <= 3 AND s.idx BETWEEN d.idx AND d.idx + 16)"""
+         WHERE s.idx BETWEEN d.idx AND d.idx + 16)"""
 
 
 @query(
     "D-14",
     sql=f"""WITH RECURSIVE {TONAL_HITS}, r AS (SELECT * FROM win WHERE channel = {REF}), {_delay_sql('win', 'r')},
  del AS (SELECT recording_id, 'raw' AS method, channel, CASE WHEN channel = {REF} THEN 0 ELSE delay END AS delay FROM dly),
- {_PIVOT.format(method='raw')}, {_direction_sql('dl', 'azimuth_elevation')}
+ {_PIVOT.format(method='raw')}, {_direction_sql('dl', 'azimuth_elevation', RX4)}
 SELECT id // 10 AS recording_id, id % 10 AS det_id, round(az, 6) AS az, round(el, 6) AS el FROM dir""",
 )
 def tonal_bearings(t):
     """Simple tonal hits, each with the direction of the quarter second after it."""
-    b = embedding_blocks(t).where("channel <= 3")
+    b = embedding_blocks(t)
     settings = tonal.TonalSettings(fs=FS, nfft=16, low=8.0, high=28.0, ref_channel=REF, threshold=-30.0)
     hits = tonal.tonal_detections(tonal.simple_tonal_frames(b, settings), FS)
     found = tdoa.timed_delays(b, hits, 0.25, BLOCK, REF, FS)
-    out = directions.directions(found, RX, RATE, C, REF)
+    out = directions.directions(found, RX4, RATE, C, REF)
     return out.select("recording_id", "det_id", F.round("az", 6).alias("az"), F.round("el", 6).alias("el"))

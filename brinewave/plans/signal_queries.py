@@ -2,42 +2,92 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from brinewave.functions import kernels
 from brinewave.operators import blocks, filters, impulses, order_statistics, trains
 from brinewave.plans.registry import query
 from brinewave.plans.sample_queries import BLOCK, long_blocks
-from brinewave.plans.standins import LONG, SMP, embedding_blocks
+from brinewave.plans.standins import LONG, SMP, embedding_blocks, long_samples
 from brinewave.session import cut_lineage
 from brinewave.sources import pcm
 
 FS = 1000.0
-HALO = 512
+HALO, LONG_HALO = 512, 2048  # some three times the settling lengths of the bands below
+BAND, LOW = (50.0, 200.0), (0.0, 40.0)
+STOPS = [(90.0, 110.0), (190.0, 210.0)]
+
+
+def _taps(band, stops=(), quadrature: bool = False, half: int = HALO) -> str:
+    """The response to one impulse of a filter (or of its quarter-turned form) from -half to half, as an SQL list."""
+    size = 1 << 17
+    spectrum = kernels.band_gain(np.fft.rfftfreq(size, 1 / FS), FS, band, stops, 4)
+    full = np.zeros(size, dtype=complex)
+    full[: len(spectrum)] = spectrum
+    full[1 : size // 2] *= 2
+    response = np.fft.ifft(full)
+    response = response.imag if quadrature else response.real
+    # the list meets samples in ascending order: reversed
+    return "[" + ", ".join(f"{v:.17g}" for v in np.concatenate([response[-half:], response[: half + 1]])[::-1]) + "]::DOUBLE[]"
+
+
+TILE = 1024  # samples of a list in SQL
+
+
+def _padded_sql(name: str, source: str, half: int = HALO) -> str:
+    """Lists of TILE samples of each channel of `source`, with as many on either side as taps reach; zeros beyond its ends."""
+    return f"""{name}_n AS (SELECT recording_id, channel, max(idx) AS n FROM {source} GROUP BY ALL),
+ {name}_z AS (SELECT recording_id, channel, idx, x FROM {source}
+   UNION ALL SELECT recording_id, channel, unnest(range(1 - {half}, 1)), 0.0::DOUBLE FROM {name}_n
+   UNION ALL SELECT recording_id, channel, unnest(range(n + 1, n + {half + TILE})), 0.0::DOUBLE FROM {name}_n),
+ {name}_t AS (SELECT *, unnest(range((idx + {TILE * 8} - 1 - {half}) // {TILE} - 8, (idx + {TILE * 8} - 1 + {half}) // {TILE} - 7)) AS tile FROM {name}_z),
+ {name} AS (SELECT recording_id, channel, tile, any_value(n) AS n, list(x ORDER BY idx) AS xs FROM {name}_t JOIN {name}_n USING (recording_id, channel)
+            WHERE tile >= 0 AND tile * {TILE} < n GROUP BY recording_id, channel, tile)"""
+
+
+def _filtered_sql(name: str, source: str, value: str, half: int = HALO) -> str:
+    """`value` of every sample, where s(taps) is the sum of the samples around it times the taps."""
+    value = re.sub(r"s\((\w+)\)", rf"list_dot_product(xs[place : place + {2 * half}], \1)", value)
+    return f"""{name} AS (SELECT recording_id, channel, tile * {TILE} + place AS idx, {value} AS x
+   FROM (SELECT *, unnest(range(1, {TILE + 1})) AS place FROM {source}), taps WHERE tile * {TILE} + place <= n)"""
 
 
 def rounded(df):
-    return blocks.to_samples(df).withColumn("x", F.round("x", 6))
+    return blocks.to_samples(df).withColumn("x", F.round("x", 4) + 0.0)
+
+
+_ROUNDED = "SELECT recording_id, channel, idx, round(x, 4) + 0.0 AS x"
 
 
-@query("F-1")
+@query("F-1", sql=f"WITH {LONG}, taps AS (SELECT {_taps(BAND)} AS h), {_padded_sql('p', 'lng')}, {_filtered_sql('y', 'p', 's(h)')} {_ROUNDED} FROM y")
 def band_passed(t):
-    return rounded(filters.filter_blocks(long_blocks(t, HALO), FS, (50.0, 200.0)))
+    return rounded(filters.filter_blocks(long_blocks(t, HALO), FS, BAND))
 
 
-@query("F-2")
+@query(
+    "F-2",
+    sql=f"""WITH {LONG}, taps AS (SELECT {_taps((30.0, np.inf), STOPS, half=LONG_HALO)} AS h), {_padded_sql('p', 'lng', LONG_HALO)},
+ {_filtered_sql('y', 'p', 's(h)', LONG_HALO)} {_ROUNDED} FROM y""",
+)
 def band_stopped(t):
-    return rounded(filters.filter_blocks(long_blocks(t, HALO), FS, (30.0, np.inf), [(90.0, 110.0), (190.0, 210.0)]))
+    return rounded(filters.filter_blocks(long_blocks(t, LONG_HALO), FS, (30.0, np.inf), STOPS))
+
 
+LONG_ENVELOPE = f"""{LONG}, taps AS (SELECT {_taps(BAND)} AS h, {_taps(BAND, quadrature=True)} AS q, {_taps(LOW)} AS l), {_padded_sql('p', 'lng')},
+ {_filtered_sql('e', 'p', 'sqrt(pow(s(h), 2) + pow(s(q), 2))')}"""
 
-@query("F-3")
+
+@query("F-3", sql=f"WITH {LONG_ENVELOPE} {_ROUNDED} FROM e")
 def envelopes(t):
-    return rounded(filters.filter_blocks(long_blocks(t, HALO), FS, (50.0, 200.0), envelope=True))
+    return rounded(filters.filter_blocks(long_blocks(t, HALO), FS, BAND, envelope=True))
 
 
-@query("F-4")
+@query("F-4", sql=f"WITH {LONG_ENVELOPE}, {_padded_sql('ep', 'e')}, {_filtered_sql('y', 'ep', 's(l)')} {_ROUNDED} FROM y")
 def smooth_envelopes(t):
-    return rounded(filters.envelope_lowpassed(long_blocks(t, HALO), FS, 40.0))
+    return rounded(filters.envelope_lowpassed(long_blocks(t, 2 * HALO), FS, LOW[1], BAND))
 
 
 @query(
@@ -49,15 +99,48 @@ def block_threshold(t):
     return got.select("recording_id", "channel", F.round(F.col("q") * 4, 6).alias("threshold"))
 
 
-@query("D-4")
+def _impulses_sql(dist: int, ratio: float) -> str:
+    return f"""{LONG_ENVELOPE},
+ th AS (SELECT recording_id, quantile_cont(x, 0.75) * {ratio} AS threshold FROM e WHERE channel = 1 GROUP BY recording_id),
+ tops AS (SELECT *, max(x) OVER w AS m, count(*) OVER w AS c, max(x) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN {dist} PRECEDING AND 1 PRECEDING) AS prev
+   FROM e WHERE channel = 1 WINDOW w AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN {dist} PRECEDING AND {dist} FOLLOWING)),
+ hits AS (SELECT recording_id, idx, x AS peak, threshold FROM tops JOIN th USING (recording_id)
+          WHERE c = {2 * dist + 1} AND x = m AND prev < x AND x > threshold)"""
+
+
+def long_impulses(t, dist: int, ratio: float):
+    return impulses.detect_impulses(long_blocks(t, HALO), FS, BAND, ref_channel=1, dist=dist, ratio=ratio)
+
+
+@query(
+    "D-4",
+    sql=f"""WITH {_impulses_sql(20, 1.2)} SELECT recording_id, 'impulse' AS kind, idx AS det_id, idx, (idx - 1) / {FS}::DOUBLE AS t_s,
+            round(peak, 4) AS peak, round(threshold, 4) AS threshold FROM hits""",
+)
 def impulse_detections(t):
-    return impulses.detect_impulses(long_blocks(t, HALO), FS, (50.0, 200.0), ref_channel=1, dist=20, ratio=1.2)
+    return long_impulses(t, 20, 1.2).withColumns({c: F.round(c, 4) for c in ("peak", "threshold")})
+
 
+# many short trains: three clicks within 22 samples
+TRAIN, WITHIN = 2, 22
 
-@query("D-4", "D-7")
+
+@query(
+    "D-4", "D-7",
+    sql=f"""WITH {_impulses_sql(3, 0.9)},
+ flagged AS (SELECT *, coalesce(lead(idx, {TRAIN}) OVER w - idx < {WITHIN}, false) AS starts FROM hits WINDOW w AS (PARTITION BY recording_id ORDER BY idx)),
+ marked AS (SELECT *, bool_or(starts) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN {TRAIN} PRECEDING AND CURRENT ROW) AS is_member FROM flagged),
+ broken AS (SELECT *, CASE WHEN lag(is_member) OVER w = is_member THEN 0 ELSE 1 END AS brk, lead(idx) OVER w AS next_idx
+            FROM marked WINDOW w AS (PARTITION BY recording_id ORDER BY idx)),
+ numbered AS (SELECT *, sum(brk) OVER (PARTITION BY recording_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM broken),
+ len AS (SELECT recording_id, max(idx) AS n FROM lng GROUP BY recording_id)
+SELECT recording_id, min(idx) AS start_idx, max(coalesce(next_idx, n)) AS end_idx, max(idx) AS last_member_idx, count(*) AS n_dets, round(max(peak), 4) AS level
+FROM numbered JOIN len USING (recording_id) WHERE is_member GROUP BY recording_id, run""",
+)
 def impulse_trains(t):
-    found = cut_lineage(impulse_detections(t))
-    return trains.click_trains(found, 3, 600, BLOCK * 4, F.lit(10**12).cast("bigint"))
+    lengths = long_samples(t).groupBy("recording_id").agg(F.max("idx").alias("n_samples"))
+    runs = trains.click_trains(cut_lineage(long_impulses(t, 3, 0.9)), TRAIN, WITHIN, BLOCK * 4, lengths)
+    return runs.withColumn("level", F.round("level", 4))
 
 
 # the text of a document as two-channel 16-bit frames: its UTF-16 code units are the samples

@@ -248,7 +248,8 @@ def merged_results(t):
   ('single_sensor', 1, 5000.0, NULL, 4.0, 800, 5, 0.1, 1, 0.0),
   ('triangle_50cm', 3, 1000.0, NULL, 4.0, 800, 7, 1.0, 3, 0.5 / sqrt(3) * cos(radians(90))))
 SELECT c_custkey, d.device, ref_channel, impulsive_lo::DOUBLE AS impulsive_lo, impulsive_hi::DOUBLE AS impulsive_hi,
-  ratio::DOUBLE AS ratio, dist, train_min, train_interval::DOUBLE AS train_interval, n_rx, round(x1::DOUBLE, 9) AS x1
+  ratio::DOUBLE AS ratio, dist, train_min, train_interval::DOUBLE AS train_interval, NULL::DOUBLE AS threshold_noise,
+  1.0::DOUBLE AS noise_lo, 500.0::DOUBLE AS noise_hi, n_rx, round(x1::DOUBLE, 9) AS x1
 FROM customer JOIN d ON d.device = ['clicker', 'triangle_40cm', 'triangle_15cm', 'triangle_dash_names', 'single_sensor', 'triangle_50cm'][c_custkey % 6 + 1]""",
 )
 def device_presets(t):
@@ -264,6 +265,9 @@ def device_presets(t):
         "dist",
         "train_min",
         "train_interval",
+        "threshold_noise",
+        "noise_lo",
+        "noise_hi",
         F.size("rx").alias("n_rx"),
         F.round(F.col("rx")[0]["x"], 9).alias("x1"),
     )

@@ -170,16 +170,24 @@ def gap_sessions(t):
     return sessions.gap_sessions(dets, GAP, tile(dets))
 
 
-# hour samples for the density: a kernel of 24 hours over the 720 hours of a recording
-HOURS, KERNEL, SIGMA_H = 720, 24, 0.3
+# a recording ends with the day of its last event
+DAYS_SQL = f"len AS (SELECT recording_id, (max(idx) - 1) // {DAY} + 1 AS days FROM det GROUP BY recording_id)"
+
+
+def days(dets):
+    return dets.groupBy("recording_id").agg((F.floor((F.max("idx") - 1) / DAY) + 1).alias("days"))
+
+
+# hour samples for the density: a kernel of 24 hours over the hours of a recording
+KERNEL, SIGMA_H = 24, 0.3
 
 
 @query(
     "D-15",
     sql=f"""
-WITH {DET},
+WITH {DET}, {DAYS_SQL},
  hrs AS (SELECT DISTINCT recording_id, (idx - 1) // 3600000000 + 1 AS idx FROM det),
- grid AS (SELECT recording_id, unnest(range(1, {HOURS - KERNEL} + 1)) AS j FROM (SELECT DISTINCT recording_id FROM hrs)),
+ grid AS (SELECT recording_id, unnest(range(1, 24 * days - {KERNEL} + 1)) AS j FROM len),
  dens AS (
   SELECT g.recording_id, g.j,
          coalesce(sum(exp(-pow((g.j + {KERNEL // 2} - h.idx - {(KERNEL - 1) / 2}) / ({SIGMA_H} * {(KERNEL - 1) / 2}), 2) / 2)), 0) AS p
@@ -190,28 +198,28 @@ WITH {DET},
             OVER (PARTITION BY recording_id ORDER BY j ROWS UNBOUNDED PRECEDING), 0) AS s FROM dens),
  turned AS (SELECT *, s - coalesce(lag(s) OVER (PARTITION BY recording_id ORDER BY j), 0) AS d FROM state),
  edges AS (SELECT recording_id, j, d, lead(j) OVER (PARTITION BY recording_id ORDER BY j) AS nxt FROM turned WHERE d <> 0)
-SELECT recording_id, j AS start_idx, coalesce(nxt, {HOURS}) AS end_idx FROM edges WHERE d = 1""",
+SELECT recording_id, j AS start_idx, coalesce(nxt, 24 * days) AS end_idx FROM edges JOIN len USING (recording_id) WHERE d = 1""",
 )
 def density_segments(t):
-    hourly = detections(t).withColumn("idx", F.floor((F.col("idx") - 1) / 3_600_000_000) + 1)
-    return sessions.density_segments(hourly, HOURS, 100, KERNEL, SIGMA_H, 0.5, 0.05)
+    dets = detections(t)
+    hourly = dets.withColumn("idx", F.floor((F.col("idx") - 1) / 3_600_000_000) + 1)
+    lengths = days(dets).select("recording_id", (F.col("days") * 24).alias("n_samples"))
+    return sessions.density_segments(hourly, lengths, 100, KERNEL, SIGMA_H, 0.5, 0.05)
 
 
-FRAMES_SQL = f"""
+FRAMES_SQL = f"""{DAYS_SQL},
  peaks AS (SELECT recording_id, (idx - 1) // {DAY} AS frame, max(peak) AS m FROM det GROUP BY ALL),
  frames AS (
-  SELECT r.recording_id, f.frame, coalesce(p.m, 0.0) AS stat
-  FROM (SELECT DISTINCT recording_id FROM det) r CROSS JOIN (SELECT unnest(range(30)) AS frame) f
-  LEFT JOIN peaks p ON p.recording_id = r.recording_id AND p.frame = f.frame)"""
+  SELECT f.recording_id, f.days, f.frame, coalesce(p.m, 0.0) AS stat
+  FROM (SELECT recording_id, days, unnest(range(days)) AS frame FROM len) f
+  LEFT JOIN peaks p ON p.recording_id = f.recording_id AND p.frame = f.frame)"""
 
 
 def day_frames(t):
-    """Highest peak of each of the 30 days per recording, 0 on days without clicks."""
+    """Highest peak of each day of a recording, 0 on days without clicks."""
     dets = detections(t)
     peaks = dets.groupBy("recording_id", F.floor((F.col("idx") - 1) / DAY).alias("frame")).agg(F.max("peak").alias("m"))
-    spine = dets.select("recording_id").distinct().select(
-        "recording_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(29).cast("bigint"))).alias("frame")
-    )
+    spine = days(dets).select("recording_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("days") - 1)).alias("frame"))
     return spine.join(peaks, ["recording_id", "frame"], "left").select(
         "recording_id", "frame", F.coalesce("m", F.lit(0.0)).alias("stat")
     )
@@ -222,13 +230,14 @@ def day_frames(t):
     sql=MEMBERS_SQL
     + f""", {FRAMES_SQL},
  spread AS (SELECT recording_id, start_idx,
-            unnest(range(greatest(CAST(ceil(start_idx / {DAY}.0) AS BIGINT) - 1, 0), least(end_idx // {DAY} + 1, 29) + 1)) AS frame
-            FROM trains)
+            unnest(range(greatest(CAST(ceil(start_idx / {DAY}.0) AS BIGINT) - 1, 0), least(end_idx // {DAY} + 1, days - 1) + 1)) AS frame
+            FROM trains JOIN len USING (recording_id))
 SELECT recording_id, start_idx, median(stat) AS level
 FROM spread JOIN frames USING (recording_id, frame) GROUP BY recording_id, start_idx""",
 )
 def segment_levels(t):
-    return segments.segment_levels(click_trains(t), day_frames(t), DAY, F.lit(30).cast("bigint"))
+    ends = days(detections(t)).withColumnRenamed("days", "n_frames")
+    return segments.segment_levels(click_trains(t), day_frames(t), DAY, ends)
 
 
 @query(

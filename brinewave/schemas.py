@@ -4,15 +4,11 @@ BLOCKS = (
     "recording_id string, channel int, block_id bigint, start_idx bigint, "
     "samples array<double>, left_halo array<double>, right_halo array<double>"
 )
-DETECTIONS = (
-    "recording_id string, kind string, det_id bigint, idx bigint, t_s double, peak double, threshold double"
+#: All channels of a block in a row: their samples with the halos, of which `before` samples lie before the block's `size`.
+WIDE_BLOCKS = (
+    "recording_id string, block_id bigint, start_idx bigint, before int, size int, "
+    "channels array<struct<channel: int, samples: array<double>>>"
 )
-SEGMENTS = (
-    "recording_id string, kind string, segment_id bigint, start_idx bigint, end_idx bigint, "
-    "last_member_idx bigint, n_dets bigint, level double"
-)
-TDOA = "recording_id string, det_id bigint, method string, channel int, delay int"
-PIXELS = "recording_id string, det_id bigint, method string, frame bigint, px double, py double"
 COUNTS = (
     "datetime string, num_impulse bigint, num_impulseINtrain bigint, num_impulsetrain bigint, "
     "num_tonal bigint, num_tonalsegment bigint, num_noise bigint"

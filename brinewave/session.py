@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -53,9 +54,15 @@ def job_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/brinewave/{spark.sparkContext.applicationId}"
 
 
+@functools.lru_cache(maxsize=1024)
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def end_job(spark: SparkSession) -> None:
     """Delete the tables that this application has written on the way; frames that read them are of no use after it."""
-    system, path = fs.FileSystem.from_uri(folder) if "://" in (folder := job_dir(spark)) else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    system, path = opened(job_dir(spark))
     if system.get_file_info(path).type == fs.FileType.Directory:
         system.delete_dir(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 SPEED_OF_SOUND = 1540.0
 
 # What every preset starts from. Bands in Hz (0 and None are open ends), `dist`, `win_lo` and
-# `win_hi` in samples, angles of view in degrees, image size in pixels, array radius in metres (side / sqrt 3)
+# `win_hi` in samples, noise threshold (None is off) and band, angles of view in degrees, image size in pixels, array radius in metres (side / sqrt 3)
 # and the bearing of each sensor in degrees.
 DEFAULTS = dict(
     ref_channel=3,
@@ -29,6 +29,9 @@ DEFAULTS = dict(
     freq_width_db=3.0,
     freq_maxbandwidth=10000.0,
     percent_quiet=0.01,
+    threshold_noise=None,
+    noise_lo=1.0,
+    noise_hi=500.0,
     fov_x=54.0,
     fov_y=34.0,
     img_w=3840,
@@ -74,7 +77,7 @@ SCHEMA = (
     "device string, ref_channel int, impulsive_lo double, impulsive_hi double, threshold_impulsive double, "
     "ratio double, dist int, win_lo int, win_hi int, train_min int, train_interval double, tonal_lo double, "
     "tonal_hi double, threshold_tonal double, nfft_s double, freq_width_db double, freq_maxbandwidth double, "
-    "percent_quiet double, fov_x double, fov_y double, img_w int, img_h int, name_layout string, c double, "
+    "percent_quiet double, threshold_noise double, noise_lo double, noise_hi double, fov_x double, fov_y double, img_w int, img_h int, name_layout string, c double, "
     "rx array<struct<x: double, y: double, z: double>>"
 )
 

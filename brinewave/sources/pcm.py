@@ -8,12 +8,12 @@ channel (the halos), so that filters and peak searches need no shuffle.
     spark.read.format("pcm").option("channels", 4).option("fs", 500000).load(folder)
 
 Filters on start_idx and channel are pushed into the byte ranges and columns read
-when spark.sql.python.filterPushdown.enabled is true.
+when spark.sql.python.filterPushdown.enabled is true. With the option wide a row holds all
+channels of a block, from which windows are cut without a shuffle (`operators.windows`).
 """
 
 from __future__ import annotations
 
-import functools
 import posixpath
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -37,6 +37,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from brinewave import schemas
+from brinewave.session import opened
 
 SCHEMA = schemas.BLOCKS.replace("recording_id string", "recording_id string, path string")
 ARROW_SCHEMA = pa.schema(
@@ -51,6 +52,17 @@ ARROW_SCHEMA = pa.schema(
         ("right_halo", pa.list_(pa.float64())),
     ]
 )
+WIDE_SCHEMA = schemas.WIDE_BLOCKS.replace("recording_id string", "recording_id string, path string")
+WIDE_ARROW = pa.schema(
+    [
+        *list(ARROW_SCHEMA)[:2],
+        ("block_id", pa.int64()),
+        ("start_idx", pa.int64()),
+        ("before", pa.int32()),
+        ("size", pa.int32()),
+        ("channels", pa.list_(pa.struct([("channel", pa.int32()), ("samples", pa.list_(pa.float64()))]))),
+    ]
+)
 # Channels, rate and sample type of a recorder file where nothing else is said.
 CHANNELS, RATE, SAMPLE_TYPE = 5, 400_000, "int16"
 
@@ -67,6 +79,7 @@ class Layout:
     task_blocks: int
     skip_s: float
     duration_s: float | None
+    wide: bool
 
     @property
     def frame_bytes(self) -> int:
@@ -85,6 +98,7 @@ class Layout:
             task_blocks=int(get("task_blocks", 64)),
             skip_s=float(get("skip_s", 0)),
             duration_s=None if duration is None else float(duration),
+            wide=str(get("wide", "false")).lower() == "true",
         )
 
     def frame_range(self, size: int) -> tuple[int, int]:
@@ -107,12 +121,6 @@ class Ranges(InputPartition):
     channels: tuple[int, ...]
 
 
-@functools.lru_cache(maxsize=1024)
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path within it."""
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 def list_pcm(path: str, suffix: str = ".bin") -> list[tuple[str, int]]:
     """Visible files below a folder (or the one file), by name, with their sizes."""
     system, inner = opened(path)
@@ -150,7 +158,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def read_blocks(part: Ranges, layout: Layout) -> Iterator[pa.RecordBatch]:
-    """One batch per block: a row for each wanted channel."""
+    """One batch per block: a row for each wanted channel, or one row of them all."""
     n, halo = layout.block_len, layout.halo
     for block in range(part.first, part.end):
         lo = part.begin + block * n
@@ -162,6 +170,21 @@ def read_blocks(part: Ranges, layout: Layout) -> Iterator[pa.RecordBatch]:
         wanted = [c for c in part.channels]
         cut = [frames[:, c - 1] for c in wanted]
         k = len(wanted)
+        if layout.wide:
+            entries = pa.StructArray.from_arrays([pa.array(wanted, pa.int32()), _lists(cut)], names=["channel", "samples"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part.name]),
+                    pa.array([part.path]),
+                    pa.array([block], pa.int64()),
+                    pa.array([block * n + 1], pa.int64()),
+                    pa.array([lo - a], pa.int32()),
+                    pa.array([hi - lo], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array([0, k], pa.int32()), entries),
+                ],
+                schema=WIDE_ARROW,
+            )
+            continue
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([part.name] * k),
@@ -261,14 +284,14 @@ class PcmStreamReader(DataSourceStreamReader):
 
 
 class PcmSource(DataSource):
-    """Format "pcm". Options: path, channels, fs, dtype, block_len, halo, skip_s, duration_s, suffix."""
+    """Format "pcm". Options: path, channels, fs, dtype, block_len, halo, skip_s, duration_s, suffix, wide."""
 
     @classmethod
     def name(cls) -> str:
         return "pcm"
 
     def schema(self) -> StructType | str:
-        return SCHEMA
+        return WIDE_SCHEMA if Layout.of(dict(self.options)).wide else SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PcmReader(dict(self.options))
