@@ -82,7 +82,8 @@ class Windows:
         self.first = valid[np.concatenate([[0], cut])] if len(valid) else valid
         self.last = valid[np.concatenate([cut, [len(valid)]]) - 1] if len(valid) else valid
         anchor = place[np.concatenate([[0], cut])] if len(valid) else valid
-        self.grams = grams[anchor]
+        # smallest names lie close together: named anew, they are dealt evenly over the parts of an exchange
+        self.grams = mixed(grams[anchor])
         shape = (anchor - self.first).astype("u8") << U(16) | (self.last - self.first).astype("u8")
         self.stretches = mixed(mixed(self.names[self.first] + shape) + self.names[self.last])
 
