@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from brinewave.llm.memory import Remembered
 from brinewave.session import cut_lineage, job_dir
 
 MAGIC = b"WVM1"
@@ -141,6 +142,7 @@ class WaveletMatrix:
 
 class Tokens:
     """Whole texts to ids by the tokenizers library, which is asked once for each stretch between single spaces.
+    Special tokens in a text are what the library's plain call takes them for.
 
     A single space between two characters that are no white space always begins a
     pre-token, so stretches that begin there are encoded on their own.
@@ -153,23 +155,16 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.levels = max(2, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = "<u2" if self.levels <= 16 else "<u4"
         self.split = re.compile(r"(?<=\S) (?=\S)").split
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(REMEMBERED)
         self.tails: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         parts = self.split(text) if spaces_touch(text) else text.split(" ")
-        first, rest = self._ids(parts[0]) if parts[0] else b"", parts[1:]
-        try:
-            return first + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self._learn(set(rest).difference(self.known))
-            return first + b"".join(map(self.known.__getitem__, rest))
+        first = self._ids(parts[0]) if parts[0] else b""
+        return first + self.known.joined(parts[1:], self._learn)
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new stretches. Letters and the marks after them are two pre-tokens, so marks are asked for on their own."""
@@ -179,21 +174,22 @@ class Tokens:
             core = part.rstrip(MARKS)
             if core != part and core.isalpha() and max(core) < LETTERS_UNTIL:
                 marked.append((part, core))
-                if core not in self.known:
+                if core not in self.known.new:
                     plain.add(core)
             else:
                 plain.add(part)
         asked = list(plain)
         found = self.tokenizer.encode_batch_fast([" " + p for p in asked], add_special_tokens=False)
         code = "H" if self.levels <= 16 else "I"
-        self.known.update((p, array(code, e.ids).tobytes()) for p, e in zip(asked, found))
+        known = self.known.new
+        known.update((p, array(code, e.ids).tobytes()) for p, e in zip(asked, found))
         for part, core in marked:
             tail = part[len(core) :]
             if tail not in self.tails:
                 if len(self.tails) > 10_000:
                     self.tails.clear()
                 self.tails[tail] = self._ids(tail)
-            self.known[part] = self.known[core] + self.tails[tail]
+            known[part] = known[core] + self.tails[tail]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
