@@ -15,6 +15,7 @@ when decoding.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +24,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
+from brinewave.llm.memory import Remembered
 from brinewave.llm.rows import named, packed, unpacked
+from brinewave.llm.wavelet import spaces_touch
 from brinewave.session import cut_lineage
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: No alternative of the pattern looks more than this many characters beyond a piece.
 LOOK = 3
-#: Encoded pieces that a worker remembers.
-REMEMBERED = 250_000
+#: Encoded stretches, and pieces within them, that a worker remembers.
+REMEMBERED, REMEMBERED_PIECES = 500_000, 300_000
+NO_RANK = 1 << 60
 #: Documents in one batch of results.
 ROWS = 200
 
@@ -47,7 +51,10 @@ class Encoder:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.stretches, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED_PIECES)
+        # a space alone between characters that are none always begins a piece where the pattern says so
+        self.by_spaces = pattern == public_tokenizers.PATTERN
+        self.alone = re.compile(r"(?<=\S) (?=\S)").split
         self.raw = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.raw[rank] = piece
@@ -58,31 +65,36 @@ class Encoder:
             return [rank]
         if len(piece) > 400:
             return _merged_long(piece, self.ranks)
-        ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-        while pairs and (least := min(pairs)) < 1 << 60:
+        rank, edges = self.ranks.get, list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < NO_RANK:
             i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del edges[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+                pairs[i - 1] = rank(piece[edges[i - 1] : edges[i + 1]], NO_RANK)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-        return [ranks[p] for p in parts]
+                pairs[i] = rank(piece[edges[i] : edges[i + 2]], NO_RANK)
+        return [self.ranks[piece[a:b]] for a, b in zip(edges, edges[1:])]
 
     def encode(self, text: str, size: int | None = None) -> bytes:
         """The ids of the text; with `size`, of its pieces up to that boundary, the rest being there to look at."""
+        if size is None and self.by_spaces:
+            parts = self.alone(text) if spaces_touch(text) else text.split(" ")
+            first = self._pieces(self.split(parts[0])) if parts[0] else b""
+            return first + self.stretches.joined(parts[1:], self._learn)
         pieces = self.split(text)
         if size is not None and size < len(text):
             pieces = pieces[: int(np.searchsorted(np.cumsum([len(p) for p in pieces]), size, "right"))]
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for piece in set(pieces).difference(self.known):
-                self.known[piece] = np.array(self.merge(piece.encode()), "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, pieces))
+        return self._pieces(pieces)
+
+    def _pieces(self, pieces: list[str]) -> bytes:
+        return self.pieces.joined(pieces, self._merge)
+
+    def _learn(self, stretches: set[str]) -> None:
+        self.stretches.new.update((x, self._pieces(self.split(" " + x))) for x in stretches)
+
+    def _merge(self, pieces: set[str]) -> None:
+        self.pieces.new.update((p, np.array(self.merge(p.encode()), "<u4").tobytes()) for p in pieces)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -156,7 +156,6 @@ def test_wavelet_matrix():
 @pytest.mark.parametrize("most", [wavelet.SHARD_TOKENS, 500])
 def test_wavelet_files(docs, empty, most):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     got = wavelet.write_and_read(docs, most=most).collect()
     want = [(r.doc_id, packed(own.encode(r.text or "", add_special_tokens=False).ids + [2])) for r in docs.collect()]
     same([(r.doc_id, bytes(r.ids)) for r in got], want)
@@ -169,6 +168,47 @@ def test_wavelet_files(docs, empty, most):
     assert wavelet.write_and_read(empty).count() == 0
 
 
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|> c.", "<|endoftext| >", "x  <|endoftext|>\n"]
+
+
+def test_special_tokens_are_as_the_library_takes_them(spark):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in wavelet.write_and_read(rows).collect()}
+    assert got == {i: packed(own.encode(t, add_special_tokens=False).ids + [2]) for i, t in enumerate(SPECIAL)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(bpe.default_ranks(), public_tokenizers.PATTERN).ranks, special_tokens={})
+    ids = {r.doc_id: bytes(r.ids) for r in bpe.encode(rows).collect()}
+    assert ids == {i: packed(plain.encode_ordinary(t)) for i, t in enumerate(SPECIAL)}
+
+
+def test_what_is_remembered_is_bounded_and_right(monkeypatch):
+    rng = random.Random(6)
+    texts = [passage(rng, 60) for _ in range(60)] + [t for t in odd_texts() if t]
+    plain = bpe.Encoder(bpe.default_ranks(), public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain.ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    monkeypatch.setattr(bpe, "REMEMBERED_PIECES", 60)
+    monkeypatch.setattr(wavelet, "REMEMBERED", 100)
+    small, tokens = bpe.Encoder(bpe.default_ranks(), public_tokenizers.PATTERN), wavelet.Tokens(wavelet.default_tokenizer())
+    for text in texts:
+        want = packed(own.encode_ordinary(text))
+        assert plain.encode(text) == small.encode(text) == want
+        assert np.frombuffer(tokens.encode(text), tokens.kind).astype("<u4").tobytes() == want
+        most = max(50, len(set(text.split(" "))))
+        assert len(small.stretches.new) <= most
+    assert len(small.pieces.old) < 9000 and len(plain.stretches.old) == 0
+
+
+def test_grams_are_dealt_evenly():
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 105, 400_000).astype("u1").tobytes()
+    found, (grams, counts), _ = suffixes.levels({"body": raw, "lengths": [len(raw)]})
+    for parts in (16, 64, 480):
+        sizes = [len(k.as_py()) for k in suffixes.ex.sent(0, 0, grams, counts, parts).column("keys")]
+        mean = 8 * len(grams) / parts
+        assert max(sizes) < 1.5 * mean + 6 * 8 * (len(grams) / parts) ** 0.5 if parts > 100 else max(sizes) < 1.5 * mean
+
+
 def brute_runs(texts: list[bytes]) -> list[tuple]:
     starts = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     out = []
