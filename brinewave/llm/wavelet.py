@@ -167,22 +167,32 @@ class Tokens:
         return first + self.known.joined(parts[1:], self._learn)
 
     def _learn(self, new: set[str]) -> None:
-        """Ids of new stretches. Letters and the marks after them are two pre-tokens, so marks are asked for on their own."""
+        """Ids of new stretches. Letters and the marks after them are two pre-tokens, so marks are asked for on their own;
+        words of letters alone are asked for together, as one text whose pre-tokens they are."""
         marked: list[tuple[str, str]] = []
-        plain: set[str] = set()
+        words: set[str] = set()
+        others: list[str] = []
+        known = self.known.new
         for part in new:
             core = part.rstrip(MARKS)
-            if core != part and core.isalpha() and max(core) < LETTERS_UNTIL:
+            if not (core.isalpha() and max(core) < LETTERS_UNTIL):
+                others.append(part)
+                continue
+            if core != part:
                 marked.append((part, core))
-                if core not in self.known.new:
-                    plain.add(core)
-            else:
-                plain.add(part)
-        asked = list(plain)
-        found = self.tokenizer.encode_batch_fast([" " + p for p in asked], add_special_tokens=False)
-        code = "H" if self.levels <= 16 else "I"
-        known = self.known.new
-        known.update((p, array(code, e.ids).tobytes()) for p, e in zip(asked, found))
+            if core not in known:
+                words.add(core)
+        code, asked = "H" if self.levels <= 16 else "I", list(words)
+        if asked:
+            found = self.tokenizer.encode(" " + " ".join(asked), add_special_tokens=False)
+            ids, cuts = array(code, found.ids).tobytes(), np.flatnonzero(np.diff(np.array(found.word_ids, "i8"))) + 1
+            edges = [0, *(cuts * array(code).itemsize).tolist(), len(ids)]
+            if len(edges) != len(asked) + 1:
+                raise ValueError("words of letters alone are not the tokenizer's pre-tokens")
+            known.update((word, ids[a:b]) for word, a, b in zip(asked, edges, edges[1:]))
+        if others:
+            each = self.tokenizer.encode_batch_fast([" " + p for p in others], add_special_tokens=False)
+            known.update((p, array(code, e.ids).tobytes()) for p, e in zip(others, each))
         for part, core in marked:
             tail = part[len(core) :]
             if tail not in self.tails:
