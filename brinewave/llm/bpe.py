@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from brinewave.llm.memory import Remembered
 from brinewave.llm.rows import named, packed, unpacked
-from brinewave.llm.wavelet import spaces_touch
+from brinewave.llm.wavelet import LETTERS_UNTIL, MARKS, spaces_touch
 from brinewave.session import cut_lineage
 
 CHUNK = 1 << 15
@@ -36,8 +36,12 @@ LOOK = 3
 #: Encoded stretches, and pieces within them, that a worker remembers.
 REMEMBERED, REMEMBERED_PIECES = 500_000, 300_000
 NO_RANK = 1 << 60
+#: Bytes of a piece from which on it is merged on its own.
+LONG = 100
 #: Documents in one batch of results.
 ROWS = 200
+#: Documents whose new pieces are merged together.
+PREPARED = 5 * ROWS
 
 
 def default_ranks() -> str:
@@ -56,30 +60,84 @@ class Encoder:
         self.by_spaces = pattern == public_tokenizers.PATTERN
         self.alone = re.compile(r"(?<=\S) (?=\S)").split
         self.raw = [b""] * (max(self.ranks.values()) + 1)
+        pairs: dict[int, int] = {}
         for piece, rank in self.ranks.items():
             self.raw[rank] = piece
+            for i in range(1, len(piece)):
+                if (a := self.ranks.get(piece[:i])) is not None and (b := self.ranks.get(piece[i:])) is not None:
+                    pairs[a * len(self.raw) + b] = rank
+        self.pairs = np.array(sorted(pairs), "i8")
+        self.pair_ranks = np.array([pairs[x] for x in self.pairs.tolist()], "i8")
+        self.single = np.array([self.ranks[bytes([x])] for x in range(256)], "i8")
 
     def merge(self, piece: bytes) -> list[int]:
-        """The piece's ids: the pair with the lowest rank merges first, leftmost first."""
-        if (rank := self.ranks.get(piece)) is not None:
-            return [rank]
-        if len(piece) > 400:
-            return _merged_long(piece, self.ranks)
-        rank, edges = self.ranks.get, list(range(len(piece) + 1))
-        pairs = [rank(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
-        while pairs and (least := min(pairs)) < NO_RANK:
-            i = pairs.index(least)
-            del edges[i + 1], pairs[i]
-            if i:
-                pairs[i - 1] = rank(piece[edges[i - 1] : edges[i + 1]], NO_RANK)
-            if i < len(pairs):
-                pairs[i] = rank(piece[edges[i] : edges[i + 2]], NO_RANK)
-        return [self.ranks[piece[a:b]] for a, b in zip(edges, edges[1:])]
+        """The ids of one piece."""
+        return np.frombuffer(self.merged([piece])[0], "<u4").tolist()
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The pieces' packed ids: in each the pair with the lowest rank merges first, leftmost first. All pieces of a length take
+        their next merge together."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_length: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if (rank := self.ranks.get(piece)) is not None:
+                out[i] = rank.to_bytes(4, "little")
+            elif len(piece) > LONG:
+                out[i] = np.array(_merged_long(piece, self.ranks), "<u4").tobytes()
+            else:
+                by_length.setdefault(len(piece), []).append(i)
+        for n, places in by_length.items():
+            raw = np.frombuffer(b"".join(pieces[i] for i in places), "u1").reshape(-1, n)
+            for i, ids in zip(places, self._merged_together(self.single[raw])):
+                out[i] = ids
+        return out
+
+    def _merged_together(self, ids: np.ndarray) -> list[bytes]:
+        """Rows of ids, merged as far as they go."""
+        out: list[bytes] = [b""] * len(ids)
+        rows, ranks = np.arange(len(ids)), self.pair_rank(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            every = np.arange(len(rows))
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), "i8")
+            least = ranks[every, at] if ranks.shape[1] else np.full(len(rows), NO_RANK)
+            done = least == NO_RANK
+            if done.any():
+                for row, left in zip(rows[done].tolist(), ids[done].astype("<u4")):
+                    out[row] = left.tobytes()
+                rows, ids, ranks, at, least = rows[~done], ids[~done], ranks[~done], at[~done], least[~done]
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            ids[every, at] = least
+            places = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, places + (places > at[:, None]), axis=1)
+            places = places[:-1]
+            ranks = np.take_along_axis(ranks, places + (places >= at[:, None]), axis=1)
+            # the pairs before and behind the new token are new
+            for move in (0, 1):
+                some = np.flatnonzero((at - 1 + move >= 0) & (at + move < ids.shape[1]))
+                a = at[some] - 1 + move
+                ranks[some, a] = self.pair_rank(ids[some, a], ids[some, a + 1])
+        return out
+
+    def pair_rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The rank of the token that two neighbours make."""
+        code = first * len(self.raw) + second
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.pair_ranks[at], NO_RANK)
+
+    def prepare(self, texts: list[str | dict]) -> None:
+        """Learn what is new in many texts together."""
+        if self.by_spaces:
+            self.stretches.ready({p for x in texts if isinstance(x, str) for p in self._stretches(x)[1:]}, self._learn)
+
+    def _stretches(self, text: str) -> list[str]:
+        return self.alone(text) if spaces_touch(text) else text.split(" ")
 
     def encode(self, text: str, size: int | None = None) -> bytes:
         """The ids of the text; with `size`, of its pieces up to that boundary, the rest being there to look at."""
         if size is None and self.by_spaces:
-            parts = self.alone(text) if spaces_touch(text) else text.split(" ")
+            parts = self._stretches(text)
             first = self._pieces(self.split(parts[0])) if parts[0] else b""
             return first + self.stretches.joined(parts[1:], self._learn)
         pieces = self.split(text)
@@ -91,10 +149,30 @@ class Encoder:
         return self.pieces.joined(pieces, self._merge)
 
     def _learn(self, stretches: set[str]) -> None:
-        self.stretches.new.update((x, self._pieces(self.split(" " + x))) for x in stretches)
+        plain, marked, others = [], [], []
+        for x in stretches:
+            word = x.rstrip(MARKS)
+            # letters are a piece with the space before them, and the marks behind are one
+            if not (word.isalpha() and max(word) < LETTERS_UNTIL):
+                others.append((x, self.split(" " + x)))
+            elif len(word) == len(x):
+                plain.append(x)
+            else:
+                marked.append((x, " " + word, x[len(word) :]))
+        new = {" " + x for x in plain}
+        new.update(p for _, pieces in others for p in pieces)
+        for _, word, marks in marked:
+            new.add(word)
+            new.add(marks)
+        self.pieces.ready(new, self._merge)
+        known, to = self.pieces.new, self.stretches.new
+        to.update((x, known[" " + x]) for x in plain)
+        to.update((x, known[word] + known[marks]) for x, word, marks in marked)
+        to.update((x, b"".join(map(known.__getitem__, pieces))) for x, pieces in others)
 
     def _merge(self, pieces: set[str]) -> None:
-        self.pieces.new.update((p, np.array(self.merge(p.encode()), "<u4").tobytes()) for p in pieces)
+        new = list(pieces)
+        self.pieces.new.update(zip(new, self.merged([p.encode() for p in new])))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -137,8 +215,8 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def replaced(df: DataFrame, column: str, new: list[str], make) -> DataFrame:
-    """df with `column` replaced by the binary columns `new`, which make()(value) gives as a tuple."""
+def replaced(df: DataFrame, column: str, new: list[str], make, prepare=None) -> DataFrame:
+    """df with `column` replaced by the binary columns `new`, which make()(value) gives as a tuple; prepare(values) may see many before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -146,7 +224,10 @@ def replaced(df: DataFrame, column: str, new: list[str], make) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 i = part.schema.get_field_index(column)
-                found = list(zip(*(f(x.as_py()) for x in part.column(i))))
+                values = part.column(i).to_pylist()
+                if prepare and at % PREPARED == 0:
+                    prepare(batch.slice(at, PREPARED).column(i).to_pylist())
+                found = list(zip(*map(f, values)))
                 kept = [c for c in part.schema.names if c != column]
                 columns = [part.column(c) for c in kept] + [pa.array(x, pa.binary()) for x in found]
                 yield pa.RecordBatch.from_arrays(columns, kept + new)
@@ -202,7 +283,7 @@ def encode(
         return one
 
     plain = docs.select(packed(rest), F.coalesce(named(text), F.lit("")).alias("text"))
-    short = replaced(plain.where(F.length("text") <= chunk), "text", new, code)
+    short = replaced(plain.where(F.length("text") <= chunk), "text", new, code, lambda values: encoder(path, pattern).prepare(values))
 
     long = cut_lineage(plain.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
     count = F.ceil(F.length("text") / chunk).cast("long")

@@ -18,15 +18,16 @@ class Remembered:
         try:
             return b"".join(map(self.new.__getitem__, keys))
         except KeyError:
-            unknown = set(keys).difference(self.new)
-            if len(self.new) + len(unknown) > self.most:
-                self.old, self.new = self.new, {}
-                unknown = set(keys)
-            self.keep(unknown, learn)
+            self.ready(keys, learn)
             return b"".join(map(self.new.__getitem__, keys))
 
-    def keep(self, unknown: Iterable[str], learn: Callable[[set[str]], None]) -> None:
+    def ready(self, keys: Iterable[str], learn: Callable[[set[str]], None]) -> None:
+        """See to it that the keys are there together, however many they are."""
+        unknown = set(keys).difference(self.new)
+        if len(self.new) + len(unknown) > self.most:
+            self.old, self.new = self.new, {}
+            unknown = set(keys)
         again = self.old.keys() & unknown
         self.new.update((k, self.old[k]) for k in again)
-        if rest := set(unknown).difference(again):
+        if rest := unknown.difference(again):
             learn(rest)
