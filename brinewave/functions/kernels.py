@@ -144,24 +144,24 @@ def band_gain(freq, fs, band, stops, order) -> np.ndarray:
 
 
 def zero_phase(x: np.ndarray, fs: float, band, stops=(), order: int = 4, envelope: bool = False) -> np.ndarray:
-    """Filter without phase shift; optionally the magnitude of the analytic signal of the result."""
-    n = len(x)
+    """Filter along the last axis without phase shift; optionally the magnitude of the analytic signal of the result."""
+    n = x.shape[-1]
     if n == 0:
         return x
     size = fast_length(2 * n)
     gain = band_gain(np.fft.rfftfreq(size, 1 / fs), fs, band, stops, order)
     spectrum = np.fft.rfft(x, size) * gain
     if not envelope:
-        return np.fft.irfft(spectrum, size)[:n]
-    full = np.zeros(size, dtype=complex)
-    full[: len(spectrum)] = spectrum
-    full[1 : (size + 1) // 2] *= 2
-    return np.abs(np.fft.ifft(full)[:n])
+        return np.fft.irfft(spectrum, size)[..., :n]
+    full = np.zeros((*x.shape[:-1], size), dtype=complex)
+    full[..., : spectrum.shape[-1]] = spectrum
+    full[..., 1 : (size + 1) // 2] *= 2
+    return np.abs(np.fft.ifft(full)[..., :n])
 
 
 def envelope(x: np.ndarray) -> np.ndarray:
-    """Magnitude of the analytic signal of exactly these samples."""
-    n = len(x)
+    """Magnitude of the analytic signal of exactly these samples, along the last axis."""
+    n = x.shape[-1]
     spectrum = np.fft.fft(x)
     step = np.zeros(n)
     step[0] = 1
@@ -171,6 +171,34 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(spectrum * step))
 
 
+def stacked(windows: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A column array<array<double>> (channels of samples) as blocks of equal shape: row numbers, and x[window, channel, sample]."""
+    counts = windows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    lists = windows.flatten()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    first = np.cumsum(counts) - counts
+    length = np.where(counts > 0, sizes[np.minimum(first, max(len(sizes) - 1, 0))] if len(sizes) else 0, 0)
+    place = np.cumsum(sizes) - sizes
+    for shape in np.unique(np.stack([counts, length], axis=1), axis=0):
+        k, n = (int(v) for v in shape)
+        rows = np.flatnonzero((counts == k) & (length == n))
+        if k and n:
+            at = place[(first[rows, None] + np.arange(k))]
+            yield rows, values[at[..., None] + np.arange(n)]
+
+
+def delays(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """`delay` of every x[window, channel] after ref[window], all windows at once."""
+    n, m = x.shape[-1], ref.shape[-1]
+    size = fast_length(n + m - 1)
+    full = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(ref, size))[:, None], size)
+    lags = np.arange(-(m - 1), n)
+    # in the order of preference among equal magnitudes: the first largest is the one
+    lags = lags[np.lexsort((-lags, np.abs(lags)))]
+    return lags[np.abs(full[..., lags % size]).round(9).argmax(axis=-1)]
+
+
 def correlate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """sum_i x[i + lag] * y[i] for lag = -(len(y) - 1) .. len(x) - 1."""
     if min(len(x), len(y)) <= 128:
@@ -207,16 +235,17 @@ def frame_powers(x: np.ndarray, nfft: int, hop: int, fs: float, window: np.ndarr
 
 
 def haar_denoise(x: np.ndarray) -> np.ndarray:
-    """Soft-threshold one Haar level at the universal threshold, averaged over both shifts."""
-    out = np.zeros(len(x))
+    """Soft-threshold one Haar level at the universal threshold along the last axis, averaged over both shifts."""
+    n = x.shape[-1]
+    m = n // 2 * 2
+    out = np.zeros(x.shape)
     for shift in (0, 1):
-        y = np.roll(x, -shift)
-        m = len(y) // 2 * 2
-        mean, diff = (y[0:m:2] + y[1:m:2]) / np.sqrt(2), (y[0:m:2] - y[1:m:2]) / np.sqrt(2)
-        noise = np.median(np.abs(diff)) / 0.6745 if m else 0.0
-        limit = noise * np.sqrt(2 * np.log(max(len(x), 2)))
+        y = np.roll(x, -shift, axis=-1)
+        mean, diff = (y[..., 0:m:2] + y[..., 1:m:2]) / np.sqrt(2), (y[..., 0:m:2] - y[..., 1:m:2]) / np.sqrt(2)
+        noise = np.median(np.abs(diff), axis=-1, keepdims=True) / 0.6745 if m else np.zeros((*x.shape[:-1], 1))
+        limit = noise * np.sqrt(2 * np.log(max(n, 2)))
         diff = np.sign(diff) * np.maximum(np.abs(diff) - limit, 0)
         z = y.copy()
-        z[0:m:2], z[1:m:2] = (mean + diff) / np.sqrt(2), (mean - diff) / np.sqrt(2)
-        out += np.roll(z, shift)
+        z[..., 0:m:2], z[..., 1:m:2] = (mean + diff) / np.sqrt(2), (mean - diff) / np.sqrt(2)
+        out += np.roll(z, shift, axis=-1)
     return out / 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -137,29 +139,20 @@ def beam_levels(windows: DataFrame, steering: np.ndarray, fs: float) -> DataFram
 
     @F.arrow_udf("struct<levels: array<double>, direction: bigint, level_db: double>")
     def run(samples: pa.Array) -> pa.Array:
-        out = []
-        for channels in samples:
-            x = np.array([c.values.to_numpy(zero_copy_only=False) for c in channels])
-            n = x.shape[1]
-            levels = np.empty(shifts.shape[1])
-            for k in range(shifts.shape[1]):
-                total = np.zeros(n)
-                for j, s in enumerate(shifts[:, k]):
-                    if s >= 0:
-                        total[s:] += x[j, : n - s] if s < n else 0
-                    else:
-                        total[: n + s] += x[j, -s:] if -s < n else 0
+        levels = np.full((len(samples), shifts.shape[1]), np.nan)
+        for mine, x in kernels.stacked(samples):
+            n = x.shape[2]
+            for k, by in enumerate(shifts.T):
+                total = np.zeros((len(mine), n))
+                for j, s in enumerate(by):
+                    if abs(s) < n:
+                        total[:, max(s, 0) : n + min(s, 0)] += x[:, j, max(-s, 0) : n - max(s, 0)]
                 with np.errstate(divide="ignore"):
-                    levels[k] = 20 * np.log10(total.max() - total.min())
-            out.append(levels)
+                    levels[mine, k] = 20 * np.log10(total.max(axis=1) - total.min(axis=1))
         # equal levels differ in their last bits by the order of summation: compare at nine decimals
-        best = [int(np.argmax(v.round(9))) for v in out]
+        best = levels.round(9).argmax(axis=1)
         return pa.StructArray.from_arrays(
-            [
-                kernels.lists_from(out),
-                pa.array([k + 1 for k in best], type=pa.int64()),
-                pa.array([float(v[k]) for v, k in zip(out, best)], type=pa.float64()),
-            ],
+            [kernels.lists_from(list(levels)), pa.array(best + 1), pa.array(levels[np.arange(len(best)), best])],
             names=["levels", "direction", "level_db"],
         )
 
@@ -167,24 +160,25 @@ def beam_levels(windows: DataFrame, steering: np.ndarray, fs: float) -> DataFram
 
 
 def geometry_cost(pings: DataFrame, candidates: list[list[tuple[float, float, float]]], fs: float, c: float, ref_channel: int) -> DataFrame:
-    """Squared delay error of every candidate geometry over all pings, best first.
+    """Squared delay error of every candidate geometry over all pings.
 
-    `pings` needs az, el and delays. One sum per candidate in a single map-side
-    combined aggregation.
+    `pings` needs az, el and delays. A batch gives one vector of costs, and these are added: neither
+    a column nor a row of the plan is made for each candidate and ping, whatever their number is.
     """
-    az, el = F.col("az"), F.col("el")
-    direction = (F.sin(az) * F.cos(el), F.sin(el), F.cos(az) * F.cos(el))
-    ref = ref_channel - 1
-    sums = []
-    for k, rx in enumerate(candidates):
-        cost = F.lit(0.0)
-        for m, sensor in enumerate(rx):
-            along = sum(
-                (a * F.lit((p - q) / c * fs) for a, p, q in zip(direction, sensor, rx[ref])), F.lit(0.0)
-            )
-            miss = F.col("delays")[m] - F.col("delays")[ref] - along
-            cost = cost + miss * miss
-        sums.append(F.sum(cost).alias(f"c{k}"))
-    total = pings.agg(*sums)
-    each = F.array(*[F.struct(F.lit(k).alias("candidate"), F.col(f"c{k}").alias("cost")) for k in range(len(candidates))])
-    return total.select(F.inline(each))
+    rx = np.array(candidates, dtype=float)
+    offsets = (rx - rx[:, [ref_channel - 1]]) / c * fs  # [candidate, sensor, axis]
+    gram = np.einsum("ksa,ksb->kab", offsets, offsets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(rx))
+        for batch in batches:
+            az, el = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("az", "el"))
+            along = np.stack([np.sin(az) * np.cos(el), np.sin(el), np.cos(az) * np.cos(el)], axis=1)
+            late = _delay_rows(batch.column("delays"))[:, : rx.shape[1]]
+            late = late - late[:, [ref_channel - 1]]
+            # the square of late - offsets . along, summed over pings and sensors: three sums that need no pair of both
+            total += (late**2).sum() - 2 * np.einsum("ksa,sa->k", offsets, late.T @ along) + np.einsum("kab,ab->k", gram, along.T @ along)
+        yield pa.RecordBatch.from_pydict({"candidate": pa.array(np.arange(len(rx)), pa.int32()), "part": total})
+
+    parts = pings.select("az", "el", "delays").mapInArrow(run, "candidate int, part double")
+    return parts.groupBy("candidate").agg(F.sum("part").alias("cost"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from brinewave.functions.columns import stem
-from brinewave.operators.tiles import CORE, TILE, add_tiles, number_rows, tile_window
+from brinewave.operators.tiles import CORE, TILE, add_tiles, fitting_width, number_rows, tile_of
+from brinewave.session import cut_lineage
 
 
 def _base(postfix: str = ""):
@@ -69,50 +72,105 @@ def _by_place(v: DataFrame, a: DataFrame, tile: int) -> DataFrame:
     return v.join(a, ["folder", "_n"]).select("folder", "video", "audio")
 
 
-DURATION_TILE_S = 600
+WIDEST_S, NARROWEST_S = 600, 2 * int(TOLERANCE_S)  # durations of a tile
+FILES = 100_000  # of a folder in one tile, about: one task holds them
 
 
 def _by_duration(v: DataFrame, a: DataFrame) -> DataFrame:
-    """Greedy choice inside runs of durations without a gap of the tolerance.
+    """The listing-order choice, in rounds of proposals.
 
-    Files of different runs can never match, so a folder is split into its runs and
-    only a run is handled in one place: at most the files of one folder whose
-    durations follow each other closely.
+    A video proposes to its first sound file that no earlier video holds, a file keeps the earliest video that
+    proposed, and who has lost a file proposes again, until nobody proposes. As every file prefers earlier videos, that ends in the
+    choices made one after the other. A round is worked out by tiles of durations, each with the files that its videos may
+    reach, so that only what crosses a tile's edge takes further rounds; a folder of any size is many tasks.
     """
-    usable = v.where(F.col("duration_s") >= SHORTEST_S).withColumn("_video", F.lit(True))
-    both = usable.unionByName(a.withColumn("_video", F.lit(False))).where(F.col("duration_s").isNotNull())
-    rows = add_tiles(both, "duration_s", DURATION_TILE_S, before=int(TOLERANCE_S))
-    order = tile_window(["folder"], "duration_s", "_video", "path")
-    new = F.when(F.col("duration_s") - F.lag("duration_s").over(order) < TOLERANCE_S, 0).otherwise(1)
-    rows = rows.withColumn("_new", new).where(CORE)
-    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # run 0 of a tile goes on from the tile before it
-    starts = rows.groupBy("folder", TILE).agg(F.max("_run").alias("_runs"))
-    along = Window.partitionBy("folder").orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("folder", TILE, F.coalesce(F.sum("_runs").over(along), F.lit(0)).alias("_before"))
-    runs = rows.join(starts, ["folder", TILE]).withColumn("_group", F.col("_before") + F.col("_run"))
-    sides = runs.groupBy("folder", "_group").agg(F.max("_video").alias("_any"), F.min("_video").alias("_all"))
-    mixed = runs.join(sides.where(F.col("_any") & ~F.col("_all")).select("folder", "_group"), ["folder", "_group"])
-    columns = mixed.select("folder", "_group", "path", "ord", "duration_s", "_video")
-    folder_type = columns.schema["folder"].dataType.simpleString()
-    return columns.groupBy("folder", "_group").applyInPandas(_greedy, f"folder {folder_type}, video string, audio string")
-
-
-def _greedy(files: pd.DataFrame) -> pd.DataFrame:
-    v = files[files["_video"]].sort_values(["ord", "path"])
-    a = files[~files["_video"]].sort_values(["duration_s", "ord", "path"])
-    durations = a["duration_s"].to_numpy()
-    place = np.empty(len(a))
-    place[a.reset_index(drop=True).sort_values(["ord", "path"]).index] = np.arange(len(a))
-    paths, pairs = a["path"].to_numpy(), []
-    for path, duration in zip(v["path"], v["duration_s"]):
-        lo = np.searchsorted(durations, duration - TOLERANCE_S, side="right")
-        hi = np.searchsorted(durations, duration + TOLERANCE_S, side="left")
-        near = place[lo:hi]
+    usable = v.where(F.col("duration_s") >= SHORTEST_S).select("folder", "path", "ord", "duration_s")
+    known = a.where(F.col("duration_s").isNotNull()).select("folder", "path", "ord", "duration_s")
+    videos, files = cut_lineage(usable), cut_lineage(known)
+    width = max(NARROWEST_S, fitting_width(videos.unionByName(files), ["folder"], "duration_s", WIDEST_S, FILES))
+    near = add_tiles(files, "duration_s", width, before=int(TOLERANCE_S), after=int(TOLERANCE_S)).drop(CORE)
+    homes = videos.withColumn(TILE, tile_of(F.col("duration_s"), width))
+    # a recording file is named by its place in the listing of its folder
+    by = ["folder", "file_ord", "file"]
+    held = videos.select("folder", F.col("ord").alias("file_ord"), F.col("path").alias("file"), "ord", F.col("path").alias("video")).where("false")
+    kinds = {c: videos.schema[c].dataType.simpleString() for c in ("folder", "ord", "path")}
+    schema = f"folder {kinds['folder']}, file_ord {kinds['ord']}, file {kinds['path']}, ord {kinds['ord']}, video {kinds['path']}"
+    while True:
+        taken = held.select("folder", "ord", F.col("video").alias("path"))
+        free = homes.join(taken, ["folder", "ord", "path"], "left_anti")
+        holders = held.select("folder", F.col("file_ord").alias("ord"), F.col("file").alias("path"), F.col("ord").alias("holder_ord"), F.col("video").alias("holder"))
+        seen = near.join(holders, ["folder", "ord", "path"], "left").withColumn("is_video", F.lit(False))
+        both = seen.unionByName(free.withColumn("is_video", F.lit(True)), allowMissingColumns=True)
+        both = both.withColumn("holder_ord", F.coalesce("holder_ord", "ord"))  # no null, which would make floats of whole numbers
+        offers = cut_lineage(both.groupBy("folder", TILE).applyInPandas(_proposals, schema))
+        if offers.isEmpty():
+            return held.select("folder", "video", F.col("file").alias("audio"))
+        kept = held.unionByName(offers).groupBy(*by).agg(F.min(F.struct("ord", "video")).alias("k"))
+        held = cut_lineage(kept.select(*by, "k.ord", "k.video"))
+
+
+class _Earliest:
+    """The earliest place among those left in a range of positions."""
+
+    def __init__(self, places: np.ndarray):
+        self.size = 1 << max(len(places) - 1, 1).bit_length()
+        self.tree = np.full(2 * self.size, np.iinfo(np.int64).max)
+        self.tree[self.size : self.size + len(places)] = places
+        for i in range(self.size.bit_length() - 2, -1, -1):
+            lo, hi = 1 << i, 2 << i
+            self.tree[lo:hi] = self.tree[2 * lo : 2 * hi].reshape(-1, 2).min(axis=1)
+        self.tree = self.tree.tolist()
+
+    def remove(self, at: int) -> None:
+        i = at + self.size
+        self.tree[i] = np.iinfo(np.int64).max
+        while i > 1:
+            i //= 2
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def first(self, lo: int, hi: int) -> int | None:
+        best, lo, hi = np.iinfo(np.int64).max, lo + self.size, hi + self.size
+        while lo < hi:
+            if lo & 1:
+                best, lo = min(best, self.tree[lo]), lo + 1
+            if hi & 1:
+                hi -= 1
+                best = min(best, self.tree[hi])
+            lo, hi = lo // 2, hi // 2
+        return None if best == np.iinfo(np.int64).max else best
+
+
+def _proposals(files: pd.DataFrame) -> pd.DataFrame:
+    """What the free videos of a tile propose, each to the first file that no earlier video holds."""
+    v = files[files["is_video"]].sort_values(["ord", "path"])
+    a = files[~files["is_video"]].sort_values(["duration_s", "ord", "path"]).reset_index(drop=True)
+    durations, names = a["duration_s"].to_numpy(), list(zip(a["ord"], a["path"]))
+    place = np.empty(len(a), dtype=np.int64)
+    place[a.sort_values(["ord", "path"]).index] = np.arange(len(a))
+    where = np.argsort(place)
+    left, pairs = _Earliest(place), {}
+    held = sorted((o, h, i) for i, (o, h) in enumerate(zip(a["holder_ord"], a["holder"])) if h is not None and h == h)
+    at_home = {(o, p): d for o, p, d in zip(v["ord"], v["path"], v["duration_s"])}
+    waiting, done = list(at_home), 0
+    heapq.heapify(waiting)
+    while waiting:
+        me = heapq.heappop(waiting)
+        while done < len(held) and held[done][:2] < me:
+            if (i := held[done][2]) not in pairs:
+                left.remove(i)
+            done += 1
+        duration = at_home[me]
+        lo = int(np.searchsorted(durations, duration - TOLERANCE_S, side="left"))
+        hi = int(np.searchsorted(durations, duration + TOLERANCE_S, side="right"))
         # the searches are on sums; the rule is on the difference
-        near = np.where(np.abs(duration - durations[lo:hi]) < TOLERANCE_S, near, np.inf)
-        if len(near) and np.isfinite(near.min()):
-            best = lo + int(near.argmin())
-            pairs.append((files["folder"].iloc[0], path, paths[best]))
-            place[best] = np.inf
-    return pd.DataFrame(pairs, columns=["folder", "video", "audio"])
+        while lo < hi and not abs(duration - durations[lo]) < TOLERANCE_S:
+            lo += 1
+        while lo < hi and not abs(duration - durations[hi - 1]) < TOLERANCE_S:
+            hi -= 1
+        if (found := left.first(lo, hi)) is not None:
+            i = int(where[found])
+            pairs[i] = me
+            left.remove(i)
+    folder = files["folder"].iloc[0]
+    rows = [(folder, *names[i], *me) for i, me in pairs.items()]
+    return pd.DataFrame(rows, columns=["folder", "file_ord", "file", "ord", "video"])

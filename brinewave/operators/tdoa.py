@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from brinewave.functions import kernels
 from brinewave.operators import windows
+from brinewave.operators.blocks import needs_halo
 from brinewave.operators.filters import ENVELOPE_LIMIT
+from brinewave.operators.groups import small_side
+from brinewave.session import cut_lineage
 
 REC = "recording_id"
 # Cut-out of the reference signal around the detection, and the share of the maximum that triggers.
@@ -18,64 +22,74 @@ REF_LO, REF_HI = -30, 33
 TRIGGER_SHARE = 0.75
 
 
-def _to_reference(x: np.ndarray, ref: int, **_) -> list[int]:
-    return [0 if c == ref else kernels.delay(x[c], x[ref])[0] for c in range(len(x))]
+# Methods take x[window, channel, sample] of equal windows and give one number per window and channel.
+
+
+def _to_reference(x: np.ndarray, ref: int | np.ndarray, **_) -> np.ndarray:
+    every = np.arange(len(x))
+    found = kernels.delays(x, x[every, ref])
+    found[every, ref] = 0
+    return found
 
 
 def _max_energy(x, **_):
-    return _to_reference(x, int(np.argmax((x * x).sum(axis=1))))
+    return _to_reference(x, (x * x).sum(axis=2).argmax(axis=1))
 
 
 def _max_peak(x, first, idx, **_):
-    ref = int(np.argmax(np.abs(x).max(axis=1)))
-    begin, end = max(idx + REF_LO - first, 0), min(idx + REF_HI - first, x.shape[1] - 1)
-    return [kernels.delay(row, x[ref, begin : end + 1])[0] for row in x]
+    ref = np.abs(x).max(axis=2).argmax(axis=1)
+    begin, end = np.maximum(idx + REF_LO - first, 0), np.minimum(idx + REF_HI - first, x.shape[2] - 1)
+    out = np.zeros(x.shape[:2], dtype=np.int64)
+    for a, b in np.unique(np.stack([begin, end], axis=1), axis=0):  # windows at a recording's ends have cut-outs of their own
+        mine = np.flatnonzero((begin == a) & (end == b))
+        out[mine] = kernels.delays(x[mine], x[mine, ref[mine], a : b + 1])
+    return out
 
 
 def _envelope(x, ref, **_):
-    return _to_reference(np.array([kernels.envelope(row) for row in x]), ref)
+    return _to_reference(kernels.envelope(x), ref)
 
 
 def _envelope_filtered(x, ref, fs, **_):
-    smooth = [kernels.zero_phase(kernels.envelope(row), fs, (0, ENVELOPE_LIMIT)) for row in x]
-    return _to_reference(np.array(smooth), ref)
+    return _to_reference(kernels.zero_phase(kernels.envelope(x), fs, (0, ENVELOPE_LIMIT)), ref)
 
 
 def _max(x, ref, **_):
-    at = x.argmax(axis=1)
-    return (at - at[ref]).tolist()
+    at = x.argmax(axis=2)
+    return at - at[:, [ref]]
 
 
 def _min(x, ref, **_):
-    at = x.argmin(axis=1)
-    return (at - at[ref]).tolist()
+    at = x.argmin(axis=2)
+    return at - at[:, [ref]]
 
 
 def _vote(x, upwards):
-    return ((x.argmax(axis=1) if upwards.sum() > len(x) / 2 else x.argmin(axis=1)) + 1).tolist()
+    up = upwards.sum(axis=1, keepdims=True) > x.shape[1] / 2
+    return np.where(up, x.argmax(axis=2), x.argmin(axis=2)) + 1
 
 
 def _minmax(x, **_):
     """Places (from 1) of the maxima; of the minima where most channels are constant."""
-    return _vote(x, x.max(axis=1) > x.min(axis=1))
+    return _vote(x, x.max(axis=2) > x.min(axis=2))
 
 
 def _minmax_abs(x, **_):
     """Places of the maxima or minima, whichever is larger in magnitude on most channels."""
-    return _vote(x, np.abs(x.max(axis=1)) > np.abs(x.min(axis=1)))
+    return _vote(x, np.abs(x.max(axis=2)) > np.abs(x.min(axis=2)))
 
 
 def _trigger(x, **_):
     """First place (from 1) whose magnitude is above a share of the signed maximum, 0 where none is."""
-    loud = np.abs(x) > x.max(axis=1, keepdims=True) * TRIGGER_SHARE
-    return np.where(loud.any(axis=1), loud.argmax(axis=1) + 1, 0).tolist()
+    loud = np.abs(x) > x.max(axis=2, keepdims=True) * TRIGGER_SHARE
+    return np.where(loud.any(axis=2), loud.argmax(axis=2) + 1, 0)
 
 
 def _trigger_denoised(x, **_):
-    return _trigger(np.array([kernels.haar_denoise(row) for row in x]))
+    return _trigger(kernels.haar_denoise(x))
 
 
-METHODS: dict[str, Callable[..., list[int]]] = {
+METHODS: dict[str, Callable[..., np.ndarray]] = {
     "raw": _to_reference,
     "max_energy": _max_energy,
     "max_peak": _max_peak,
@@ -98,16 +112,17 @@ def delays(cut: DataFrame, methods: list[str], ref_channel: int, fs: float) -> D
     A delay is positive when the channel is later than its reference.
     """
     chosen = {m: METHODS[m] for m in methods}
-    row_type = pa.list_(pa.struct([("method", pa.string()), ("delays", pa.list_(pa.int32()))]))
 
     @F.arrow_udf("array<struct<method: string, delays: array<int>>>")
     def run(samples: pa.Array, first: pa.Array, idx: pa.Array) -> pa.Array:
-        out = []
-        for channels, begin, at in zip(samples, first.to_pylist(), idx.to_pylist()):
-            x = np.array([c.values.to_numpy(zero_copy_only=False) for c in channels])
-            args = dict(ref=ref_channel - 1, fs=fs, first=begin, idx=at)
-            out.append([{"method": m, "delays": fn(x, **args)} for m, fn in chosen.items()])
-        return pa.array(out, type=row_type)
+        begins, places = (c.to_numpy(zero_copy_only=False) for c in (first, idx))
+        rows: list[list[dict]] = [[] for _ in range(len(samples))]
+        for mine, x in kernels.stacked(samples):
+            args = dict(ref=ref_channel - 1, fs=fs, first=begins[mine], idx=places[mine])
+            for m, fn in chosen.items():
+                for i, found in zip(mine, fn(x, **args).astype(np.int32)):
+                    rows[i].append({"method": m, "delays": found})
+        return pa.array(rows, type=pa.list_(pa.struct([("method", pa.string()), ("delays", pa.list_(pa.int32()))])))
 
     named = run(F.col("channels.samples"), F.col("channels")[0]["first_idx"], F.col("idx"))
     kept = [c for c in cut.columns if c not in ("channels", "first_idx", "last_idx")]
@@ -192,34 +207,161 @@ def pair_delays(blocks: DataFrame, first_channel: int, second_channel: int) -> D
     return x.join(y, [REC, "block_id"]).select(REC, "block_id", run("_x", "_y").alias("d")).select(REC, "block_id", "d.delay", "d.peak")
 
 
-def arrivals(blocks: DataFrame, reference: np.ndarray, n: int, prominence: float = 0.0, min_gap: int = 1) -> DataFrame:
-    """Up to n strongest matched-filter peaks per recording and channel.
+SHARE_OF_SAMPLES = 10  # fixed value: more peaks than a tenth of the samples are no arrivals
+
+
+def analytic(x: np.ndarray) -> np.ndarray:
+    """The analytic signal of exactly these samples."""
+    step = np.zeros(len(x))
+    step[: (len(x) + 1) // 2] = 2
+    step[0] = 1
+    if len(x) % 2 == 0:
+        step[len(x) // 2] = 1
+    return np.fft.ifft(np.fft.fft(x) * step)
 
-    Blocks need halos of len(reference) + min_gap. `prominence` is a share of the
-    largest magnitude that a peak must reach.
+
+class Hills:
+    """Peaks of a series in order, each given back with its prominence as soon as that is known.
+
+    The prominence is the height above the higher of two valleys: the lowest places on the way to a higher peak, or to the
+    series' end, on either side. Of equal peaks the earlier one is the higher. Only peaks without a higher one since are held.
     """
-    ref = np.asarray(reference, dtype=float)
-    scale = float(np.std(ref) * len(ref))
 
-    @F.arrow_udf("array<struct<at: bigint, strength: double>>")
-    def run(left: pa.Array, mid: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, x, b in zip(kernels.rows_of(left), kernels.rows_of(mid), kernels.rows_of(right)):
+    def __init__(self):
+        self.held: list[list] = []  # height, left valley, lowest place since, what to give back
+        self.lowest = np.inf
+
+    def down(self, low: float) -> None:
+        """The lowest place since the last peak."""
+        self.lowest = min(self.lowest, low)
+        if self.held:
+            self.held[-1][2] = min(self.held[-1][2], low)
+
+    def up(self, height: float, what) -> Iterator[tuple[float, float, object]]:
+        """A peak; gives height, prominence and mark of those that it outdoes."""
+        while self.held and self.held[-1][0] < height:
+            yield self._off()
+        self.held.append([height, self.held[-1][2] if self.held else self.lowest, np.inf, what])
+
+    def end(self) -> Iterator[tuple[float, float, object]]:
+        while self.held:
+            yield self._off()
+
+    def _off(self) -> tuple[float, float, object]:
+        height, left, since, what = self.held.pop()
+        if self.held:
+            self.held[-1][2] = min(self.held[-1][2], left, since)
+        return height, height - max(left, since), what
+
+
+def _standing(m: np.ndarray, at: np.ndarray, first: int, end: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which peaks of a block may stand out by `least` in the whole series, and the lowest places before, between and after them.
+
+    A peak that is too low against a valley which ends at a higher peak of the block is so whatever lies outside.
+    """
+    heights = m[at]
+    edges = np.concatenate([[first], at, [end]])
+    valleys = np.array([m[a:b].min() if b > a else np.inf for a, b in zip(edges, edges[1:])])
+    stays = np.ones(len(at), dtype=bool)
+    for leftwards in (True, False):
+        stack: list[tuple[float, float]] = []  # height, lowest place between a peak and the one held before it
+        for i in range(len(at)) if leftwards else reversed(range(len(at))):
+            low = valleys[i if leftwards else i + 1]
+            while stack and (stack[-1][0] < heights[i] or not leftwards and stack[-1][0] == heights[i]):
+                low = min(low, stack.pop()[1])
+            stays[i] &= not stack or heights[i] - low >= least
+            stack.append((heights[i], low))
+    kept = np.flatnonzero(stays)
+    cuts = np.concatenate([[0], kept + 1, [len(valleys)]])
+    return kept, np.array([valleys[a:b].min() for a, b in zip(cuts, cuts[1:])])
+
+
+def arrivals(blocks: DataFrame, reference: np.ndarray, n: int, prominence: float = 0.2, min_gap: int = 1) -> DataFrame:
+    """Up to n arrivals of a reference signal per recording and channel: recording_id, channel, idx, strength, re, im.
+
+    The matched filter correlates with the analytic reference, divided by its deviation and length; strength is the
+    magnitude and re and im the complex amplitude. Peaks (the largest of min_gap samples on either side) whose topographic
+    prominence is at least that share of the channel's largest magnitude are ranked by strength, and the first n come in
+    the order of time. Where more than a tenth of the samples are such peaks, none is an arrival.
+
+    Blocks need halos of len(reference) + min_gap. Raw samples are read once; a block gives its peaks that may stand out and the
+    valleys between them, which are put together along the channel, held only as far as a higher peak may still come.
+    """
+    ref = analytic(np.asarray(reference, dtype=float))
+    scale = 2 / (np.std(ref, ddof=1) * len(ref))  # the signal's analytic form has twice its positive frequencies
+
+    @F.arrow_udf("struct<top: double, n: bigint, at: array<bigint>, height: array<double>, re: array<double>, im: array<double>, low: array<double>>")
+    def run(left: pa.Array, mid: pa.Array, right: pa.Array, start: pa.Array) -> pa.Array:
+        out: list[tuple] = []
+        for a, x, b, s in zip(kernels.rows_of(left), kernels.rows_of(mid), kernels.rows_of(right), start.to_pylist()):
             whole = np.concatenate([a, x, b])
-            if len(whole) < len(ref):
-                out.append([])
-                continue
-            m = np.abs(kernels.correlate(whole, ref)[len(ref) - 1 :]) / scale
+            size = kernels.fast_length(len(whole) + len(ref))
+            z = np.fft.ifft(np.fft.fft(whole, size) * np.conj(np.fft.fft(ref, size)))[: len(whole)] * scale
+            m, first, end = np.abs(z), len(a), len(a) + len(x)
             at = kernels.local_peaks(m, min_gap)
-            at = at[(at >= len(a)) & (at < len(a) + len(x))]
-            out.append([{"at": int(i - len(a)), "strength": float(m[i])} for i in at])
-        return pa.array(out, type=pa.list_(pa.struct([("at", pa.int64()), ("strength", pa.float64())])))
-
-    rows = blocks.select(REC, "channel", "start_idx", F.inline(run("left_halo", "samples", "right_halo")))
-    rows = rows.select(REC, "channel", (F.col("start_idx") + F.col("at")).alias("idx"), "strength")
-    if prominence:
-        top = rows.groupBy(REC, "channel").agg(F.max("strength").alias("_top"))
-        rows = rows.join(top, [REC, "channel"]).where(F.col("strength") >= F.col("_top") * prominence).drop("_top")
-    # Spark limits each partition to n rows per group before the shuffle
-    order = Window.partitionBy(REC, "channel").orderBy(F.desc("strength"), "idx")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+            at = at[(at >= first) & (at < end)]
+            # the ends of the recording are high ground, though no peaks
+            if s == 1 and len(m) > 1 and m[0] > m[1]:
+                at = np.concatenate([[0], at])
+            if len(b) == 0 and len(m) > 1 and m[-1] > m[-2]:
+                at = np.concatenate([at, [len(m) - 1]])
+            top = float(m[first:end].max()) if len(x) else 0.0
+            kept, lows = _standing(m, at, first, end, prominence * top)
+            at = at[kept]
+            out.append((top, len(x), at - first, m[at], z.real[at], z.imag[at], lows))
+        columns = list(zip(*out)) if out else [()] * 7
+        lists = [pa.array([v.tolist() for v in columns[2]], pa.list_(pa.int64())), *(kernels.lists_from(list(c)) for c in columns[3:])]
+        fields = [pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.int64()), *lists]
+        return pa.StructArray.from_arrays(fields, names=["top", "n", "at", "height", "re", "im", "low"])
+
+    held = needs_halo(blocks, len(ref) + min_gap, "a matched filter")
+    hills = held.select(REC, "channel", "start_idx", run("left_halo", "samples", "right_halo", "start_idx").alias("h"))
+    found = cut_lineage(hills.select(REC, "channel", "start_idx", "h.*"))
+    known = cut_lineage(found.groupBy(REC, "channel").agg(F.max("top").alias("_top"), F.sum("n").alias("_n"), F.max(F.col("start_idx") + F.col("n") - 1).alias("_last")))
+    rows = found.drop("top", "n").join(small_side(known), [REC, "channel"])
+    ordered = rows.repartition(REC, "channel").sortWithinPartitions(REC, "channel", "start_idx")
+    kinds = [f"{c} {blocks.schema[c].dataType.simpleString()}" for c in (REC, "channel")]
+    return ordered.mapInArrow(_ranked(n, prominence), ", ".join(kinds) + ", idx bigint, strength double, re double, im double")
+
+
+def _ranked(n: int, prominence: float):
+    """Blocks' hills in order to a channel's arrivals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me, hills, count, best, least, tenth = None, Hills(), 0, [], 0.0, 0.0
+        kinds = None
+
+        def take(done) -> None:
+            nonlocal count
+            for height, rise, what in done:
+                if what is not None and rise >= least:
+                    count += 1
+                    heapq.heappush(best, (height, -what[0], what))
+                    if len(best) > n:
+                        heapq.heappop(best)
+
+        def finish() -> pa.RecordBatch:
+            take(hills.end())
+            rows = sorted((what[0], height, *what[1:]) for height, _, what in best) if count <= tenth else []
+            values = [[me[0]] * len(rows), [me[1]] * len(rows), *([r[k] for r in rows] for k in range(4))]
+            names = [REC, "channel", "idx", "strength", "re", "im"]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
+
+        for batch in batches:
+            kinds = [*(batch.schema.field(c).type for c in (REC, "channel")), pa.int64(), *[pa.float64()] * 3]
+            for row in batch.to_pylist():
+                key = (row[REC], row["channel"])
+                if me is not None and key != me:
+                    yield finish()
+                    hills, count, best = Hills(), 0, []
+                me, least, tenth = key, prominence * row["_top"], row["_n"] / SHARE_OF_SAMPLES
+                for at, height, re, im, low in zip(row["at"], row["height"], row["re"], row["im"], row["low"]):
+                    idx = row["start_idx"] + at
+                    hills.down(low)
+                    inside = 1 < idx < row["_last"]
+                    take(hills.up(height, (idx, re, im) if inside else None))
+                hills.down(row["low"][-1])
+        if me is not None:
+            yield finish()
+
+    return run

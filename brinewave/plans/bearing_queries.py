@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brinewave.functions import columns as fc
-from brinewave.operators import blocks, directions, overlay, tdoa, tonal, windows
+from brinewave.operators import blocks, directions, overlay, synchronization, tdoa, tonal, windows
 from brinewave.plans.registry import query
 from brinewave.plans.standins import SMP, embedding_blocks
 from brinewave.sources.devices import geometry
@@ -156,6 +156,16 @@ def delays_envelope(t):
     return method_delays(t, "envelope")
 
 
+@query(
+    "D-20",
+    sql=f"""WITH {WIN}, {ENV} SELECT recording_id, det.idx AS det_id, channel,
+ coalesce(min(pos) FILTER (x > 0.3) + 1, min(pos) FILTER (x > 0.15) + 1, -99999999) AS place
+FROM env JOIN det USING (recording_id) GROUP BY ALL""",
+)
+def window_crossings(t):
+    return synchronization.window_crossings(cut(t), 0.3)
+
+
 # low-pass of the envelope: padded to the next 5-smooth length at 64 kHz
 _SMOOTH = [v for v in range(1, 65) if v in {2**a * 3**b * 5**c for a in range(7) for b in range(4) for c in range(3)}]
 _LP = f"1 / (1 + pow(tan(pi() * k / size) / {math.tan(math.pi * 10_000 / 64_000)!r}, 8))"
@@ -237,11 +247,11 @@ RATE, C = 500_000.0, 1540.0
 RX4 = [*RX, (0.0, 0.31, 0.0)]
 
 
-def _direction_sql(source: str, cost: str, sensors=RX) -> str:
+def _direction_sql(source: str, cost: str, sensors=RX, rate: float = RATE) -> str:
     """Directions of a table `source` with id, d1, d2, ... (one per sensor) by eigenvectors and bisection."""
     rx = np.array(sensors)
     sign = -1.0 if cost == "azimuth_elevation" else 1.0
-    model = sign * (rx[:, :2] - rx[REF - 1, :2]) * RATE / C
+    model = sign * (rx[:, :2] - rx[REF - 1, :2]) * rate / C
     values, vec = np.linalg.eigh(model.T @ model)
     text = np.vectorize(lambda v: f"({float(v)!r}::DOUBLE)")
     rows = {f"e{m}": ab for m, ab in enumerate(text(model).tolist(), 1) if m != REF}
@@ -448,20 +458,29 @@ def frame_audio(t):
 CHIRP = np.sin(2 * np.pi * np.cumsum(np.linspace(0.05, 0.3, 12)))
 
 
+_REFERENCE = tdoa.analytic(CHIRP) * 2 / (np.std(tdoa.analytic(CHIRP), ddof=1) * 12)
+
+
 @query(
     "S-14",
-    sql=f"""WITH {SMP}, ref AS (SELECT unnest({CHIRP.tolist()!r}::DOUBLE[]) AS r, unnest(range(0, 12)) AS j),
- mf AS (SELECT s.recording_id, s.channel, s.idx - j AS idx, abs(sum(s.x * r)) / {float(np.std(CHIRP) * 12)!r} AS m
-        FROM smp s CROSS JOIN ref WHERE s.idx - j >= 1 GROUP BY ALL),
- pk AS (SELECT *, lag(m) OVER w AS before, lead(m) OVER w AS after FROM mf WINDOW w AS (PARTITION BY recording_id, channel ORDER BY idx)),
- top AS (SELECT recording_id, channel, idx, m, max(m) OVER (PARTITION BY recording_id, channel) AS best FROM pk WHERE before < m AND after <= m)
-SELECT recording_id, channel, idx, round(m, 7) AS strength FROM top WHERE m >= best * 0.2
+    sql=f"""WITH {SMP}, ref AS (SELECT unnest({_REFERENCE.real.tolist()!r}::DOUBLE[]) AS a, unnest({_REFERENCE.imag.tolist()!r}::DOUBLE[]) AS b, unnest(range(0, 12)) AS j),
+ cr AS (SELECT s.recording_id, s.channel, s.idx - j AS idx, sum(s.x * a) AS re, -sum(s.x * b) AS im FROM smp s CROSS JOIN ref WHERE s.idx - j >= 1 GROUP BY ALL),
+ mf AS (SELECT *, sqrt(re * re + im * im) AS m FROM cr),
+ pk AS (SELECT *, lag(m) OVER w < m AND lead(m) OVER w <= m AS peak FROM mf WINDOW w AS (PARTITION BY recording_id, channel ORDER BY idx)),
+ bd AS (SELECT p.recording_id, p.channel, p.idx, p.m, p.re, p.im, coalesce(max(q.idx) FILTER (q.idx < p.idx AND q.m > p.m), 0) AS lo,
+   coalesce(min(q.idx) FILTER (q.idx > p.idx AND q.m > p.m), 65) AS hi, max(q.m) AS best
+   FROM pk p JOIN mf q USING (recording_id, channel) WHERE p.peak GROUP BY ALL),
+ vl AS (SELECT b.recording_id, b.channel, b.idx, b.m, b.re, b.im, b.best, min(q.m) FILTER (q.idx < b.idx) AS lv, min(q.m) FILTER (q.idx > b.idx) AS rv
+   FROM bd b JOIN mf q ON q.recording_id = b.recording_id AND q.channel = b.channel AND q.idx > b.lo AND q.idx < b.hi GROUP BY ALL),
+ pr AS (SELECT *, m - greatest(lv, rv) AS rise FROM vl),
+ ok AS (SELECT *, count(*) OVER (PARTITION BY recording_id, channel) AS c FROM pr WHERE rise >= best * 0.2)
+SELECT recording_id, channel, idx, round(m, 7) AS strength, round(re, 7) + 0.0 AS re, round(im, 7) + 0.0 AS im FROM ok WHERE c <= 64 / 10.0
 QUALIFY row_number() OVER (PARTITION BY recording_id, channel ORDER BY m DESC, idx) <= 3""",
 )
 def arrivals(t):
     empty = F.array().cast("array<double>")
     whole = embedding_blocks(t).withColumns({"left_halo": empty, "right_halo": empty})
-    return tdoa.arrivals(whole, CHIRP, 3, prominence=0.2).withColumn("strength", F.round("strength", 7))
+    return tdoa.arrivals(whole, CHIRP, 3, prominence=0.2).withColumns({c: F.round(c, 7) + 0.0 for c in ("strength", "re", "im")})
 
 
 TONAL_HITS = f"""{SMP}, bins AS (SELECT unnest(range(1, 7)) AS bin),

@@ -9,3 +9,4 @@ from brinewave.plans import spectrum_queries  # noqa: F401,E402
 from brinewave.plans import bearing_queries  # noqa: F401,E402
 from brinewave.plans import signal_queries  # noqa: F401,E402
 from brinewave.plans import live_queries  # noqa: F401,E402
+from brinewave.plans import recording_queries  # noqa: F401,E402

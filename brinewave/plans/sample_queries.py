@@ -49,7 +49,7 @@ def nearest_to_zero(t):
 
 @query("Q-4", sql=f"WITH {QNT}, {GAPS} SELECT recording_id, channel, min_gap FROM gaps")
 def smallest_gaps(t):
-    return q.smallest_gap(q.value_counts(quantized(t)), 1.0)
+    return q.smallest_gap(q.value_counts(quantized(t)))
 
 
 CORR = f"""{QNT}, {NEAR}, {GAPS},
@@ -69,7 +69,7 @@ CORR = f"""{QNT}, {NEAR}, {GAPS},
 
 @query("Q-5", sql=f"WITH {CORR} SELECT recording_id, channel, step, bias, n_values FROM corr")
 def step_and_bias(t):
-    return q.corrections(q.value_counts(quantized(t)), 1.0)
+    return q.corrections(q.value_counts(quantized(t)))
 
 
 @query(
@@ -320,11 +320,11 @@ def first_crossing(t):
     return synchronization.first_crossing(embedding_blocks(t), 0.25)
 
 
-def _trigger_sql(share: float, span: int, source: str) -> str:
-    return f"""m AS (SELECT recording_id, channel, max(x) AS top FROM {source} GROUP BY ALL),
- f AS (SELECT s.recording_id, s.channel, min(s.idx) AS first_idx FROM {source} s JOIN m USING (recording_id, channel)
+def _trigger_sql(share: float, span: int, source: str, name: str = "tr") -> str:
+    return f"""{name}_m AS (SELECT recording_id, channel, max(x) AS top FROM {source} GROUP BY ALL),
+ {name}_f AS (SELECT s.recording_id, s.channel, min(s.idx) AS first_idx FROM {source} s JOIN {name}_m m USING (recording_id, channel)
        WHERE abs(s.x) > m.top * {share} GROUP BY ALL),
- tr AS (SELECT s.recording_id, s.channel, arg_min(s.idx, (-s.x, s.idx)) AS idx FROM {source} s JOIN f USING (recording_id, channel)
+ {name} AS (SELECT s.recording_id, s.channel, arg_min(s.idx, (-s.x, s.idx)) AS idx FROM {source} s JOIN {name}_f f USING (recording_id, channel)
        WHERE s.idx BETWEEN f.first_idx AND f.first_idx + {span} GROUP BY ALL)"""
 
 
@@ -341,7 +341,7 @@ def long_triggers(t):
 @query(
     "Y-2",
     sql=f"""WITH {SMP}, v AS (SELECT * FROM smp WHERE channel = 1), a AS (SELECT * FROM smp WHERE channel = 4 AND idx <= 4 * 8),
- {_trigger_sql(0.60, 4, 'v')}, {_trigger_sql(0.81, 4, 'a').replace('m AS', 'm2 AS').replace('JOIN m ', 'JOIN m2 ').replace('m.top', 'm2.top').replace('f AS', 'f2 AS').replace('JOIN f ', 'JOIN f2 ').replace('f.first', 'f2.first').replace('tr AS', 'tr2 AS')},
+ {_trigger_sql(0.60, 4, 'v')}, {_trigger_sql(0.81, 4, 'a', 'tr2')},
  r AS (SELECT DISTINCT recording_id FROM smp)
 SELECT r.recording_id, (tr.idx - 1) / 8.0::DOUBLE AS video_s, (tr2.idx - 1) / 8.0::DOUBLE AS audio_s
 FROM r LEFT JOIN tr USING (recording_id) LEFT JOIN tr2 USING (recording_id)""",

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brinewave.functions import kernels
-from brinewave.operators import blocks, filters, impulses, order_statistics, trains
+from brinewave.operators import blocks, filters, impulses, order_statistics, synchronization, trains
 from brinewave.plans.registry import query
-from brinewave.plans.sample_queries import BLOCK, long_blocks
+from brinewave.plans.sample_queries import BLOCK, _trigger_sql, long_blocks
 from brinewave.plans.standins import LONG, SMP, embedding_blocks, long_samples
 from brinewave.session import cut_lineage
 from brinewave.sources import pcm
@@ -21,10 +21,10 @@ BAND, LOW = (50.0, 200.0), (0.0, 40.0)
 STOPS = [(90.0, 110.0), (190.0, 210.0)]
 
 
-def _taps(band, stops=(), quadrature: bool = False, half: int = HALO) -> str:
+def _taps(band, stops=(), quadrature: bool = False, half: int = HALO, fs: float = FS) -> str:
     """The response to one impulse of a filter (or of its quarter-turned form) from -half to half, as an SQL list."""
     size = 1 << 17
-    spectrum = kernels.band_gain(np.fft.rfftfreq(size, 1 / FS), FS, band, stops, 4)
+    spectrum = kernels.band_gain(np.fft.rfftfreq(size, 1 / fs), fs, band, stops, 4)
     full = np.zeros(size, dtype=complex)
     full[: len(spectrum)] = spectrum
     full[1 : size // 2] *= 2
@@ -275,3 +275,16 @@ SELECT recording_id, idx, bool_or(starts) OVER (PARTITION BY recording_id ORDER
 )
 def channel_impulse_members(t):
     return trains.train_members(impulses_of(t), 2, 20, 8).select("recording_id", "idx", "is_member")
+
+
+@query(
+    "Y-2",
+    sql=f"""WITH {SMP}, two AS (SELECT * FROM smp WHERE channel IN (1, 4)), {_stage('y', 'two', _gain_sql((5.0, 15.0)))},
+ v AS (SELECT * FROM y WHERE channel = 1), a AS (SELECT * FROM y WHERE channel = 4), {_trigger_sql(0.60, 32, 'v')}, {_trigger_sql(0.81, 32, 'a', 'tr2')},
+ r AS (SELECT DISTINCT recording_id FROM smp)
+SELECT r.recording_id, (tr.idx - 1) / {RATE}::DOUBLE AS video_s, (tr2.idx - 1) / {RATE}::DOUBLE AS audio_s, (tr.idx - tr2.idx) / {RATE}::DOUBLE AS sync_s
+FROM r LEFT JOIN tr USING (recording_id) LEFT JOIN tr2 USING (recording_id)""",
+)
+def band_clock_offsets(t):
+    b = whole_blocks(t)
+    return synchronization.clock_offsets(b.where("channel = 1"), b.where("channel = 4"), int(RATE), (5.0, 15.0))

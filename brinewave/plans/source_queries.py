@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brinewave.functions import columns as fc
@@ -9,6 +11,8 @@ from brinewave.operators import matching
 from brinewave.operators.tiles import fitting_width
 from brinewave.plans.registry import query
 from brinewave.plans.standins import SMP, embedding_blocks, embedding_samples
+from brinewave.session import job_dir
+from brinewave.sinks import jobs
 from brinewave.sources import attitude, devices, tables, tails
 
 MICROPASCAL = fc.MICROPASCAL_PER_COUNT
@@ -206,15 +210,23 @@ def metadata_corrections(t):
     return rows.select("s_suppkey", "channel", "step", "bias", (F.lit(100) * F.col("step") + F.col("bias")).alias("volts"))
 
 
+RESULTS = 500  # of one file
+
+
 @query(
     "SRC-14",
-    sql="""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
-           WHERE NOT contains('res_' || event_type || '_' || event_id || '.json', 'error')""",
+    sql="""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'res_' || event_type || '_' || (event_id // 500) || '.json' AS name
+           FROM events WHERE event_type <> 'error'""",
 )
 def result_files(t):
-    name = F.concat(F.lit("res_"), "event_type", F.lit("_"), "event_id", F.lit(".json"))
-    rows = t.events.select("event_id", name.alias("name"), F.from_json("props", "k bigint").alias("r"))
-    return rows.where(~F.col("name").contains("error")).select("event_id", "r.k")
+    """Result files, written first: a file for each kind and stretch of events, those of errors named so."""
+    name = F.concat(F.lit("res_"), "event_type", F.lit("_"), F.floor(F.col("event_id") / RESULTS), F.lit(".json"))
+    result = F.struct("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    files = t.events.groupBy(name.alias("name")).agg(F.to_json(F.collect_list(result)).alias("text"))
+    folder = f"{job_dir(t.spark)}/results-{uuid.uuid4().hex}"
+    jobs.write_texts(files, folder)
+    rows = tables.read_result_json(t.spark, folder, "event_id bigint, k bigint", "error")
+    return rows.select("event_id", "k", fc.base_name(F.col("path")).alias("name"))
 
 
 @query(

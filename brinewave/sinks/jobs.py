@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import uuid
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from brinewave.session import cut_lineage, opened
+
 
 def not_done(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return inputs.join(done.select(*keys), keys, "left_anti")
@@ -53,3 +58,22 @@ def apply_isolated(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sc
 def split_quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that worked and rows that did not."""
     return checked.where(F.col("ok")), checked.where(~F.col("ok"))
+
+
+def write_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """Write each row (name, text) as the file folder/name; gives the paths. A file appears when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = opened(folder)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            for name, text in zip(names, batch.column("text")):
+                hidden = f"{inner}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as f:
+                    f.write((text.as_py() or "").encode())
+                system.move(hidden, f"{inner}/{name}")
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{n}" for n in names]})
+
+    system, inner = opened(folder)
+    system.create_dir(inner, recursive=True)
+    return cut_lineage(texts.select("name", "text").mapInArrow(run, "path string"))

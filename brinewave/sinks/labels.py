@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brinewave.operators.tiles import number_rows
+from brinewave.session import opened
 
 REC = "recording_id"
 
@@ -53,15 +55,20 @@ def merge_new_rows(existing: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti"))
 
 
-def append_counts(counts: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the counts rows whose key the stored table lacks; the header is part of each file."""
-    spark = counts.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    if exists:
-        stored = spark.read.schema(counts.schema).option("header", True).csv(path)
+def append_counts(counts: DataFrame, path: str, keys: list[str], by: str | None = None) -> None:
+    """Append the counts rows whose key the stored table lacks; the header is part of each file.
+
+    With `by`, a column that groups the rows (a day), the table is partitioned by it, and only the parts that the new
+    rows belong to are read.
+    """
+    system, inner = opened(path)
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        stored = counts.sparkSession.read.schema(counts.schema).option("header", True).csv(path)
+        if by:
+            stored = stored.join(F.broadcast(counts.select(by).distinct()), by, "left_semi")
         counts = counts.join(stored.select(*keys).distinct(), keys, "left_anti")
-    counts.write.mode("append").option("header", True).csv(path)
+    write = counts.write.mode("append").option("header", True)
+    (write.partitionBy(by) if by else write).csv(path)
 
 
 def write_results(results: DataFrame, path: str, run_id: str, by: str = REC, **parameters) -> None:

@@ -14,6 +14,7 @@ channels of a block, from which windows are cut without a shuffle (`operators.wi
 
 from __future__ import annotations
 
+import json
 import posixpath
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -243,24 +244,56 @@ class PcmStreamReader(DataSourceStreamReader):
 
     The offset is a file name and the number of its blocks already read. Blocks of
     the newest file are taken once their right halo is there too; the rest of a
-    file is taken when a newer file has appeared (names sort by time).
+    file is taken when a newer file has appeared (names sort by time). A file is read by as many tasks as it has
+    stretches of task_blocks.
+
+    With max_blocks a batch takes no more than so many blocks, so that a long history arrives in bounded batches. Spark
+    does not tell a source where it stands when it asks how far it may go, so this is kept in the file that `progress` names: it
+    only bounds batches, and what they hold follows from Spark's own offsets.
     """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.suffix = options.get("suffix", ".bin")
         self.layout = replace(Layout.of(options), skip_s=0.0, duration_s=None)
+        self.most, self.progress = options.get("max_blocks"), options.get("progress")
+        if self.most and not self.progress:
+            raise ValueError("max_blocks needs the path of a file for its progress")
 
     def initialOffset(self) -> dict:
         return {"file": "", "blocks": 0}
 
+    def _whole_blocks(self, size: int, newest: bool) -> int:
+        frames, n = size // self.layout.frame_bytes, self.layout.block_len
+        return max(0, (frames - self.layout.halo) // n) if newest else -(-frames // n)
+
     def latestOffset(self) -> dict:
         files = list_pcm(self.path, self.suffix)
         if not files:
             return self.initialOffset()
         path, size = files[-1]
-        frames = size // self.layout.frame_bytes
-        return {"file": path, "blocks": max(0, (frames - self.layout.halo) // self.layout.block_len)}
+        latest = {"file": path, "blocks": self._whole_blocks(size, True)}
+        return self._limited(files, latest) if self.most else latest
+
+    def _limited(self, files: list[tuple[str, int]], latest: dict) -> dict:
+        """At most max_blocks beyond the last answer."""
+        system, inner = opened(self.progress)
+        at, left = self.initialOffset(), int(self.most)
+        if system.get_file_info(inner).type == pafs.FileType.File:
+            with system.open_input_stream(inner) as f:
+                at = json.loads(f.read())
+        for path, size in files:
+            if path < at["file"]:
+                continue
+            blocks = latest["blocks"] if path == latest["file"] else self._whole_blocks(size, False)
+            first = at["blocks"] if path == at["file"] else 0
+            take = min(left, max(blocks - first, 0))
+            at, left = {"file": path, "blocks": first + take}, left - take
+            if not left:
+                break
+        with system.open_output_stream(inner) as f:
+            f.write(json.dumps(at).encode())
+        return at
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         n = self.layout.block_len
@@ -274,9 +307,10 @@ class PcmStreamReader(DataSourceStreamReader):
             newest = path == end["file"]
             last = end["blocks"] if newest else -(-frames // n)
             # a file still growing is read only as far as the offset says, so that a repeat reads the same
-            limit = last * n + self.layout.halo if newest else frames
-            if last > first:
-                out.append(Ranges(path=path, name=recording_name(path, self.path), begin=0, limit=limit, first=first, end=last, channels=channels))
+            limit = min(last * n + self.layout.halo, frames) if newest else frames
+            for k in range(first, last, self.layout.task_blocks):
+                stop = min(k + self.layout.task_blocks, last)
+                out.append(Ranges(path=path, name=recording_name(path, self.path), begin=0, limit=limit, first=k, end=stop, channels=channels))
         return out
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
@@ -284,7 +318,7 @@ class PcmStreamReader(DataSourceStreamReader):
 
 
 class PcmSource(DataSource):
-    """Format "pcm". Options: path, channels, fs, dtype, block_len, halo, skip_s, duration_s, suffix, wide."""
+    """Format "pcm". Options: path, channels, fs, dtype, block_len, halo, skip_s, duration_s, suffix, wide; streams: max_blocks, progress."""
 
     @classmethod
     def name(cls) -> str:

@@ -258,3 +258,65 @@ def test_tails_over_many_blocks(spark):
         assert got == {rec: [(i + 1, float(i)) for i in range(max(0, m - n), m)] for rec, m in lengths.items()}
     got = {rec: sorted(r.idx for r in tails.aligned_tail(blocks, 24, keys).collect() if r.recording_id == rec) for rec in lengths}
     assert got == {rec: list(range((m - 24) // 24 * 24 + 1, (m - 24) // 24 * 24 + 25)) for rec, m in lengths.items()}
+
+
+def test_streams_take_bounded_batches(spark, tmp_path):
+    """A history of three files arrives eleven blocks at a time, in tasks of four, and goes on after a restart."""
+    folder = tmp_path / "live"
+    folder.mkdir()
+    rng = np.random.default_rng(2)
+    whole = {f"f{k}": rng.normal(size=(2000 + 100 * k, 2)) for k in range(3)}
+    for name, x in whole.items():
+        x.astype("<f8").tofile(folder / f"{name}.bin")
+    options = dict(channels=2, dtype="float64", block_len=100, halo=20, task_blocks=4, max_blocks=11, progress=str(tmp_path / "progress.json"))
+    seen, sizes = [], []
+
+    def keep(batch, _):
+        rows = batch.select("recording_id", "channel", "start_idx", "samples").collect()
+        sizes.append(len(rows) // 2)
+        seen.extend(rows)
+
+    def run():
+        query = pcm.stream_pcm(spark, str(folder), **options).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "check")).start()
+        query.processAllAvailable()
+        query.stop()
+
+    run()
+    assert max(sizes) <= 11 and len(sizes) > 5
+    (folder / "f3.bin").write_bytes(b"")
+    run()
+    assert max(sizes) <= 11
+    for (name, x) in whole.items():
+        for channel in (1, 2):
+            got = sorted((r.start_idx, r.samples) for r in seen if (r.recording_id, r.channel) == (name, channel))
+            assert [i for i, _ in got] == list(range(1, len(x), 100))
+            assert np.array_equal(np.concatenate([s for _, s in got]), x[:, channel - 1])
+    with pytest.raises(Exception, match="max_blocks needs"):
+        pcm.PcmStreamReader({"path": str(folder), "max_blocks": "3"})
+
+
+def test_pcm_files_come_back(spark, tmp_path):
+    from brinewave.operators import blocks
+    from brinewave.sinks import pcm_files
+
+    rng = np.random.default_rng(3)
+    whole = {name: rng.normal(size=(n, 3)) for name, n in (("a/b c", 700), ("é", 64), ("z", 1))}
+    rows = [(name, k // 64, k + 1, c + 1, x[k : k + 64, c].tolist(), [], []) for name, x in whole.items() for k in range(0, len(x), 64) for c in range(3)]
+    schema = "recording_id string, block_id long, start_idx long, channel int, samples array<double>, left_halo array<double>, right_halo array<double>"
+    wide = blocks.wide(spark.createDataFrame(rows, schema))
+    made = {r.recording_id: r for r in pcm_files.write_pcm(wide, f"file://{tmp_path}/out").collect()}
+    assert {k: (r.channels, r.n_samples) for k, r in made.items()} == {k: (3, len(x)) for k, x in whole.items()}
+    for name, x in whole.items():
+        back = np.fromfile(made[name].path.removeprefix("file://"), "<f8").reshape(-1, 3)
+        assert np.array_equal(back, x)
+    with pytest.raises(Exception, match="are missing after 64"):
+        pcm_files.write_pcm(wide.where("start_idx <> 65"), f"{tmp_path}/gap")
+
+
+def test_counts_are_appended_once_by_day(spark, tmp_path):
+    schema = "datetime string, day string, n long"
+    target = str(tmp_path / "counts")
+    for rows in ([("t1", "d1", 1), ("t2", "d2", 2)], [("t2", "d2", 9), ("t3", "d2", 3)], [("t3", "d2", 3)]):
+        labels.append_counts(spark.createDataFrame(rows, schema), target, ["datetime"], "day")
+    got = spark.read.schema(schema).option("header", True).csv(target).collect()
+    assert sorted((r.datetime, r.day, r.n) for r in got) == [("t1", "d1", 1), ("t2", "d2", 2), ("t3", "d2", 3)]

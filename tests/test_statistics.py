@@ -91,6 +91,22 @@ def test_greedy_matching(spark, seed):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_matching_across_tiles_takes_rounds(spark, monkeypatch):
+    """Tiles of six seconds, equal durations and long chains of files that are fought for."""
+    monkeypatch.setattr(matching, "FILES", 5)
+    rng = np.random.default_rng(9)
+    v, a, want = [], [], []
+    for folder, durations in enumerate(([30.0] * 40, np.arange(40) * 1.7 + 4, rng.uniform(3, 60, 60).round(1), [2.0] * 5)):
+        videos = [(f"{folder}/v{i:03}", float(d)) for i, d in enumerate(durations)]
+        audios = [(f"{folder}/a{i:03}", float(d)) for i, d in enumerate(rng.permutation(durations)[: len(videos) - 3])]
+        v += [(folder, p, i, d) for i, (p, d) in enumerate(videos)]
+        a += [(folder, p, i, d) for i, (p, d) in enumerate(audios)]
+        want += [(folder, *m) for m in direct_match(videos, audios)]
+    schema = "folder long, path string, ord long, duration_s double"
+    got = matching.match_recordings(spark.createDataFrame(v, schema), spark.createDataFrame(a, schema), 50)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_split_recordings_pair_by_place(spark):
     schema = "folder long, path string, ord long, duration_s double"
     v = spark.createDataFrame([(1, "v1", 1, 5.0), (1, "v2", 2, 6.0)], schema)

@@ -281,3 +281,44 @@ def test_rates_lengths_and_clocks_of_their_own(spark, tmp_path):
             found = got[(name, r.det_id, r.method)]
             assert (found.az, found.el, found.frame, found.px, found.py) == (r.az, r.el, r.frame, r.px, r.py)
             assert abs(r.az - az) < 0.03
+
+
+# ---- arrivals
+
+
+def plain_arrivals(x, ref, n, share):
+    """The documented rule on a whole channel, by looking for each peak's higher ground."""
+    r = tdoa.analytic(ref)
+    z = np.correlate(np.concatenate([x, np.zeros(len(r) - 1)]).astype(complex), r, "valid") * 2 / (np.std(r, ddof=1) * len(r))
+    m = np.abs(z)
+    found = []
+    for i in range(1, len(m) - 1):
+        if m[i - 1] < m[i] >= m[i + 1]:
+            left, right = np.flatnonzero(m[:i] > m[i]), np.flatnonzero(m[i + 1 :] > m[i])
+            a, b = (left[-1] if len(left) else 0), (i + 1 + right[0] if len(right) else len(m) - 1)
+            if m[i] - max(m[a:i].min(), m[i + 1 : b + 1].min()) >= share * m.max():
+                found.append(i)
+    best = sorted(found, key=lambda i: (-m[i], i))[:n] if len(found) <= len(x) / 10 else []
+    return [(i + 1, m[i], z[i]) for i in sorted(best)]
+
+
+@pytest.mark.parametrize("block_len", [150, 1000, 6000])
+def test_arrivals_stand_out_over_block_edges(spark, block_len):
+    rng = np.random.default_rng(4)
+    ref = np.sin(2 * np.pi * np.cumsum(np.linspace(0.02, 0.4, 64)))
+    signals = {}
+    for c, noise in ((1, 0.05), (2, 0.6), (3, 3.0)):
+        x = rng.normal(size=6000) * noise
+        for p, a in ((700, 1.0), (2999, -0.8), (4100, 0.6), (5960, 2.0)):
+            x[p : p + 64] += (a * ref)[: 6000 - p]
+        signals[(1, c)] = x
+    signals[(2, 1)] = np.zeros(6000)
+    b = block_rows(spark, signals, block_len, 70)
+    for n, share in ((3, 0.2), (40, 0.1), (5, 0.7)):
+        got = {}
+        for r in tdoa.arrivals(b, ref, n, share).collect():
+            got.setdefault((r.recording_id, r.channel), []).append((r.idx, r.strength, complex(r.re, r.im)))
+        for key, x in signals.items():
+            want = plain_arrivals(x, ref, n, share) if x.any() else []
+            assert [i for i, _, _ in got.get(key, [])] == [i for i, _, _ in want]
+            assert np.allclose([v[1:] for v in got.get(key, [])], [v[1:] for v in want])
