@@ -6,8 +6,10 @@ targets, and then each source's blocks to its shards by their words. A shard tak
 quota as whole rounds over its blocks plus evenly spaced blocks from a seeded start.
 Which words of a document these are follows from its place alone, so no block is a row.
 
-Shards number the square root of the rows: both the shards of a source and the documents of
-a (source, shard) stay small, whatever share of the rows one source holds.
+A source has as many shards as its own words fill with LEAST_BLOCKS blocks each, a power of two and no more than the
+square root of all rows: a small source of short texts has one, and both the shards of a source and the documents of
+a (source, shard) stay small, whatever share of the rows one source holds. Shards have votes by their blocks, and a source no
+more seats than `most` times its blocks, so that no quota is above what its shard may give.
 
 Nulls: a null text has no words; null sources form one source, last in order; null ids are
 ordinary values. Repeated rows are mixed one by one. An empty table gives an empty table.
@@ -26,6 +28,7 @@ from brinewave.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 BLOCK = 16
+LEAST_BLOCKS = 64  # of a shard, on average, where a source has more than one
 ADDED = ("size", "source_size", "target", "taken")
 
 
@@ -49,12 +52,12 @@ def placed(docs: DataFrame, seed: int, block: int, most: int, weights: tuple[int
     sized = cut_lineage(
         docs.select(row, name.alias("_source"), named(key).alias("_key"), word_count(named(text)).alias("size"))
     )
-    n_shards = max(1, int(sized.count() ** 0.5))
+    finest = 1 << max(0, int(sized.count() ** 0.5)).bit_length()
     order = F.xxhash64(F.lit(seed), F.col("_key").cast("string"))
-    dealt = sized.withColumn("_order", order).withColumn("mix_shard", F.pmod("_order", F.lit(n_shards)))
+    dealt = sized.withColumn("_order", order).withColumn("_fine", F.pmod("_order", F.lit(finest)))
 
-    shards = cut_lineage(dealt.groupBy("_source", "mix_shard").agg(F.sum("size").alias("_words")))
-    sources = shards.groupBy("_source").agg(F.sum("_words").alias("source_size"))
+    fine = cut_lineage(dealt.groupBy("_source", "_fine").agg(F.sum("size").alias("_words")))
+    sources = fine.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     turn = F.pmod(F.row_number().over(Window.orderBy(F.col("_source") == "n", "_source")) - 1, F.lit(len(weights)))
     weighted = sources.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
     shared = filled_targets(weighted, "source_size", "_weight", most, F.col("_source"))
@@ -62,19 +65,27 @@ def placed(docs: DataFrame, seed: int, block: int, most: int, weights: tuple[int
     seated = sainte_lague(shared.withColumn("_all", total).withColumn("_one", F.lit(1)), ["_one"], ["_source"], "target", "_all", "_blocks")
     # sources are few and small; the tables below join them by their key
 
-    parts = shards.join(seated.select("_source", "source_size", "target", "_blocks"), "_source")
-    quotas = sainte_lague(parts, ["_source"], ["mix_shard"], "_words", "_blocks", "_quota")
-    m = F.greatest(F.lit(1).cast("long"), F.floor((F.col("_words") + block / 2) / block))
+    wanted = F.greatest(F.lit(1.0), F.col("source_size") / (block * LEAST_BLOCKS))
+    number = F.least(F.lit(finest).cast("long"), F.pow(F.lit(2.0), F.floor(F.log2(wanted))).cast("long"))
+    parts = fine.join(seated.select("_source", "source_size", "target", "_blocks"), "_source")
+    parts = parts.withColumn("mix_shard", F.pmod(F.col("_fine"), number))
+    own = ["_source", "mix_shard", "source_size", "target"]
+    m = F.when(F.col("_words") > 0, F.greatest(F.lit(1).cast("long"), F.floor((F.col("_words") + block / 2) / block))).otherwise(F.lit(0).cast("long"))
+    shards = parts.groupBy(*own, "_blocks").agg(F.sum("_words").alias("_words")).withColumn("_votes", m)
+    seats = F.least(F.col("_blocks"), most * F.sum("_votes").over(Window.partitionBy("_source")))
+    quotas = sainte_lague(shards.withColumn("_seats", seats), ["_source"], ["mix_shard"], "_votes", "_seats", "_quota")
+    has = F.greatest(F.lit(1).cast("long"), F.col("_votes"))
     q = F.least(F.col("_quota"), most * F.col("mix_blocks"))
     first = F.pmod(F.xxhash64(F.lit(seed), "_source", "mix_shard"), F.col("mix_blocks"))
-    plan = cut_lineage(
-        quotas.withColumn("mix_blocks", m)
+    plan = (
+        quotas.withColumn("mix_blocks", has)
         .withColumn("mix_rounds", F.floor(q / F.col("mix_blocks")))
         .withColumn("mix_rest", q % F.col("mix_blocks"))
         .withColumn("mix_first", first)
-        .drop("_words", "_blocks", "_quota")
+        .select(*own, "mix_blocks", "mix_rounds", "mix_rest", "mix_first")
     )
-    joined = dealt.join(plan, ["_source", "mix_shard"])
+    plan = cut_lineage(parts.select("_source", "_fine", "mix_shard").join(plan, ["_source", "mix_shard"]))
+    joined = dealt.join(plan, ["_source", "_fine"])
     line = Window.partitionBy("_source", "mix_shard").orderBy("_order", "_key", "size")
     start = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     begun = joined.withColumn("mix_start", start).withColumn("_b", F.lit(block).cast("long"))
