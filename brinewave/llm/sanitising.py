@@ -6,11 +6,12 @@ written so that they never try a place twice (possessive, with the start of a ru
 changes no match.
 
 The rest is information-theoretic: a protected value e (an e-mail address, ...) has the
-information content log(D/n(e)) over D documents; a term t near its mentions
-discloses log(n(t,e) D / (n(t) n(e))) of it. Where that is at least `share` of the content,
+information content log(D/n(e)) over D documents; a term t, any run of letters or digits, lower-cased, of a
+text that mentions it discloses log(n(t,e) D / (n(t) n(e))) of it. Where that is at least `share` of the content,
 with `support` different texts as evidence, every occurrence of t in texts that mention e is a
-span of kind `term`. Counts are over all documents; each term is counted in every text that
-has it, before anything is known of the values, so the work grows with the texts alone.
+span of kind `term`. Terms of any length anywhere in a text count, but for those inside base spans. Counts are over all documents;
+each term is counted in every text that has it, before anything is known of the values, so the work
+grows with the texts alone. What `support` misses: values in fewer different texts disclose nothing (see README).
 
 A null text counts as empty. Repeated rows get equal spans. Empty tables give no rows. Columns
 of the input may have any name: whole rows are carried beside the work.
@@ -18,7 +19,7 @@ of the input may have any name: whole rows are carried beside the work.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brinewave.llm.rows import field, named, packed, unpacked, with_length
 from brinewave.session import cut_lineage
@@ -32,17 +33,21 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TERM = r"\p{L}{4,}"
-NEAR = 120
+TERM = r"[\p{L}\p{N}]+"
 SUPPORT = 3
 SHARE = 0.85
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def marked_spans(text: Column, pattern: Column, kind: str) -> Column:
-    """Spans of the pattern's matches in order. Marks that the text itself holds are taken for another character."""
+def pieces_of(text: Column, pattern: Column) -> Column:
+    """The text cut at the pattern's matches: every second piece is a match. Marks that the text itself holds are taken for another character."""
     plain = F.translate(text, "\x01\x02", "\x03\x03")
-    pieces = F.split(F.regexp_replace(plain, pattern, F.lit("\x01$0\x02")), "[\x01\x02]", -1)
+    return F.split(F.regexp_replace(plain, pattern, F.lit("\x01$0\x02")), "[\x01\x02]", -1)
+
+
+def marked_spans(text: Column, pattern: Column, kind: str) -> Column:
+    """Spans of the pattern's matches in order."""
+    pieces = pieces_of(text, pattern)
     empty = F.lit(None).cast(SPAN)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.coalesce(empty, F.array().cast(SPAN)).alias("out"))
 
@@ -81,58 +86,81 @@ def valid(value: Column, kind: str) -> Column:
     return F.lit(True)
 
 
+def _first(text: Column) -> dict[str, Column]:
+    """What a text must have for a kind to be looked for."""
+    return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
+
+
 def base_spans(text: Column) -> Column:
     """All base spans of a text, by kind as listed, then by start."""
     none = F.array().cast(SPAN)
-    first = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
     found = []
     for kind in KINDS:
         spans = marked_spans(text, F.lit(PATTERNS[kind]), kind)
-        found.append(F.when(first[kind], F.filter(spans, _valid(kind))).otherwise(none))
+        found.append(F.when(_first(text)[kind], F.filter(spans, _valid(kind))).otherwise(none))
     return F.concat(*found)
 
 
+def _blanked(kind: str):
+    return lambda piece, i: F.when((i % 2 == 1) & valid(piece, kind), F.regexp_replace(piece, "(?s).", "\x03")).otherwise(piece)
+
+
+def without_base(text: Column) -> Column:
+    """The text with control characters for those of base spans, so that places stay."""
+    for kind in KINDS:
+        text = F.when(_first(text)[kind], F.array_join(F.transform(pieces_of(text, F.lit(PATTERNS[kind])), _blanked(kind)), "")).otherwise(text)
+    return text
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
 def with_base(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """_row (the kept columns), _same (a digest of the text), _spans and _terms: the words near each span. Written once."""
+    """_row (the kept columns), _same (a digest of the text) and _spans. Written once."""
     body = F.coalesce(named(text), F.lit(""))
     rows = docs.select(packed(keep), body.alias("_body")).withColumn("_spans", base_spans(F.col("_body")))
-    left = lambda s: F.substring("_body", F.greatest(F.lit(1), s["start"] - NEAR + 1), F.least(s["start"], F.lit(NEAR)))
-    right = lambda s: F.substring("_body", s["end"] + 1, F.lit(NEAR))
-    cut_left = lambda s: F.when(s["start"] > NEAR, F.regexp_replace(left(s), r"\A\p{L}+", "")).otherwise(left(s))
-    cut_right = lambda s: F.when(s["end"] + NEAR < F.length("_body"), F.regexp_replace(right(s), r"\p{L}+\z", "")).otherwise(right(s))
-    words = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", cut_left(s), cut_right(s))), F.lit(TERM), F.lit(0)))
-    near = F.transform("_spans", lambda s: F.struct(s["value"].alias("value"), words(s).alias("terms")))
-    return cut_lineage(rows.select("_row", F.md5("_body").alias("_same"), "_spans", near.alias("_terms")))
-
-
-def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, support: int, share: float) -> DataFrame:
-    """_same, terms: the terms to protect in each text that mentions what they disclose."""
-    told = base.where(F.size("_terms") > 0).groupBy("_same", "_terms").agg(F.count(F.lit(1)).alias("copies"))
-    mentions = cut_lineage(told.select("_same", "copies", F.explode("_terms").alias("m")).select("_same", "copies", "m.value", "m.terms"))
-    once = mentions.select("_same", "copies", "value").distinct()
+    return cut_lineage(rows.select("_row", F.md5("_body").alias("_same"), "_spans"))
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, support: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """_same and _rest, each text that mentions a value with support, base spans blanked; _same and term, what to protect in it."""
+    told = base.where(F.size("_spans") > 0).select("_same", F.array_distinct("_spans.value").alias("_values"))
+    told = told.groupBy("_same", "_values").agg(F.count(F.lit(1)).alias("copies"))
+    once = told.select("_same", "copies", F.explode("_values").alias("value"))
     values = once.groupBy("value").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    near = mentions.join(values.select("value", "n_e"), "value").select("_same", "copies", "value", "n_e", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("value", "n_e", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
-    pairs = cut_lineage(pairs.where(F.col("texts") >= support).drop("texts"))
+    mentions = cut_lineage(once.join(values.select("value", "n_e"), "value"))
 
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(named(text), F.lit(""))), F.lit(TERM), F.lit(0)))
-    held = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    body = F.coalesce(named(text), F.lit(""))
+    bodies = docs.select(body.alias("_body")).withColumn("_same", F.md5("_body"))
+    there = bodies.join(mentions.select("_same").distinct(), "_same").dropDuplicates(["_same"])
+    texts = cut_lineage(there.select("_same", without_base(F.col("_body")).alias("_rest")))
+    told_in = texts.select("_same", F.explode(terms_of(F.col("_rest"))).alias("term"))
+    pairs = mentions.join(told_in, "_same").groupBy("value", "n_e", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+    pairs = pairs.where(F.col("texts") >= support).drop("texts")
+
+    held = docs.select(F.explode(terms_of(body)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     d = F.lit(float(base.count()))
     content = F.log(d / F.col("n_e"))
     told_by = F.log(F.col("n_te") * d / (F.col("n_t") * F.col("n_e")))
     flagged = pairs.join(held, "term").where((content > 0) & (told_by >= share * content)).select("value", "term")
-    found = once.select("_same", "value").join(flagged, "value")
-    return found.groupBy("_same").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    found = mentions.select("_same", "value").join(flagged, "value").select("_same", "term").distinct()
+    return texts, found
 
 
 def spanned(docs: DataFrame, text: str, keep: list[str], support: int, share: float) -> DataFrame:
     """_row (the kept columns) and _spans."""
     base = with_base(docs, text, keep)
-    terms = cut_lineage(disclosing_terms(docs, base, text, support, share))
-    bodies = docs.select(F.coalesce(named(text), F.lit("")).alias("_body")).withColumn("_same", F.md5("_body"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    hits = bodies.join(terms, "_same").select("_same", marked_spans(F.col("_body"), pattern, "term").alias("_more"))
-    more = cut_lineage(hits.dropDuplicates(["_same"]))
+    texts, found = disclosing_terms(docs, base, text, support, share)
+    found = cut_lineage(found)
+    # a row for each piece of the texts that have something to protect; places are sums of the lengths before
+    pieces = texts.join(found.select("_same").distinct(), "_same").select("_same", F.posexplode(pieces_of(F.col("_rest"), F.lit(TERM))).alias("_i", "value"))
+    before = Window.partitionBy("_same").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("value")).over(before), F.lit(0)).cast("int")
+    placed = pieces.select("_same", "_i", "value", F.lower("value").alias("term"), start.alias("start")).where(F.col("_i") % 2 == 1)
+    span = F.struct(F.lit("term").alias("kind"), F.col("start"), (F.col("start") + F.length("value")).alias("end"), F.col("value"))
+    hits = placed.join(found, ["_same", "term"]).groupBy("_same").agg(F.array_sort(F.collect_list(F.struct("start", span.alias("span")))).alias("_l"))
+    more = cut_lineage(hits.select("_same", F.col("_l.span").cast(SPAN).alias("_more")))
     both = base.join(more, "_same", "left")
     return both.select("_row", F.concat("_spans", F.coalesce("_more", F.array().cast(SPAN))).alias("_spans"))
 
