@@ -94,6 +94,22 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 4, 16])
+def test_small_sources_of_short_texts_meet_their_target(spark, scale):
+    """A hundred documents of five words beside ever more long ones."""
+    small = [(i, " ".join("abcde"), "b") for i in range(100)] + [(200 + i, "one two", "a") for i in range(7)]
+    large = spark.range(1000, 1000 + 600 * scale).selectExpr("id as doc_id", "repeat('word ', 50) as text", "'c' as source")
+    rows = mixing.mix(spark.createDataFrame(small, "doc_id long, text string, source string").unionByName(large), keep=["doc_id", "source"]).collect()
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    assert target["b"] == 1500 and target["a"] == 42
+    assert taken["b"] == pytest.approx(1500, rel=0.05) and taken["c"] == pytest.approx(target["c"], rel=0.01)
+    assert abs(taken["a"] - 42) <= mixing.BLOCK
+
+
 def test_highest_quotients(spark):
     from brinewave.llm.apportionment import sainte_lague
 
@@ -469,6 +485,51 @@ def test_disclosing_terms(spark):
     assert not any(terms[i] for i in range(4, 61))
 
 
+def plain_terms(rows: list[tuple], support: int, share: float) -> dict:
+    """doc_id to the places of terms, by counting every token of every text."""
+    token = re.compile(r"[^\W_]+")
+    masked, values = {}, {}
+    for i, text in rows:
+        body = list(text)
+        values[i] = set()
+        for span in plain_spans(text).split(","):
+            if span:
+                _, a, b = span.split(":")
+                values[i].add(text[int(a) : int(b)])
+                body[int(a) : int(b)] = " " * (int(b) - int(a))
+        masked[i] = "".join(body)
+    texts = {i: t for i, t in rows}
+    inside = {i: {m[0].lower() for m in token.finditer(t)} for i, t in masked.items()}
+    whole = collections.Counter(x for t in texts.values() for x in {m[0].lower() for m in token.finditer(t)})
+    d, flagged = len(rows), collections.defaultdict(set)
+    for e in set().union(*values.values()):
+        mine = [i for i in values if e in values[i]]
+        if len({texts[i] for i in mine}) < support:
+            continue
+        content = math.log(d / len(mine))
+        for t in set().union(*(inside[i] for i in mine)):
+            having = [i for i in mine if t in inside[i]]
+            if len({texts[i] for i in having}) >= support and content > 0 and math.log(len(having) * d / (whole[t] * len(mine))) >= share * content:
+                for i in mine:
+                    flagged[i].add(t)
+    return {i: [(m.start(), m.end()) for m in token.finditer(masked[i]) if m[0].lower() in flagged[i]] for i in texts}
+
+
+def test_terms_of_any_length_and_distance(spark):
+    """Short names, identifiers with digits, and names far from the value, against counting everything."""
+    rng = random.Random(12)
+    rows = [(i, f"Lee {passage(rng, 5)} zander@mail.example.com AB12 {passage(rng, 120)} Farawayname") for i in range(8)]
+    rows += [(i, f"{passage(rng, 40)} 10.0.0.{i % 3} room {i % 5}, ÉTÉ {'x9' if i % 3 else 'y9'}") for i in range(8, 40)]
+    rows += [(i, passage(rng, rng.choice([3, 60]))) for i in range(40, 200)] + [(200, ""), (201, rows[0][1]), (202, "+1 202 555 0100 " * 900)]
+    found = sanitising.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in found}
+    assert got == plain_terms(rows, sanitising.SUPPORT, sanitising.SHARE)
+    for i in range(8):
+        words = {rows[i][1][a:b] for a, b in got[i]}
+        assert {"Lee", "AB12", "Farawayname"} <= words
+    assert not got[100]
+
+
 def test_pipeline(spark, docs, empty, labels, tmp_path, library):
     folder = str(tmp_path)
     docs.write.parquet(f"{folder}/documents.parquet")

@@ -64,6 +64,38 @@ def test_stable_projections(spark, rows):
     assert stable_projections.search(vb.vectors_of(none, "vec_id", "embedding"), F.col("id") % 20 == 0, 5).count() == 0
 
 
+@pytest.mark.parametrize("spread,most", [(0.05, 0.25), (0.3, 0.4)])
+def test_few_rows_are_verified_over_several_blocks(spark, monkeypatch, spread, most):
+    """Clusters: of all rows a small share is scored for a query, and nine of ten neighbours are found."""
+    monkeypatch.setattr(vb, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(vb, "QUERY_ROWS", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32)) / 32**0.5
+    rows = centres[rng.integers(0, 40, 6000)] + spread * rng.standard_normal((6000, 32)) / 32**0.5
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(5)
+    vectors = vb.vectors_of(table, "vec_id", "embedding", nonzero=True)
+    found = stable_projections.found_rows(vectors, F.col("id") % 20 == 0, 20).collect()
+    share = sum(r.seen for r in found if r.seen >= 0) / (300 * 6000)
+    best: dict[int, list] = {}
+    for r in found:
+        if r.seen < 0:
+            best.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    hits = 0
+    for i in range(0, 6000, 20):
+        scores = rows @ rows[i]
+        scores[i] = -np.inf
+        hits += len({j for _, j in sorted(best[i])[:20]} & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 300 * 20 and share < most, (hits / 6000, share)
+
+
+def test_cells_of_the_top_tree():
+    rng = np.random.default_rng(1)
+    points = rng.standard_normal((4096, 3))
+    sizes = np.bincount(stable_projections.Top(points, 4).cell(points), minlength=16)
+    assert len(sizes) == 16 and sizes.min() == sizes.max() == 256
+    assert stable_projections.Top(points[:0], 2).cell(points).shape == (4096,)
+
+
 def test_chi_square_quantile():
     rng = np.random.default_rng(2)
     sample = (rng.standard_normal((200_000, 10)) ** 2).sum(axis=1)
