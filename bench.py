@@ -44,6 +44,9 @@ HEADLINE = [
     "detection_bearings",
     "directions_far_field",
     "decoded_frames",
+    "pcm_stats",
+    "recording_counts",
+    "recording_tracks",
 ]
 
 

@@ -6,8 +6,8 @@ halo shorter than the filter's settling length, which follows from its slowest p
 (`kernels.settling_length`). Bands that settle slowly (a few hertz at a high rate) fit no
 halo of samples: those run on a thinned series (`recordings.noise_hits`).
 
-An envelope settles as its filter does if the band excludes 0 Hz; the envelope of a signal
-with a constant part has no such bound.
+An envelope settles as its filter does if the band excludes 0 Hz and half the rate; where it holds
+either, the envelope's far parts fall off slowly (as one over the distance) and blocks agree only to about 1e-4.
 """
 
 from __future__ import annotations

@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from brinewave.plans.recording_queries import BAND, BLOCK, DIST, HALO, PRESET, RATES, RAW, _found_sql, written
 from brinewave.plans.registry import query
 from brinewave.plans.standins import DET, EPOCH, detections
 from brinewave.plans.train_queries import INTERVAL, MEMBERS_SQL, MIN_LEN, click_trains
 from brinewave.session import shared_dir
 from brinewave.sinks import labels
+from brinewave.sources import pcm
 from brinewave.streaming import live
 
 
@@ -46,6 +48,37 @@ def run_to_end(stream, spark, name: str):
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
+def run_all(stream, spark, name: str):
+    """The same batch by batch, for sources that bound their batches."""
+    folder = fresh_folder(spark, name)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint").start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/data")
+
+
+STREAMED = _found_sql(0).replace("WHERE rec % 2 = 0 AND", "WHERE")  # all recordings at one rate
+LEVEL = 50.0
+
+
+@query(
+    "SRC-4", "D-4",
+    sql=f"""WITH {RAW}, {STREAMED},
+ loud AS (SELECT recording_id, idx FROM tops0 WHERE c = {2 * DIST + 1} AND x = m AND prev < x AND x > {LEVEL})
+SELECT recording_id, idx, epoch_us(TIMESTAMP '{EPOCH}') + CAST(round_even((idx - 1) * 1000000.0::DOUBLE / {RATES[0]}, 0) AS BIGINT) AS at_us FROM loud""",
+)
+def streamed_pcm_impulses(t):
+    """Impulses of PCM files that are followed as a stream, twenty blocks a batch; the newest file is the silent one."""
+    _, folder = written(t)
+    progress = f"{fresh_folder(t.spark, 'progress')}.json"
+    blocks = pcm.stream_pcm(
+        t.spark, folder, channels=4, dtype="float64", block_len=BLOCK, halo=HALO, task_blocks=4, max_blocks=20, progress=progress
+    )
+    found = live.live_impulses(blocks, RATES[0], BAND, PRESET["ref_channel"], DIST, LEVEL, F.lit(EPOCH).cast("timestamp"))
+    rows = run_all(found.select("recording_id", "idx", "peak", "ts"), t.spark, "impulses")
+    return rows.select("recording_id", "idx", F.unix_micros("ts").alias("at_us"))
+
+
 @query(
     "SRC-4", "D-7",
     sql=MEMBERS_SQL

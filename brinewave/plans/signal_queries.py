@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brinewave.functions import kernels
-from brinewave.operators import blocks, filters, impulses, order_statistics, synchronization, trains
+from brinewave.operators import blocks, filters, impulses, order_statistics, recordings, synchronization, trains
 from brinewave.plans.registry import query
 from brinewave.plans.sample_queries import BLOCK, _trigger_sql, long_blocks
 from brinewave.plans.standins import LONG, SMP, embedding_blocks, long_samples
@@ -143,6 +143,27 @@ def impulse_trains(t):
     return runs.withColumn("level", F.round("level", 4))
 
 
+# noise of a narrow band: thinned to a tenth, then band-passed at the slow rate
+THIN, NOISE, NOISE_FRAME, LOUD = 10, (1.0, 30.0), 20, 2e8
+
+
+@query(
+    "D-17",
+    sql=f"""WITH {LONG}, one AS (SELECT * FROM lng WHERE channel = 1), taps AS (SELECT {_taps((0.0, 0.4 * FS / THIN))} AS l, {_taps(NOISE, half=LONG_HALO, fs=FS / THIN)} AS b),
+ {_padded_sql('p', 'one')}, {_filtered_sql('y', 'p', 's(l)')},
+ thin AS (SELECT recording_id, channel, (idx - 1) // {THIN} + 1 AS idx, x FROM y WHERE (idx - 1) % {THIN} = 0),
+ {_padded_sql('tp', 'thin', LONG_HALO)}, {_filtered_sql('z', 'tp', 's(b)', LONG_HALO)},
+ f AS (SELECT recording_id, (idx - 1) // {NOISE_FRAME} AS frame, sum(x * x) / {NOISE_FRAME} AS energy FROM z GROUP BY ALL HAVING count(*) = {NOISE_FRAME}),
+ hits AS (SELECT * FROM f WHERE energy > {LOUD})
+SELECT recording_id, frame, round(energy / 1e6, 4) AS energy FROM hits WHERE frame < (SELECT max(frame) FROM hits)""",
+)
+def band_noise_frames(t):
+    """The whole operator: samples low-passed and thinned in their blocks, band-passed, framed, the last hit dropped."""
+    seconds = NOISE_FRAME / (FS / THIN) / recordings.NOISE_FRAMES
+    hits = recordings.noise_hits(long_blocks(t, HALO), FS, 1, seconds, LOUD, NOISE, THIN)
+    return hits.select("recording_id", "frame", F.round(F.col("energy") / 1e6, 4).alias("energy"))
+
+
 # the text of a document as two-channel 16-bit frames: its UTF-16 code units are the samples
 PCM = """pcm AS (SELECT doc_id, unnest(range(0, length(text))) AS p, unnest(string_split(text, '')) AS ch FROM documents),
  frames AS (SELECT doc_id, p // 2 + 1 AS idx, p % 2 + 1 AS channel, unicode(ch) AS u FROM pcm JOIN
