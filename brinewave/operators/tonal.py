@@ -70,14 +70,17 @@ def near_peak(level: np.ndarray, s: TonalSettings) -> int:
 
 
 def frame_levels(blocks: DataFrame, s: TonalSettings) -> DataFrame:
-    """Per frame: `mag`, the largest level over channels per bin, and `near_peak`, the reference channel's count.
+    """Per frame: `mag`, the largest level over channels per bin, and `near_peak`, the reference channel's count (null without it).
 
     Levels are decibels (minus infinity for no power at all), or amplitudes for the amplitude variant.
     """
 
     @F.arrow_udf("bigint")
     def near(refs: pa.Array) -> pa.Array:
-        return pa.array([near_peak(r, s) for r in kernels.rows_of(refs)], pa.int64())
+        counts = np.zeros(len(refs), "i8")
+        some = np.flatnonzero(refs.is_valid().to_numpy(zero_copy_only=False))
+        counts[some] = [near_peak(r, s) for r in kernels.rows_of(refs.drop_null())]
+        return pa.array(counts, mask=refs.is_null().to_numpy(zero_copy_only=False))
 
     spectra = select_band(frame_spectra(blocks, s.nfft, s.fs), "power", *s.bins)
     level = (lambda p: F.when(p > 0, F.lit(10.0) * F.log10(p)).otherwise(float("-inf"))) if s.variant == "level" else F.sqrt
@@ -108,13 +111,13 @@ def wide_frame_levels(wide: DataFrame, settings: dict[int, TonalSettings]) -> Da
                 x = c["samples"].values.to_numpy(zero_copy_only=False)
                 first, y = _frames(x[before : before + size], x[before + size :], start, s.nfft, s.nfft)
                 found[c["channel"].as_py()] = levels_of(kernels.frame_powers(y, s.nfft, s.nfft, s.fs)[:, low : high + 1], s.variant)
-            ref = found[s.ref_channel]
-            lengths.append(len(ref))
-            if len(ref):
-                frames.append(first + np.arange(len(ref)))
-                mags += list(np.max(list(found.values()), axis=0))
-                nears.append(np.array([near_peak(r, s) for r in ref]))
-        flat = [pa.array(np.concatenate([np.zeros(0, "i8"), *frames])), kernels.lists_from(mags), pa.array(np.concatenate([np.zeros(0, "i8"), *nears]))]
+            most, ref = np.max(list(found.values()), axis=0), found.get(s.ref_channel)
+            lengths.append(len(most))
+            if len(most):
+                frames.append(first + np.arange(len(most)))
+                mags += list(most)
+                nears += [None] * len(most) if ref is None else [near_peak(r, s) for r in ref]
+        flat = [pa.array(np.concatenate([np.zeros(0, "i8"), *frames])), kernels.lists_from(mags), pa.array(nears, pa.int64())]
         items = pa.StructArray.from_arrays(flat, names=["frame", "mag", "near_peak"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), items)
 
@@ -171,12 +174,15 @@ def frame_features(mag: Column, floor: Column, s: TonalSettings, stat=np.max) ->
 
 
 def tonal_frames(blocks: DataFrame, s: TonalSettings, stat=np.max) -> DataFrame:
-    """Every frame with its statistic, peak frequency, bandwidth gate and whether it is a detection."""
+    """Every frame of the reference channel with its statistic, peak frequency, bandwidth gate and whether it is a detection."""
     return frames_of_levels(cut_lineage(frame_levels(blocks, s)), s, stat)
 
 
 def frames_of_levels(levels: DataFrame, s: TonalSettings, stat=np.max) -> DataFrame:
-    """The same from a written table of frame levels, which is read several times."""
+    """The same from a written table of frame levels, which is read several times.
+
+    Frames without the reference channel count for floors and thresholds, but have no gate and are left out.
+    """
     if s.variant == "amplitude":
         floor = noise_floor(levels, lowest=True)
     elif s.percent_quiet > 0:
@@ -201,6 +207,7 @@ def frames_of_levels(levels: DataFrame, s: TonalSettings, stat=np.max) -> DataFr
         rows = rows.join(middle, REC).withColumn("threshold", F.col("_median") + AUTO_MARGIN_DB).drop("_median")
     else:
         rows = rows.withColumn("threshold", F.lit(float(s.threshold)))
+    rows = rows.where(F.col("is_narrow").isNotNull())
     hit = F.col("is_narrow") & (F.col("stat_db") > F.col("threshold"))
     return _mark_detections(rows, hit, s.ref_compat)
 
