@@ -145,6 +145,7 @@ def segment_delays(
     sums over a segment's blocks are its correlation: what moves is 2 * max_lag + 1 numbers for each block and
     channel, and no row grows with the segment. Blocks hold all channels (`schemas.WIDE_BLOCKS`) with a halo of
     at least max_lag, which is the most that the array allows: its largest distance / speed of sound * rate.
+    A recording without the reference channel has no delays.
     """
     spans = segments.select(REC, F.col("start_idx").alias("first_idx"), F.col("end_idx").alias("last_idx"))
     parts = windows.over_spans(blocks, spans, block_len, _partial_correlation(ref_channel, max_lag), "channel int, corr array<double>", max_lag if halo is None else halo)
@@ -164,7 +165,7 @@ def _partial_correlation(ref_channel: int, max_lag: int):
 
     def cut(channels: dict[int, np.ndarray], available: int, start: int, size: int, first: int, last: int) -> list[tuple]:
         low, high = max(first, start), min(last, start + size - 1)
-        if high < low:
+        if high < low or ref_channel not in channels:
             return []
         ref = channels[ref_channel][low - available : high - available + 1]
         out = []
