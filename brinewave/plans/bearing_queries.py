@@ -443,7 +443,7 @@ SELECT p.recording_id, frame, pos, coalesce(s.x, 0) AS x FROM p LEFT JOIN smp s
 )
 def frame_audio(t):
     one = embedding_blocks(t).where(F.col("channel") == REF)
-    frames = one.select(
+    frames = embedding_blocks(t).select("recording_id").distinct().select(  # of recordings without that channel too
         "recording_id",
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))).alias("frame"),
         F.lit(8.0).alias("fps"),

@@ -9,7 +9,7 @@ from oracle import compare, connect
 from brinewave.plans.catalog import ENTRIES
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = "tonal_frames tonal_frames_plain tonal_frames_amplitude delays_segments".split()
+NAMES = "tonal_frames tonal_frames_plain tonal_frames_amplitude delays_segments frame_audio".split()
 
 
 @pytest.fixture(scope="module", params=[97, 98])
