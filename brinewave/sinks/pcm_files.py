@@ -21,19 +21,19 @@ def write_pcm(wide: DataFrame, folder: str, dtype: str = "float64", suffix: str
 
     A file is written block by block in order, so a task holds one block; a recording is one file and thus one task. It
     appears under its name when it is whole, and a task that is repeated writes the same again. Blocks of a recording
-    must follow each other without a gap.
+    must follow each other without a gap and hold the same channels.
     """
     sample = np.dtype(dtype).newbyteorder("<")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = opened(folder)
-        out, name, done, width = None, None, 0, 0
+        out, name, done, names = None, None, 0, []
 
         def finish() -> pa.RecordBatch:
             out.close()
             final = f"{inner}/{quote(name, safe='')}{suffix}"
             system.move(hidden, final)
-            columns = {REC: [name], "path": [f"{folder}/{quote(name, safe='')}{suffix}"], "channels": pa.array([width], pa.int32()), "n_samples": [done]}
+            columns = {REC: [name], "path": [f"{folder}/{quote(name, safe='')}{suffix}"], "channels": pa.array([len(names)], pa.int32()), "n_samples": [done]}
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
@@ -48,7 +48,9 @@ def write_pcm(wide: DataFrame, folder: str, dtype: str = "float64", suffix: str
                     raise ValueError(f"samples of {name} are missing after {done}")
                 lo, n = before.as_py(), size.as_py()
                 entries = sorted((c["channel"].as_py(), c["samples"].values.to_numpy(zero_copy_only=False)[lo : lo + n]) for c in channels)
-                width = len(entries)
+                if done and names != [c for c, _ in entries]:
+                    raise ValueError(f"channels of {name} change after {done}")
+                names = [c for c, _ in entries]
                 out.write(np.stack([x for _, x in entries], axis=1).astype(sample).tobytes())
                 done += n
         if out is not None:

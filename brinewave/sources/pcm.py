@@ -8,7 +8,8 @@ channel (the halos), so that filters and peak searches need no shuffle.
     spark.read.format("pcm").option("channels", 4).option("fs", 500000).load(folder)
 
 Filters on start_idx and channel are pushed into the byte ranges and columns read
-when spark.sql.python.filterPushdown.enabled is true. With the option wide a row holds all
+with the option pushdown, which `read_pcm` sets where spark.sql.python.filterPushdown.enabled
+is true; Spark refuses such a reader elsewhere. With the option wide a row holds all
 channels of a block, from which windows are cut without a shuffle (`operators.windows`).
 """
 
@@ -201,7 +202,9 @@ def read_blocks(part: Ranges, layout: Layout) -> Iterator[pa.RecordBatch]:
         )
 
 
-class PcmReader(DataSourceReader):
+class WholeReader(DataSourceReader):
+    """Reads all blocks and channels; Spark applies the filters."""
+
     def __init__(self, options: dict):
         self.path = options["path"]
         self.suffix = options.get("suffix", ".bin")
@@ -209,19 +212,6 @@ class PcmReader(DataSourceReader):
         self.low, self.high = 1, None  # start_idx bounds from pushed filters
         self.channels = tuple(range(1, self.layout.channels + 1))
 
-    def pushFilters(self, filters) -> Iterable:
-        for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) else None
-            if name == "start_idx" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.low = max(self.low, f.value + (1 if isinstance(f, GreaterThan) else 0))
-            elif name == "start_idx" and isinstance(f, (LessThan, LessThanOrEqual)):
-                top = f.value - (1 if isinstance(f, LessThan) else 0)
-                self.high = top if self.high is None else min(self.high, top)
-            elif name == "channel" and isinstance(f, (EqualTo, In)):
-                values = f.value if isinstance(f, In) else [f.value]
-                self.channels = tuple(c for c in self.channels if c in values)
-            yield f  # Spark still applies every filter; these only narrow what is read
-
     def partitions(self) -> list[InputPartition]:
         n = self.layout.block_len
         out: list[InputPartition] = []
@@ -239,6 +229,23 @@ class PcmReader(DataSourceReader):
         return read_blocks(partition, self.layout)
 
 
+class PcmReader(WholeReader):
+    """Reads what pushed filters leave."""
+
+    def pushFilters(self, filters) -> Iterable:
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) else None
+            if name == "start_idx" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + (1 if isinstance(f, GreaterThan) else 0))
+            elif name == "start_idx" and isinstance(f, (LessThan, LessThanOrEqual)):
+                top = f.value - (1 if isinstance(f, LessThan) else 0)
+                self.high = top if self.high is None else min(self.high, top)
+            elif name == "channel" and isinstance(f, (EqualTo, In)):
+                values = f.value if isinstance(f, In) else [f.value]
+                self.channels = tuple(c for c in self.channels if c in values)
+            yield f  # Spark still applies every filter; these only narrow what is read
+
+
 class PcmStreamReader(DataSourceStreamReader):
     """Follows the newest file of a folder and rolls over to the next one.
 
@@ -318,7 +325,7 @@ class PcmStreamReader(DataSourceStreamReader):
 
 
 class PcmSource(DataSource):
-    """Format "pcm". Options: path, channels, fs, dtype, block_len, halo, skip_s, duration_s, suffix, wide; streams: max_blocks, progress."""
+    """Format "pcm". Options: path, channels, fs, dtype, block_len, halo, skip_s, duration_s, suffix, wide, pushdown; streams: max_blocks, progress."""
 
     @classmethod
     def name(cls) -> str:
@@ -328,7 +335,8 @@ class PcmSource(DataSource):
         return WIDE_SCHEMA if Layout.of(dict(self.options)).wide else SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return PcmReader(dict(self.options))
+        options = dict(self.options)
+        return (PcmReader if str(options.get("pushdown", "false")).lower() == "true" else WholeReader)(options)
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return PcmStreamReader(dict(self.options))
@@ -337,6 +345,7 @@ class PcmSource(DataSource):
 def read_pcm(spark, path: str, **options):
     """Blocks of every PCM file below path."""
     spark.dataSource.register(PcmSource)
+    options = {"pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | options
     return spark.read.format("pcm").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
