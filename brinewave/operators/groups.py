@@ -32,12 +32,15 @@ def per_group(reduced: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Broadcast a side whose rows and bytes have been checked; larger ones are left to the join planner.
+    """Broadcast a side whose rows and bytes have been checked; larger ones are merged.
+
+    Merged by a hint: the join planner takes a written table for as large as its compressed files, and would broadcast
+    hundreds of thousands of rows through the driver.
 
     The rows of `source` (default df) are counted: a table of which df is a
     projection and whose lineage is short, as after a checkpoint.
     """
-    return F.broadcast(df) if is_small(df if source is None else source) else df
+    return F.broadcast(df) if is_small(df if source is None else source) else df.hint("merge")
 
 
 def is_small(table: DataFrame) -> bool:

@@ -124,12 +124,13 @@ def corrections(values: DataFrame, int_limit: int = INT_LIMIT) -> DataFrame:
     too_wide = (F.greatest(F.abs("lo"), F.abs("hi")) - F.col("_bias")) / F.col("step") > int_limit
     mid = (F.col("lo") + F.col("hi")) / 2
     wide = base.where(F.col("_two_sided") & too_wide).select(*KEYS, mid.alias("_mid"))
-    nearest = v.join(wide, KEYS).groupBy(*KEYS).agg(F.min_by("x", F.struct(F.abs(F.col("x") - F.col("_mid")), "x")).alias("_nearest"))
+    nearest = v.join(per_group(wide), KEYS).groupBy(*KEYS).agg(F.min_by("x", F.struct(F.abs(F.col("x") - F.col("_mid")), "x")).alias("_nearest"))
     rank = F.greatest(F.floor(F.col("n_values") / 2) - 1, F.lit(0).cast("bigint"))
     sided = base.where(~F.col("_two_sided")).select(*KEYS, rank.alias("_rank"))
-    there = parts.join(sided, KEYS).where((F.col("_rank") >= F.col("before")) & (F.col("_rank") < F.col("before") + F.col("n")))
-    middle = v.join(there.select(*KEYS, PART, (F.col("_rank") - F.col("before")).alias("_place")), [*KEYS, PART, "_place"])
-    out = base.join(nearest, KEYS, "left").join(middle.select(*KEYS, F.col("x").alias("_middle")), KEYS, "left")
+    there = parts.join(per_group(sided), KEYS).where((F.col("_rank") >= F.col("before")) & (F.col("_rank") < F.col("before") + F.col("n")))
+    places = per_group(there.select(*KEYS, PART, (F.col("_rank") - F.col("before")).alias("_place")))
+    middle = v.join(places, [*KEYS, PART, "_place"]).select(*KEYS, F.col("x").alias("_middle"))
+    out = base.join(nearest.hint("merge"), KEYS, "left").join(middle.hint("merge"), KEYS, "left")  # a row per channel each
     chosen = (
         F.when(F.col("n_values") == 1, F.col("lo"))
         .when(~F.col("_two_sided"), F.col("_middle"))

@@ -251,7 +251,7 @@ def _tracks(delays: DataFrame, device: dict, fs: float, fps: float, sync_s) -> D
 def convert(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Quantize long samples: their counts as 16-bit integers with step and bias, and the round-trip errors."""
     corrections = cut_lineage(quantization.corrections(quantization.value_counts(samples)))
-    joined = samples.join(corrections, [REC, "channel"])
+    joined = samples.join(small_side(corrections), [REC, "channel"])
     raw = quantization.to_counts(F.col("x"), F.col("step"), F.col("bias"))
     stored = joined.select(*samples.columns, raw.alias("raw"), "step", "bias").drop("x")
     return stored, quantization.round_trip_errors(samples, corrections)
