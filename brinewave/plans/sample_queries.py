@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brinewave.functions.columns import amplitude_db, power_db
 from brinewave.operators import blocks, order_statistics, quantization as q, synchronization, windows
+from brinewave.operators.groups import per_group
 from brinewave.plans.registry import query
 from brinewave.plans.standins import LONG, SMP, embedding_blocks, embedding_samples, long_samples
 from brinewave.sinks import labels
@@ -79,14 +80,11 @@ def step_and_bias(t):
 SELECT recording_id, channel, x, raw, round(raw * step + bias, 9) AS restored, count(*) AS n FROM r GROUP BY ALL""",
 )
 def quantized_round_trip(t):
-    rows = quantized(t)
-    joined = rows.join(step_and_bias(t), ["recording_id", "channel"])
-    raw = q.to_counts(F.col("x"), F.col("step"), F.col("bias"))
-    joined = joined.withColumn("raw", raw)
+    counts = q.value_counts(quantized(t))  # equal samples have equal results
+    joined = counts.join(per_group(q.corrections(counts)), ["recording_id", "channel"])
+    joined = joined.withColumn("raw", q.to_counts(F.col("x"), F.col("step"), F.col("bias")))
     restored = q.to_volts(F.col("raw"), F.col("step"), F.col("bias"))
-    return joined.groupBy("recording_id", "channel", "x", "raw", F.round(restored, 9).alias("restored")).agg(
-        F.count("*").alias("n")
-    )
+    return joined.select("recording_id", "channel", "x", "raw", F.round(restored, 9).alias("restored"), "n")
 
 
 @query(
