@@ -176,7 +176,8 @@ PCM = """pcm AS (SELECT doc_id, unnest(range(0, length(text))) AS p, unnest(stri
 )
 def decoded_frames(t):
     raw = t.documents.select("doc_id", F.encode("text", "UTF-16LE").alias("content"))
-    stats = blocks.channel_stats(pcm.decode_frames(raw, "content", 2), "doc_id", "channel")
+    frames = pcm.decode_frames(raw, "content", 2).where(F.size("samples") > 0)  # texts of a letter or none have no frame
+    stats = blocks.channel_stats(frames, "doc_id", "channel")
     return stats.select("doc_id", "channel", "n", "min_val", "max_val", "energy")
 
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -36,9 +37,10 @@ from pyspark.sql.datasource import (
     LessThan,
     LessThanOrEqual,
 )
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from brinewave import schemas
+from brinewave.functions.kernels import lists_from
 from brinewave.session import opened
 
 SCHEMA = schemas.BLOCKS.replace("recording_id string", "recording_id string, path string")
@@ -355,22 +357,41 @@ def stream_pcm(spark, path: str, **options):
     return spark.readStream.format("pcm").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
-def decode_frames(df, content: str, channels: int, dtype: str = SAMPLE_TYPE):
-    """Interleaved PCM in a binary column (small whole files) to blocks, one per channel."""
-    sample = np.dtype(dtype).newbyteorder("<")
-    row_type = pa.list_(pa.struct([("channel", pa.int64()), ("samples", pa.list_(pa.float64()))]))
+DECODED = 1 << 20  # bytes decoded in one go, unless a single file has more
+
 
-    @F.arrow_udf("array<struct<channel: bigint, samples: array<double>>>")
-    def run(raw: pa.Array) -> pa.Array:
-        out = []
-        for value in raw:
-            data = np.frombuffer(value.as_buffer() or b"", dtype=sample)
-            frames = data[: len(data) // channels * channels].reshape(-1, channels).astype(np.float64)
-            out.append([{"channel": c + 1, "samples": frames[:, c]} for c in range(channels)])
-        return pa.array(out, type=row_type)
+def decode_frames(df, content: str, channels: int, dtype: str = SAMPLE_TYPE):
+    """Interleaved PCM in a binary column (small whole files) to blocks, one per channel.
 
+    Samples take several times the bytes of a batch: they are given back a few files at a time.
+    """
+    sample = np.dtype(dtype).newbyteorder("<")
     kept = [c for c in df.columns if c != content]
-    return df.select(*kept, F.inline(run(content))).withColumn("start_idx", F.lit(1).cast("bigint"))
+    schema = StructType([df.schema[c] for c in kept]).add("channel", LongType()).add("samples", ArrayType(DoubleType()))
+
+    def decoded(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for value in part.column(content):
+            data = np.frombuffer(value.as_buffer() or b"", dtype=np.uint8)
+            data = data[: len(data) // (sample.itemsize * channels) * sample.itemsize * channels].view(sample)
+            rows += list(data.reshape(-1, channels).T.astype(np.float64))
+        again = pa.array(np.repeat(np.arange(part.num_rows), channels))
+        own = pa.array(np.tile(np.arange(channels) + 1, part.num_rows), pa.int64())
+        return pa.RecordBatch.from_arrays([*(part.column(c).take(again) for c in kept), own, lists_from(rows)], [*kept, "channel", "samples"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(content)), 0).to_numpy(zero_copy_only=False)
+            at, held = 0, 0
+            for i, size in enumerate(sizes):
+                if i > at and held + size > DECODED:
+                    yield decoded(batch.slice(at, i - at))
+                    at, held = i, 0
+                held += size
+            if at < batch.num_rows:
+                yield decoded(batch.slice(at))
+
+    return df.select(*kept, content).mapInArrow(run, schema).withColumn("start_idx", F.lit(1).cast("bigint"))
 
 
 def byte_range(df, content: str, channels: int, skip_frames: int, n_frames: int, dtype: str = SAMPLE_TYPE):
