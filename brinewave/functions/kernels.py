@@ -143,12 +143,15 @@ def band_gain(freq, fs, band, stops, order) -> np.ndarray:
     return gain
 
 
-def zero_phase(x: np.ndarray, fs: float, band, stops=(), order: int = 4, envelope: bool = False) -> np.ndarray:
-    """Filter along the last axis without phase shift; optionally the magnitude of the analytic signal of the result."""
+def zero_phase(x: np.ndarray, fs: float, band, stops=(), order: int = 4, envelope: bool = False, pad: int = 0) -> np.ndarray:
+    """Filter along the last axis without phase shift; optionally the magnitude of the analytic signal of the result.
+
+    As many zeros follow as there are samples, at least `pad`: a filter that rings longer comes round to the beginning.
+    """
     n = x.shape[-1]
     if n == 0:
         return x
-    size = fast_length(2 * n)
+    size = fast_length(n + max(n, pad))
     gain = band_gain(np.fft.rfftfreq(size, 1 / fs), fs, band, stops, order)
     spectrum = np.fft.rfft(x, size) * gain
     if not envelope:

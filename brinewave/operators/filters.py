@@ -31,11 +31,13 @@ def filter_blocks(
     envelope: bool = False,
     order: int = ORDER,
     keep_halo: int = 0,
+    pad: int = 0,
 ) -> DataFrame:
     """Zero-phase band filter, optionally the envelope of the result.
 
     With keep_halo the output keeps that many filtered samples on both sides, so
     that a peak search can follow without another shuffle. Halos must cover it and the filter's settling length.
+    Blocks are followed by at least `pad` zeros, for recordings shorter than the filter rings.
     """
     held = settled(blocks, fs, band, stops, order, keep_halo)
 
@@ -43,7 +45,7 @@ def filter_blocks(
     def run(left: pa.Array, mid: pa.Array, right: pa.Array) -> pa.Array:
         parts = ([], [], [])
         for x, before, n in _padded(left, mid, right):
-            y = kernels.zero_phase(x, fs, band, stops, order, envelope)
+            y = kernels.zero_phase(x, fs, band, stops, order, envelope, pad)
             parts[0].append(y[max(before - keep_halo, 0) : before])
             parts[1].append(y[before : before + n])
             parts[2].append(y[before + n : before + n + keep_halo])

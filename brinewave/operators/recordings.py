@@ -43,8 +43,9 @@ def noise_hits(blocks: DataFrame, fs: float, ref_channel: int, nfft_s: float, th
     one = blocks.where(F.col("channel") == ref_channel)
     thin = blk.to_samples(decimated(one, fs, factor))
     narrow = (band[0], min(band[1], 0.4 * slow))
-    again = blk.from_samples(thin, 65_536, kernels.settling_length(slow, narrow))
-    frames = blk.frame_energy(filter_blocks(again, slow, narrow), int(round(nfft_s * slow * NOISE_FRAMES)))
+    settles = kernels.settling_length(slow, narrow)
+    again = blk.from_samples(thin, 65_536, settles)
+    frames = blk.frame_energy(filter_blocks(again, slow, narrow, pad=2 * settles), int(round(nfft_s * slow * NOISE_FRAMES)))
     return blk.noise_frames(frames, threshold)
 
 
