@@ -31,3 +31,16 @@ class Remembered:
         self.new.update((k, self.old[k]) for k in again)
         if rest := unknown.difference(again):
             learn(rest)
+
+    def values(self, keys: Iterable[str], learn: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
+        """The values of distinct keys, in their order; learn(unknown) gives those of unknown keys and puts in what is worth it."""
+        found = dict(zip(keys, map(self.new.get, keys)))
+        if unknown := [k for k, v in found.items() if v is None]:
+            if len(self.new) + len(unknown) > self.most:
+                self.old, self.new = self.new, {}
+            again = {k: v for k, v in zip(unknown, map(self.old.get, unknown)) if v is not None}
+            self.new.update(again)
+            found.update(again)
+            if rest := [k for k in unknown if k not in again]:
+                found.update(learn(rest))
+        return found

@@ -15,6 +15,7 @@ stay rows, ordered by a hash of their text. An empty table gives no files' rows.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 from array import array
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -33,11 +35,14 @@ MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 1 << 22
 #: Stretches that a worker remembers, some 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 # white space other than the space, in Unicode (and what Python counts to it)
 BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
 MARKS = ".,;:!?"
+PUNCTUATION = string.punctuation
 LETTERS_UNTIL = "\u2000"
+#: Texts are encoded together, up to so many characters (or one longer text).
+TOGETHER = 1 << 21
 ROWS = "shard long, keys array<long>, lengths array<long>, tokens long, file binary"
 
 
@@ -46,12 +51,12 @@ def build(ids: np.ndarray, levels: int) -> bytes:
     out, now = [MAGIC + struct.pack("<QI", len(ids), levels)], ids.astype("<u2" if levels <= 16 else "<u4")
     words = -(-max(1, len(ids)) // BLOCK) * BLOCK // 8
     for level in range(levels):
-        ones = (now >> (levels - 1 - level)) & 1 != 0
+        ones = now & now.dtype.type(1 << (levels - 1 - level)) != 0
         packed = np.packbits(ones, bitorder="little")
         packed = np.concatenate([packed, np.zeros(words - len(packed), "u1")])
         each = np.bitwise_count(packed.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype="i8")
         ranks = np.concatenate([[0], np.cumsum(each)])
-        now = np.concatenate([now[~ones], now[ones]])
+        now = np.concatenate([now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))])
         out += [struct.pack("<Q", len(ids) - int(ranks[-1])), packed.tobytes(), ranks.astype("<u8").tobytes()]
     return b"".join(out)
 
@@ -134,8 +139,8 @@ class WaveletMatrix:
             ones = np.unpackbits(self.bits[level], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(now)
             zeros = self.zeros[level]
-            back[~ones] = now[:zeros]
-            back[ones] = now[zeros:] | now.dtype.type(1 << (self.levels - 1 - level))
+            back[np.flatnonzero(~ones)] = now[:zeros]
+            back[np.flatnonzero(ones)] = now[zeros:] | now.dtype.type(1 << (self.levels - 1 - level))
             now = back
         return now
 
@@ -155,54 +160,101 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.levels = max(2, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.kind = "<u2" if self.levels <= 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.levels <= 16 else ("<u4", "I")
         self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.known = Remembered(REMEMBERED)
         self.tails: dict[str, bytes] = {}
+        self.space, self.letters = self._alphabet()
+        self.are_letters = frozenset(map(chr, self.letters)).issuperset
+        self.plain = self.are_letters(string.ascii_letters)
+        self.newline = self._ids("\n")
+
+    def _alphabet(self) -> tuple[str, dict[int, str]]:
+        """The space and the letters as the model spells them: those that the library joins to a letter before them. None if it
+        changes texts first or knows added tokens of letters, marks and newlines that a word could hold.
+        """
+        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        if self.tokenizer.normalizer or any(all(w.isalpha() or not w for w in (line.rstrip(PUNCTUATION) for line in t.split("\n"))) for t in added):
+            return "", {}
+        letters = "".join(c for c in map(chr, range(ord(LETTERS_UNTIL))) if c.isalpha())
+        text = "".join(" a" + c for c in letters)
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        space = pieces[0][0].partition("a")[0]
+        return space, {ord(text[b - 1]): piece[len(space) + 1 :] for piece, (a, b) in pieces if b - a == 3 and text[a] == " " and piece.startswith(space + "a")}
 
     def encode(self, text: str) -> bytes:
-        parts = self.split(text) if spaces_touch(text) else text.split(" ")
-        first = self._ids(parts[0]) if parts[0] else b""
-        return first + self.known.joined(parts[1:], self._learn)
-
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new stretches. Letters and the marks after them are two pre-tokens, so marks are asked for on their own;
-        words of letters alone are asked for together, as one text whose pre-tokens they are."""
-        marked: list[tuple[str, str]] = []
-        words: set[str] = set()
-        others: list[str] = []
-        known = self.known.new
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids. Stretches of all texts are numbered together, so one that they share is looked up once."""
+        touching = [spaces_touch(t) for t in texts]
+        cuts = [("", "", "") if odd else t.partition(" ") for t, odd in zip(texts, touching)]
+        stretches = pc.split_pattern(pa.array([rest for _, space, rest in cuts if space], pa.string()), " ")
+        numbered = stretches.flatten().dictionary_encode()
+        values = list(self.known.values(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn).values())
+        ids = pa.array(values, pa.large_binary()).take(numbered.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())])[stretches.offsets.to_numpy()].tolist()
+        data = ids.buffers()[2]
+        each = (data[a:b].to_pybytes() if b > a else b"" for a, b in zip(ends, ends[1:]))
+        return [self._parts(self.split(t)) if odd else self._ids(first) + (next(each) if space else b"") for t, odd, (first, space, _) in zip(texts, touching, cuts)]
+
+    def _parts(self, parts: list[str]) -> bytes:
+        """The ids of one text's stretches."""
+        ids = self.known.values(dict.fromkeys(parts[1:]), self._learn)
+        return self._ids(parts[0]) + b"".join(map(ids.__getitem__, parts[1:]))
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new stretches; those with newlines seldom come again and are not remembered. Letters and the marks after them
+        are two pre-tokens, and a single newline between words is one: the model is asked for the letters, the library's
+        plain call for anything else."""
+        found: dict[str, bytes] = {}
+        known, others, are_letters, plain, word = self.known.new, [], self.are_letters, self.plain, self._word
         for part in new:
-            core = part.rstrip(MARKS)
-            if not (core.isalpha() and max(core) < LETTERS_UNTIL):
+            core = part.rstrip(PUNCTUATION)
+            if plain and core.isascii() and core.isalpha() or core and are_letters(core):
+                if core == part:
+                    ids = self._asked(core)
+                else:
+                    ids = word(core) + self._tail(part[len(core) :])
+                known[part] = found[part] = ids
+            elif "\n" in part and all(lines := [line.rstrip(PUNCTUATION) for line in part.split("\n")]) and all(map(are_letters, lines)):
+                each = zip([lines[0], *["\n" + core for core in lines[1:]]], lines, part.split("\n"))
+                found[part] = self.newline.join([word(key) + self._tail(line[len(core) :]) for key, core, line in each])
+            else:
                 others.append(part)
-                continue
-            if core != part:
-                marked.append((part, core))
-            if core not in known:
-                words.add(core)
-        code, asked = "H" if self.levels <= 16 else "I", list(words)
-        if asked:
-            found = self.tokenizer.encode(" " + " ".join(asked), add_special_tokens=False)
-            ids, cuts = array(code, found.ids).tobytes(), np.flatnonzero(np.diff(np.array(found.word_ids, "i8"))) + 1
-            edges = [0, *(cuts * array(code).itemsize).tolist(), len(ids)]
-            if len(edges) != len(asked) + 1:
-                raise ValueError("words of letters alone are not the tokenizer's pre-tokens")
-            known.update((word, ids[a:b]) for word, a, b in zip(asked, edges, edges[1:]))
         if others:
             each = self.tokenizer.encode_batch_fast([" " + p for p in others], add_special_tokens=False)
-            known.update((p, array(code, e.ids).tobytes()) for p, e in zip(others, each))
-        for part, core in marked:
-            tail = part[len(core) :]
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self._ids(tail)
-            known[part] = known[core] + self.tails[tail]
+            asked = {p: array(self.code, e.ids).tobytes() for p, e in zip(others, each)}
+            known.update(asked)
+            found.update(asked)
+        return found
+
+    def _word(self, key: str) -> bytes:
+        """The ids of a pre-token of letters alone, after a space or (marked by a newline before it) after none."""
+        known = self.known.new
+        if (ids := known.get(key)) is None:
+            if (ids := self.known.old.get(key)) is None:
+                ids = self._asked(key)
+            known[key] = ids
+        return ids
+
+    def _asked(self, key: str) -> bytes:
+        spelt = key if key.isascii() else key.translate(self.letters)
+        spelt = spelt[1:] if key[0] == "\n" else self.space + spelt
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        """The ids of the marks after letters."""
+        if marks and marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = self._ids(marks)
+        return self.tails[marks] if marks else b""
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def spaces_touch(text: str) -> bool:
@@ -220,6 +272,20 @@ def tokens(path: str) -> Tokens:
     return _TOKENS[path]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
+    """The rows, as many at a time as are encoded together."""
+    rows, held = [], 0
+    for batch in batches:
+        for key, text in zip(batch.column("key"), batch.column("text")):
+            rows.append((key.as_py(), text.as_py()))
+            held += len(rows[-1][1]) + 1
+            if held >= TOGETHER:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
 def _shards(path: str, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens(path)
@@ -237,12 +303,11 @@ def _shards(path: str, end: int, most: int):
             kinds = pa.schema([("shard", long), ("keys", pa.list_(long)), ("lengths", pa.list_(long)), ("tokens", long), ("file", pa.binary())])
             return pa.RecordBatch.from_pydict(row, schema=kinds)
 
-        for batch in batches:
-            for key, text in zip(batch.column("key"), batch.column("text")):
-                ids = coder.encode(text.as_py()) + last
-                keys.append(key.as_py())
-                lengths.append(len(ids) // width)
-                parts.append(ids)
+        for rows in _together(batches):
+            for (key, _), ids in zip(rows, coder.encode_all([text for _, text in rows])):
+                keys.append(key)
+                lengths.append(len(ids) // width + 1)
+                parts += [ids, last]
                 held += lengths[-1]
                 if held >= most:
                     yield shard()

@@ -216,6 +216,23 @@ def test_what_is_remembered_is_bounded_and_right(monkeypatch):
     assert small.stretches.old and not plain.stretches.old
 
 
+def test_texts_encoded_together_are_asked_for_once_and_right():
+    """Words of several texts, with marks and newlines after them, cost one question each to the model."""
+    tokens, asked = wavelet.Tokens(wavelet.default_tokenizer()), []
+    own = tokens.tokenizer
+    texts = ["Zorble zorble, zorble.\nZorble éçon *** \nx", "zorble éçon.\nZorble", "", " ", "zorble", "a  b zorble", "don't 12 zorble", "漢字 zorble\n\nzorble ﬁne"]
+    once = tokens._asked
+    tokens._asked = lambda key: asked.append(key) or once(key)
+    got = tokens.encode_all(texts)
+    assert [np.frombuffer(g, tokens.kind).tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("\nZorble") == 1 and asked.count("éçon") <= 2 and asked.count("zorble") <= 2
+    before = len(asked)
+    assert tokens.encode_all(texts) == got and len(asked) == before
+    other = [chr(c) for c in tokens.letters]
+    texts = [f"x {c}{c}. {c}\n{c} a{c}" for c in other]
+    assert [np.frombuffer(g, tokens.kind).tolist() for g in tokens.encode_all(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_grams_are_dealt_evenly():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 105, 400_000).astype("u1").tobytes()
