@@ -4,8 +4,11 @@ The file holds, for each block, four bits per component (a cell of that block's
 beside the exact integers. Pass 1 reads only the cells: a query's product with a cell's
 middle, plus or minus one radius per query and block, bounds every score; the k-th largest
 lower bound of a query over all blocks is a score that its k-th result reaches at least.
-Pass 2 visits the exact vectors in the order of their upper bounds and stops when the next
-one lies below the k-th score found, or below the bound of pass 1.
+Pass 2 visits the exact vectors whose upper bounds reach the bound of pass 1 and the k-th
+score found so far; where those are many, the ones with the largest upper bounds first.
+
+Both passes meet a group of queries with a slot of blocks in a task, both of bounded size. What a
+query has found in one block holds for the next of the slot, and k values a slot leave the task.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without an id; vectors of different lengths never meet. A row with the query's id is
@@ -21,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brinewave.llm import vector_blocks as vb
+from brinewave.session import cut_lineage
 
 CELLS = 16
-EXACT = 2.0**53
+#: Products below these are exact in doubles and floats; components below NARROW have products within a float's range.
+EXACT, EXACT_NARROW, NARROW = 2.0**53, 2.0**24, 1e15
+#: Rows of a block that are looked at first; share of a block's rows (one in so many) beyond which all are scored; pairs scored at once.
+HEAD, DENSE, GATHERED = 32, 16, 16384
 
 
 def scaled(vectors: DataFrame, factor: int) -> DataFrame:
@@ -53,86 +60,189 @@ def build(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 def _query_block(ids: np.ndarray, values: np.ndarray, floor: np.ndarray | None = None) -> dict:
     floor = np.full(len(ids), -np.inf) if floor is None else floor
-    return {"ids": ids.astype("<i8").tobytes(), "data": values.astype("<f8").tobytes(), "floor": floor.astype("<f8").tobytes()}
-
-
-def _bounds(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids and vectors, ids of the block, middle scores and the radius of each query."""
-    dim = row["dim"]
-    qid, q = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_data"], "<f8").reshape(-1, dim)
-    ids, packed = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["cells"], "u1")
-    packed = packed.reshape(len(ids), -1)
-    cells = np.empty((len(ids), 2 * packed.shape[1]))
-    cells[:, ::2], cells[:, 1::2] = packed & 15, packed >> 4
-    low, width = np.frombuffer(row["low"], "<f8"), np.frombuffer(row["width"], "<f8")
-    middle = low + (cells[:, :dim] + 0.5) * width
-    score = q @ middle.T
-    # the slack covers the rounding of this product
-    radius = np.abs(q) @ (width / 2) + 1e-12 * (np.abs(q) @ np.abs(middle).max(axis=0)) * dim
-    return qid, q, ids, score, radius, ids[None, :] == qid[:, None]
+    return {"ids": ids.astype("<i8").tobytes(), "floor": floor.astype("<f8").tobytes()} | _stored(values)
+
+
+def _rows(table: pa.Table) -> Iterator[dict]:
+    """The rows, one at a time."""
+    for batch in table.to_batches(max_chunksize=1):
+        yield from batch.to_pylist()
+
+
+def _exact(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], "<i8")
+    return ids, np.frombuffer(row["exact"], row["kind"]).reshape(len(ids), -1).astype("f8")
+
+
+class _Block:
+    """The cells of a block: their middles, half a cell's width, and the largest middle of each component."""
+
+    def __init__(self, row: dict):
+        self.ids, dim = np.frombuffer(row["ids"], "<i8"), row["dim"]
+        packed = np.frombuffer(row["cells"], "u1").reshape(len(self.ids), -1)
+        cells = np.empty((len(self.ids), 2 * packed.shape[1]), "u1")
+        cells[:, ::2], cells[:, 1::2] = packed & 15, packed >> 4
+        low, width = np.frombuffer(row["low"], "<f8"), np.frombuffer(row["width"], "<f8")
+        self.middle, self.half = low + (cells[:, :dim] + 0.5) * width, width / 2
+        self.top = np.abs(self.middle).max(axis=0)
+        self.narrow = self.middle.astype("f4") if self.top.max() < NARROW else None
+
+
+class _Queries:
+    """A block of queries, and the k best values that each has found, largest first, with the ids they are from."""
+
+    def __init__(self, row: dict, k: int):
+        self.ids, self.vectors = _exact(row)
+        self.floor, self.k = np.frombuffer(row["floor"], "<f8"), k
+        self.narrow = self.vectors.astype("f4") if np.abs(self.vectors).max() < NARROW else None
+        self.best, self.found = np.full((len(self.ids), k), -np.inf), np.zeros((len(self.ids), k), "i8")
+        self.begun = False
+
+    def near(self, block: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Products with the cells' middles, and the radius of each query around them."""
+        small = self.narrow is not None and block.narrow is not None
+        score = self.narrow @ block.narrow.T if small else self.vectors @ block.middle.T
+        long = np.abs(self.vectors)
+        # the slack covers the rounding of this product, and of its factors
+        slack = (3e-7 if small else 1e-12) * (block.half.size + 4)
+        return score, long @ block.half + slack * (long @ block.top)
+
+    def others(self, reached: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and rows that are reached, a query's own rows left out."""
+        n, row = np.nonzero(reached)
+        other = ids[row] != self.ids[n]
+        return n[other], row[other]
+
+    def reaching(self, score: np.ndarray, bar: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and rows whose product is not below the query's bar."""
+        low = np.nextafter(bar.astype(score.dtype), score.dtype.type(-np.inf))
+        return self.others(score >= low[:, None], ids)
+
+    def keep(self, n: np.ndarray, value: np.ndarray, ids: np.ndarray) -> None:
+        """Take in values of queries n; ties go to the smaller id."""
+        least = self.best[n, -1]
+        good = (value > least) | (value == least) & (ids < self.found[n, -1])
+        n, value, ids = n[good], value[good], ids[good]
+        own = np.unique(n)
+        held_n, held = np.repeat(own, self.k), self.best[own].ravel()
+        there = held > -np.inf
+        n = np.concatenate([n, held_n[there]])
+        value, ids = np.concatenate([value, held[there]]), np.concatenate([ids, self.found[own].ravel()[there]])
+        order = np.lexsort((ids, -value, n))
+        n, value, ids = n[order], value[order], ids[order]
+        place = np.arange(len(n)) - np.searchsorted(n, n)
+        first = place < self.k
+        self.best[n[first], place[first]], self.found[n[first], place[first]] = value[first], ids[first]
 
 
 def _lower(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                qid, _, ids, score, radius, own = _bounds(row)
-                low = np.where(own, -np.inf, score - radius[:, None])
-                if len(ids) > k:
-                    low = -np.partition(-low, k - 1, axis=1)[:, :k]
-                at = np.repeat(qid, low.shape[1])
-                yield pa.record_batch({"query_id": at, "low": low.ravel()})
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        """The k largest lower bounds of each query in a slot."""
+        held = [_Queries(r, k) for r in _rows(queries)]
+        for row in _rows(blocks) if held else ():
+            block = _Block(row)
+            for q in held:
+                score, radius = q.near(block)
+                at, step = 0, HEAD
+                while at < len(block.ids):  # a few rows first: they leave little of the others
+                    part = slice(at, at + step)
+                    # a bound that the rounding of the bar hides is not missed: the others hold without it
+                    bar = (q.best[:, -1] + radius).astype(score.dtype)
+                    n, found = q.others(score[:, part] > bar[:, None], block.ids[part])
+                    q.keep(n, score[:, part][n, found] - radius[n], block.ids[part][found])
+                    at, step = at + step, step * 8
+        return _table(held, {"query_id": lambda q: np.repeat(q.ids, k), "low": lambda q: q.best.ravel()})
 
     return run
 
 
+def _table(held: list[_Queries], columns: dict) -> pa.Table:
+    """What the queries have found, a row for each."""
+    at = [q.best.ravel() > -np.inf for q in held]
+    return pa.table({c: np.concatenate([np.empty(0, "f8" if c == "low" else "i8"), *(of(q)[x] for q, x in zip(held, at))]) for c, of in columns.items()})
+
+
+def _scored(q: _Queries, exact: np.ndarray, n: np.ndarray, row: np.ndarray, narrow: bool) -> np.ndarray:
+    """Exact products of queries n and rows; where they are a good part of all, of all."""
+    vectors = q.narrow if narrow else q.vectors
+    if len(n) * DENSE > len(q.ids) * len(exact):
+        return (vectors @ exact.T)[n, row].astype("f8")
+    parts = [slice(at, at + GATHERED) for at in range(0, len(n), GATHERED)]
+    return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", vectors[n[x]], exact[row[x]]) for x in parts)])
+
+
+def _huge(q: _Queries, ids: np.ndarray, exact: np.ndarray, upper: np.ndarray) -> list[tuple[int, int, int]]:
+    """The k best of a block for each query, by products too large for a double."""
+    out = []
+    for n in range(len(q.ids)):
+        left = np.flatnonzero((ids != q.ids[n]) & (upper[n] >= max(q.floor[n], -1e308)))
+        left = left[np.argsort(-upper[n][left], kind="stable")]
+        got: list[tuple[int, int]] = []
+        at, step = 0, HEAD
+        while at < len(left) and not (len(got) == q.k and upper[n][left[at]] < -got[-1][0]):
+            some = left[at : at + step]
+            got += [(-sum(int(a) * int(b) for a, b in zip(exact[i], q.vectors[n])), int(ids[i])) for i in some]
+            got = sorted(got)[: q.k]
+            at, step = at + step, step * 2
+        out += [(int(q.ids[n]), i, max(-(2**63), min(2**63 - 1, -s))) for s, i in got]
+    return out
+
+
 def _verified(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                qid, q, ids, score, radius, own = _bounds(row)
-                floor = np.frombuffer(row["q_floor"], "<f8")
-                exact = np.frombuffer(row["exact"], row["kind"]).reshape(len(ids), -1).astype("f8")
-                upper = np.where(own, -np.inf, score + radius[:, None])
-                huge = np.abs(exact).max() * np.abs(q).max() * row["dim"] >= EXACT
-                out: list[tuple] = []
-                for n in range(len(qid)):
-                    left = np.flatnonzero(upper[n] >= max(floor[n], -1e308))
-                    left = left[np.argsort(-upper[n][left], kind="stable")]
-                    got_s, got_i = np.empty(0, object if huge else "f8"), np.empty(0, "i8")
-                    at, step = 0, 32
-                    while at < len(left):
-                        if len(got_s) == k and upper[n][left[at]] < got_s[-1]:
-                            break
-                        some = left[at : at + step]
-                        if huge:
-                            new = np.array([sum(int(a) * int(b) for a, b in zip(exact[i], q[n])) for i in some], object)
-                        else:
-                            new = exact[some] @ q[n]
-                        got_s, got_i = np.concatenate([got_s, new]), np.concatenate([got_i, ids[some]])
-                        order = sorted(range(len(got_s)), key=lambda i: (-got_s[i], got_i[i]))[:k] if huge else vb.top_rows(got_s, got_i, k)
-                        got_s, got_i = got_s[order], got_i[order]
-                        at, step = at + step, step * 2
-                    out.append((np.full(len(got_s), qid[n]), got_i, np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in got_s], "i8")))
-                a, b, c = (np.concatenate(x) for x in zip(*out))
-                yield pa.record_batch({"query_id": a, "vec_id": b, "score": c})
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        """The k best rows of each query in a slot, as far as they reach its floor."""
+        held, more = [_Queries(r, k) for r in _rows(queries)], []
+        for row in _rows(blocks) if held else ():
+            block, (ids, exact) = _Block(row), _exact(row)
+            top, small = np.abs(exact).max(), exact.astype("f4")
+            for q in held:
+                score, radius = q.near(block)
+                largest = top * np.abs(q.vectors).max() * row["dim"]
+                if largest >= EXACT:
+                    more += _huge(q, ids, exact, score + radius[:, None])
+                    continue
+                narrow = max(largest, top, np.abs(q.vectors).max()) < EXACT_NARROW
+                rows = small if narrow else exact
+                bar = np.maximum(q.floor, q.best[:, -1])
+                n, found = q.reaching(score, bar - radius, ids)
+                if not q.begun and len(n) * DENSE > score.size and len(ids) > HEAD:  # the largest upper bounds first: they leave little of the others
+                    first = np.argpartition(-score, HEAD - 1, axis=1)[:, :HEAD]
+                    bar = np.maximum(bar, _kth(q, rows, ids, first, narrow))
+                    n, found = q.reaching(score, bar - radius, ids)
+                value = _scored(q, rows, n, found, narrow)
+                enough = value >= q.floor[n]
+                q.keep(n[enough], value[enough], ids[found[enough]])
+                q.begun = True
+        best = _table(held, {"query_id": lambda q: np.repeat(q.ids, k), "vec_id": lambda q: q.found.ravel(), "score": lambda q: q.best.ravel()})
+        extra = {c: np.array([x[i] for x in more], "i8") for i, c in enumerate(best.column_names)}
+        return pa.table({c: np.concatenate([best.column(c).to_numpy().astype("i8"), extra[c]]) for c in best.column_names})
 
     return run
 
 
+def _kth(q: _Queries, exact: np.ndarray, ids: np.ndarray, first: np.ndarray, narrow: bool) -> np.ndarray:
+    """The k-th exact score of each query among its rows `first`, or -inf."""
+    n = np.repeat(np.arange(len(q.ids)), first.shape[1])
+    value = _scored(q, exact, n, first.ravel(), narrow).reshape(first.shape)
+    value[ids[first] == q.ids[:, None]] = -np.inf
+    return -np.sort(-value, axis=1)[:, q.k - 1] if first.shape[1] >= q.k else np.full(len(q.ids), -np.inf)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int, factor: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query. `vectors` is from vectors_of()."""
     whole = scaled(vectors, factor)
     blocks, slots = build(whole)
     # a query id on several rows keeps one vector, the smallest
-    queries = whole.where(is_query).groupBy("id", "dim").agg(F.min("vector").alias("vector"))
-    form = "ids binary, data binary, floor binary"
-    plain = vb.packed(queries, vb.QUERY_ROWS, _query_block, form)
+    queries = cut_lineage(whole.where(is_query).groupBy("id", "dim").agg(F.min("vector").alias("vector")))
+    form = "ids binary, floor binary, kind string, exact binary"
+    plain, groups = vb.dealt(cut_lineage(vb.packed(queries, vb.QUERY_ROWS, _query_block, form)), "group", vb.GROUP_VALUES)
     cells = blocks.select("dim", "slot", "ids", "cells", "low", "width")
-    lows = vb.met(plain, cells, slots).mapInArrow(_lower(k), "query_id long, low double")
+    lows = vb.cogrouped(plain, groups, cells, slots, _lower(k), "query_id long, low double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
     floors = lows.withColumn("_place", place).where(F.col("_place") == k).select(F.col("query_id").alias("id"), F.col("low").alias("floor"))
-    known = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = vb.met(vb.packed(known.select("id", "dim", "vector", "floor"), vb.QUERY_ROWS, _query_block, form), blocks, slots)
-    rows = found.mapInArrow(_verified(k), "query_id long, vec_id long, score long")
+    # merged by a hint: what is written is taken for as large as its compressed files, and would be broadcast
+    known = queries.join(floors.hint("merge"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    sent = vb.packed(known.select("id", "dim", "vector", "floor"), vb.QUERY_ROWS, _query_block, form)
+    sent = sent.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    rows = vb.cogrouped(sent, groups, blocks, slots, _verified(k), "query_id long, vec_id long, score long")
     return vb.best(rows, k).select("query_id", "rank", "vec_id", "score")

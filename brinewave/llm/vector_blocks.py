@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,10 @@ from brinewave.session import cut_lineage
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
+#: Slots with about one block each, at most; beyond, a slot holds so many components, and a group of queries so many.
+FEW_SLOTS = 64
+SLOT_VALUES = 8 << 20
+GROUP_VALUES = 4 << 20
 
 
 def usable(vector: Column, nonzero: bool = False) -> Column:
@@ -70,24 +75,48 @@ def packed(vectors: DataFrame, rows: int, pack: Callable[..., dict], schema: str
     return vectors.mapInArrow(blocks, full)
 
 
+def dealt(table: DataFrame, name: str, values: int, few: int = 1) -> tuple[DataFrame, int]:
+    """Blocks of a written table dealt to numbered shares of about `values` components, and how many shares there are: one
+    for each of the first `few` blocks at least."""
+    n, held = table.agg(F.count("*"), F.coalesce(F.sum(F.col("dim") * F.octet_length("ids") / 8), F.lit(0.0))).first()
+    shares = max(1, min(n, few), math.ceil(held / values))
+    return table.withColumn(name, F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")), shares
+
+
 def with_slots(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """A written block table with a slot for each block, and the number of slots: about one block in each."""
-    table = cut_lineage(blocks)
-    n = max(1, table.count())
-    return table.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")), n
+    """A written block table with a slot for each block, and the number of slots: about one block in each of a few, and
+    SLOT_VALUES components in each of many, so that what is sent to all slots does not grow with the number of blocks."""
+    return dealt(cut_lineage(blocks), "slot", SLOT_VALUES, FEW_SLOTS)
+
+
+def to_all(blocks: DataFrame, name: str, shares: int) -> DataFrame:
+    """Every block once for each share."""
+    return blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias(name))
+
+
+def cogrouped(queries: DataFrame, groups: int, blocks: DataFrame, slots: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`run` for each group of query blocks and each slot of blocks of their dimension.
+
+    A task holds one group and one slot, bounded by GROUP_VALUES and SLOT_VALUES, and no side goes through the driver:
+    queries are sent once for each slot, blocks once for each group.
+    """
+    keys = ["dim", "slot", "group"]
+    left, right = to_all(queries, "slot", slots), to_all(blocks, "group", groups)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def met(queries: DataFrame, blocks: DataFrame, slots: int) -> DataFrame:
     """Every query block (dim, ids, data ...) beside every block of its dimension.
 
-    Query blocks are sent to all slots: a stated query set against all rows, block by block.
+    Query blocks are sent to all slots: a stated query set against all rows, block by block, merged by a hint. The planner
+    takes what is sent for as small as one copy of the queries, and would broadcast all copies.
     Columns of the query side get the prefix q_.
     """
     sent = queries.select(
         "dim", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
         *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "dim"],
     )
-    return sent.join(blocks, ["dim", "slot"])
+    return sent.hint("merge").join(blocks, ["dim", "slot"])
 
 
 def best(rows: DataFrame, k: int) -> DataFrame:

@@ -47,6 +47,49 @@ def test_va_file(spark, rows, monkeypatch):
     assert va_file.search(vb.vectors_of(none, "vec_id", "embedding"), F.col("id") % 50 == 0, 5).count() == 0
 
 
+def found_ranks(frame) -> dict[int, list]:
+    found: dict[int, list] = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return found
+
+
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_the_queries_are_not_broadcast(spark, rows, monkeypatch):
+    """A query set below the broadcast limit is above it once it has been sent to all slots."""
+    monkeypatch.setattr(vb, "BLOCK_ROWS", 50)
+    good = [r for r in rows if not (r[1] and r[1][0] == 1e30)]
+    vectors = vb.vectors_of(spark.createDataFrame(good, SCHEMA).repartition(4), "vec_id", "embedding", nonzero=True)
+    for found in (va_file.search(vectors, F.col("id") % 50 == 0, 5), stable_projections.search(vectors, F.col("id") % 20 == 0, 20)):
+        assert found.collect() and "isFinalPlan=true" in plan(found) and "Broadcast" not in plan(found)
+
+
+def test_slots_hold_more_blocks_where_there_are_many(spark, monkeypatch):
+    monkeypatch.setattr(vb, "FEW_SLOTS", 4)
+    monkeypatch.setattr(vb, "SLOT_VALUES", 64 * 8)
+    blocks = spark.range(100).selectExpr("64 AS dim", "id AS block", "cast(repeat('12345678', 2) AS binary) AS ids")  # two vectors each
+    for n, slots in ((0, 1), (3, 3), (16, 4), (100, 25)):
+        table, found = vb.with_slots(blocks.where(F.col("block") < n))
+        assert found == slots and table.count() == n
+        assert {r.slot for r in table.collect()} <= set(range(slots))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4, 3e5])
+def test_va_file_over_groups_and_slots(spark, monkeypatch, scale):
+    """Products that are exact in floats, in doubles and in neither; vectors of two lengths, copies, repeated ids, too few rows."""
+    for name, value in (("BLOCK_ROWS", 40), ("QUERY_ROWS", 3), ("FEW_SLOTS", 2), ("SLOT_VALUES", 100 * 16), ("GROUP_VALUES", 4 * 16)):
+        monkeypatch.setattr(vb, name, value)
+    rng = np.random.default_rng(4)
+    made = [(i, (scale * rng.normal(size=16 if i % 3 else 5)).tolist()) for i in range(600)]
+    made += [(i, made[4][1]) for i in range(600, 700)] + [(1, made[7][1]), (2, made[4][1])] + [(1000, [scale] * 3), (1050, [-scale] * 3)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(5)
+    got = found_ranks(va_file.search(vb.vectors_of(table, "vec_id", "embedding"), F.col("id") % 25 == 0, 5))
+    assert got == brute(made, 25, 5, lambda v: [int(np.floor(256 * x)) for x in v], True)
+
+
 def test_stable_projections(spark, rows):
     rows = [r for r in rows if not (r[1] and r[1][0] == 1e30)]
     table = spark.createDataFrame(rows, SCHEMA).repartition(4)
