@@ -109,7 +109,7 @@ class _Queries:
 
     def others(self, reached: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Queries and rows that are reached, a query's own rows left out."""
-        n, row = np.nonzero(reached)
+        n, row = np.divmod(np.flatnonzero(reached), reached.shape[1])  # several times faster than np.nonzero in two dimensions
         other = ids[row] != self.ids[n]
         return n[other], row[other]
 
